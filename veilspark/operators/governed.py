@@ -16,13 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from veilspark.errors import AccessDenied
 from veilspark.functions.keys import TokenKeys
 from veilspark.functions.sqltext import SYSTEM_SCHEMAS
-from veilspark.operators.masking import (
-    ColumnAction,
-    apply_masking,
-    mask_union,
-    masked_column,
-    resolve_actions,
-)
+from veilspark.operators.masking import apply_masking, mask_union
 from veilspark.operators.measures import Measure, safe_agg
 from veilspark.operators.tags import (
     CHECKED,
@@ -30,6 +24,7 @@ from veilspark.operators.tags import (
     SAFE,
     col,
     field_map,
+    is_tagged,
     sensitive_outputs,
     source_of,
     tag_source,
@@ -194,7 +189,9 @@ def governed_regroup(
         if m.func in ("count", "avg"):
             parts[f"{name}__n"] = Measure.count(m.column)
     raw = governed_group(df, keys, parts, policy)
-    merged = apply_masking(raw, policy, token_keys).groupBy(*[col(k) for k in keys])
+    named = not is_tagged(df.schema)
+    masked = apply_masking(raw, policy, token_keys, trust_names=named)
+    merged = masked.groupBy(*[col(k) for k in keys])
     sums = merged.agg(*[F.sum(col(p)).alias(p) for p in parts])
     values = {
         "sum": lambda n: col(f"{n}__sum"),
@@ -375,30 +372,6 @@ class GovernedSession:
     def finish(self, df: DataFrame, limit: object = None, safe: Sequence[str] = ()) -> DataFrame:
         """Cap first, then mask: only rows that are returned get tokenised."""
         capped = capped_limit(df, limit, self.role.max_rows)
-        return apply_masking(capped, self.policy, self.keys, safe=safe)
-
-
-__all__ = [
-    "ColumnAction",
-    "Condition",
-    "GovernedSession",
-    "capped_limit",
-    "check_table",
-    "check_union",
-    "condition",
-    "effective_cap",
-    "fetch_capped",
-    "governed_derive",
-    "governed_filter",
-    "governed_group",
-    "governed_having",
-    "governed_regroup",
-    "governed_select",
-    "governed_sort",
-    "governed_table",
-    "governed_union",
-    "masked_column",
-    "require_filter",
-    "resolve_actions",
-    "summary_report",
-]
+        # Everything here was read through tags: an untagged column was computed.
+        return apply_masking(capped, self.policy, self.keys, safe=safe, trust_names=False)
+
