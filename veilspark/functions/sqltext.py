@@ -37,24 +37,30 @@ LOCK_HINTS = (
 
 # Quoted text by dialect: only MySQL has backslash escapes and treats double
 # quotes as strings. Elsewhere a double-quoted word is a name and stays.
-_MYSQL_STRING = r"'(?:[^'\\]|\\.|'')*'" + "|" + r'"(?:[^"\\]|\\.|"")*"'
-_PLAIN_STRING = r"'(?:[^']|'')*'"
-_NAME = r'"(?:[^"]|"")*"'
-_COMMENT = r"--[^\n]*|/\*.*?\*/"
-_NUMBER = (
-    r"(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?!\w)"
+# Possessive loops keep the matcher linear and off the stack on long literals.
+_MYSQL_STRING = (
+    r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'" + "|" + r'"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"'
 )
-
-
-def _redact(sql: Column, strings: str, keep: str) -> Column:
-    # Leftmost match decides what a quote or dash belongs to, so comments are
-    # dropped first in one pass that steps over quoted text.
-    bare = F.regexp_replace(sql, rf"(?s)({keep})|(?:{_COMMENT})", "$1 ")
-    no_strings = F.regexp_replace(bare, rf"(?s)(?:\b[nN])?(?:{strings})", "?")
-    redacted = F.trim(
-        F.regexp_replace(F.regexp_replace(no_strings, _NUMBER, "?"), r"\s+", " ")
+_PLAIN_STRING = r"'[^']*+(?:''[^']*+)*+'"
+_NAME = r'"[^"]*+(?:""[^"]*+)*+"'
+_MYSQL_COMMENT = r"--[^\n]*|#[^\n]*|/\*.*?\*/"
+_PLAIN_COMMENT = r"--[^\n]*|/\*.*?\*/"
+_NUMBER = r"(?=\d)(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?!\w)"
+_BLANKS = r" \s+|[\t\n\x0b\f\r]\s*"
+
+
+def _redact(sql: Column, strings: str, quoted: str, comments: str, open_quotes: str) -> Column:
+    # Leftmost match decides what a quote or dash belongs to, so one pass drops
+    # comments while stepping over quoted text. Most queries have none.
+    stripped = F.regexp_replace(sql, f"(?s)({quoted})|(?:{comments})", "$1 ")
+    commented = sql.contains("--") | sql.contains("/*") | sql.contains("#")
+    bare = F.when(commented, stripped).otherwise(sql)
+    values = rf"(?s)(?:\b[nN])?(?:{strings})|{_NUMBER}"
+    redacted = F.trim(F.regexp_replace(F.regexp_replace(bare, values, "?"), _BLANKS, " "))
+    # A chain rather than a CASE: each step reads the one before it only once.
+    return F.regexp_replace(
+        redacted, f"(?s)^[^{open_quotes}]*+[{open_quotes}].*$", UNPARSEABLE
     )
-    return F.when(no_strings.contains("'"), F.lit(UNPARSEABLE)).otherwise(redacted)
 
 
 def redact_literals(sql: Column, dialect: Column | None = None) -> Column:
@@ -62,10 +68,10 @@ def redact_literals(sql: Column, dialect: Column | None = None) -> Column:
 
     An unbalanced quote cannot be redacted with confidence; it gives a mark.
     """
-    mysql = _redact(sql, _MYSQL_STRING, _MYSQL_STRING)
+    mysql = _redact(sql, _MYSQL_STRING, _MYSQL_STRING, _MYSQL_COMMENT, "'\"")
     if dialect is None:
         return mysql
-    plain = _redact(sql, _PLAIN_STRING, f"{_PLAIN_STRING}|{_NAME}")
+    plain = _redact(sql, _PLAIN_STRING, f"{_PLAIN_STRING}|{_NAME}", _PLAIN_COMMENT, "'")
     return F.when(F.coalesce(dialect, F.lit("mysql")) == "mysql", mysql).otherwise(plain)
 
 
@@ -75,29 +81,33 @@ def sql_fingerprint(normalized: Column) -> Column:
 
 
 def has_user_variable(sql: Column) -> Column:
-    return sql.rlike(r"(?<!@)@[a-zA-Z_]")
+    return sql.contains("@") & sql.rlike(r"(?<!@)@[a-zA-Z_]")
 
 
 def has_lock(sql: Column, dialect: Column) -> Column:
     """Locking reads in any dialect, table hints in T-SQL only."""
     hints = "|".join(LOCK_HINTS)
     locking = sql.rlike(r"(?i)for\s+update|lock\s+in\s+share\s+mode")
-    sharing = redact_literals(sql, dialect).rlike(r"(?i)\bfor\s+share\b")
-    hinted = sql.rlike(rf"(?i)with\s*\(\s*({hints})")
-    return locking | sharing | ((dialect == "tsql") & hinted)
+    sharing = F.when(
+        sql.rlike(r"(?i)\bshare\b"), redact_literals(sql, dialect).rlike(r"(?i)\bfor\s+share\b")
+    ).otherwise(F.lit(False))
+    hinted = (dialect == "tsql") & sql.rlike(rf"(?i)with\s*\(\s*({hints})")
+    return locking | hinted | sharing
 
 
 def banned_function(sql: Column, dialect: Column) -> Column:
     """Name of the first banned routine or clause in the text, else null.
 
-    Literals are removed first, so a name inside a string does not count.
+    Literals are removed first, so a name inside a string does not count. That
+    only happens for texts that hold a banned name at all.
     """
     code = redact_literals(sql, dialect)
 
     def called(kind: str) -> Column:
         names = "|".join(BANNED_FUNCTIONS[kind])
         name = F.regexp_extract(code, rf"(?i)(?<![\w@])({names})\s*\(", 1)
-        return F.when(name != "", name)
+        named = sql.contains("(") & sql.rlike(rf"(?i)(?<![\w@])(?:{names})")
+        return F.when(named, F.nullif(name, F.lit("")))
 
     outfile = F.when(
         sql.rlike(r"(?i)into\s+(outfile|dumpfile)"), F.lit("INTO OUTFILE/DUMPFILE")

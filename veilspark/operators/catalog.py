@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilspark.errors import AccessDenied
+from veilspark.frames import local_frame
 from veilspark.operators.masking import column_masking_info
 from veilspark.operators.routing import route_tables
 from veilspark.policy import MaskingPolicy, Role, RoleBook, SourceCatalog
@@ -17,7 +18,7 @@ from veilspark.sources.tables import column_catalog, routed_read
 def role_tables(spark: SparkSession, book: RoleBook) -> DataFrame:
     """(role, table_name), one row per allowed table."""
     rows = [(r.name, list(r.allowed_tables)) for r in book.roles.values()]
-    roles = spark.createDataFrame(rows, "role string, allowed_tables array<string>")
+    roles = local_frame(spark, rows, "role string, allowed_tables array<string>")
     return roles.select("role", F.explode("allowed_tables").alias("table_name"))
 
 

@@ -64,12 +64,13 @@ def role_allows(book: RoleBook, role: Column, table: Column) -> Column:
     return out
 
 
-def statement_denial(book: RoleBook) -> Column:
+def statement_denial(book: RoleBook, analyzes: Column | None = None) -> Column:
+    analyzes = F.col("sql_text").rlike("(?i)analyze") if analyzes is None else analyzes
     may_explain = F.coalesce(role_value(book, F.col("role"), "allow_explain"), F.lit(False))
     kind = F.col("statement_type")
     explain = (
         F.when(~may_explain, denial("STATEMENT_DENIED", "EXPLAIN is not allowed for this role"))
-        .when(F.upper("sql_text").contains("ANALYZE"), denial("EXPLAIN_ANALYZE_DENIED"))
+        .when(analyzes, denial("EXPLAIN_ANALYZE_DENIED"))
     )
     describe = F.when(
         ~may_explain, denial("STATEMENT_DENIED", "DESCRIBE is not allowed for this role")
@@ -166,6 +167,23 @@ def effective_limit(book: RoleBook) -> Column:
     )
 
 
+def text_facts(log: DataFrame) -> DataFrame:
+    """What the text alone decides, as four small columns.
+
+    Computed where the log is scanned: a plan that does not return the text
+    then never has to shuffle it.
+    """
+    sql, dialect = F.col("sql_text"), F.col("dialect")
+    return log.withColumns(
+        {
+            "_analyzes": sql.rlike("(?i)analyze"),
+            "_variable": has_user_variable(sql),
+            "_locks": has_lock(sql, dialect),
+            "_banned": banned_function(sql, dialect),
+        }
+    )
+
+
 def _failures(df: DataFrame, verdict: Column) -> DataFrame:
     return (
         df.select("query_id", verdict.alias("d"))
@@ -214,12 +232,17 @@ def table_facts(
     )
     name = F.lower("table_name")
     large = sorted(book.large_tables)
-    is_large = name.isin(large) if large else F.lit(False)
-    return judged.groupBy("query_id").agg(
+    # One flag per large table: their number is that of a config list, and
+    # flags, unlike a set, leave the aggregate on the order the join left.
+    used = [F.max(name == t).alias(f"_large_{i}") for i, t in enumerate(large)]
+    grouped = judged.groupBy("query_id").agg(
         F.min_by("d", F.when(F.col("d").isNotNull(), F.col("ord"))).alias("table_denial"),
         F.array_sort(F.collect_set(name)).alias("tables"),
-        F.array_sort(F.collect_set(F.when(is_large, name))).alias("large"),
+        *used,
     )
+    names = [F.when(F.col(f"_large_{i}"), F.lit(t)) for i, t in enumerate(large)]
+    listed = F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
+    return grouped.select("query_id", "table_denial", "tables", listed.alias("large"))
 
 
 def column_facts(uses: DataFrame, policy: MaskingPolicy, book: RoleBook) -> DataFrame:
@@ -315,16 +338,17 @@ def judge(
     variable, lock, banned function, table, union, column use, large table.
     """
     joined = (
-        log.join(shape, "query_id", "left")
+        text_facts(log)
+        .join(shape, "query_id", "left")
         .join(table_facts(log, refs, book, catalog), "query_id", "left")
         .join(column_facts(uses, policy, book), "query_id", "left")
     )
     first = F.coalesce(
         F.when(F.col("statement_type").isNull(), denial("SYNTAX_ERROR")),
-        statement_denial(book),
-        variable_denial(),
-        lock_denial(),
-        function_denial(),
+        statement_denial(book, F.col("_analyzes")),
+        F.when(F.col("_variable"), denial("USER_VARIABLE_DENIED")),
+        F.when(F.col("_locks"), denial("FOR_UPDATE_DENIED")),
+        F.when(F.col("_banned").isNotNull(), denial("DANGEROUS_FUNCTION", F.col("_banned"))),
         F.col("table_denial"),
         union_denial(book),
         F.col("column_denial"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from veilspark.frames import local_frame
 from veilspark.operators.joins import bounded_broadcast
 from veilspark.policy import SourceCatalog
 
@@ -55,7 +56,7 @@ def _route_by_prefix(tables: DataFrame, catalog: SourceCatalog, column: str) ->
         for i, r in enumerate(catalog.routes)
         for p in [r.pattern.lower()]
     ]
-    routes = spark.createDataFrame(rows, "stem string, open boolean, datasource string, ord int")
+    routes = local_frame(spark, rows, "stem string, open boolean, datasource string, ord int")
     lengths = sorted({len(stem) for stem, is_open, *_ in rows if is_open})
     name = F.lower(column)
     # Each name offers its prefixes of the lengths in use, and itself in full.

@@ -152,24 +152,31 @@ _WIDE_SQL = f"""SELECT l_orderkey, l_linenumber, {_CUST} AS c_name, {_SUP} AS s_
 
 @plan("apply_masking_wide", _WIDE_SQL)
 def apply_masking_wide(spark, sf):
-    """Every order line with names of both sides, masked after the joins."""
+    """Every order line with names of both sides.
+
+    A token depends on its value alone, so the dimension tables are masked
+    before they are joined: one token per customer, not one per line. The
+    final call finds those columns done and only treats the rest.
+    """
+    k = keys(spark)
     t = {
         n: tag_source(table(spark, sf, n), n)
         for n in ("lineitem", "orders", "customer", "supplier", "nation", "part")
     }
+    small = {n: om.apply_masking(t[n], POLICY, k) for n in ("customer", "supplier", "nation", "part")}
     wide = (
         t["lineitem"]
         .join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+        .join(small["customer"], F.col("o_custkey") == F.col("c_custkey"))
+        .join(small["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(small["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(small["part"], F.col("l_partkey") == F.col("p_partkey"))
         .select(
             "l_orderkey", "l_linenumber", "c_name", "s_name", "n_name",
             "o_orderpriority", "l_extendedprice", "p_type",
         )
     )
-    return om.apply_masking(wide, POLICY, keys(spark))
+    return om.apply_masking(wide, POLICY, k)
 
 
 @plan(
@@ -331,8 +338,11 @@ def token_join(spark, sf):
         c.select(F.col("c_name").alias("customer_name"), F.col("c_acctbal").alias("balance")),
         POLICY, k,
     )
+    per_key = safe_agg(o, ["o_custkey"], {"n": Measure.count()})
     counted = safe_agg(
-        o.join(c, F.col("o_custkey") == F.col("c_custkey")), ["c_name"], {"n_orders": Measure.count()}
+        per_key.join(c, F.col("o_custkey") == F.col("c_custkey")),
+        ["c_name"],
+        {"n_orders": Measure.sum("n")},
     )
     right = om.apply_masking(counted, POLICY, k)
     return om.token_join(left, right, ("customer_name", "c_name")).select(

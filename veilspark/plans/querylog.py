@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veilspark.frames import local_frame
 from veilspark.functions import sqltext as tx
 from veilspark.operators import querylog as q
 from veilspark.plans.governed import (
@@ -118,7 +119,7 @@ _USE_ROWS = [
 
 def _templated(spark, log, rows, schema):
     """Attach template rows; the list is written above, hence a fixed-size broadcast."""
-    return log.join(F.broadcast(spark.createDataFrame(rows, schema)), "tmpl")
+    return log.join(F.broadcast(local_frame(spark, rows, schema)), "tmpl")
 
 
 def query_log(spark, sf):
@@ -181,24 +182,27 @@ uses AS (SELECT query_id, ord, column_name, context, func
 _MY_STRING = r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*\""""
 _STRING = r"""'(?:[^']|'')*'"""
 _NAME = r'"(?:[^"]|"")*"'
+_MY_COMMENT = r"--[^\n]*|#[^\n]*|/\*.*?\*/"
+_COMMENT = r"--[^\n]*|/\*.*?\*/"
+_NUMBER = r"(^|[^\w.])(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\b"
 
 
-def _redact_sql(c: str, strings: str, keep: str) -> str:
-    bare = f"regexp_replace({c}, {quote(f'(?s)({keep})|(?:--[^' + chr(92) + f'n]*|/{chr(92)}*.*?{chr(92)}*/)')}, '\\1 ', 'g')"
-    no_strings = f"regexp_replace({bare}, {quote(f'(?s)(?:{chr(92)}b[nN])?(?:{strings})')}, '?', 'g')"
-    number = r"(^|[^\w.])(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\b"
-    numbers = f"regexp_replace({no_strings}, {quote(number)}, '\\1?', 'g')"
+def _redact_sql(c: str, strings: str, keep: str, comments: str, open_quotes: str) -> str:
+    stripped = f"regexp_replace({c}, {quote(f'(?s)({keep})|(?:{comments})')}, '\\1 ', 'g')"
+    bare = f"CASE WHEN regexp_matches({c}, '--|/[*]|#') THEN {stripped} ELSE {c} END"
+    strings_out = rf"(?s)(?:\b[nN])?(?:{strings})"
+    no_strings = f"regexp_replace({bare}, {quote(strings_out)}, '?', 'g')"
+    numbers = f"regexp_replace({no_strings}, {quote(_NUMBER)}, '\\1?', 'g')"
     return (
-        f"CASE WHEN strpos({no_strings}, chr(39)) > 0 THEN '<unparseable>' "
+        f"CASE WHEN regexp_matches({no_strings}, {quote(open_quotes)}) THEN '<unparseable>' "
         f"ELSE trim(regexp_replace({numbers}, '\\s+', ' ', 'g')) END"
     )
 
 
 def redact_sql(c: str) -> str:
-    return (
-        f"CASE WHEN dialect = 'mysql' THEN {_redact_sql(c, _MY_STRING, _MY_STRING)} "
-        f"ELSE {_redact_sql(c, _STRING, _STRING + '|' + _NAME)} END"
-    )
+    mysql = _redact_sql(c, _MY_STRING, _MY_STRING, _MY_COMMENT, "['\"]")
+    plain = _redact_sql(c, _STRING, f"{_STRING}|{_NAME}", _COMMENT, "'")
+    return f"CASE WHEN dialect = 'mysql' THEN {mysql} ELSE {plain} END"
 
 
 def fingerprint_sql(c: str) -> str:

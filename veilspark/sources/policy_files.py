@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from veilspark.frames import local_frame
 from veilspark.policy import MaskingPolicy, read_document
 
 RULE_SCHEMA = (
@@ -46,7 +47,7 @@ def rule_entries(spark: SparkSession, doc: Mapping) -> DataFrame:
         (list(r.get("columns") or []), r["action"], r.get("namespace"), r.get("prefix"), i)
         for i, r in enumerate(doc.get("rules") or [])
     ]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return local_frame(spark, rows, RULE_SCHEMA)
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -64,14 +65,13 @@ def override_rows(spark: SparkSession, policy: MaskingPolicy) -> DataFrame:
         for table, columns in policy.overrides.items()
         for column, action in columns.items()
     ]
-    return spark.createDataFrame(rows, OVERRIDE_SCHEMA)
+    return local_frame(spark, rows, OVERRIDE_SCHEMA)
 
 
 def rule_rows(spark: SparkSession, policy: MaskingPolicy) -> DataFrame:
     rows = [(c, r.action, r.namespace, r.prefix) for c, r in policy.rules.items()]
-    return spark.createDataFrame(
-        rows, "column_name string, action string, namespace string, prefix string"
-    )
+    schema = "column_name string, action string, namespace string, prefix string"
+    return local_frame(spark, rows, schema)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +79,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     try:
         docs = spark.read.schema("value string").text(path, wholetext=True)
     except AnalysisException:
-        docs = spark.createDataFrame([], "value string")
+        docs = local_frame(spark, [], "value string")
     parsed = docs.select(F.from_json("value", _TOKEN_DOC).alias("doc"))
     return parsed.select(F.posexplode("doc.tokens").alias("pos", "entry")).select(
         "pos", *[F.col(f"entry.{f}").alias(f) for f in TOKEN_FIELDS]

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from veilspark.frames import local_frame
 from veilspark.operators.tags import col
 from veilspark.policy import DataSource, SourceCatalog
 
@@ -123,4 +124,4 @@ def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Data
         "table_name string, ordinal int, column_name string, data_type string,"
         " nullable boolean, comment string"
     )
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, rows, schema)
