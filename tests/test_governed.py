@@ -178,6 +178,15 @@ def test_unions(book, policy, keys, spark):
     assert code_of(lambda: g.governed_union([part] * 2, viewer, policy, keys)) == "UNION_DENIED"
 
 
+def test_union_may_be_sorted_by_plain_columns_only(book, policy, keys, spark):
+    dev = book.roles["developer"]
+    part = tag_source(spark.sql("SELECT explode(sequence(1, 9)) AS n_year, 'a' AS customer_name"), "summary")
+    top = g.governed_union([part, part], dev, policy, keys, order=["-n_year"], limit=3)
+    assert [r.n_year for r in top.collect()] == [9, 9, 8]
+    bad = lambda: g.governed_union([part, part], dev, policy, keys, order=["customer_name"])
+    assert code_of(bad) == "COLUMN_DENIED"
+
+
 def test_large_tables_need_a_time_filter(spark, book):
     detail = tag_source(spark.sql("SELECT 2026 AS n_year, 6 AS n_period, 1.0 AS amount"), "detail")
     assert code_of(lambda: g.require_filter(detail, "detail", [], book)) == "FILTER_REQUIRED"

@@ -50,9 +50,14 @@ def nfkc(c: Column, engine: str = "jvm") -> Column:
     """Unicode NFKC. Spark has no such function of its own.
 
     ``jvm`` calls the ICU library that ships with Spark, so rows never leave
-    the JVM. ``python`` uses the interpreter's Unicode tables in an Arrow
-    batch; the two differ only for characters newer than the interpreter.
+    the JVM. Spark treats such a call as non-deterministic: it may not stand
+    inside an aggregate, and a filter above it is not pushed below it.
+    ``python`` uses the interpreter's Unicode tables in an Arrow batch; the two
+    differ only for characters newer than the interpreter. ``ascii`` is for
+    columns known to hold ASCII only, where there is nothing to compose.
     """
+    if engine == "ascii":
+        return c
     if engine == "python":
         return _nfkc_python(c)
     return F.reflect(

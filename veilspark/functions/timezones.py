@@ -27,9 +27,13 @@ def audit_local_time(ts_utc: Column, tz_name: Column | str = "Asia/Shanghai") ->
     for name, offset in OFFSET_HOURS.items():
         hours = F.when(zone == name, F.lit(offset)).otherwise(hours)
     local = ts_utc.cast("timestamp_ntz") + F.make_interval(hours=hours)
-    whole = F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(local, "SSSSSS")
-    fraction = F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros))
+    # Plain text of a zoneless timestamp: no session time zone takes part.
+    text = local.cast("string")
+    whole = F.replace(F.substring(text, 1, 19), F.lit(" "), F.lit("T"))
+    micros = F.substring(text, 21, 6)
+    fraction = F.when(micros == "", F.lit("")).otherwise(
+        F.concat(F.lit("."), F.rpad(micros, 6, "0"))
+    )
     sign = F.when(hours < 0, F.lit("-")).otherwise(F.lit("+"))
     offset = F.concat(sign, F.lpad(F.abs(hours).cast("string"), 2, "0"), F.lit(":00"))
     return F.concat(whole, fraction, offset)

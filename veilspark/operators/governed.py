@@ -280,11 +280,22 @@ def governed_union(
     policy: MaskingPolicy,
     keys: TokenKeys | None = None,
     distinct: bool = False,
-    max_rows: int | None = None,
+    order: Sequence[str] = (),
+    limit: object = None,
 ) -> DataFrame:
-    """Union of governed frames, masked branch by branch and capped."""
+    """Union of governed frames, masked branch by branch, sorted and capped.
+
+    Only columns that pass through unmasked may be sorted by.
+    """
     check_union(len(frames), role)
-    return mask_union(frames, policy, keys, distinct).limit(max_rows or role.max_rows)
+    masked = mask_union(frames, policy, keys, distinct)
+    if order:
+        fields = field_map(masked)
+        for item in order:
+            if fields[item.lstrip("-").lower()].metadata[MASKED] != "passthrough":
+                raise AccessDenied("COLUMN_DENIED", f"sensitive column {item.lstrip('-')} in ORDER BY")
+        masked = governed_sort(masked, order, policy)
+    return capped_limit(masked, limit, role.max_rows)
 
 
 def require_filter(

@@ -88,7 +88,11 @@ def resolve_actions(
 
 
 def masked_column(
-    action: ColumnAction, policy: MaskingPolicy, keys: TokenKeys | None, strict: bool = False
+    action: ColumnAction,
+    policy: MaskingPolicy,
+    keys: TokenKeys | None,
+    strict: bool = False,
+    engine: str = "jvm",
 ) -> Column:
     """The expression for one column.
 
@@ -108,7 +112,7 @@ def masked_column(
         text = c if is_text else c.cast("string")
         if kind == "tokenize":
             return fm.tokenize(
-                text, action.rule.namespace, action.rule.prefix, keys, policy.placeholders
+                text, action.rule.namespace, action.rule.prefix, keys, policy.placeholders, engine
             )
         return fm.mask_phone(text) if kind == "mask_phone" else fm.mask_email(text)
     return fm.deny(action.data_type)
@@ -121,6 +125,7 @@ def project_actions(
     keys: TokenKeys | None = None,
     strict: bool = False,
     observation: Observation | None = None,
+    engine: str = "jvm",
 ) -> DataFrame:
     reject_duplicates(df)
     if keys is None and any(a.action == "tokenize" and not a.done for a in actions):
@@ -129,7 +134,7 @@ def project_actions(
         df = df.observe(observation, *_field_metrics(actions))
     return df.select(
         *[
-            masked_column(a, policy, keys, strict).alias(a.name, metadata={MASKED: a.action})
+            masked_column(a, policy, keys, strict, engine).alias(a.name, metadata={MASKED: a.action})
             for a in actions
         ]
     )
@@ -146,16 +151,18 @@ def apply_masking(
     trust_names: bool | None = None,
     strict: bool = False,
     observation: Observation | None = None,
+    engine: str = "jvm",
 ) -> DataFrame:
     """Mask a whole frame, batch or streaming, in a single projection.
 
     Without ``keys`` the secret is read from the environment, and a missing
     secret raises. With ``observation`` the data-dependent part of the
     masked-field report is gathered in the same pass; see
-    :func:`observed_fields`.
+    :func:`observed_fields`. ``engine`` chooses how token input is normalised;
+    see :func:`veilspark.functions.masking.nfkc`.
     """
     actions = resolve_actions(df.schema, policy, tables, lineage, safe, trust_names)
-    return project_actions(df, actions, policy, keys, strict, observation)
+    return project_actions(df, actions, policy, keys, strict, observation, engine)
 
 
 def _field_metrics(actions: Sequence[ColumnAction]) -> list[Column]:

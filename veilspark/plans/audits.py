@@ -80,14 +80,36 @@ def recent_audit(spark, sf):
     return flat(oa.recent_audit(oa.build_audit(judged(spark, sf)), 5000, tie="client"))
 
 
-@plan("audit_roundtrip", f"{_RECORDS} SELECT {_COLUMNS} FROM records")
-def audit_roundtrip(spark, sf):
+_WRITTEN = f"""{_RECORDS} SELECT client, status, normalized_sql = '' AS no_text,
+    reason <> '' AS has_reason, duration_ms <> 0 AS has_duration, count(*) AS n
+    FROM records GROUP BY ALL"""
+
+
+@plan("write_audit", _WRITTEN)
+def write_audit_plan(spark, sf):
+    """The written lines themselves: which fields are there and which left out."""
+    path = shared_folder(spark, "audit")
+    write_audit(oa.build_audit(judged(spark, sf)), path)
+    line = F.col("value")
+    return spark.read.text(path).select(
+        F.get_json_object(line, "$.client").alias("client"),
+        F.get_json_object(line, "$.status").alias("status"),
+        (F.get_json_object(line, "$.normalized_sql") == "").alias("no_text"),
+        F.array_contains(F.json_object_keys(line), "reason").alias("has_reason"),
+        F.array_contains(F.json_object_keys(line), "duration_ms").alias("has_duration"),
+    ).groupBy("client", "status", "no_text", "has_reason", "has_duration").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@plan("read_audit", f"{_RECORDS} SELECT {_COLUMNS} FROM records")
+def read_audit_plan(spark, sf):
     """Written as JSON lines with blank and broken lines between, and read back."""
     path = shared_folder(spark, "audit")
     write_audit(oa.build_audit(judged(spark, sf)), path)
     noise = table(spark, sf, "events").select(
         F.when(F.col("user_id") % 3 == 0, "")
-        .when(F.col("user_id") % 3 == 1, "{\"ts\": \"2024")
+        .when(F.col("user_id") % 3 == 1, '{"ts": "2024')
         .otherwise("not json at all")
         .alias("value")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilspark.errors import AccessDenied
+from veilspark.frames import local_frame
 from veilspark.operators import governed as g
 from veilspark.operators.catalog import describe_frames, list_datasets
 from veilspark.operators.joins import bounded_broadcast
@@ -312,56 +313,63 @@ def governed_derive(spark, sf):
     )
 
 
+_USES = [
+    ("select c_name", "ok"),
+    ("upper of c_name", "FUNCTION_DENIED"),
+    ("case on c_name", "COLUMN_DENIED"),
+    ("count of c_name", "FUNCTION_DENIED"),
+    ("having on c_name", "COLUMN_DENIED"),
+    ("sort by c_name", "COLUMN_DENIED"),
+    ("sort by alias of c_name", "COLUMN_DENIED"),
+    ("range in strict mode", "COLUMN_DENIED"),
+    ("filter orders by status", "FILTER_REQUIRED"),
+    ("three branches", "ok"),
+    ("four branches", "UNION_DENIED"),
+    ("two branches as viewer", "UNION_DENIED"),
+    ("viewer opens customer", "TABLE_NOT_ALLOWED"),
+]
+_TRIED = {"attempt_no": f"user_id % {len(_USES)}", "user_id": "user_id"}
+
+
 @plan(
     "denied_uses",
-    f"""SELECT attempt, code, n_rows FROM {values_sql([
-        ('case on c_name', 'COLUMN_DENIED'), ('count of c_name', 'FUNCTION_DENIED'),
-        ('filter orders by status', 'FILTER_REQUIRED'), ('four branches', 'UNION_DENIED'),
-        ('having on c_name', 'COLUMN_DENIED'), ('range in strict mode', 'COLUMN_DENIED'),
-        ('select c_name', 'ok'), ('sort by c_name', 'COLUMN_DENIED'),
-        ('sort by alias of c_name', 'COLUMN_DENIED'), ('three branches', 'ok'),
-        ('two branches as viewer', 'UNION_DENIED'), ('upper of c_name', 'FUNCTION_DENIED'),
-        ('viewer opens customer', 'TABLE_NOT_ALLOWED')],
-        ['attempt', 'code'], 'a')}, (SELECT count(*) AS n_rows FROM customer)""",
+    f"""SELECT attempt, code, count(*) AS n, count(DISTINCT user_id) AS users
+        FROM ({derive_sql('events', _TRIED)}) t
+        JOIN {values_sql([(i, *u) for i, u in enumerate(_USES)], ['i', 'attempt', 'code'], 'a')}
+        ON attempt_no = i GROUP BY ALL""",
 )
 def denied_uses(spark, sf):
-    """What each refused use answers, next to the size of the table at stake."""
+    """A log of attempted uses, each answered by the governed operators."""
     c = source(spark, sf, "customer")
     orders = source(spark, sf, "orders")
     viewer = session(spark, sf, "viewer")
-    attempts = {
-        "select c_name": lambda: g.governed_select(c, ["c_name"]),
-        "upper of c_name": lambda: g.governed_derive(c, "x", F.upper("c_name"), POLICY),
-        "case on c_name": lambda: g.governed_derive(
-            c, "x", F.when(F.col("c_name") == "a", 1), POLICY, "case"
-        ),
-        "count of c_name": lambda: g.governed_group(
-            c, ["c_nationkey"], {"n": Measure.count("c_name")}, POLICY
-        ),
-        "having on c_name": lambda: g.governed_having(
+    tries = [
+        lambda: g.governed_select(c, ["c_name"]),
+        lambda: g.governed_derive(c, "x", F.upper("c_name"), POLICY),
+        lambda: g.governed_derive(c, "x", F.when(F.col("c_name") == "a", 1), POLICY, "case"),
+        lambda: g.governed_group(c, ["c_nationkey"], {"n": Measure.count("c_name")}, POLICY),
+        lambda: g.governed_having(
             g.governed_group(c, ["c_name"], {"n": Measure.count()}, POLICY),
             F.col("c_name") > "a", POLICY,
         ),
-        "sort by c_name": lambda: g.governed_sort(c, ["c_name"], POLICY),
-        "sort by alias of c_name": lambda: g.governed_sort(
-            g.governed_select(c, {"amount": "c_name"}), ["amount"], POLICY
-        ),
-        "range in strict mode": lambda: g.governed_filter(
-            c, POLICY, [("c_name", ">", "a")], strict=True
-        ),
-        "filter orders by status": lambda: g.require_filter(
-            orders, "orders", [("o_orderstatus", "=", "F")], BOOK
-        ),
-        "three branches": lambda: g.check_union(3, DEVELOPER),
-        "four branches": lambda: g.check_union(4, DEVELOPER),
-        "two branches as viewer": lambda: g.check_union(2, VIEWER),
-        "viewer opens customer": lambda: viewer.table("customer"),
-    }
-    rows = F.array(
-        *[F.struct(F.lit(k).alias("attempt"), F.lit(outcome(v)).alias("code")) for k, v in attempts.items()]
+        lambda: g.governed_sort(c, ["c_name"], POLICY),
+        lambda: g.governed_sort(g.governed_select(c, {"amount": "c_name"}), ["amount"], POLICY),
+        lambda: g.governed_filter(c, POLICY, [("c_name", ">", "a")], strict=True),
+        lambda: g.require_filter(orders, "orders", [("o_orderstatus", "=", "F")], BOOK),
+        lambda: g.check_union(3, DEVELOPER),
+        lambda: g.check_union(4, DEVELOPER),
+        lambda: g.check_union(2, VIEWER),
+        lambda: viewer.table("customer"),
+    ]
+    answers = [(i, name, outcome(use)) for i, ((name, _), use) in enumerate(zip(_USES, tries))]
+    attempts = derive(table(spark, sf, "events"), _TRIED)
+    answered = attempts.join(
+        F.broadcast(local_frame(spark, answers, "attempt_no long, attempt string, code string")),
+        "attempt_no",
+    )
+    return answered.groupBy("attempt", "code").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users")
     )
-    sized = c.agg(F.count(F.lit(1)).alias("n_rows"))
-    return sized.select("n_rows", F.explode(rows).alias("r")).select("r.attempt", "r.code", "n_rows")
 
 
 @plan(
@@ -387,13 +395,19 @@ def fetch_capped(spark, sf):
 
 @plan(
     "governed_union_all",
-    f"""SELECT {_CUST} AS name, c_acctbal AS balance FROM customer
-        UNION ALL SELECT {_SUP}, s_acctbal FROM supplier""",
+    f"""SELECT c_custkey AS id, 'c' AS type, {_CUST} AS name, c_acctbal AS balance FROM customer
+        UNION ALL SELECT s_suppkey, 's', {_SUP}, s_acctbal FROM supplier
+        ORDER BY balance DESC, id, type LIMIT 5000""",
 )
 def governed_union_all(spark, sf):
-    c = g.governed_select(source(spark, sf, "customer"), {"name": "c_name", "balance": "c_acctbal"})
-    s = g.governed_select(source(spark, sf, "supplier"), {"name": "s_name", "balance": "s_acctbal"})
-    return g.governed_union([c, s], DEVELOPER, POLICY, keys(spark))
+    parts = []
+    for name, p, key in (("customer", "c", "custkey"), ("supplier", "s", "suppkey")):
+        marked = g.governed_derive(source(spark, sf, name), "type", F.lit(p), POLICY)
+        columns = {"id": f"{p}_{key}", "type": "type", "name": f"{p}_name", "balance": f"{p}_acctbal"}
+        parts.append(g.governed_select(marked, columns))
+    return g.governed_union(
+        parts, DEVELOPER, POLICY, keys(spark), order=["-balance", "id", "type"]
+    )
 
 
 @plan(
