@@ -64,8 +64,12 @@ def role_allows(book: RoleBook, role: Column, table: Column) -> Column:
     return out
 
 
+def _analyzes(sql: Column) -> Column:
+    return F.upper(sql).contains("ANALYZE")
+
+
 def statement_denial(book: RoleBook, analyzes: Column | None = None) -> Column:
-    analyzes = F.col("sql_text").rlike("(?i)analyze") if analyzes is None else analyzes
+    analyzes = _analyzes(F.col("sql_text")) if analyzes is None else analyzes
     may_explain = F.coalesce(role_value(book, F.col("role"), "allow_explain"), F.lit(False))
     kind = F.col("statement_type")
     explain = (
@@ -176,7 +180,7 @@ def text_facts(log: DataFrame) -> DataFrame:
     sql, dialect = F.col("sql_text"), F.col("dialect")
     return log.withColumns(
         {
-            "_analyzes": sql.rlike("(?i)analyze"),
+            "_analyzes": _analyzes(sql),
             "_variable": has_user_variable(sql),
             "_locks": has_lock(sql, dialect),
             "_banned": banned_function(sql, dialect),

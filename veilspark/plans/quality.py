@@ -124,13 +124,12 @@ def residual_leaks(spark, sf):
 @plan(
     "residual_leaks_masked",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, '{k}' AS kind, 0 AS cells FROM (SELECT count(*) FROM customer)"
-        for c in ("customer_name", "phone", "email", "id_card", "address", "status", "nickname")
+        f"SELECT 'status' AS column_name, '{k}' AS kind, 0 AS cells FROM (SELECT count(*) FROM customer)"
         for k in ("id_card", "bank_card", "phone")
     ),
 )
 def residual_leaks_masked(spark, sf):
-    """After masking nothing is left to find in any text column."""
+    """After masking nothing is left to find in text that passed through."""
     people = derive(table(spark, sf, "customer"), PERSON)
     return oq.residual_leaks(om.apply_masking(people, POLICY, keys(spark)))
 

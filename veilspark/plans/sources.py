@@ -87,7 +87,7 @@ def column_catalog(spark, sf):
     return counted.join(bounded_broadcast(columns), "table_name")
 
 
-# Registry documents of at most 500 entries each.
+# Registry documents of at most 5000 entries each.
 _REGISTRY = {
     "event_id": "event_id",
     "token_hash": "'sha256:' || event_id",
@@ -106,7 +106,7 @@ def read_tokens_plan(spark, sf):
     """Registry documents are written to shared storage and read back."""
     entries = derive(table(spark, sf, "events"), _REGISTRY)
     fields = F.struct("token_hash", "client_name", "role", "status", "expires_at")
-    docs = entries.groupBy(F.floor(F.col("event_id") / 500).alias("doc")).agg(
+    docs = entries.groupBy(F.floor(F.col("event_id") / 5000).alias("doc")).agg(
         F.collect_list(fields).alias("tokens")
     )
     path = shared_folder(spark, "registry")
