@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark import AccessDenied, GovernedSession, Measure, SourceCatalog, tag_source
+from veilspark import AccessDenied, GovernedSession, Measure, RoleBook, SourceCatalog, tag_source
 from veilspark.errors import denial_text
 from veilspark.frames import local_frame
 from veilspark.operators import governed as g
@@ -228,12 +228,13 @@ def files(spark, tmp_path):
 def test_session_end_to_end(spark, files, book, policy, keys):
     dev = GovernedSession.open(spark, "developer", book, policy, files, keys)
     got = dev.query(
-        lambda t: g.governed_select(t, {"who": "customer_name", "amount": "amount"}), "summary",
-        [("n_year", "=", 2026)],
+        lambda s: g.governed_select(
+            s.table("summary", [("n_year", "=", 2026)]), {"who": "customer_name", "amount": "amount"}
+        )
     )
     assert [tuple(r) for r in got.collect()] == [("CUST_V1_BADD2192DEA40301", 10.0)]
     viewer = GovernedSession.open(spark, "viewer", book, policy, files, keys)
-    assert code_of(lambda: viewer.query(lambda t: t, "v_view")) == "ROLE_DENIED"
+    assert code_of(lambda: viewer.query(lambda s: s.table("v_view"))) == "ROLE_DENIED"
     assert code_of(lambda: viewer.table("summary")) == "TABLE_NOT_ALLOWED"
     assert code_of(lambda: GovernedSession.open(spark, "hacker", book, policy, files)) == "ROLE_DENIED"
 
@@ -251,6 +252,15 @@ def test_plugin_query(spark, files, book, policy, keys):
     assert code_of(lambda: viewer.plugin_query(sql, [2026], ["summary"])) == "TABLE_NOT_ALLOWED"
 
 
+def test_plugin_queries_filter_large_tables(spark, files, book, policy, keys):
+    strict = RoleBook(book.roles, frozenset({"summary"}), book.filter_columns)
+    dev = GovernedSession.open(spark, "developer", strict, policy, files, keys)
+    sql = "SELECT amount FROM {summary}"
+    assert code_of(lambda: dev.plugin_query(sql, None, ["summary"])) == "FILTER_REQUIRED"
+    got = dev.plugin_query(sql, None, ["summary"], where={"summary": [("n_year", "=", 2025)]})
+    assert [r.amount for r in got.collect()] == [1.0]
+
+
 def test_bound_values_are_not_sql(spark, files, book, policy, keys):
     dev = GovernedSession.open(spark, "developer", book, policy, files, keys)
     sql = "SELECT customer_name FROM {summary} WHERE customer_name = :n"

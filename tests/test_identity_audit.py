@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark import AccessDenied
 from veilspark.frames import local_frame
 from veilspark.functions import hash_id
 from veilspark.operators import audit as oa
@@ -144,6 +145,19 @@ def test_recent_is_clamped(asked, n):
     assert oa.clamp_recent(asked) == n
 
 
+def test_one_event(spark, tmp_path):
+    denied = AccessDenied("TABLE_NOT_ALLOWED", "payroll")
+    at = dt.datetime(2024, 1, 1)
+    for event in (
+        oa.audit_event(spark, "c", "developer", "execute_query", "SELECT 5", ["t"], at=at, rows_returned=2),
+        oa.audit_event(spark, "c", "viewer", "plug", "SELECT 'x'", ["payroll"], denied=denied, at=at),
+    ):
+        write_audit(oa.build_audit(event), str(tmp_path / "log"))
+    rows = {r.status: r for r in read_audit(spark, str(tmp_path / "log")).collect()}
+    assert rows["success"].normalized_sql == "SELECT ?" and rows["success"].rows_returned == 2
+    assert rows["denied"].reason == "TABLE_NOT_ALLOWED: payroll" and rows["denied"].tables == ["payroll"]
+
+
 class Session:
     """Stands in for a session: that setting is fixed when a session starts."""
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, functions as F
 
 UNPARSEABLE = "<unparseable>"
 
-# Banned routines per dialect, system schemas, lock hints.
+# Banned routines per dialect, system schemas, lock hints, and the
+# shape of a user variable.
 BANNED_FUNCTIONS = {
     "mysql": (
         "load_file", "sleep", "benchmark",
@@ -35,6 +36,8 @@ LOCK_HINTS = (
     "NOLOCK", "UPDLOCK", "XLOCK", "ROWLOCK", "TABLOCK", "PAGLOCK", "HOLDLOCK", "SERIALIZABLE",
 )
 
+USER_VARIABLE = r"(?<!@)@[a-zA-Z_]"
+
 # Quoted text by dialect: only MySQL has backslash escapes and treats double
 # quotes as strings. Elsewhere a double-quoted word is a name and stays.
 # Possessive loops keep the matcher linear and off the stack on long literals.
@@ -81,7 +84,7 @@ def sql_fingerprint(normalized: Column) -> Column:
 
 
 def has_user_variable(sql: Column) -> Column:
-    return sql.contains("@") & sql.rlike(r"(?<!@)@[a-zA-Z_]")
+    return sql.contains("@") & sql.rlike(USER_VARIABLE)
 
 
 def has_lock(sql: Column, dialect: Column) -> Column:

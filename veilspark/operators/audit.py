@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+from datetime import datetime, timezone
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from veilspark.errors import AccessDenied
+from veilspark.frames import local_frame
 from veilspark.functions.sqltext import sql_fingerprint
 from veilspark.functions.timezones import audit_local_time
 from veilspark.operators.querylog import audit_text
@@ -59,6 +64,35 @@ def build_denied(verdicts: DataFrame, tz_name: Column | str = "Asia/Shanghai") -
     return _record(verdicts.where(failed), F.lit("denied"), reason, tz_name)
 
 
+def audit_event(
+    spark: SparkSession,
+    client: str,
+    role: str,
+    tool: str,
+    sql_text: str,
+    tables: Sequence[str],
+    dialect: str = "mysql",
+    denied: AccessDenied | None = None,
+    masked_columns: Sequence[str] = (),
+    rows_returned: int = 0,
+    duration_ms: int = 0,
+    at: datetime | None = None,
+) -> DataFrame:
+    """One query of a session as input for :func:`build_audit`."""
+    now = at or datetime.now(timezone.utc).replace(tzinfo=None)
+    row = (
+        client, role, tool, now, sql_text, dialect, denied and denied.code, denied and denied.detail,
+        list(tables), list(masked_columns), rows_returned, duration_ms,
+    )
+    return local_frame(
+        spark,
+        [row],
+        "client string, role string, tool string, ts timestamp_ntz, sql_text string, dialect string,"
+        " code string, detail string, tables array<string>, masked_columns array<string>,"
+        " rows_returned long, duration_ms long",
+    )
+
+
 def clamp_recent(limit: int = DEFAULT_RECENT) -> int:
     return min(max(1, limit), MAX_RECENT)
 

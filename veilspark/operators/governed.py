@@ -7,7 +7,7 @@ and holds ordinary DataFrame operators.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -356,11 +356,13 @@ class GovernedSession:
         df = governed_table(self.spark, name, self.role, self.catalog)
         return require_filter(df, name, where, self.book)
 
-    def query(self, build, name: str, where: Sequence[Condition] = (), limit: object = None):
-        """Ad hoc query: only roles that may run free-form queries."""
+    def query(
+        self, build: Callable[[GovernedSession], DataFrame], limit: object = None
+    ) -> DataFrame:
+        """Ad hoc query built from this session; needs a role that may run them."""
         if not self.role.allow_generic_query:
             raise AccessDenied("ROLE_DENIED", "generic queries are not allowed")
-        return self.finish(build(self.table(name, where)), limit)
+        return self.finish(build(self), limit)
 
     def plugin_query(
         self,
@@ -370,13 +372,18 @@ class GovernedSession:
         safe: Sequence[str] = (),
         tool: str = "plugin",
         require_role: str | None = None,
+        where: Mapping[str, Sequence[Condition]] | None = None,
     ) -> DataFrame:
-        """Fixed SQL over checked tables, named ``{table}`` in the text."""
+        """Fixed SQL over checked tables, named ``{table}`` in the text.
+
+        Large tables need their time filter in ``where``, applied before the
+        SQL sees them. ``safe`` names the outputs that are pure aggregates.
+        """
         if require_role:
             needed = ROLE_RANK.get(require_role, 0)
             if ROLE_RANK.get(self.role.name, 0) < needed:
                 raise AccessDenied("ROLE_DENIED", f"{tool} needs {require_role} or higher")
-        frames = {t: governed_table(self.spark, t, self.role, self.catalog) for t in tables}
+        frames = {t: self.table(t, (where or {}).get(t, ())) for t in tables}
         result = param_query(self.spark, sql, args, **frames)
         return self.finish(result, safe=safe)
 

@@ -20,7 +20,7 @@ from veilspark.operators.tags import (
     reject_duplicates,
     source_of,
 )
-from veilspark.policy import ColumnRule, MaskingPolicy, strictness
+from veilspark.policy import SENSITIVE_ACTIONS, ColumnRule, MaskingPolicy, strictness
 
 
 @dataclass(frozen=True)
@@ -293,8 +293,6 @@ def column_masking_info(
 
 def sensitive_columns(rules: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Distinct lower-cased columns with a sensitive action in rules or overrides."""
-    from veilspark.policy import SENSITIVE_ACTIONS
-
     listed = sorted(SENSITIVE_ACTIONS)
     found = rules.where(F.col("action").isin(listed)).select(F.lower("column_name").alias("column_name"))
     if overrides is not None:

@@ -485,7 +485,8 @@ def summary_report_period(spark, sf):
 @plan(
     "plugin_query",
     f"""SELECT {_CUST} AS c_name, round(sum(o_totalprice), 2) AS total_amount
-        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000
+        FROM orders JOIN customer ON o_custkey = c_custkey
+        WHERE o_totalprice > 250000 AND o_orderdate >= TIMESTAMP '1996-01-01'
         GROUP BY c_name ORDER BY total_amount DESC, c_name LIMIT 5000""",
 )
 def plugin_query(spark, sf):
@@ -499,6 +500,7 @@ def plugin_query(spark, sf):
         safe=["total_amount"],
         tool="big_spenders",
         require_role="developer",
+        where={"orders": [("o_orderdate", ">=", F.lit("1996-01-01").cast("timestamp_ntz"))]},
     )
 
 
