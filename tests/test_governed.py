@@ -103,6 +103,12 @@ def test_no_aggregate_reads_a_sensitive_column(summary, policy, measure):
     assert code_of(run) == "FUNCTION_DENIED"
 
 
+def test_divisors_are_checked_too(summary, policy):
+    quotient = Measure.sum("amount").over(Measure.count("customer_name"))
+    run = lambda: g.governed_group(summary, ["n_year"], {"x": quotient}, policy)
+    assert code_of(run) == "FUNCTION_DENIED"
+
+
 def test_sensitive_group_key(summary, policy, keys):
     grouped = g.governed_group(summary, ["customer_name"], {"t": Measure.sum("amount")}, policy)
     assert code_of(lambda: g.governed_having(grouped, F.col("customer_name") > "a", policy)) == "COLUMN_DENIED"

@@ -185,11 +185,13 @@ def test_safe_aggregates_pass_and_others_do_not(summary, policy, keys):
             "times": Measure.count().times(100),
             "spent": Measure.sum("amount").rounded(1),
             "mean": Measure.avg("amount"),
+            "same": Measure.sum("amount").over(Measure.count()),
+            "odd": Measure.sum("amount").over(Measure.max("amount")),
             "who": Measure.max("phone"),
         },
     )
     rows = {r.customer_name: tuple(r)[1:] for r in apply_masking(df, policy, keys).collect()}
-    assert rows["CUST_V1_BADD2192DEA40301"] == (3, 200, 11.0, 5.5, None)
+    assert rows["CUST_V1_BADD2192DEA40301"] == (3, 200, 11.0, 5.5, 5.5, None, None)
 
 
 def test_masked_fields(people, policy, spark):

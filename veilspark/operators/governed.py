@@ -160,9 +160,9 @@ def governed_group(
     """Group on raw key values; no aggregate may read a sensitive column."""
     hidden = sensitive_outputs(df, policy.sensitive_columns)
     for m in measures.values():
-        if m.column is not None and m.column.lower() in hidden:
+        for column in sorted(c for c in m.columns if c.lower() in hidden):
             raise AccessDenied(
-                "FUNCTION_DENIED", f"function {m.func.upper()} on sensitive column {m.column}"
+                "FUNCTION_DENIED", f"function {m.func.upper()} on sensitive column {column}"
             )
     return safe_agg(df, keys, measures)
 
@@ -182,7 +182,7 @@ def governed_regroup(
     """
     parts: dict[str, Measure] = {}
     for name, m in measures.items():
-        if m.func not in ("count", "sum", "avg") or m.distinct:
+        if m.func not in ("count", "sum", "avg") or m.distinct or m.divisor:
             raise ValueError("regrouping merges count, sum and avg only")
         if m.func in ("sum", "avg"):
             parts[f"{name}__sum"] = Measure.sum(m.column)

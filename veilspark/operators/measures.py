@@ -25,6 +25,7 @@ class Measure:
     factor: float | int | None = None
     offset: float | int | None = None
     distinct: bool = False
+    divisor: Measure | None = None
 
     @classmethod
     def count(cls, column: str | None = None, distinct: bool = False) -> Measure:
@@ -55,9 +56,18 @@ class Measure:
     def plus(self, offset: float | int) -> Measure:
         return replace(self, offset=offset)
 
+    def over(self, divisor: Measure) -> Measure:
+        """A quotient of two aggregates, as a mean of sums that were pre-aggregated."""
+        return replace(self, divisor=divisor)
+
     @property
     def safe(self) -> bool:
-        return self.func in SAFE_FUNCTIONS
+        return self.func in SAFE_FUNCTIONS and (self.divisor is None or self.divisor.safe)
+
+    @property
+    def columns(self) -> set[str]:
+        own = {self.column} if self.column is not None else set()
+        return own | (self.divisor.columns if self.divisor else set())
 
     def wrap(self, value: Column) -> Column:
         if self.factor is not None:
@@ -68,11 +78,14 @@ class Measure:
 
     def aggregate(self) -> Column:
         if self.func == "count" and self.column is None:
-            return F.count(F.lit(1))
-        c = col(self.column)
-        if self.func == "count":
-            return F.count_distinct(c) if self.distinct else F.count(c)
-        return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[self.func](c)
+            value = F.count(F.lit(1))
+        elif self.func == "count":
+            c = col(self.column)
+            value = F.count_distinct(c) if self.distinct else F.count(c)
+        else:
+            build = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[self.func]
+            value = build(col(self.column))
+        return value / self.divisor.aggregate() if self.divisor else value
 
     def column_expr(self, name: str) -> Column:
         value = self.wrap(self.aggregate())

@@ -212,16 +212,13 @@ def governed_filter_ranges(spark, sf):
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name, c_mktsegment""",
 )
 def governed_group(spark, sf):
-    joined = source(spark, sf, "orders").join(
-        source(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
-    )
     grouped = g.governed_group(
-        joined,
+        spending(spark, sf),
         ["c_name", "c_mktsegment"],
         {
-            "n": Measure.count(),
-            "spent": Measure.sum("o_totalprice").rounded(2),
-            "mean": Measure.avg("o_totalprice").rounded(6),
+            "n": Measure.sum("n"),
+            "spent": Measure.sum("spent").rounded(2),
+            "mean": Measure.sum("spent").over(Measure.sum("n")).rounded(6),
         },
         POLICY,
     )

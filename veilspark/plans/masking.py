@@ -285,15 +285,23 @@ def alias_lineage_report(spark, sf):
 def safe_aggregate(spark, sf):
     c = tag_source(table(spark, sf, "customer"), "customer")
     o = tag_source(table(spark, sf, "orders"), "orders")
-    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    per_key = safe_agg(
+        o,
+        ["o_custkey"],
+        {
+            "n": Measure.count(),
+            "paid": Measure.sum("o_totalprice"),
+            "status": Measure.max("o_orderstatus"),
+        },
+    )
     totals = safe_agg(
-        joined,
+        per_key.join(c, F.col("o_custkey") == F.col("c_custkey")),
         ["c_name"],
         {
-            "spent": Measure.sum("o_totalprice").rounded(2),
-            "n_plus": Measure.count().plus(1),
-            "mean": Measure.avg("o_totalprice").rounded(6),
-            "last_status": Measure.max("o_orderstatus"),
+            "spent": Measure.sum("paid").rounded(2),
+            "n_plus": Measure.sum("n").plus(1),
+            "mean": Measure.sum("paid").over(Measure.sum("n")).rounded(6),
+            "last_status": Measure.max("status"),
         },
     )
     return om.apply_masking(totals, POLICY, keys(spark))
