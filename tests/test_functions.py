@@ -89,6 +89,12 @@ def test_normalising_agrees_with_python_for_every_character(spark, engine):
     assert wrong == []
 
 
+def test_normalising_blanks(spark):
+    values = ["a b", " a", "a ", "a  b", " ", "", "a b c d", "a\tb", "  a  b  ", "\x00a", "a\x7f", "a b\n", None]
+    got = apply(spark, values, normalize_text(F.col("s")))
+    assert got == [None if v is None else python_normal(v) for v in values]
+
+
 def test_blank_means_the_same_as_in_python(spark, keys):
     chars = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c <= 0xDFFF]
     values = [c + c for c in chars if unicodedata.category(c) != "Cn"]

@@ -29,7 +29,8 @@ _DIGIT_RUN = r"(?U)\d{11}"
 # Whitespace as the tokeniser counts it: Unicode White_Space plus U+001C..1F.
 _SPACES = r"(?U)[\s\x1c-\x1f]+"
 _NON_SPACE = r"(?U)[^\s\x1c-\x1f]"
-_NEEDS_NORMALISING = r"[^\x21-\x7e]"
+# Anything but printable ASCII with single blanks inside.
+_NEEDS_NORMALISING = r"[^\x20-\x7e]|^ | (?: |\z)"
 
 
 def passthrough(c: Column) -> Column:
@@ -68,7 +69,7 @@ def nfkc(c: Column, engine: str = "jvm") -> Column:
 def normalize_text(c: Column, engine: str = "jvm") -> Column:
     """NFKC, strip, then squeeze whitespace runs to one space.
 
-    Text of printable ASCII without blanks is already normal and skips it all.
+    Printable ASCII with single blanks inside is normal already and skips it.
     """
     if engine == "python":
         # A UDF is evaluated for every row; hand it only what it must change.
