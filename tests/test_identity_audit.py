@@ -131,7 +131,12 @@ def test_log_file_round_trip(spark, judged, tmp_path):
     (tmp_path / "audit" / "extra.json").write_text(
         '\n\n{"broken": \nnot json\n{"ts": "2025-01-01T00:00:00+08:00", "client": "张"}\n', encoding="utf-8"
     )
+    (tmp_path / "audit" / "odd.json").write_text('{"ts": "2023", "client": "odd", "rows_returned": "many"}\n')
     back = read_audit(spark, path)
+    odd = back.where("client = 'odd'").first()
+    assert odd.ts == "2023" and odd.rows_returned is None
+    assert back.select("client").count() == back.count() == 5
+    back = back.where("client != 'odd'")
     assert back.columns == list(AUDIT_FIELDS)
     assert back.count() == 4
     newest = oa.recent_audit(back, 2).collect()

@@ -35,10 +35,6 @@ def lineage_of(df: DataFrame) -> dict[str, str]:
     return {f.name: f.metadata[SRC] for f in df.schema.fields if SRC in f.metadata}
 
 
-def safe_outputs(df: DataFrame) -> set[str]:
-    return {f.name for f in df.schema.fields if f.metadata.get(SAFE)}
-
-
 def is_tagged(schema: T.StructType) -> bool:
     return any(SRC in f.metadata or SAFE in f.metadata for f in schema.fields)
 
@@ -48,7 +44,7 @@ def source_of(field: T.StructField) -> tuple[str | None, str]:
     src = field.metadata.get(SRC)
     if src is None:
         return None, field.name.lower()
-    table, _, column = src.rpartition(".")
+    table, _, column = src.partition(".")
     return table, column
 
 

@@ -26,7 +26,7 @@ _TAMPERED = {
 def _clean_report(name: str, action: str) -> str:
     return (
         f"SELECT '{name}' AS column_name, '{action}' AS expected, count(*) AS total, count(*) AS passed, "
-        f"0 AS failed, 1.0::DOUBLE AS pass_rate FROM customer"
+        f"0::BIGINT AS failed, 1.0::DOUBLE AS pass_rate FROM customer"
     )
 
 
@@ -77,7 +77,7 @@ def verify_masking(spark, sf):
 
 @plan(
     "token_consistency",
-    """SELECT 'value_has_many_tokens' AS violation, c_name AS item, 2 AS n
+    """SELECT 'value_has_many_tokens' AS violation, c_name AS item, 2::BIGINT AS n
        FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_name
        HAVING bool_or(o_orderkey % 17 = 0) AND NOT bool_and(o_orderkey % 17 = 0)""",
 )
@@ -95,7 +95,7 @@ def token_consistency(spark, sf):
 
 @plan(
     "token_consistency_clean",
-    "SELECT 'x' AS violation, c_name AS item, 1 AS n FROM customer WHERE FALSE",
+    "SELECT 'x' AS violation, c_name AS item, 1::BIGINT AS n FROM customer WHERE FALSE",
 )
 def token_consistency_clean(spark, sf):
     named = table(spark, sf, "customer").select(F.col("c_name").alias("customer_name"))
@@ -124,7 +124,7 @@ def residual_leaks(spark, sf):
 @plan(
     "residual_leaks_masked",
     " UNION ALL ".join(
-        f"SELECT 'status' AS column_name, '{k}' AS kind, 0 AS cells FROM (SELECT count(*) FROM customer)"
+        f"SELECT 'status' AS column_name, '{k}' AS kind, 0::BIGINT AS cells FROM (SELECT count(*) FROM customer)"
         for k in ("id_card", "bank_card", "phone")
     ),
 )
@@ -181,7 +181,7 @@ def random_tables(spark, sf):
     "random_tables_verified",
     " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{POLICY.decide(c).action}' AS expected, count(*) AS total, "
-        "count(*) AS passed, 0 AS failed, 1.0::DOUBLE AS pass_rate FROM events"
+        "count(*) AS passed, 0::BIGINT AS failed, 1.0::DOUBLE AS pass_rate FROM events"
         for c in SAMPLES
     ),
 )

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 AUDIT_SCHEMA = (
     "ts string, client string, role string, tool string, normalized_sql string,"
@@ -16,9 +19,28 @@ AUDIT_SCHEMA = (
 AUDIT_FIELDS = tuple(part.split()[0] for part in AUDIT_SCHEMA.split(", ") if part)
 
 
+_BROKEN = "_broken_line"
+
+
+def audit_lines(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """Parse JSON lines with a batch or stream reader, without the broken ones.
+
+    Dropping malformed lines is left to a filter over all fields: the reader's
+    own mode judges only the columns a query happens to ask for, and would
+    drop a whole record for one field of another type.
+    """
+    parsed = (
+        reader.schema(f"{AUDIT_SCHEMA}, {_BROKEN} string")
+        .option("columnNameOfCorruptRecord", _BROKEN)
+        .json(path)
+    )
+    some_field = reduce(or_, [F.col(c).isNotNull() for c in AUDIT_FIELDS])
+    return parsed.where(F.col(_BROKEN).isNull() | some_field).drop(_BROKEN)
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Read JSON lines; blank and broken lines are skipped."""
-    return spark.read.schema(AUDIT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return audit_lines(spark.read, path)
 
 
 def audit_layout(df: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -84,7 +83,3 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.posexplode("doc.tokens").alias("pos", "entry")).select(
         "pos", *[F.col(f"entry.{f}").alias(f) for f in TOKEN_FIELDS]
     )
-
-
-def registry_document(entries: list[Mapping]) -> str:
-    return json.dumps({"tokens": list(entries)}, ensure_ascii=False)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from veilspark.functions.keys import TokenKeys
 from veilspark.operators.masking import apply_masking
 from veilspark.policy import MaskingPolicy
-from veilspark.sources.audit_log import AUDIT_SCHEMA
+from veilspark.sources.audit_log import audit_lines
 
 
 def mask_stream(
@@ -43,6 +43,4 @@ def write_masked(
 
 def stream_audit(spark: SparkSession, path: str) -> DataFrame:
     """Audit records as they are appended; broken lines are skipped."""
-    return (
-        spark.readStream.schema(AUDIT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    )
+    return audit_lines(spark.readStream, path)
