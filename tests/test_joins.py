@@ -10,34 +10,42 @@ def no_broadcast(monkeypatch):
 
 
 def frames(spark):
-    hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 400))
-    left = spark.range(3000).select(hot.alias("k"), F.col("id").alias("l"))
-    left = left.unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS k, -1L AS l"))
-    right = spark.range(500).select(
-        F.when(F.col("id") < 100, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"),
-        F.col("id").alias("r"),
+    """Keys crowded on the left only, on the right only, on both, and neither."""
+    n = F.col("id")
+    left_key = (
+        F.when(n % 3 == 0, "left").when(n % 97 == 1, "right").when(n % 11 == 0, "both")
+        .otherwise(F.concat(F.lit("k"), n % 400))
+    )
+    right_key = (
+        F.when(n < 100, "right").when(n < 130, "both").when(n == 130, "left")
+        .otherwise(F.concat(F.lit("k"), n))
     )
-    return left, right
+    left = spark.range(3000).select(left_key.alias("k"), n.alias("l"))
+    left = left.unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS k, -1L AS l"))
+    return left, spark.range(500).select(right_key.alias("k"), n.alias("r"))
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_plain_join(spark, no_broadcast, how):
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.9])
+def test_salted_join_equals_plain_join(spark, no_broadcast, how, share):
     left, right = frames(spark)
     want = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
-    got = sorted(map(tuple, joins.balanced_join(left, right, "k", how).collect()), key=str)
+    got = sorted(map(tuple, joins.balanced_join(left, right, "k", how, share).collect()), key=str)
     assert got == want
 
 
 def test_hot_keys_are_found(spark):
     left, _ = frames(spark)
-    assert joins.heavy_values(left, "k", share=0.1) == ["hot"]
+    assert joins.heavy_values(left, "k", share=0.1) == ["left"]
     assert joins.heavy_values(left.limit(0), "k") == []
 
 
 def test_salting_spreads_the_hot_key(spark, no_broadcast):
     left, right = frames(spark)
-    plan = joins.balanced_join(left, right, "k")._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
+    joined = joins.balanced_join(left.where("k = 'left'"), right, "k", share=0.5)
+    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
+    buckets = joins._salted(left.where("k = 'left'"), 32).groupBy("_salt").count().collect()
+    assert len(buckets) == 32 and max(r["count"] for r in buckets) < 100
 
 
 def test_size_is_measured(spark):

@@ -36,7 +36,9 @@ def resolve_clients(
     large share of all requests, hence the balanced join.
     """
     hashed = requests.withColumn("token_hash", hash_id(F.col(token))).drop(token)
-    joined = balanced_join(hashed, first_entries(tokens), "token_hash", "left")
+    joined = balanced_join(
+        hashed, first_entries(tokens), "token_hash", "left", unique_right=True
+    )
     expires = F.coalesce("_expires", F.lit(""))
     valid = F.coalesce(
         (F.col("_status") == "active") & ((expires == "") | (expires >= as_of)), F.lit(False)

@@ -60,28 +60,54 @@ def balanced_join(
     how: str = "inner",
     share: float = HEAVY_SHARE,
     salts: int = SALTS,
+    unique_right: bool = False,
 ) -> DataFrame:
     """Equi-join on one column, inner or left, that survives hot keys.
 
     A measured small right side is broadcast. Otherwise rows of hot keys are
-    salted: each left row goes to one of ``salts`` buckets chosen from its own
-    content, and the matching right rows are repeated once per bucket. All
-    other rows join as usual. Nothing is dropped or capped. The bucket depends
-    on the row alone, so a recomputed task sends it to the same place.
+    salted: each row of the crowded side goes to one of ``salts`` buckets
+    chosen from its own content, and its partners are repeated once per
+    bucket. All other rows join as usual; nothing is dropped or capped. The
+    bucket depends on the row alone, so a recomputed task sends it to the same
+    place. ``unique_right`` says that no key repeats on the right, which then
+    needs no counting.
     """
     if how not in ("inner", "left"):
         raise ValueError("balanced_join supports inner and left")
     if is_small(right):
         return left.join(F.broadcast(right), key, how)
-    hot = sorted(set(heavy_values(left, key, share)) | set(heavy_values(right, key, share)))
-    if not hot:
+    crowded_left = heavy_values(left, key, share)
+    right_values = [] if unique_right else heavy_values(right, key, share)
+    crowded_right = [v for v in right_values if v not in set(crowded_left)]
+    if not crowded_left and not crowded_right:
         return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
-    hot_left = left.where(is_hot).withColumn("_salt", bucket.cast("int"))
-    hot_right = right.where(is_hot).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    cold = left.where(~is_hot).join(right.where(~is_hot), key, how)
-    warm = hot_left.join(hot_right, [key, "_salt"], how).drop("_salt")
-    return cold.unionByName(warm)
+
+    def rows(df: DataFrame, values: list) -> DataFrame:
+        return df.where(F.col(key).isin(values))
+
+    def rest(df: DataFrame) -> DataFrame:
+        hot = F.col(key).isin(crowded_left + crowded_right)
+        return df.where(~F.coalesce(hot, F.lit(False)))
+
+    out = rest(left).join(rest(right), key, how)
+    if crowded_left:
+        pair = _salted(rows(left, crowded_left), salts).join(
+            _repeated(rows(right, crowded_left), salts), [key, "_salt"], how
+        )
+        out = out.unionByName(pair.drop("_salt"))
+    if crowded_right:
+        # Every left row of such a key has partners, so left and inner agree.
+        pair = _repeated(rows(left, crowded_right), salts).join(
+            _salted(rows(right, crowded_right), salts), [key, "_salt"]
+        )
+        out = out.unionByName(pair.drop("_salt"))
+    return out
+
+
+def _salted(df: DataFrame, salts: int) -> DataFrame:
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.withColumn("_salt", F.pmod(content, F.lit(salts)).cast("int"))
+
+
+def _repeated(df: DataFrame, salts: int) -> DataFrame:
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -281,7 +281,7 @@ def column_masking_info(
     """
     lookup = rules.select(F.col("column_name").alias("_rule"), F.col("action").alias("_action"))
     named = columns.withColumn("_rule", F.lower(F.col(column)))
-    joined = named.join(bounded_broadcast(lookup), "_rule", "left")
+    joined = balanced_join(named, lookup, "_rule", "left", unique_right=True)
     action = F.coalesce("_action", F.lit(policy.default_action))
     if table is not None:
         for name, entries in policy.overrides.items():
@@ -321,11 +321,11 @@ def resolve_action_rows(
         F.col("column_name").alias("_col"),
         F.col("action").alias("_forced"),
     )
-    joined = (
-        columns.withColumn("_col", F.lower("source_column"))
-        .withColumn("_tab", F.lower("table_name"))
-        .join(bounded_broadcast(rule), "_col", "left")
-        .join(bounded_broadcast(forced), ["_tab", "_col"], "left")
+    named = columns.withColumn("_col", F.lower("source_column")).withColumn(
+        "_tab", F.lower("table_name")
+    )
+    joined = balanced_join(named, rule, "_col", "left", unique_right=True).join(
+        bounded_broadcast(forced), ["_tab", "_col"], "left"
     )
     safe = F.when(F.col("is_safe"), F.lit("passthrough"))
     action = F.coalesce("_forced", "_rule_action", safe, F.lit(policy.default_action))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilspark.frames import local_frame
-from veilspark.operators.joins import bounded_broadcast
+from veilspark.operators.joins import balanced_join, bounded_broadcast
 from veilspark.policy import SourceCatalog
 
 _FOLD_LIMIT = 64  # routes folded into one expression; longer lists are joined
@@ -73,6 +73,7 @@ def _route_by_prefix(tables: DataFrame, catalog: SourceCatalog, column: str) ->
         .groupBy(column)
         .agg(F.min_by("datasource", "ord").alias("datasource"))
     )
-    return tables.join(bounded_broadcast(first), column, "left").withColumn(
+    # One table may be named by a large share of the rows.
+    return balanced_join(tables, first, column, "left", unique_right=True).withColumn(
         "datasource", F.coalesce("datasource", F.lit("default"))
     )
