@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
-from veilspark.functions.keys import SECRET_VARIABLE, TokenKeys
+from veilspark.functions.keys import TokenKeys
 from veilspark.plans.registry import quote
 from veilspark.policy import MaskingPolicy, RoleBook, SourceCatalog
 
-# Published test secret: the registered queries and their SQL must share one.
-# Library code never falls back to it.
+# Published test secret: the registered queries and their SQL must share one,
+# and a real secret must not end up in SQL text. Library code never uses it.
 TEST_SECRET = "test_secret_key_for_unit_tests_only_32bytes!"
 
 POLICY_DOCUMENT = {
@@ -112,12 +110,8 @@ def file_catalog(sf_dir: str) -> SourceCatalog:
     )
 
 
-def secret() -> str:
-    return os.environ.get(SECRET_VARIABLE) or TEST_SECRET
-
-
 def keys(spark: SparkSession) -> TokenKeys:
-    return TokenKeys(spark, secret())
+    return TokenKeys(spark, TEST_SECRET)
 
 
 # --- the same values in SQL ------------------------------------------------
