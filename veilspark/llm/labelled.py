@@ -15,7 +15,7 @@ FOLDS, HELD_OUT = 5, 0
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int = MAX_LABELLED) -> DataFrame:
-    """``text, label`` of up to ``limit`` labelled rows outside the held-out part.
+    """Columns of ``docs`` but its id, and ``label``, of up to ``limit`` labelled rows outside the held-out part.
 
     Rows with a null id or label are passed over; an id that is labelled twice takes the
     larger label. At most ``limit`` ids of eight bytes are broadcast; texts aren't moved.
@@ -24,8 +24,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int =
     known = known.where(~held_out(F.col("doc_id"), FOLDS, HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
-    return texts.join(F.broadcast(drawn), "doc_id").select("text", "label")
+    return docs.join(F.broadcast(drawn), "doc_id").drop("doc_id")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import mixing, simhash, toxicity
+from veilspark.llm import mixing, quality_fm, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": mixing.op1_source_mix,
+        "op3_quality": quality_fm.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op10_simhash": simhash.op10_simhash,
     }

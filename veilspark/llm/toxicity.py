@@ -143,7 +143,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit
     Counting is a Spark job; the counts of the bounded sample come to the driver. Folds
     for the calibration go by the text, so copies are never on both sides.
     """
-    texts = labelled_texts(docs, labels, label, limit)
+    plain = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
+    texts = labelled_texts(plain, labels, label, limit)
     found = gram_counts(texts).toPandas().sort_values("gram", ignore_index=True)
     cells = found[[f"n{c}" for c in range(2 * CROSS)]].to_numpy(dtype=np.float64).T.reshape(2, CROSS, -1)
     if not len(found) or not (cells.sum(axis=(1, 2)) > 0).all():
