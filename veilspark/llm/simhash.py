@@ -6,7 +6,7 @@ thresholds ``t_i >= -1`` with ``sum(t_i + 1) = radius + 1`` they differ in at mo
 ``t_i`` bits of some partition i. Thresholds and the number of partitions come from a
 dynamic programme over estimated candidate counts. Every fingerprint is put under its
 own value of each partition, probes the values within the threshold, and candidates
-that meet are verified on all 64 bits.
+that meet are verified on all 64 bits, and where asked on 64 more from a second seed.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from veilspark.llm.components import components
 BITS = 64
 WIDTH = 4
 RADIUS = 4
-SEED = 42
-#: Fingerprints of a block; larger groups are compared block by block.
-BLOCK = 4096
+SEED, SECOND_SEED = 42, 43
+#: Rows of a block; larger groups are compared block by block.
+BLOCK = 1 << 15
 #: What a probing row costs, in comparisons of two fingerprints.
 ROW_COST = 600
 _SLICE = 1 << 15
@@ -38,7 +38,7 @@ _SLICE = 1 << 15
 # Fingerprints
 
 
-def shingle_hashes(text: str, width: int) -> np.ndarray:
+def shingle_hashes(text: str, width: int, seed: int = SEED) -> np.ndarray:
     """XXH64 of every shingle, repeats included; A-Z are lower-cased, ASCII white space parts words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -48,12 +48,12 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[width - 1 :].tolist() or [len(line)]
     hashed = xxhash.xxh64_intdigest
-    return np.array([hashed(line[s:e], SEED) for s, e in zip(starts.tolist(), last)], dtype="<u8")
+    return np.array([hashed(line[s:e], seed) for s, e in zip(starts.tolist(), last)], dtype="<u8")
 
 
-def simhash(text: str, width: int = WIDTH) -> int:
+def simhash(text: str, width: int = WIDTH, seed: int = SEED) -> int:
     """The fingerprint as a signed 64-bit number: a bit is set if it is in over half the hashes."""
-    hashes = shingle_hashes(text, width)
+    hashes = shingle_hashes(text, width, seed)
     votes = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), _SLICE):
         part = hashes[at : at + _SLICE].view(np.uint8).reshape(-1, 8)
@@ -61,12 +61,12 @@ def simhash(text: str, width: int = WIDTH) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def simhash_column(text: Column, width: int = WIDTH) -> Column:
+def simhash_column(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
     """Fingerprints of a text column in Arrow batches; null is fingerprinted as empty text."""
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(x, width) if x is not None else 0 for x in texts], dtype="int64")
+        return pd.Series([simhash(x if isinstance(x, str) else "", width, seed) for x in texts], dtype="int64")
 
     return fingerprint(text)
 
@@ -162,27 +162,38 @@ def _signed(bits: tuple[int, ...] | list[int]) -> int:
 
 
 def probe_rows(prints: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """``part, key, own, fp``: each fingerprint under its own key and those within the threshold."""
+    """``part, key, own, fp, more``: each fingerprint under its own key and those within the threshold."""
     probes = [
         F.struct(F.lit(i).alias("part"), F.lit(_signed(bits)).alias("mask"), F.lit(_signed(flip)).alias("flip"))
         for i, (bits, t) in enumerate(plan)
         for k in range(t + 1)
         for flip in combinations(bits, k)
     ]
-    rows = prints.select("fp", F.explode(F.array(*probes)).alias("probe"))
+    rows = prints.select("fp", "more", F.explode(F.array(*probes)).alias("probe"))
     return rows.select(
         F.col("probe.part").alias("part"),
         F.expr("(fp & probe.mask) ^ probe.flip").alias("key"),
         F.expr("probe.flip = 0L").alias("own"),
         "fp",
+        "more",
     )
 
 
 # Verification
 
 
-def forest(own: np.ndarray, probes: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join what is within ``radius`` bits: own with own, own with probes.
+def near(a: np.ndarray, b: np.ndarray, radius: int, total: int) -> np.ndarray:
+    """Which fingerprints of ``a`` (rows) and ``b`` (columns) are near; the second words count only towards ``total``."""
+    apart = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    close = apart <= radius
+    if total < 2 * BITS and close.any():
+        i, j = np.nonzero(close)
+        close[i, j] = apart[i, j] + np.bitwise_count(a[i, 1] ^ b[j, 1]) <= total
+    return close
+
+
+def forest(own: np.ndarray, probes: np.ndarray, radius: int, total: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that join what is near: own with own, own with probes. Fingerprints are rows of two words.
 
     All such pairs while they are few; otherwise the links of a breadth-first search,
     which reach the same fingerprints with less than one link for each.
@@ -192,34 +203,38 @@ def forest(own: np.ndarray, probes: np.ndarray, radius: int) -> list[tuple[np.nd
     found, n = [], 0
     for at in range(0, len(own), rows):
         part = own[at : at + rows]
-        i, j = np.nonzero(np.bitwise_count(part[:, None] ^ everything[None, :]) <= radius)
-        keep = part[i] != everything[j]
+        i, j = np.nonzero(near(part, everything, radius, total))
+        keep = part[i, 0] != everything[j, 0]
         i, j = i[keep], j[keep]
         n += len(i)
         if n > 4 * len(everything):
             break
-        found.append((part[i], everything[j]))
+        found.append((part[i, 0], everything[j, 0]))
     else:
         return found
-    left, found = np.unique(everything), []
+    _, once = np.unique(everything[:, 0], return_index=True)
+    left, found = everything[once], []
     while len(left):
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             rows = max(1, (1 << 20) // len(left))
             now, front = front[:rows], front[rows:]
-            near = np.bitwise_count(now[:, None] ^ left[None, :]) <= radius
-            hit = near.any(axis=0)
-            found.append((left[hit], now[near.argmax(axis=0)[hit]]))
+            close = near(now, left, radius, total)
+            hit = close.any(axis=0)
+            found.append((left[hit, 0], now[close.argmax(axis=0)[hit], 0]))
             front, left = np.concatenate([front, left[hit]]), left[~hit]
     return found
 
 
-def _verify(radius: int):
+def _verify(radius: int, total: int):
+    def words(prints: list, more: list) -> np.ndarray:
+        return np.column_stack([np.asarray(prints, dtype="<i8"), np.asarray(more, dtype="<i8")]).view("<u8")
+
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for own, probes in zip(batch["own"], batch["probes"]):
-                found += forest(np.asarray(own, dtype="<i8").view("<u8"), np.asarray(probes, dtype="<i8").view("<u8"), radius)
+            for own, own_more, probes, probes_more in zip(*(batch[c] for c in _LISTS)):
+                found += forest(words(own, own_more), words(probes, probes_more), radius, total)
             if found:
                 a = np.concatenate([x for x, _ in found]).view("<i8")
                 b = np.concatenate([y for _, y in found]).view("<i8")
@@ -228,14 +243,17 @@ def _verify(radius: int):
     return links
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """``a, b``: links whose components are those of all pairs within ``radius`` bits.
+_LISTS = ("own", "own_more", "probes", "probes_more")
+
+
+def near_links(prints: DataFrame, radius: int = RADIUS, total: int = 2 * BITS, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links whose components are those of all pairs within ``radius`` bits, and ``total`` with the second words.
 
-    ``prints`` has each fingerprint once, in ``fp``. A key that more than ``block``
-    fingerprints share is cut into blocks by hash and compared block by block, so no task
-    holds more than two blocks, and no key is left out.
+    ``prints`` has each fingerprint once, in ``fp``, with its second word in ``more``. A key
+    that more than ``block`` rows share is cut into blocks by hash and compared block by
+    block, so no task holds more than two blocks, and no key is left out.
     """
-    plan = plan_partitions(*bit_counts(prints), radius)
+    plan = plan_partitions(*bit_counts(prints.select("fp")), radius)
     rows = probe_rows(prints, plan)
     sizes = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"))
     crowded = sizes.where(F.col("n") > block).select("part", "key", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
@@ -243,42 +261,59 @@ def near_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
     single = F.col("cuts").isNull()
     cut = rows.join(crowded, ["part", "key"], "left")
     cut = cut.withColumn("cut", F.when(single, 0).otherwise(F.pmod(F.xxhash64("fp"), F.coalesce("cuts", F.lit(1)))))
+    own = F.col("own")
     blocks = cut.groupBy("part", "key", "cut").agg(
-        F.collect_list(F.when(F.col("own"), F.col("fp"))).alias("own"),
-        F.collect_list(F.when(~F.col("own"), F.col("fp"))).alias("probes"),
+        F.collect_list(F.when(own, F.struct("fp", "more"))).alias("mine"),
+        F.collect_list(F.when(~own, F.struct("fp", "more"))).alias("others"),
     )
-    inside = blocks.where("size(own) > 0 AND size(own) + size(probes) > 1").select("own", "probes")
-    links = inside.mapInPandas(_verify(radius), "a long, b long")
+
+    def lists(mine: str, others: str) -> list[Column]:
+        pairs = (f"{mine}.fp", f"{mine}.more", f"{others}.fp", f"{others}.more")
+        return [F.expr(x).alias(name) for x, name in zip(pairs, _LISTS)]
+
+    schema = "a long, b long"
+    inside = blocks.where("size(mine) > 0 AND size(mine) + size(others) > 1").select(*lists("mine", "others"))
+    links = inside.mapInPandas(_verify(radius, total), schema)
     if crowded.limit(1).count():
         split = stored(blocks.join(crowded.drop("cuts"), ["part", "key"], "left_semi"), "crowded-blocks")
-        left = split.select("part", "key", "cut", F.col("own").alias("l_own"), F.col("probes").alias("l_probes"))
-        right = split.select("part", "key", F.col("cut").alias("r_cut"), "own", "probes")
+        left = split.select("part", "key", "cut", F.col("mine").alias("l_mine"))
+        right = split.select("part", "key", F.col("cut").alias("r_cut"), "mine", "others")
         across = left.join(right, ["part", "key"]).where("cut <> r_cut")
         # Own against own once for both orders, own against the other block's probes in each order.
-        across = across.select(
-            F.col("l_own").alias("own"), F.expr("IF(cut < r_cut, concat(own, probes), probes)").alias("probes")
-        ).where("size(own) > 0 AND size(probes) > 0")
-        links = links.unionByName(across.mapInPandas(_verify(radius), "a long, b long"))
+        across = across.select("l_mine", F.expr("IF(cut < r_cut, concat(mine, others), others)").alias("r_all"))
+        across = across.where("size(l_mine) > 0 AND size(r_all) > 0").select(*lists("l_mine", "r_all"))
+        links = links.unionByName(across.mapInPandas(_verify(radius, total), schema))
     return links.distinct()
 
 
-def near_duplicates(docs: DataFrame, *, width: int = WIDTH, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row of ``docs`` (``doc_id, text``).
+def near_duplicates(
+    docs: DataFrame, *, width: int = WIDTH, radius: int = RADIUS, total: int | None = None, block: int = BLOCK
+) -> DataFrame:
+    """``doc_id, text_hash, fp, root, component_id`` for each row of ``docs`` (``doc_id, text``).
 
-    Fingerprints link at ``radius`` or fewer differing bits; the component is named after
-    the smallest id reachable, null ids are passed over, a component of null ids alone
-    has the name null. Null and empty texts have fingerprint zero and link like any
-    other. Repeated rows stay, other columns are not carried. Copies are reduced to one
-    fingerprint before any comparison.
+    Fingerprints link at ``radius`` or fewer differing bits; with ``total`` a second
+    fingerprint is made, and both together may differ in so many. ``root`` names the
+    component by a fingerprint, ``component_id`` by the smallest id reachable; null ids
+    are passed over, a component of null ids alone has the name null. Null and empty texts
+    have fingerprint zero and link like any other. Repeated rows stay, other columns are
+    not carried. Copies are reduced to one fingerprint before any comparison.
     """
-    marked = stored(docs.select("doc_id", simhash_column(docs["text"], width).alias("fp")), "fingerprints")
-    prints = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "distinct-fingerprints")
-    rooted = stored(components(near_links(prints.select("fp"), radius, block)).withColumnRenamed("node", "fp"), "roots")
+    text = F.coalesce(docs["text"], F.lit(""))
+    more = F.lit(0).cast("long") if total is None else simhash_column(text, width, SECOND_SEED)
+    marked = docs.select(
+        "doc_id", F.xxhash64(text).alias("text_hash"), simhash_column(text, width).alias("fp"), more.alias("more")
+    )
+    marked = stored(marked, "fingerprints")
+    prints = marked.groupBy("fp").agg(F.min("more").alias("more"), F.min("doc_id").alias("least_doc"), F.count(F.lit(1)).alias("n"))
+    prints = stored(prints, "distinct-fingerprints")
+    links = near_links(prints.select("fp", "more"), radius, 2 * BITS if total is None else total, block)
+    rooted = stored(components(links).withColumnRenamed("node", "fp"), "roots")
     names = rooted.join(prints, "fp").groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    joined = prints.join(named, "fp", "left")
-    whole = joined.select("fp", F.coalesce("component_id", "least_doc").alias("component_id"))
-    return marked.join(whole, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(names, "root")
+    whole = prints.join(named, "fp", "left").select(
+        "fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_doc").alias("component_id")
+    )
+    return marked.join(whole.drop("n"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
