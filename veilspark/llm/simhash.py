@@ -51,9 +51,13 @@ def shingle_hashes(text: str, width: int, seed: int = SEED) -> np.ndarray:
     return np.array([hashed(line[s:e], seed) for s, e in zip(starts.tolist(), last)], dtype="<u8")
 
 
-def simhash(text: str, width: int = WIDTH, seed: int = SEED) -> int:
-    """The fingerprint as a signed 64-bit number: a bit is set if it is in over half the hashes."""
+def simhash(text: str, width: int = WIDTH, seed: int = SEED, repeats: bool = True) -> int:
+    """The fingerprint as a signed 64-bit number: a bit is set if it is in over half the hashes.
+
+    Repeated shingles count as often as they stand there, or once without ``repeats``.
+    """
     hashes = shingle_hashes(text, width, seed)
+    hashes = hashes if repeats else np.unique(hashes)
     votes = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), _SLICE):
         part = hashes[at : at + _SLICE].view(np.uint8).reshape(-1, 8)
@@ -61,12 +65,12 @@ def simhash(text: str, width: int = WIDTH, seed: int = SEED) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def simhash_column(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
+def simhash_column(text: Column, width: int = WIDTH, seed: int = SEED, repeats: bool = True) -> Column:
     """Fingerprints of a text column in Arrow batches; null is fingerprinted as empty text."""
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(x if isinstance(x, str) else "", width, seed) for x in texts], dtype="int64")
+        return pd.Series([simhash(x if isinstance(x, str) else "", width, seed, repeats) for x in texts], dtype="int64")
 
     return fingerprint(text)
 
@@ -287,7 +291,13 @@ def near_links(prints: DataFrame, radius: int = RADIUS, total: int = 2 * BITS, b
 
 
 def near_duplicates(
-    docs: DataFrame, *, width: int = WIDTH, radius: int = RADIUS, total: int | None = None, block: int = BLOCK
+    docs: DataFrame,
+    *,
+    width: int = WIDTH,
+    radius: int = RADIUS,
+    total: int | None = None,
+    repeats: bool = True,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``doc_id, text_hash, fp, root, component_id`` for each row of ``docs`` (``doc_id, text``).
 
@@ -299,9 +309,9 @@ def near_duplicates(
     not carried. Copies are reduced to one fingerprint before any comparison.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    more = F.lit(0).cast("long") if total is None else simhash_column(text, width, SECOND_SEED)
+    more = F.lit(0).cast("long") if total is None else simhash_column(text, width, SECOND_SEED, repeats)
     marked = docs.select(
-        "doc_id", F.xxhash64(text).alias("text_hash"), simhash_column(text, width).alias("fp"), more.alias("more")
+        "doc_id", F.xxhash64(text).alias("text_hash"), simhash_column(text, width, SEED, repeats).alias("fp"), more.alias("more")
     )
     marked = stored(marked, "fingerprints")
     prints = marked.groupBy("fp").agg(F.min("more").alias("more"), F.min("doc_id").alias("least_doc"), F.count(F.lit(1)).alias("n"))
