@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, licenses, mixing, quality_fm, simhash, toxicity
+from veilspark.llm import decontaminate, licenses, mixing, order_minhash, quality_fm, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_source_mix": mixing.op1_source_mix,
         "op3_quality": quality_fm.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op6_order_minhash": order_minhash.op6_order_minhash,
         "op8_licenses": licenses.op8_licenses,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_simhash": simhash.op10_simhash,
