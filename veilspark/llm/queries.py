@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, licenses, mixing, order_minhash, quality_fm, simhash, toxicity
+from veilspark.llm import decontaminate, licenses, mixing, order_minhash, quality_fm, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality_fm.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_order_minhash": order_minhash.op6_order_minhash,
+        "op7_warc": warc.op7_warc,
         "op8_licenses": licenses.op8_licenses,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_simhash": simhash.op10_simhash,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": mixing.OP1_SQL}
+    return {"op1_source_mix": mixing.OP1_SQL, "op7_warc": warc.OP7_SQL}
