@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, licenses, mixing, order_minhash, quality_fm, simhash, toxicity, warc
+from veilspark.llm import bloom_lm, decontaminate, licenses, mixing, order_minhash, quality_fm, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_source_mix": mixing.op1_source_mix,
         "op3_quality": quality_fm.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_bloom_lm": bloom_lm.op5_bloom_lm,
         "op6_order_minhash": order_minhash.op6_order_minhash,
         "op7_warc": warc.op7_warc,
         "op8_licenses": licenses.op8_licenses,
