@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bloom_lm, decontaminate, licenses, mixing, order_minhash, quality_fm, simhash, toxicity, warc
+from veilspark.llm import bloom_lm, decontaminate, licenses, mixing, order_minhash, quality_fm, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": mixing.op1_source_mix,
+        "op2_token_counts": token_counts.op2_token_counts,
         "op3_quality": quality_fm.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_bloom_lm": bloom_lm.op5_bloom_lm,
@@ -24,4 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": mixing.OP1_SQL, "op7_warc": warc.OP7_SQL}
+    return {
+        "op1_source_mix": mixing.OP1_SQL,
+        "op2_token_counts": token_counts.OP2_SQL,
+        "op7_warc": warc.OP7_SQL,
+    }
