@@ -290,6 +290,11 @@ def near_links(prints: DataFrame, radius: int = RADIUS, total: int = 2 * BITS, b
     return links.distinct()
 
 
+#: Copies of one fingerprint from which it is joined by broadcast: at least this many, and a 10,000th of all rows.
+CROWD = 500
+CROWD_SHARE = 1e-4
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -323,7 +328,13 @@ def near_duplicates(
     whole = prints.join(named, "fp", "left").select(
         "fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_doc").alias("component_id")
     )
-    return marked.join(whole.drop("n"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    # Fingerprints with very many copies, 10,000 at most, are broadcast; the others are joined by key.
+    whole = stored(whole, "components")
+    crowd = max(CROWD, int(CROWD_SHARE * (whole.agg(F.sum("n")).first()[0] or 0)))
+    crowds = whole.where(F.col("n") >= crowd).drop("n")
+    rest = marked.join(F.broadcast(crowds.select("fp")), "fp", "left_anti").join(whole.where(F.col("n") < crowd).drop("n"), "fp")
+    everyone = marked.join(F.broadcast(crowds), "fp").unionByName(rest)
+    return everyone.select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
