@@ -1,51 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark.functions.masking import hash_id
 from veilspark.operators import joins
-
-
-@pytest.fixture
-def no_broadcast(monkeypatch):
-    monkeypatch.setattr(joins, "is_small", lambda *a, **k: False)
-
-
-def frames(spark):
-    """Keys crowded on the left only, on the right only, on both, and neither."""
-    n = F.col("id")
-    left_key = (
-        F.when(n % 3 == 0, "left").when(n % 97 == 1, "right").when(n % 11 == 0, "both")
-        .otherwise(F.concat(F.lit("k"), n % 400))
-    )
-    right_key = (
-        F.when(n < 100, "right").when(n < 130, "both").when(n == 130, "left")
-        .otherwise(F.concat(F.lit("k"), n))
-    )
-    left = spark.range(3000).select(left_key.alias("k"), n.alias("l"))
-    left = left.unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS k, -1L AS l"))
-    return left, spark.range(500).select(right_key.alias("k"), n.alias("r"))
-
-
-@pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("share", [0.01, 0.05, 0.9])
-def test_salted_join_equals_plain_join(spark, no_broadcast, how, share):
-    left, right = frames(spark)
-    want = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
-    got = sorted(map(tuple, joins.balanced_join(left, right, "k", how, share).collect()), key=str)
-    assert got == want
-
-
-def test_hot_keys_are_found(spark):
-    left, _ = frames(spark)
-    assert joins.heavy_values(left, "k", share=0.1) == ["left"]
-    assert joins.heavy_values(left.limit(0), "k") == []
-
-
-def test_salting_spreads_the_hot_key(spark, no_broadcast):
-    left, right = frames(spark)
-    joined = joins.balanced_join(left.where("k = 'left'"), right, "k", share=0.5)
-    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
-    buckets = joins._salted(left.where("k = 'left'"), 32).groupBy("_salt").count().collect()
-    assert len(buckets) == 32 and max(r["count"] for r in buckets) < 100
+from veilspark.operators.identity import resolve_clients
+from veilspark.operators.masking import token_join
 
 
 def test_size_is_measured(spark):
@@ -55,6 +14,36 @@ def test_size_is_measured(spark):
     assert not joins.is_small(wide, max_bytes=5000)
 
 
-def test_other_join_kinds_are_refused(spark):
-    with pytest.raises(ValueError):
-        joins.balanced_join(spark.range(1), spark.range(1), "id", "full")
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_equal_hot_rows_join_whole(spark, how):
+    """A third of all rows are the same row, on both sides of a small one."""
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("t"))
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3)], "t string, r int")
+    got = token_join(left, right, "t", how)
+    assert got.where("t = 'hot'").count() == 2000
+    assert got.count() == (2001 if how == "inner" else 2000 + 2000)
+
+
+def test_joins_start_no_job_while_planned(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "planning")
+    left = spark.range(10).selectExpr("CAST(id AS STRING) AS t", "map(1, id) AS m")
+    plan = token_join(left, spark.range(5).selectExpr("CAST(id AS STRING) AS t"), "t")
+    assert not tracker.getJobIdsForGroup("plan-only")
+    spark.sparkContext.setJobGroup("", "")
+    assert plan.count() == 5  # a map column is no obstacle
+
+
+def test_clients_are_resolved_on_a_stream(spark, tmp_path):
+    requests = spark.createDataFrame([("tok",), ("none",)], "token string")
+    requests.write.parquet(str(tmp_path / "in"))
+    tokens = spark.createDataFrame(
+        [(0, "", "c1", "viewer", "active", "")],
+        "pos int, token_hash string, client_name string, role string, status string, expires_at string",
+    )
+    tokens = tokens.withColumn("token_hash", hash_id(F.lit("tok")))
+    stream = spark.readStream.schema("token string").parquet(str(tmp_path / "in"))
+    query = resolve_clients(stream, tokens, "2026-01-01").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+    query.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.authenticated, r.client) for r in rows} == {(False, None), (True, "c1")}

@@ -9,7 +9,7 @@ from veilspark import AccessDenied, MaskingPolicy, RoleBook, SourceCatalog
 from veilspark.frames import local_frame
 from veilspark.operators.catalog import describe_columns, list_datasets
 from veilspark.operators.masking import column_masking_info, sensitive_columns
-from veilspark.operators.routing import _route_by_prefix, route_tables
+from veilspark.operators.routing import route_tables
 from veilspark.policy import DataSource, read_document, resolve_env
 from veilspark.sources import (
     column_catalog,
@@ -113,20 +113,40 @@ def test_routing(spark):
     catalog = SourceCatalog.from_document(ROUTES)
     assert {n: catalog.source_of(n) for n in NAMES} == NAMES
     df = local_frame(spark, [(n,) for n in NAMES], "table_name string")
-    for routed in (route_tables(df, catalog), _route_by_prefix(df, catalog, "table_name")):
-        assert {r.table_name: r.datasource for r in routed.collect()} == NAMES
+    assert {r.table_name: r.datasource for r in route_tables(df, catalog).collect()} == NAMES
     got = {r.table_name: r.database for r in route_tables(df, catalog).collect()}
     assert got["ods_y"] == "testdb" and got["z"] == "shop" and got["orders"] == ""
 
 
-def test_long_route_lists_are_joined(spark):
+def test_long_route_lists_are_one_projection(spark):
     routes = [{"pattern": f"t{i}_*", "datasource": f"d{i}"} for i in range(100)] + [{"pattern": "*", "datasource": "rest"}]
     catalog = SourceCatalog.from_document({"table_routing": routes})
     names = [f"T{i}_x" for i in range(0, 100, 9)] + ["other", "t1"]
     routed = route_tables(local_frame(spark, [(n,) for n in names], "table_name string"), catalog)
     assert {r.table_name: r.datasource for r in routed.collect()} == {n: catalog.source_of(n) for n in names}
     plan = routed._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("n", [10, 80])
+def test_routes_work_on_a_stream(spark, tmp_path, n):
+    routes = [{"pattern": f"t{i}_*", "datasource": f"d{i}"} for i in range(n)]
+    catalog = SourceCatalog.from_document({"table_routing": routes})
+    spark.createDataFrame([("T3_a",), ("x",)], "table_name string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("table_name string").parquet(str(tmp_path / "in"))
+    query = route_tables(stream, catalog).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+    query.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {r.table_name: r.datasource for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"T3_a": "d3", "x": "default"}
+
+
+def test_a_folder_of_policies_is_refused(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    for name in "ab":
+        (tmp_path / "p" / f"{name}.json").write_text("{}")
+    with pytest.raises(ValueError):
+        read_document(spark, str(tmp_path / "p"))
+    assert read_document(spark, str(tmp_path / "p" / "a.json")) == {}
 
 
 def test_dialects():
@@ -147,7 +167,7 @@ def test_sqlserver_options():
     source = DataSource(
         "s", "mssql", "db",
         {"user": "u", "password": "p", "encrypt": "no", "partition_column": "id", "lower_bound": 0,
-         "upper_bound": 100, "maxsize": 6, "timeout_seconds": 30},
+         "upper_bound": 100, "partitions": 6, "maxsize": 2, "timeout_seconds": 30},
     )
     opts = jdbc_options(source, "t")
     assert opts["url"].endswith("databaseName=db;encrypt=false;trustServerCertificate=true")

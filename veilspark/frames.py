@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
     """Config-sized rows as a local relation.
 
     Built from Arrow, the rows sit in the plan with a known size and need no
     Python worker, unlike a frame made from a list of tuples.
     """
-    layout = T.StructType.fromDDL(schema)
+    layout = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(layout)
     columns = list(zip(*rows)) if rows else [[] for _ in layout.fields]
     arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]

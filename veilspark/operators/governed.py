@@ -8,15 +8,16 @@ and holds ordinary DataFrame operators.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilspark.errors import AccessDenied
+from veilspark.frames import local_frame
 from veilspark.functions.keys import TokenKeys
 from veilspark.functions.sqltext import SYSTEM_SCHEMAS
-from veilspark.operators.masking import apply_masking, mask_union
+from veilspark.operators.lineage import Origin, columns_used, foreign_leaves, sensitive_outputs, trace
+from veilspark.operators.masking import ColumnAction, apply_masking, mask_union, project_actions, resolve_actions
 from veilspark.operators.measures import Measure, safe_agg
 from veilspark.operators.tags import (
     CHECKED,
@@ -25,11 +26,10 @@ from veilspark.operators.tags import (
     col,
     field_map,
     is_tagged,
-    sensitive_outputs,
     source_of,
     tag_source,
 )
-from veilspark.policy import ROLE_RANK, MaskingPolicy, Role, RoleBook, SourceCatalog
+from veilspark.policy import ROLE_RANK, ColumnRule, MaskingPolicy, Role, RoleBook, SourceCatalog, strictness
 from veilspark.sources.tables import param_query, routed_read
 
 Condition = tuple  # (column, operator, value)
@@ -113,18 +113,9 @@ def _all_of(conditions: Sequence[Condition]) -> Column:
 def _require_plain(
     df: DataFrame, expr: Column, policy: MaskingPolicy, code: str, what: str
 ) -> None:
-    """Deny when ``expr`` needs a sensitive column of ``df``.
-
-    The expression is analysed against the frame without its sensitive
-    columns: if that fails while the full frame works, it uses one.
-    """
-    df.select(expr)  # a plain mistake surfaces here as itself
-    hidden = sensitive_outputs(df, policy.sensitive_columns)
-    visible = [c for c in df.columns if c.lower() not in hidden]
-    try:
-        df.select(*[col(c) for c in visible]).select(expr)
-    except AnalysisException as exc:
-        raise AccessDenied(code, what) from exc
+    """Deny when ``expr`` needs a sensitive column of ``df``, by name, star or function."""
+    if columns_used(df, expr) & sensitive_outputs(df, policy.sensitive_columns):
+        raise AccessDenied(code, what)
 
 
 def governed_filter(
@@ -232,12 +223,17 @@ def governed_sort(df: DataFrame, order: Sequence[str], policy: MaskingPolicy) ->
 def governed_derive(
     df: DataFrame, name: str, expr: Column, policy: MaskingPolicy, kind: str = "function"
 ) -> DataFrame:
-    """Add a computed column whose inputs are all non-sensitive.
+    """Add a computed column whose inputs all pass through unmasked themselves.
 
     The result is judged by its own name: registered names pass, any other
     name is unknown and falls to the default action.
     """
-    _require_plain(df, expr, policy, _DERIVE_CODES[kind], f"{kind} on a sensitive column for {name}")
+    used = columns_used(df, expr)
+    if used & sensitive_outputs(df, policy.sensitive_columns):
+        raise AccessDenied(_DERIVE_CODES[kind], f"{kind} on a sensitive column for {name}")
+    for action in resolve_actions(df.schema, policy):
+        if action.name.lower() in used and action.reported:
+            raise AccessDenied(_DERIVE_CODES[kind], f"{kind} on the unregistered column {action.name} for {name}")
     kept = [col(c) for c in df.columns if c.lower() != name.lower()]
     return df.select(*kept, expr.alias(name, metadata={CHECKED: True}))
 
@@ -255,13 +251,13 @@ def capped_limit(df: DataFrame, requested: object, max_rows: int) -> DataFrame:
 
 
 def fetch_capped(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """At most ``max_rows`` rows and whether there were more.
+    """At most ``max_rows`` rows and whether there were more, both from one run.
 
-    The test fetches ``max_rows + 1`` empty rows, which lets Spark stop after
-    as few partitions as hold that many.
+    The rows are fetched once, one beyond the cap, which bounds what the driver holds.
     """
-    found = df.select(F.lit(1)).take(max_rows + 1)
-    return df.limit(max_rows), len(found) > max_rows
+    found = df.limit(max_rows + 1).collect()
+    rows = [tuple(r) for r in found[:max_rows]]
+    return local_frame(df.sparkSession, rows, df.schema), len(found) > max_rows
 
 
 def check_union(branches: int, role: Role) -> None:
@@ -344,6 +340,7 @@ class GovernedSession:
     catalog: SourceCatalog
     keys: TokenKeys | None = None
     client: str = "unknown"
+    handed: list | None = None  # tables given out for the query being built
 
     @classmethod
     def open(cls, spark, role_name: str, book: RoleBook, policy, catalog, keys=None, client="unknown"):
@@ -354,6 +351,8 @@ class GovernedSession:
 
     def table(self, name: str, where: Sequence[Condition] = ()) -> DataFrame:
         df = governed_table(self.spark, name, self.role, self.catalog)
+        if self.handed is not None:
+            self.handed.append(df)
         return require_filter(df, name, where, self.book)
 
     def query(
@@ -362,14 +361,14 @@ class GovernedSession:
         """Ad hoc query built from this session; needs a role that may run them."""
         if not self.role.allow_generic_query:
             raise AccessDenied("ROLE_DENIED", "generic queries are not allowed")
-        return self.finish(build(self), limit)
+        inner = replace(self, handed=[])
+        return inner.finish(build(inner), limit)
 
     def plugin_query(
         self,
         sql: str,
         args: list | Mapping | None,
         tables: Sequence[str],
-        safe: Sequence[str] = (),
         tool: str = "plugin",
         require_role: str | None = None,
         where: Mapping[str, Sequence[Condition]] | None = None,
@@ -377,19 +376,53 @@ class GovernedSession:
         """Fixed SQL over checked tables, named ``{table}`` in the text.
 
         Large tables need their time filter in ``where``, applied before the
-        SQL sees them. ``safe`` names the outputs that are pure aggregates.
+        SQL sees them. Outputs that are pure aggregates are found in the plan.
         """
         if require_role:
             needed = ROLE_RANK.get(require_role, 0)
             if ROLE_RANK.get(self.role.name, 0) < needed:
                 raise AccessDenied("ROLE_DENIED", f"{tool} needs {require_role} or higher")
-        frames = {t: self.table(t, (where or {}).get(t, ())) for t in tables}
-        result = param_query(self.spark, sql, args, **frames)
-        return self.finish(result, safe=safe)
+        inner = replace(self, handed=[])
+        frames = {t: inner.table(t, (where or {}).get(t, ())) for t in tables}
+        return inner.finish(param_query(self.spark, sql, args, **frames))
 
-    def finish(self, df: DataFrame, limit: object = None, safe: Sequence[str] = ()) -> DataFrame:
-        """Cap first, then mask: only rows that are returned get tokenised."""
-        capped = capped_limit(df, limit, self.role.max_rows)
-        # Everything here was read through tags: an untagged column was computed.
-        return apply_masking(capped, self.policy, self.keys, safe=safe, trust_names=False)
+    def finish(self, df: DataFrame, limit: object = None) -> DataFrame:
+        """Check the plan, cap, then mask: only rows that are returned get tokenised.
 
+        The plan may hold no table but those handed out, no more unions than the role
+        has, no sensitive column in a sort or a computation. Each output is judged by
+        all columns behind it, the strictest deciding.
+        """
+        outputs, found = trace(df)
+        if self.handed is not None and (foreign := foreign_leaves(found, self.handed)):
+            raise AccessDenied("TABLE_NOT_ALLOWED", f"the plan reads {foreign[0]} beside its tables")
+        check_union(found.unions + 1, self.role)
+        if self._sensitive(found.sorted_by):
+            raise AccessDenied("COLUMN_DENIED", "sensitive column in ORDER BY")
+        if self._sensitive(found.computed_from):
+            raise AccessDenied("FUNCTION_DENIED", "function on a sensitive column")
+        capped = capped_limit(df, limit, self.role.max_rows)
+        actions = [self._action(f, o) for f, o in zip(capped.schema.fields, outputs)]
+        return project_actions(capped, actions, self.policy, self.keys)
+
+    def _sensitive(self, sources: frozenset[str] | set[str]) -> bool:
+        return bool({s.partition(".")[2] for s in sources} & self.policy.sensitive_columns)
+
+    def _action(self, column, origin: Origin) -> ColumnAction:
+        """What happens to an output. Everything was read through tags: what has none was computed."""
+        if None not in origin.masked:
+            rule = ColumnRule(max(origin.masked, key=strictness))
+            return ColumnAction(column.name, column.dataType, rule, done=True)
+        if len(origin.masked) > 1:
+            raise AccessDenied("UNION_DENIED", f"{column.name} is masked in some branches only")
+        name = column.name.lower()
+        if origin.safe:
+            rule = self.policy.decide(name, (), True)
+        elif origin.plain:
+            rules = [self.policy.decide(c, [t]) if t else ColumnRule(self.policy.default_action) for t, _, c in (s.partition(".") for s in sorted(origin.sources))]
+            rule = max(rules, key=lambda r: strictness(r.action))
+        elif origin.checked:
+            rule = self.policy.decide(name)
+        else:
+            rule = ColumnRule(self.policy.default_action)
+        return ColumnAction(column.name, column.dataType, rule)

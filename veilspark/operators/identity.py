@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilspark.functions.masking import hash_id
-from veilspark.operators.joins import balanced_join
 from veilspark.operators.querylog import role_value
 from veilspark.policy import ROLE_RANK, RoleBook
 
@@ -33,12 +32,11 @@ def resolve_clients(
 
     The entry must be active and not expired on ``as_of`` (ISO date, compared
     as text). The raw token itself is dropped. One popular client may send a
-    large share of all requests, hence the balanced join.
+    large share of all requests; adaptive execution splits its partition, and the
+    same plan serves streams.
     """
     hashed = requests.withColumn("token_hash", hash_id(F.col(token))).drop(token)
-    joined = balanced_join(
-        hashed, first_entries(tokens), "token_hash", "left", unique_right=True
-    )
+    joined = hashed.join(first_entries(tokens), "token_hash", "left")
     expires = F.coalesce("_expires", F.lit(""))
     valid = F.coalesce(
         (F.col("_status") == "active") & ((expires == "") | (expires >= as_of)), F.lit(False)

@@ -1,13 +1,15 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Broadcasts of measured size.
+
+Other joins are plain equi-joins: adaptive execution broadcasts a side that proves
+small and splits the partitions of crowded keys at run time.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-HEAVY_SHARE = 0.005   # a key above this share of its side is handled apart
-SALTS = 32
 
 
 def bounded_broadcast(
@@ -32,82 +34,3 @@ def is_small(
         .first()
     )
     return n <= max_rows and size <= max_bytes
-
-
-def heavy_values(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
-    """Key values that hold more than ``share`` of the rows.
-
-    Counting is a map-side combined aggregate and at most ``1 / share`` keys
-    can qualify, which bounds the list that reaches the driver.
-    """
-    seen = Observation()
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    top = (
-        counts.observe(seen, F.sum("n").alias("total"))
-        .where(F.col(key).isNotNull())
-        .orderBy(F.desc("n"))
-        .limit(int(1 / share))
-        .collect()
-    )
-    total = seen.get["total"] or 0
-    return [r[0] for r in top if r["n"] > max(1, total * share)]
-
-
-def balanced_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str = "inner",
-    share: float = HEAVY_SHARE,
-    salts: int = SALTS,
-    unique_right: bool = False,
-) -> DataFrame:
-    """Equi-join on one column, inner or left, that survives hot keys.
-
-    A measured small right side is broadcast. Otherwise rows of hot keys are
-    salted: each row of the crowded side goes to one of ``salts`` buckets
-    chosen from its own content, and its partners are repeated once per
-    bucket. All other rows join as usual; nothing is dropped or capped. The
-    bucket depends on the row alone, so a recomputed task sends it to the same
-    place. ``unique_right`` says that no key repeats on the right, which then
-    needs no counting.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("balanced_join supports inner and left")
-    if is_small(right):
-        return left.join(F.broadcast(right), key, how)
-    crowded_left = heavy_values(left, key, share)
-    right_values = [] if unique_right else heavy_values(right, key, share)
-    crowded_right = [v for v in right_values if v not in set(crowded_left)]
-    if not crowded_left and not crowded_right:
-        return left.join(right, key, how)
-
-    def rows(df: DataFrame, values: list) -> DataFrame:
-        return df.where(F.col(key).isin(values))
-
-    def rest(df: DataFrame) -> DataFrame:
-        hot = F.col(key).isin(crowded_left + crowded_right)
-        return df.where(~F.coalesce(hot, F.lit(False)))
-
-    out = rest(left).join(rest(right), key, how)
-    if crowded_left:
-        pair = _salted(rows(left, crowded_left), salts).join(
-            _repeated(rows(right, crowded_left), salts), [key, "_salt"], how
-        )
-        out = out.unionByName(pair.drop("_salt"))
-    if crowded_right:
-        # Every left row of such a key has partners, so left and inner agree.
-        pair = _repeated(rows(left, crowded_right), salts).join(
-            _salted(rows(right, crowded_right), salts), [key, "_salt"]
-        )
-        out = out.unionByName(pair.drop("_salt"))
-    return out
-
-
-def _salted(df: DataFrame, salts: int) -> DataFrame:
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.withColumn("_salt", F.pmod(content, F.lit(salts)).cast("int"))
-
-
-def _repeated(df: DataFrame, salts: int) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 
 from veilspark.functions import masking as fm
 from veilspark.functions.keys import TokenKeys
-from veilspark.operators.joins import balanced_join, bounded_broadcast
+from veilspark.operators.lineage import has_union, trace
 from veilspark.operators.tags import (
     CHECKED,
     MASKED,
@@ -162,9 +162,35 @@ def apply_masking(
     see :func:`veilspark.functions.masking.nfkc`.
     """
     actions = resolve_actions(df.schema, policy, tables, lineage, safe, trust_names)
+    if has_union(df):
+        actions = _over_branches(df, actions, policy, {k.lower() for k in lineage or {}})
     return project_actions(df, actions, policy, keys, strict, observation, engine)
 
 
+def _over_branches(
+    df: DataFrame, actions: Sequence[ColumnAction], policy: MaskingPolicy, stated: set[str]
+) -> list[ColumnAction]:
+    """Actions of a frame whose plan has a union: the strictest branch decides each output.
+
+    Metadata above a union is that of the first branch only. A column that is masked
+    in some branches and raw in others can't be masked as one.
+    """
+    out = []
+    for action, origin in zip(actions, trace(df)[0]):
+        if None in origin.masked and len(origin.masked) > 1:
+            raise ValueError(f"{action.name!r} is masked in some branches only: mask_union keeps them apart")
+        tagged = [s.partition(".") for s in sorted(origin.sources) if s]
+        if None not in origin.masked:
+            rule = ColumnRule(max(origin.masked, key=strictness))
+            action = ColumnAction(action.name, action.data_type, rule, done=True)
+        elif action.name.lower() not in stated and origin.plain and tagged:
+            rules = [action.rule, *(policy.decide(column, [table]) for table, _, column in tagged)]
+            rules += [ColumnRule(policy.default_action)] * ("" in origin.sources)
+            action = ColumnAction(action.name, action.data_type, max(rules, key=lambda r: strictness(r.action)))
+        out.append(action)
+    return out
+
+
 def _field_metrics(actions: Sequence[ColumnAction]) -> list[Column]:
     metrics = [F.count(F.lit(1)).alias("rows")]
     for i, a in enumerate(actions):
@@ -230,41 +256,65 @@ def mask_union(
         raise ValueError("union branches must have the same number of columns")
     names = frames[0].columns
     resolved = [resolve_actions(f.schema, policy) for f in frames]
-    groups: dict[tuple[ColumnRule, ...], list[DataFrame]] = {}
+    groups: dict[tuple[tuple[ColumnRule, bool], ...], list[DataFrame]] = {}
     for frame, own in zip(frames, resolved):
         rules = []
         for position, mine in enumerate(own):
-            column = [r[position] for r in resolved]
-            strictest = max(column, key=lambda a: strictness(a.action))
+            strictest = max((r[position] for r in resolved), key=lambda a: strictness(a.action))
             keep = strictness(mine.action) == strictness(strictest.action)
-            rules.append(mine.rule if keep else strictest.rule)
+            # What is masked stays so unless another branch is stricter; then it is treated like that one.
+            rules.append((mine.rule, mine.done) if keep or mine.done and strictest.action != "deny" else (strictest.rule, False))
         groups.setdefault(tuple(rules), []).append(frame.toDF(*names))
-    masked = []
-    for rules, members in groups.items():
-        raw = members[0]
+    raw = []
+    for members in groups.values():
+        rows = members[0]
         for other in members[1:]:
-            raw = raw.union(other)
-        if distinct:
-            raw = raw.distinct()
-        actions = [ColumnAction(f.name, f.dataType, r) for f, r in zip(raw.schema.fields, rules)]
-        masked.append(project_actions(raw, actions, policy, keys))
+            rows = rows.union(other)
+        raw.append(rows)
+    if distinct:
+        raw = _distinct(raw)
+    masked = [
+        project_actions(
+            rows,
+            [ColumnAction(f.name, f.dataType, rule, done) for f, (rule, done) in zip(rows.schema.fields, rules)],
+            policy,
+            keys,
+        )
+        for rules, rows in zip(groups, raw)
+    ]
     out = masked[0]
     for other in masked[1:]:
         out = out.union(other)
     return out
 
 
+def _distinct(branches: Sequence[DataFrame]) -> list[DataFrame]:
+    """The branches without rows that stand in an earlier one or twice, compared before masking."""
+    if len(branches) == 1:
+        return [branches[0].distinct()]
+    names = branches[0].columns
+    mark = "veil_branch"
+    while mark in {n.lower() for n in names}:
+        mark += "_"
+    rows = branches[0].withColumn(mark, F.lit(0))
+    for i, other in enumerate(branches[1:], 1):
+        rows = rows.union(other.withColumn(mark, F.lit(i)))
+    first = rows.groupBy(*[col(n) for n in names]).agg(F.min(mark).alias(mark))
+    return [first.where(F.col(mark) == i).select(*[col(n) for n in names]) for i in range(len(branches))]
+
+
 def token_join(
     left: DataFrame, right: DataFrame, on: str | tuple[str, str], how: str = "inner"
 ) -> DataFrame:
     """Join two masked frames on a token column.
 
     Equal values of one namespace carry equal tokens, so masked data stays
-    joinable. A popular value makes a hot token; see ``balanced_join``.
+    joinable. A popular value makes a hot token: adaptive execution splits its
+    partition, and a side that proves small is broadcast.
     """
     left_on, right_on = (on, on) if isinstance(on, str) else on
     renamed = right if left_on == right_on else right.withColumnRenamed(right_on, left_on)
-    return balanced_join(left, renamed, left_on, how)
+    return left.join(renamed, left_on, how)
 
 
 def column_masking_info(
@@ -281,7 +331,7 @@ def column_masking_info(
     """
     lookup = rules.select(F.col("column_name").alias("_rule"), F.col("action").alias("_action"))
     named = columns.withColumn("_rule", F.lower(F.col(column)))
-    joined = balanced_join(named, lookup, "_rule", "left", unique_right=True)
+    joined = named.join(lookup, "_rule", "left")
     action = F.coalesce("_action", F.lit(policy.default_action))
     if table is not None:
         for name, entries in policy.overrides.items():
@@ -324,9 +374,7 @@ def resolve_action_rows(
     named = columns.withColumn("_col", F.lower("source_column")).withColumn(
         "_tab", F.lower("table_name")
     )
-    joined = balanced_join(named, rule, "_col", "left", unique_right=True).join(
-        bounded_broadcast(forced), ["_tab", "_col"], "left"
-    )
+    joined = named.join(rule, "_col", "left").join(forced, ["_tab", "_col"], "left")
     safe = F.when(F.col("is_safe"), F.lit("passthrough"))
     action = F.coalesce("_forced", "_rule_action", safe, F.lit(policy.default_action))
     named = F.col("_forced").isNull() | (F.col("_forced") == "tokenize")

@@ -4,22 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veilspark.frames import local_frame
-from veilspark.operators.joins import balanced_join, bounded_broadcast
 from veilspark.policy import SourceCatalog
 
-_FOLD_LIMIT = 64  # routes folded into one expression; longer lists are joined
-
 
 def source_column(table: Column, catalog: SourceCatalog) -> Column:
-    """Configured routes as one expression: the first matching one decides."""
+    """Data source of a table name: the first matching route decides.
+
+    Routes are two literal maps from a stem to its position, looked up for the whole
+    name and for each prefix length in use, so a list of any length is one projection,
+    in batch and on streams.
+    """
     name = F.lower(table)
-    out = F.lit("default")
-    for route in reversed(catalog.routes):
-        pattern = route.pattern.lower()
-        hit = name.startswith(pattern[:-1]) if pattern.endswith("*") else name == pattern
-        out = F.when(hit, F.lit(route.datasource)).otherwise(out)
-    return out
+    whole, prefixes = catalog.stems
+    found = []
+    if whole:
+        found.append(F.try_element_at(_literal_map(whole), name))
+    for n in catalog.prefix_lengths:
+        stem = F.when(F.length(name) >= n, F.substring(name, 1, n))
+        found.append(F.try_element_at(_literal_map({s: p for s, p in prefixes.items() if len(s) == n}), stem))
+    if not found:
+        return F.lit("default")
+    sources = F.array(*[F.lit(r.datasource) for r in catalog.routes])
+    first = found[0] if len(found) == 1 else F.least(*found)
+    return F.coalesce(F.get(sources, first), F.lit("default"))
+
+
+def _literal_map(positions: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in positions.items() for x in pair])
 
 
 def database_column(source: Column, catalog: SourceCatalog) -> Column:
@@ -37,43 +48,6 @@ def dialect_column(source: Column, catalog: SourceCatalog) -> Column:
 
 
 def route_tables(tables: DataFrame, catalog: SourceCatalog, column: str = "table_name") -> DataFrame:
-    """Add ``datasource`` and ``database`` to a frame of table names.
-
-    A short route list becomes a projection. A long one is matched by equality
-    on each name's own prefixes, never by comparing all pairs.
-    """
-    if len(catalog.routes) <= _FOLD_LIMIT:
-        routed = tables.withColumn("datasource", source_column(F.col(column), catalog))
-    else:
-        routed = _route_by_prefix(tables, catalog, column)
+    """Add ``datasource`` and ``database`` to a frame of table names, by one projection."""
+    routed = tables.withColumn("datasource", source_column(F.col(column), catalog))
     return routed.withColumn("database", database_column(F.col("datasource"), catalog))
-
-
-def _route_by_prefix(tables: DataFrame, catalog: SourceCatalog, column: str) -> DataFrame:
-    spark = tables.sparkSession
-    rows = [
-        (p[:-1] if p.endswith("*") else p, p.endswith("*"), r.datasource, i)
-        for i, r in enumerate(catalog.routes)
-        for p in [r.pattern.lower()]
-    ]
-    routes = local_frame(spark, rows, "stem string, open boolean, datasource string, ord int")
-    lengths = sorted({len(stem) for stem, is_open, *_ in rows if is_open})
-    name = F.lower(column)
-    # Each name offers its prefixes of the lengths in use, and itself in full.
-    cuts = [
-        F.when(F.length(name) >= n, F.struct(F.substring(name, 1, n).alias("stem"), F.lit(True).alias("open")))
-        for n in lengths
-    ]
-    whole = F.struct(name.alias("stem"), F.lit(False).alias("open"))
-    names = tables.select(column).distinct()
-    offers = names.select(column, F.explode(F.array_compact(F.array(*cuts, whole))).alias("o"))
-    first = (
-        offers.select(column, "o.*")
-        .join(bounded_broadcast(routes), ["stem", "open"])
-        .groupBy(column)
-        .agg(F.min_by("datasource", "ord").alias("datasource"))
-    )
-    # One table may be named by a large share of the rows.
-    return balanced_join(tables, first, column, "left", unique_right=True).withColumn(
-        "datasource", F.coalesce("datasource", F.lit("default"))
-    )

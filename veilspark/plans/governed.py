@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from veilspark.errors import AccessDenied
@@ -13,6 +15,7 @@ from veilspark.operators.measures import Measure
 from veilspark.operators.masking import apply_masking
 from veilspark.operators.querylog import denial, table_denial
 from veilspark.operators.routing import route_tables
+from veilspark.policy import Route
 from veilspark.plans.registry import derive, derive_sql, in_list, plan, quote, table, values_sql
 from veilspark.plans.settings import (
     BOOK,
@@ -494,7 +497,6 @@ def plugin_query(spark, sf):
            GROUP BY c_name ORDER BY total_amount DESC""",
         {"floor": 250000},
         ["orders", "customer"],
-        safe=["total_amount"],
         tool="big_spenders",
         require_role="developer",
         where={"orders": [("o_orderdate", ">=", F.lit("1996-01-01").cast("timestamp_ntz"))]},
@@ -631,8 +633,7 @@ def route_tables_plan(spark, sf):
 
 @plan("route_tables_by_prefix", _ROUTED_SQL)
 def route_tables_by_prefix(spark, sf):
-    """The join form that long route lists take."""
-    from veilspark.operators.routing import _route_by_prefix, database_column
-
-    routed = _route_by_prefix(derive(table(spark, sf, "events"), _NAMES), ROUTES, "table_name")
-    return routed.withColumn("database", database_column(F.col("datasource"), ROUTES))
+    """The same among eighty routes that match no table: a list of any length is one projection."""
+    more = tuple(Route(f"unused{i:02d}_*", "unused") for i in range(80))
+    catalog = replace(ROUTES, routes=more + ROUTES.routes)
+    return route_tables(derive(table(spark, sf, "events"), _NAMES), catalog)

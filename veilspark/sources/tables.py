@@ -11,6 +11,8 @@ from veilspark.operators.tags import col
 from veilspark.policy import DataSource, SourceCatalog
 
 FILE_TYPES = frozenset({"parquet", "orc", "json", "csv"})
+#: Tasks of a split JDBC read that names no number of its own.
+DEFAULT_PARTITIONS = 200
 _MYSQL = frozenset({"mysql", "mariadb"})
 _SQLSERVER = frozenset({"sqlserver", "mssql"})
 
@@ -20,7 +22,8 @@ def jdbc_options(source: DataSource, table: str) -> dict[str, str]:
 
     ``partition_column`` with ``lower_bound`` and ``upper_bound`` splits the
     read; without them JDBC reads through a single connection, which only
-    suits small tables. The pool limit ``maxsize`` bounds the connections.
+    suits small tables. ``partitions`` says into how many tasks it is split; how
+    many connections are open at once is up to the cores of the cluster.
     """
     opts = source.options
     host = opts.get("host", "127.0.0.1")
@@ -55,7 +58,7 @@ def jdbc_options(source: DataSource, table: str) -> dict[str, str]:
         out["partitionColumn"] = str(opts["partition_column"])
         out["lowerBound"] = str(opts["lower_bound"])
         out["upperBound"] = str(opts["upper_bound"])
-        out["numPartitions"] = str(opts.get("maxsize", 10))
+        out["numPartitions"] = str(opts.get("partitions", DEFAULT_PARTITIONS))
     return out
 
 
@@ -92,8 +95,8 @@ def param_query(
 ) -> DataFrame:
     """Fixed SQL text with bound values (``?`` or ``:name``).
 
-    Tables are passed as frames and named ``{table}`` in the text, so the text
-    can only reach what the caller hands over.
+    Tables are passed as frames and named ``{table}`` in the text. The text itself can
+    name files or catalogue tables as well: ``GovernedSession`` checks the plan for them.
     """
     return spark.sql(sql, args=args, **frames)
 
