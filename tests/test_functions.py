@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SECRET
 from veilspark.frames import local_frame
+from veilspark.functions import sqltext
 from veilspark.functions import (
     TokenKeys,
     audit_local_time,
@@ -244,3 +245,37 @@ def test_local_time(spark, zone, text):
 def test_local_time_without_fraction(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-07-01 00:00:00' AS ts")
     assert df.select(audit_local_time(F.col("ts")).alias("t")).first().t == "2024-07-01T08:00:00+08:00"
+
+
+@pytest.mark.parametrize(
+    "sql, dialect, want",
+    [
+        ("SELECT `it's` FROM t WHERE x = 'secret' AND `p's` = 1", "mysql", "SELECT `it's` FROM t WHERE x = ? AND `p's` = ?"),
+        ("SELECT [it's] FROM t WHERE x = 'secret' AND [p's] = 1", "tsql", "SELECT [it's] FROM t WHERE x = ? AND [p's] = ?"),
+        ("SELECT $tag$secret$tag$, $$x$$", "postgres", "SELECT ?, ?"),
+        ("SELECT a FROM t WHERE b > .75", "mysql", "SELECT a FROM t WHERE b > ?"),
+        ("SELECT a FROM `t 2`", "mysql", "SELECT a FROM `t 2`"),
+        ("SELECT 'open", "mysql", "<unparseable>"),
+    ],
+)
+def test_names_and_odd_values_are_told_apart(spark, sql, dialect, want):
+    df = spark.createDataFrame([(sql, dialect)], "q string, d string")
+    assert df.select(sqltext.redact_literals(F.col("q"), F.col("d")).alias("r")).first().r == want
+
+
+@pytest.mark.parametrize(
+    "sql, dialect, banned, locks",
+    [
+        ("SELECT `sleep`(5)", "mysql", "sleep", False),
+        ("EXEC [xp_cmdshell]('x')", "tsql", "xp_cmdshell", False),
+        ("SELECT a into/**/outfile 'f'", "mysql", "INTO OUTFILE/DUMPFILE", False),
+        ("SELECT a FROM t for/**/update", "mysql", None, True),
+        ("SELECT a FROM t with/**/(nolock)", "tsql", None, True),
+        ("SELECT 'sleep(1)'", "mysql", None, False),
+    ],
+)
+def test_quotes_and_comments_hide_nothing(spark, sql, dialect, banned, locks):
+    df = spark.createDataFrame([(sql, dialect)], "q string, d string")
+    q, d = F.col("q"), F.col("d")
+    row = df.select(sqltext.banned_function(q, d).alias("b"), sqltext.has_lock(q, d).alias("l")).first()
+    assert (row.b, row.l) == (banned, locks)

@@ -45,25 +45,51 @@ _MYSQL_STRING = (
     r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'" + "|" + r'"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"'
 )
 _PLAIN_STRING = r"'[^']*+(?:''[^']*+)*+'"
+_DOLLAR_STRING = r"(?<![\w$])\$(?<tag>\w*+)\$.*?\$\k<tag>\$"
+_MYSQL_NAME = r"`[^`]*+(?:``[^`]*+)*+`"
 _NAME = r'"[^"]*+(?:""[^"]*+)*+"'
+_TSQL_NAME = rf"{_NAME}|\[[^\]]*+(?:\]\][^\]]*+)*+\]"
 _MYSQL_COMMENT = r"--[^\n]*|#[^\n]*|/\*.*?\*/"
 _PLAIN_COMMENT = r"--[^\n]*|/\*.*?\*/"
-_NUMBER = r"(?=\d)(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?!\w)"
+_NUMBER = r"(?:(?=\d)(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?)(?!\w)|(?<![\w.)\]])\.\d+(?:[eE][+-]?\d+)?(?!\w))"
 _BLANKS = r" \s+|[\t\n\x0b\f\r]\s*"
+#: Stands where a value was while names are still in the text.
+_SPOT = "\x01"
 
 
-def _redact(sql: Column, strings: str, quoted: str, comments: str, open_quotes: str) -> Column:
-    # Leftmost match decides what a quote or dash belongs to, so one pass drops
-    # comments while stepping over quoted text. Most queries have none.
-    stripped = F.regexp_replace(sql, f"(?s)({quoted})|(?:{comments})", "$1 ")
+def _bare(sql: Column, strings: str, names: str, comments: str) -> Column:
+    """The text without comments. Leftmost match decides what a quote or dash belongs to, so one
+    pass drops comments while stepping over quoted text. Most queries have none."""
+    stripped = F.regexp_replace(sql, f"(?s)({strings}|{names})|(?:{comments})", "$1 ")
     commented = sql.contains("--") | sql.contains("/*") | sql.contains("#")
-    bare = F.when(commented, stripped).otherwise(sql)
-    values = rf"(?s)(?:\b[nN])?(?:{strings})|{_NUMBER}"
-    redacted = F.trim(F.regexp_replace(F.regexp_replace(bare, values, "?"), _BLANKS, " "))
-    # A chain rather than a CASE: each step reads the one before it only once.
-    return F.regexp_replace(
-        redacted, f"(?s)^[^{open_quotes}]*+[{open_quotes}].*$", UNPARSEABLE
-    )
+    return F.when(commented, stripped).otherwise(sql)
+
+
+def _redact(sql: Column, strings: str, names: str, comments: str, open_quotes: str) -> Column:
+    # Names are matched with the values and so stepped over; each match leaves a mark,
+    # which then goes from behind the names and becomes ? everywhere else.
+    values = rf"(?s)({names})|(?:\b[nN])?(?:{strings})|{_NUMBER}"
+    marked = F.regexp_replace(F.replace(_bare(sql, strings, names, comments), F.lit(_SPOT), F.lit(" ")), values, f"$1{_SPOT}")
+    kept = F.regexp_replace(marked, f"(?s)({names}){_SPOT}", "$1")
+    redacted = F.trim(F.regexp_replace(F.replace(kept, F.lit(_SPOT), F.lit("?")), _BLANKS, " "))
+    # A quote that is neither a name's nor a value's leaves the text undecided.
+    undecided = F.regexp_replace(redacted, f"(?s){names}", "").rlike(f"[{open_quotes}]")
+    return F.when(undecided, F.lit(UNPARSEABLE)).otherwise(redacted)
+
+
+def _by_dialect(dialect: Column, mysql: Column, tsql: Column, postgres: Column) -> Column:
+    kind = F.coalesce(dialect, F.lit("mysql"))
+    return F.when(kind == "mysql", mysql).when(kind == "tsql", tsql).otherwise(postgres)
+
+
+def without_comments(sql: Column, dialect: Column) -> Column:
+    """The code of a statement: comments become blanks, quoted names lose their quotes, strings stay quoted."""
+    mysql = F.regexp_replace(_bare(sql, _MYSQL_STRING, _MYSQL_NAME, _MYSQL_COMMENT), f"(?s)({_MYSQL_STRING})|`", "$1")
+    tsql = F.regexp_replace(_bare(sql, _PLAIN_STRING, _TSQL_NAME, _PLAIN_COMMENT), rf"(?s)({_PLAIN_STRING})|[\[\]\"]", "$1")
+    plain_strings = f"{_PLAIN_STRING}|{_DOLLAR_STRING}"
+    postgres = F.regexp_replace(_bare(sql, plain_strings, _NAME, _PLAIN_COMMENT), rf"(?s)({_PLAIN_STRING})|\"", "$1")
+    odd = sql.rlike(r"[`\[\"#]|--|/\*")
+    return F.when(odd, _by_dialect(dialect, mysql, tsql, postgres)).otherwise(sql)
 
 
 def redact_literals(sql: Column, dialect: Column | None = None) -> Column:
@@ -71,11 +97,12 @@ def redact_literals(sql: Column, dialect: Column | None = None) -> Column:
 
     An unbalanced quote cannot be redacted with confidence; it gives a mark.
     """
-    mysql = _redact(sql, _MYSQL_STRING, _MYSQL_STRING, _MYSQL_COMMENT, "'\"")
+    mysql = _redact(sql, _MYSQL_STRING, _MYSQL_NAME, _MYSQL_COMMENT, "'\"`")
     if dialect is None:
         return mysql
-    plain = _redact(sql, _PLAIN_STRING, f"{_PLAIN_STRING}|{_NAME}", _PLAIN_COMMENT, "'")
-    return F.when(F.coalesce(dialect, F.lit("mysql")) == "mysql", mysql).otherwise(plain)
+    tsql = _redact(sql, _PLAIN_STRING, _TSQL_NAME, _PLAIN_COMMENT, "'\"")
+    postgres = _redact(sql, f"{_PLAIN_STRING}|{_DOLLAR_STRING}", _NAME, _PLAIN_COMMENT, "'\"")
+    return _by_dialect(dialect, mysql, tsql, postgres)
 
 
 def sql_fingerprint(normalized: Column) -> Column:
@@ -92,11 +119,12 @@ def has_lock(sql: Column, dialect: Column) -> Column:
 
     A plain search of the lower-cased text spares most queries the patterns.
     """
-    updating = F.lower(sql).contains("update") & sql.rlike(r"(?i)for\s+update")
-    shared = sql.rlike(r"(?i)lock\s+in\s+share\s+mode") | redact_literals(sql, dialect).rlike(
+    raw, sql = sql, without_comments(sql, dialect)
+    updating = F.lower(raw).contains("update") & sql.rlike(r"(?i)for\s+update")
+    shared = sql.rlike(r"(?i)lock\s+in\s+share\s+mode") | redact_literals(raw, dialect).rlike(
         r"(?i)\bfor\s+share\b"
     )
-    sharing = F.when(F.lower(sql).contains("share"), shared).otherwise(F.lit(False))
+    sharing = F.when(F.lower(raw).contains("share"), shared).otherwise(F.lit(False))
     hinted = (dialect == "tsql") & sql.rlike(rf"(?i)with\s*\(\s*({'|'.join(LOCK_HINTS)})")
     return updating | hinted | sharing
 
@@ -107,12 +135,13 @@ def banned_function(sql: Column, dialect: Column) -> Column:
     Literals are removed first, so a name inside a string does not count. That
     only happens for texts that hold a banned name at all.
     """
+    raw, sql = sql, without_comments(sql, dialect)
     code = redact_literals(sql, dialect)
 
     def called(kind: str) -> Column:
         names = "|".join(BANNED_FUNCTIONS[kind])
         name = F.regexp_extract(code, rf"(?i)(?<![\w@])({names})\s*\(", 1)
-        named = sql.contains("(") & sql.rlike(rf"(?i)(?<![\w@])(?:{names})")
+        named = raw.contains("(") & sql.rlike(rf"(?i)(?<![\w@])(?:{names})")
         return F.when(named, F.nullif(name, F.lit("")))
 
     outfile = F.when(

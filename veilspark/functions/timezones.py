@@ -26,7 +26,10 @@ def audit_local_time(ts_utc: Column, tz_name: Column | str = "Asia/Shanghai") ->
     hours = F.lit(DEFAULT_OFFSET)
     for name, offset in OFFSET_HOURS.items():
         hours = F.when(zone == name, F.lit(offset)).otherwise(hours)
-    local = ts_utc.cast("timestamp_ntz") + F.make_interval(hours=hours)
+    # An instant is brought to UTC whatever the session's zone; a zoneless time is UTC already.
+    instant = F.to_utc_timestamp(ts_utc.cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    utc = F.when(F.typeof(ts_utc) == "timestamp", instant).otherwise(ts_utc.cast("timestamp_ntz"))
+    local = utc + F.make_interval(hours=hours)
     # Plain text of a zoneless timestamp: no session time zone takes part.
     text = local.cast("string")
     whole = F.replace(F.substring(text, 1, 19), F.lit(" "), F.lit("T"))

@@ -98,8 +98,11 @@ def clamp_recent(limit: int = DEFAULT_RECENT) -> int:
 
 
 def recent_audit(audit: DataFrame, limit: int = DEFAULT_RECENT, tie: str | None = None) -> DataFrame:
-    """The newest records first; a distributed top-k of at most a hundred rows."""
-    order = [F.to_timestamp("ts").desc()]
+    """The newest records first; a distributed top-k of at most a hundred rows.
+
+    A record whose time can't be read comes last.
+    """
+    order = [F.try_to_timestamp("ts").desc_nulls_last()]
     if tie is not None:
         order.append(F.col(tie).desc())
     return audit.orderBy(*order).limit(clamp_recent(limit))

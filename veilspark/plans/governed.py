@@ -637,3 +637,45 @@ def route_tables_by_prefix(spark, sf):
     more = tuple(Route(f"unused{i:02d}_*", "unused") for i in range(80))
     catalog = replace(ROUTES, routes=more + ROUTES.routes)
     return route_tables(derive(table(spark, sf, "events"), _NAMES), catalog)
+
+
+@plan(
+    "plan_union_laundering",
+    f"""SELECT {token_sql("c_mktsegment", "customer", "CUST")} AS label FROM customer
+        UNION ALL SELECT {token_sql("c_name", "customer", "CUST")} FROM customer""",
+)
+def plan_union_laundering(spark, sf):
+    """A name brought in by the second branch of a union is masked like a name."""
+    text = "SELECT c_mktsegment AS label FROM {customer} UNION ALL SELECT c_name FROM {customer}"
+    return session(spark, sf).plugin_query(text, None, ["customer"], tool="labels")
+
+
+@plan(
+    "plan_star_derive",
+    """SELECT c_custkey, c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR) AS code, 'FUNCTION_DENIED' AS star
+       FROM customer LIMIT 5000""",
+)
+def plan_star_derive(spark, sf):
+    """A star is all columns, sensitive ones too, and refused; plain columns may be computed with."""
+    own = session(spark, sf)
+    customers = own.table("customer")
+    try:
+        g.governed_derive(customers, "status", F.to_json(F.struct("*")), POLICY)
+        star = "allowed"
+    except AccessDenied as exc:
+        star = exc.code
+    code = F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string"))
+    derived = g.governed_derive(customers, "code", code, POLICY)
+    return own.finish(g.governed_select(derived, ["c_custkey", "code"])).withColumn("star", F.lit(star))
+
+
+@plan(
+    "plan_safe_outputs",
+    """SELECT c_mktsegment, count(*) AS n, round(coalesce(sum(c_acctbal), 0), 2) AS spent, CAST(NULL AS DOUBLE) AS best
+       FROM customer GROUP BY c_mktsegment""",
+)
+def plan_safe_outputs(spark, sf):
+    """COUNT and a wrapped SUM are found safe in the plan; MAX, under whatever name, is not."""
+    text = """SELECT c_mktsegment, count(*) AS n, round(coalesce(sum(c_acctbal), 0), 2) AS spent, max(c_acctbal) AS best
+              FROM {customer} GROUP BY c_mktsegment"""
+    return session(spark, sf).plugin_query(text, None, ["customer"], tool="segments")

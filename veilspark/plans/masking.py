@@ -402,3 +402,28 @@ def masked_union_strictest(spark, sf):
     secret = c.select(F.upper("c_name").alias("label"), "c_name")
     return om.mask_union([r, secret, s.selectExpr("s_name AS label", "s_name")], POLICY, keys(spark))
 
+
+
+@plan(
+    "masked_union_of_masked",
+    f"SELECT c_nationkey, {token_sql('c_name', 'customer', 'CUST')} AS c_name FROM customer",
+)
+def masked_union_of_masked(spark, sf):
+    """Branches masked early stay as they are beside raw ones."""
+    rows = table(spark, sf, "customer").select("c_nationkey", "c_name")
+    early = om.apply_masking(rows.where("c_nationkey < 10"), POLICY, keys(spark))
+    return om.mask_union([early, rows.where("c_nationkey >= 10")], POLICY, keys(spark))
+
+
+@plan(
+    "union_distinct_mixed",
+    f"""SELECT {token_sql('n', 'customer', 'CUST')} AS c_name FROM (SELECT DISTINCT c_name AS n FROM customer)
+        UNION ALL
+        SELECT {token_sql('n', 'supplier', 'SUP')}
+        FROM (SELECT DISTINCT s_name AS n FROM supplier WHERE s_name NOT IN (SELECT c_name FROM customer))""",
+)
+def union_distinct_mixed(spark, sf):
+    """Rows equal before masking are one row, though branches have namespaces of their own."""
+    names = table(spark, sf, "customer").select("c_name")
+    others = table(spark, sf, "supplier").select("s_name").union(names.where("c_name < 'Customer#000000100'"))
+    return om.mask_union([names, others], POLICY, keys(spark), distinct=True)
