@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import held_out
 
 #: Labelled rows that a classifier learns from, at most; they are drawn by a hash of the id.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 #: Rows whose crc32 of the id leaves this number are kept out of learning.
 FOLDS, HELD_OUT = 5, 0
 
