@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +280,42 @@ def test_bound_values_are_not_sql(spark, files, book, policy, keys):
 def test_messages():
     assert denial_text("TABLE_NOT_ALLOWED", "t").endswith("（t）")
     assert AccessDenied("FILTER_REQUIRED").detail == ""
+
+
+@pytest.fixture
+def dev(spark, book, policy, sources, keys):
+    return GovernedSession(spark, book.roles["developer"], book, policy, sources, keys)
+
+
+@pytest.mark.parametrize(
+    "expr", ["to_json(struct(*))", "concat_ws('', *)", "hash(*)", "max(customer_name) OVER (PARTITION BY amount)"]
+)
+def test_a_star_is_all_columns(summary, policy, expr):
+    assert code_of(lambda: g.governed_derive(summary, "status", F.expr(expr), policy)) == "FUNCTION_DENIED"
+    if "OVER" not in expr:
+        assert code_of(lambda: g.governed_having(summary, F.expr(f"{expr} IS NOT NULL"), policy)) == "COLUMN_DENIED"
+
+
+def test_plans_are_judged_as_a_whole(summary, dev, spark, tmp_path):
+    spark.range(3).selectExpr("CAST(id AS STRING) AS amount").write.parquet(str(tmp_path / "other"))
+    inner = replace(dev, handed=[summary])
+    path = f"SELECT amount FROM parquet.`{tmp_path}/other`"
+    assert code_of(lambda: inner.finish(spark.sql(path))) == "TABLE_NOT_ALLOWED"
+    sub = spark.sql("SELECT (SELECT max(customer_name) FROM {s}) AS amount FROM {s}", s=summary)
+    assert code_of(lambda: inner.finish(sub)) == "FUNCTION_DENIED"
+    assert code_of(lambda: inner.finish(summary.orderBy("customer_name"))) == "COLUMN_DENIED"
+    assert code_of(lambda: inner.finish(summary.select(F.upper("customer_name").alias("amount")))) == "FUNCTION_DENIED"
+    assert inner.finish(summary.where("customer_name = 'x' OR NOT amount > 1")).columns == summary.columns
+    raw = {r.customer_name for r in summary.collect()}
+    plain = summary.select("customer_name").union(summary.select("customer_name")).withColumnRenamed("customer_name", "amount")
+    assert not raw & {r.amount for r in inner.finish(plain).collect()}
+    viewer = replace(inner, role=replace(dev.role, allow_union=False))
+    assert code_of(lambda: viewer.finish(plain)) == "UNION_DENIED"
+
+
+def test_safe_outputs_are_derived(summary, dev, spark):
+    inner = replace(dev, handed=[summary])
+    text = "SELECT count(*) AS n, round(coalesce(sum(amount), 0) * 2, 1) AS s, CAST(avg(amount) AS INT) AS a, max(amount) AS m, 7 AS seven FROM {s}"
+    row = inner.finish(spark.sql(text, s=summary)).first()
+    assert row.n is not None and row.s is not None and row.a is not None
+    assert row.m is None and row.seven is None
