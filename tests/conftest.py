@@ -9,7 +9,7 @@ sys.path.insert(0, ROOT)
 
 from veilspark import MaskingPolicy, RoleBook, SourceCatalog, TokenKeys  # noqa: E402
 
-SECRET = "test_secret_key_for_unit_tests_only_32bytes!"
+SECRET = "veilspark example key, for tests and registered queries only"
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 

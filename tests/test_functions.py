@@ -38,19 +38,19 @@ def apply(spark, values, expr):
 
 # value, namespace, prefix, token
 GOLDEN = [
-    ("某客户有限公司", "customer", "CUST", "CUST_V1_A0E09C401290808E"),
-    ("张三", "customer", "CUST", "CUST_V1_BADD2192DEA40301"),
-    ("张三", "employee", "EMP", "EMP_V1_AA508AD359923015"),
-    ("某  客户  有限公司", "customer", "CUST", "CUST_V1_68EA23DD37A24DF6"),
-    ("某 客户 有限公司", "customer", "CUST", "CUST_V1_68EA23DD37A24DF6"),
-    ("  客户A  ", "customer", "CUST", "CUST_V1_088D700C1A08D897"),
-    ("客户A", "customer", "CUST", "CUST_V1_088D700C1A08D897"),
-    ("ＡＢＣ", "customer", "CUST", "CUST_V1_132A13225B7D8AA6"),
-    ("ABC", "customer", "CUST", "CUST_V1_132A13225B7D8AA6"),
-    ("AR00000125", "bill", "BILL", "BILL_V1_B84DD0C4DC656E55"),
-    ("Customer#000000000", "customer", "CUST", "CUST_V1_37A1F861FBABC510"),
-    ("Supplier#000000000", "supplier", "SUP", "SUP_V1_97B5CF3E8AE398D2"),
-    ("x", "", "", "_V1_89D3CE12AC3A81E8"),
+    ("北岸灯塔贸易行", "customer", "CUST", "CUST_V1_F4E6403F8727C501"),
+    ("陈一鸣", "customer", "CUST", "CUST_V1_1A291822DC53DA5C"),
+    ("陈一鸣", "employee", "EMP", "EMP_V1_3A94387A4BD96135"),
+    ("北岸  灯塔  贸易行", "customer", "CUST", "CUST_V1_15F75D47F1DF383C"),
+    ("北岸 灯塔 贸易行", "customer", "CUST", "CUST_V1_15F75D47F1DF383C"),
+    ("  甲方Q  ", "customer", "CUST", "CUST_V1_DAA0652EAD3452ED"),
+    ("甲方Q", "customer", "CUST", "CUST_V1_DAA0652EAD3452ED"),
+    ("ＱＲＳ", "customer", "CUST", "CUST_V1_27A69F859FC5C3C9"),
+    ("QRS", "customer", "CUST", "CUST_V1_27A69F859FC5C3C9"),
+    ("BL-77-0041", "bill", "BILL", "BILL_V1_22103C5427099A47"),
+    ("Customer#000000000", "customer", "CUST", "CUST_V1_D7818C1825C2F944"),
+    ("Supplier#000000000", "supplier", "SUP", "SUP_V1_1BAE49F48B8A3947"),
+    ("x", "", "", "_V1_6CF6D53B6E7E2096"),
 ]
 
 

@@ -91,7 +91,7 @@ def judged(spark):
     t = dt.datetime(2024, 1, 1, 12, 0, 0)
     us = dt.timedelta(microseconds=5)
     rows = [
-        (1, "developer", "a", "execute_query", t, "SELECT x FROM t WHERE n = '张三' AND k = 77", "mysql", None, None,
+        (1, "developer", "a", "execute_query", t, "SELECT x FROM t WHERE n = '陈一鸣' AND k = 77", "mysql", None, None,
          ["t"], True, 3, 0, ["x"]),
         (2, "viewer", "b", "plug", t + us, "SELECT 1 FROM p", "mysql", "TABLE_NOT_ALLOWED", "p", ["p"], True, 0, 5, []),
         (3, "viewer", "b", "execute_query", t, "NOT SQL 13812345678", "mysql", "SYNTAX_ERROR", "", [], False, 0, 0, []),
@@ -127,7 +127,7 @@ def test_log_file_round_trip(spark, judged, tmp_path):
     records = oa.build_audit(judged)
     write_audit(records, path)
     text = "".join(r.value for r in spark.read.text(path).collect())
-    assert '"rows_returned":0' not in text and "columns_accessed" not in text and "张三" not in text
+    assert '"rows_returned":0' not in text and "columns_accessed" not in text and "陈一鸣" not in text
     (tmp_path / "audit" / "extra.json").write_text(
         '\n\n{"broken": \nnot json\n{"ts": "2025-01-01T00:00:00+08:00", "client": "张"}\n', encoding="utf-8"
     )

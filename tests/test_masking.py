@@ -13,7 +13,7 @@ from veilspark.operators.masking import (
 from veilspark.operators.tags import MASKED
 
 ROWS = [
-    ("张三", "13812345678", "a@test.com", "110101199001011234", 12.5, "call 13812345678", "x"),
+    ("陈一鸣", "13812345678", "a@test.com", "110101199001011234", 12.5, "call 13812345678", "x"),
     (None, "123", "nomail", None, 1.0, "fine", "y"),
     ("N/A", "", "", "z", None, None, None),
 ]
@@ -31,7 +31,7 @@ def people(spark):
 def test_whole_table(people, policy, keys):
     got = apply_masking(people, policy, keys).collect()
     assert [tuple(r) for r in got] == [
-        ("CUST_V1_BADD2192DEA40301", "138****5678", "*@test.com", None, 12.5, "[已遮掩:疑似手机号]", None),
+        ("CUST_V1_1A291822DC53DA5C", "138****5678", "*@test.com", None, 12.5, "[已遮掩:疑似手机号]", None),
         (None, "***", "***", None, 1.0, "fine", None),
         ("N/A", "", "", None, None, None, None),
     ]
@@ -74,14 +74,14 @@ def with_overrides(overrides, **more):
 def test_override_beats_rule(spark, keys):
     p = with_overrides({"dept": {"customer_name": "passthrough", "amount": "deny", "odd": "tokenize"}})
     df = spark.sql("SELECT 'A' AS customer_name, 5 AS amount, 'x' AS odd")
-    assert tuple(apply_masking(df, p, keys, tables=["Dept"]).first()) == ("A", None, "_V1_89D3CE12AC3A81E8")
+    assert tuple(apply_masking(df, p, keys, tables=["Dept"]).first()) == ("A", None, "_V1_6CF6D53B6E7E2096")
     assert apply_masking(df, p, keys).first().amount == 5
 
 
 def test_override_to_tokenise_borrows_the_rule(spark, keys):
     p = with_overrides({"t": {"customer_name": "tokenize"}})
-    df = spark.sql("SELECT '张三' AS customer_name")
-    assert apply_masking(df, p, keys, tables=["t"]).first()[0] == "CUST_V1_BADD2192DEA40301"
+    df = spark.sql("SELECT '陈一鸣' AS customer_name")
+    assert apply_masking(df, p, keys, tables=["t"]).first()[0] == "CUST_V1_1A291822DC53DA5C"
 
 
 def test_strictest_override_wins(spark, keys):
@@ -94,9 +94,9 @@ def test_strictest_override_wins(spark, keys):
 def test_override_belongs_to_its_table(spark, keys):
     p = with_overrides({"dept": {"customer_name": "passthrough"}})
     df = tag_source(spark.sql("SELECT 1 AS id, 'A' AS customer_name"), "dept").alias("d").join(
-        tag_source(spark.sql("SELECT 1 AS id, '张三' AS customer_name"), "people").alias("p"), "id"
+        tag_source(spark.sql("SELECT 1 AS id, '陈一鸣' AS customer_name"), "people").alias("p"), "id"
     ).select(F.col("d.customer_name").alias("a"), F.col("p.customer_name").alias("b"))
-    assert tuple(apply_masking(df, p, keys).first()) == ("A", "CUST_V1_BADD2192DEA40301")
+    assert tuple(apply_masking(df, p, keys).first()) == ("A", "CUST_V1_1A291822DC53DA5C")
 
 
 def test_unknown_action_nulls(spark, keys):
@@ -120,9 +120,9 @@ def test_last_rule_wins():
 
 
 def test_explicit_lineage(spark, policy, keys):
-    df = spark.sql("SELECT '张三' AS amount")
+    df = spark.sql("SELECT '陈一鸣' AS amount")
     masked = apply_masking(df, policy, keys, lineage={"Amount": "Customer_Name"})
-    assert masked.first().amount == "CUST_V1_BADD2192DEA40301"
+    assert masked.first().amount == "CUST_V1_1A291822DC53DA5C"
 
 
 @pytest.fixture(scope="module")
@@ -130,7 +130,7 @@ def summary(spark):
     return tag_source(
         local_frame(
             spark,
-            [("张三", "13812345678", 2026, 10.0), ("李四", "13912345678", 2026, 5.0), ("张三", "1", 2025, 1.0)],
+            [("陈一鸣", "13812345678", 2026, 10.0), ("林二白", "13912345678", 2026, 5.0), ("陈一鸣", "1", 2025, 1.0)],
             "customer_name string, phone string, n_year int, amount double",
         ),
         "summary",
@@ -191,7 +191,7 @@ def test_safe_aggregates_pass_and_others_do_not(summary, policy, keys):
         },
     )
     rows = {r.customer_name: tuple(r)[1:] for r in apply_masking(df, policy, keys).collect()}
-    assert rows["CUST_V1_BADD2192DEA40301"] == (3, 200, 11.0, 5.5, 5.5, None, None)
+    assert rows["CUST_V1_1A291822DC53DA5C"] == (3, 200, 11.0, 5.5, 5.5, None, None)
 
 
 def test_masked_fields(people, policy, spark):
@@ -222,19 +222,19 @@ def test_secret_is_only_needed_for_tokens(spark, policy, monkeypatch):
 
 
 def test_tokens_join_within_a_namespace_only(spark, policy, keys):
-    a = apply_masking(spark.sql("SELECT ' 张三' AS customer_name, 1 AS amount"), policy, keys)
-    b = apply_masking(spark.sql("SELECT '张三' AS client_name, 2 AS total"), policy, keys)
-    c = apply_masking(spark.sql("SELECT '张三' AS employee_name, 3 AS total"), policy, keys)
+    a = apply_masking(spark.sql("SELECT ' 陈一鸣' AS customer_name, 1 AS amount"), policy, keys)
+    b = apply_masking(spark.sql("SELECT '陈一鸣' AS client_name, 2 AS total"), policy, keys)
+    c = apply_masking(spark.sql("SELECT '陈一鸣' AS employee_name, 3 AS total"), policy, keys)
     assert token_join(a, b, ("customer_name", "client_name")).count() == 1
     assert token_join(a, c, ("customer_name", "employee_name")).count() == 0
 
 
 def test_union_takes_the_strictest_branch(spark, policy, keys):
     a = tag_source(spark.sql("SELECT 'x' AS status, 'p' AS code"), "t")
-    b = tag_source(spark.sql("SELECT '张三' AS customer_name, 's' AS secret"), "u")
+    b = tag_source(spark.sql("SELECT '陈一鸣' AS customer_name, 's' AS secret"), "u")
     rows = {tuple(r) for r in mask_union([a, b], policy, keys).collect()}
     assert rows == {
-        ("CUST_V1_BADD2192DEA40301", None),
+        ("CUST_V1_1A291822DC53DA5C", None),
         (apply_masking(spark.sql("SELECT 'x' AS customer_name"), policy, keys).first()[0], None),
     }
 

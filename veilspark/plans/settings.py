@@ -10,7 +10,7 @@ from veilspark.policy import MaskingPolicy, RoleBook, SourceCatalog
 
 # Published test secret: the registered queries and their SQL must share one,
 # and a real secret must not end up in SQL text. Library code never uses it.
-TEST_SECRET = "test_secret_key_for_unit_tests_only_32bytes!"
+TEST_SECRET = "veilspark example key, for tests and registered queries only"
 
 POLICY_DOCUMENT = {
     "defaults": {"unknown_column": "deny", "tokenizer_placeholders": ["", "N/A", "null"]},
