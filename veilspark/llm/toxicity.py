@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import held_out, stored, table
@@ -67,92 +67,65 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return letters.groupBy(gram.alias("gram")).agg(*cells)
 
 
-def hashed_levels(grams: DataFrame) -> DataFrame:
-    """Grams of every order by hash: ``order, gram, context, shorter, n, n0, n1, ...``.
-
-    Order 0 has the counted grams; each next order the grams without their first letter,
-    ``n`` being how many distinct grams they continue (for order 0, how often they stand).
-    ``shorter`` is the hash of the gram without its first letter, 0 for a single letter.
-    """
-    cells = [f"n{c}" for c in range(2 * CROSS)]
-    level = grams.select(F.lit(0).alias("order"), "gram", sum(F.col(c) for c in cells).alias("n"), *cells)
-    union = level
-    for order in range(1, CONTEXT + 1):
-        shorter = level.where(F.length("gram") > 1).groupBy(F.expr("substring(gram, 2)").alias("gram"))
-        level = shorter.agg(F.count(F.lit(1)).alias("n"))
-        union = union.unionByName(level.withColumn("order", F.lit(order)), allowMissingColumns=True)
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = batch["gram"].str.len().to_numpy(dtype=np.int64)
-            codes = np.frombuffer("".join(batch["gram"]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-            first = np.cumsum(sizes) - sizes
-            whole, context, shorter = (np.zeros(len(batch), dtype=np.uint64) for _ in range(3))
-            with np.errstate(over="ignore"):
-                for at in range(CONTEXT + 1):
-                    more = np.nonzero(sizes > at)[0]
-                    last = np.nonzero(sizes == at + 1)[0]
-                    context[last] = whole[last]
-                    letter = codes[first[more] + at] + np.uint64(1)
-                    whole[more] = _step(whole[more], letter)
-                    if at:
-                        shorter[more] = _step(shorter[more], letter)
-            found = {"order": batch["order"], "gram": whole.view("<i8"), "context": context.view("<i8"), "shorter": shorter.view("<i8")}
-            yield pd.DataFrame(found | {c: batch[c].fillna(0).astype("int64") for c in ("n", *cells)})
-
-    schema = "order int, gram long, context long, shorter long, n long, " + ", ".join(f"{c} int" for c in cells)
-    return union.mapInPandas(hashed, schema)
-
-
 def _step(value: np.ndarray, letter: np.ndarray) -> np.ndarray:
     mixed = (value ^ letter) * _PRIME
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def shared_model(levels: DataFrame) -> DataFrame:
-    """Grams of order 0 with ``shared``: their Kneser-Ney probability under both classes together.
+def hash_of_grams(grams: pd.Series) -> np.ndarray:
+    """The hashes that ``gram_hashes`` gives the last letters of these grams."""
+    sizes = grams.str.len().to_numpy(dtype=np.int64)
+    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    first, hashes = np.cumsum(sizes) - sizes, np.zeros(len(grams), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(CONTEXT + 1):
+            more = np.nonzero(sizes > at)[0]
+            hashes[more] = _step(hashes[more], codes[first[more] + at] + np.uint64(1))
+    return hashes
+
+
+def shared_model(grams: pd.Series, counts: np.ndarray) -> np.ndarray:
+    """Kneser-Ney probability of every gram under both classes together.
 
     Higher orders interpolate with the next one, which counts distinct continuations; a
     single letter interpolates with all letters alike.
     """
-    letters = levels.where("shorter = 0").agg(F.count_distinct("gram")).first()[0] + 1
-    alike = F.lit(1.0 / letters)
-    own = below = None
-    for order in range(CONTEXT, -1, -1):
-        of_context = Window.partitionBy("context")
-        own = levels.where(F.col("order") == order).withColumns(
-            {"total": F.sum("n").over(of_context), "types": F.count(F.lit(1)).over(of_context)}
-        )
-        own = own.withColumn("base", alike) if below is None else own.join(below, "shorter", "left").withColumn("base", F.coalesce("lower", alike))
-        chance = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * F.col("base")) / F.col("total")
-        own = own.withColumn("shared", chance)
-        below = own.select(F.col("gram").alias("shorter"), F.col("shared").alias("lower"))
-    return own
-
-
-def class_ratios(grams: DataFrame) -> DataFrame:
-    """``gram, r0, r1, ...``: log of toxic over ordinary probability, learned without fold k; the last from all folds.
+    letters = grams.str.slice(-1).nunique() + 1
+
+    def chances(own: pd.Series, n: np.ndarray) -> np.ndarray:
+        code, kinds = pd.factorize(own.str.slice(0, -1))
+        total = np.bincount(code, weights=n, minlength=len(kinds))
+        types = np.bincount(code, minlength=len(kinds))
+        base = np.full(len(own), 1.0 / letters)
+        longer = (own.str.len() > 1).to_numpy()
+        if longer.any():
+            kind, shorter = pd.factorize(own[longer].str.slice(1))
+            base[longer] = chances(pd.Series(shorter, dtype=object), np.bincount(kind).astype(np.float64))[kind]
+        return (np.maximum(n - DISCOUNT, 0) + DISCOUNT * types[code] * base) / total[code]
+
+    return chances(grams, counts)
+
+
+def class_ratios(found: pd.DataFrame) -> pd.DataFrame:
+    """``gram`` (its hash) and ``r0, r1, ...``: log of toxic over ordinary probability, learned without fold k; the last from all.
 
     Under each class a gram has its discounted count and, in proportion to what was
     discounted and to ``SHARED``, the shared probability. A gram that neither class has seen
     is equally likely in both.
     """
-    of_context = Window.partitionBy("context")
-    counts, sums = {}, {}
+    cells = np.stack([found[f"n{c}"].to_numpy(dtype=np.float64) for c in range(2 * CROSS)]).reshape(2, CROSS, -1)
+    shared = shared_model(found["gram"], cells.sum(axis=(0, 1)))
+    context = pd.factorize(found["gram"].str.slice(0, -1))[0]
+    out = {"gram": hash_of_grams(found["gram"]).view(np.int64)}
     for k in range(CROSS + 1):
-        for y in range(2):
-            counts[f"c{y}{k}"] = sum((F.col(f"n{y * CROSS + j}") for j in range(CROSS) if j != k), F.lit(0))
-            sums[f"total{y}{k}"] = F.sum(f"c{y}{k}").over(of_context)
-            sums[f"types{y}{k}"] = F.sum((F.col(f"c{y}{k}") > 0).cast("int")).over(of_context)
-    summed = grams.select("gram", "context", "shared", *[c.alias(name) for name, c in counts.items()]).withColumns(sums)
-
-    def log(y: int, k: int) -> Column:
-        left = DISCOUNT * F.col(f"types{y}{k}") + SHARED
-        top = F.greatest(F.col(f"c{y}{k}") - DISCOUNT, F.lit(0.0)) + left * F.col("shared")
-        return F.ln(top / (F.col(f"total{y}{k}") + SHARED))
-
-    seen = [F.when(F.col(f"c0{k}") + F.col(f"c1{k}") > 0, log(1, k) - log(0, k)).otherwise(0.0) for k in range(CROSS + 1)]
-    return summed.select("gram", *[r.cast("float").alias(f"r{k}") for k, r in enumerate(seen)])
+        logs = []
+        for n in cells.sum(axis=1) - (cells[:, k] if k < CROSS else 0):
+            total = np.bincount(context, weights=n)[context]
+            types = np.bincount(context, weights=n > 0)[context]
+            logs.append((n, np.log((np.maximum(n - DISCOUNT, 0) + (DISCOUNT * types + SHARED) * shared) / (total + SHARED))))
+        (ordinary, log_ordinary), (toxic, log_toxic) = logs
+        out[f"r{k}"] = np.where(ordinary + toxic > 0, log_toxic - log_ordinary, 0.0).astype(np.float32)
+    return pd.DataFrame(out)
 
 
 def text_features(texts: pd.Series, hashes: np.ndarray, ratios: np.ndarray) -> np.ndarray:
@@ -194,8 +167,8 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> ToxicityModel:
     """Learns from up to ``limit`` labelled rows; without rows of both classes every text scores 0.
 
-    Counting and smoothing are Spark jobs; a hash and four ratios for each gram of the
-    bounded sample come to the driver. Folds for the calibration go by the text, so
+    Counting is a Spark job and smoothing one task over the grams of the bounded sample;
+    a hash and four ratios for each come to the driver. Folds for the calibration go by the text, so
     copies are never on both sides.
     """
     plain = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
@@ -204,7 +177,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit
     both = grams.agg(*[F.sum(sum(F.col(f"n{y * CROSS + j}") for j in range(CROSS))) for y in range(2)]).first()
     if not all(both):
         return ToxicityModel(np.empty(0, np.uint64), np.empty((0, 1)), None)
-    found = class_ratios(shared_model(stored(hashed_levels(grams), "gram-levels"))).toPandas()
+    schema = "gram long, " + ", ".join(f"r{k} float" for k in range(CROSS + 1))
+    # The grams of the bounded sample fit one task.
+    found = grams.groupBy().applyInPandas(class_ratios, schema).toPandas()
     hashes = found["gram"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     hashes, ratios = hashes[order], np.column_stack([found[f"r{k}"].to_numpy()[order] for k in range(CROSS + 1)])
