@@ -142,7 +142,8 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def plan_partitions(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], int]]:
     """``(bits, threshold)`` of every partition that is probed, for the number of partitions that costs least."""
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)  # an empty table is planned like one fingerprint, not with every plan for nothing
+    p = np.diag(both) / n
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for parts in range(1, min(radius + 1, BITS) + 1):
         groups = correlated_groups(n, both, parts)
