@@ -57,3 +57,35 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1)]
     assert contaminated(no_docs, bench).count() == 0
     assert contaminated(odd_docs, bench.limit(0)).count() == 0
+
+
+def test_runs_are_one_slot(spark):
+    """A name or number of more words than the item's, in the middle of a short item, shifts nothing."""
+    name = "the old keeper of the quiet lighthouse walked slowly toward Boston while rain fell across every empty field he passed"
+    number = "the old baker of the quiet village sold nearly exactly 25 loaves while rain fell across every empty field around"
+    bench = spark.createDataFrame([(1, name), (2, number)], "item_id long, text string")
+    docs = [
+        name.replace("Boston", "New York"),
+        name.replace("Boston", "St. Louis"),
+        name.replace("Boston", "New\nYork"),
+        number.replace("25", "twenty five"),
+        name.replace("Boston", "somewhere else"),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 2)}
+    assert all(r.coverage == 1.0 and r.changed and r.conflicts == 0 for r in got.values())
+
+
+def test_capitalised_starts_are_read_both_ways(spark):
+    item = "Zoltan has 12 red apples in a basket. Zoltan gives 3 of them away. Zoltan buys 4 more. How many are left now?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [
+        item.replace("Zoltan", "Farid").replace("12", "20"),
+        "We were asked by Mary\n" + item.replace("Zoltan", "Farid Khan"),
+        "it is said that " + item[0].lower() + item[1:],
+        item.replace(". ", ".\n"),
+        "The shop has many red apples. The clerk gives some of them away. People buy more. How many are left now?",
+    ]
+    got = {r.doc_id: r for r in contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    assert got[0].changed and got[0].coverage == 1.0 and not got[3].changed

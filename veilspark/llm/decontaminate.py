@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words of benchmark items and documents become templates: numbers, names and units turn
-into typed placeholders. Five-token windows of the templates are joined by hash. The
+into typed placeholders, numbers or names in a row into one. A capitalised word that
+starts a sentence is read both as a plain word and as a name. Five-token windows of the templates are joined by hash. The
 windows that a document shares with an item are lined up; the document is contaminated
 where they cover enough of the item and its slots are filled consistently, so a
 question with other numbers or names is found as well.
@@ -10,6 +11,7 @@ question with other numbers or names is found as well.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import product
 from typing import NamedTuple
@@ -66,18 +68,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _token(word: str) -> tuple[str, bool, bool, bool, bool, bool]:
-    """Core of a word; whether it is a number, may be a unit, is a name, is capitalised, ends a sentence."""
+def _token(word: str) -> tuple[str, bool, bool, bool, bool, bool, bool]:
+    """Core of a word; whether it is a number, may be a unit, is a name, is capitalised, may end a sentence, surely does."""
     core = _EDGES.sub("", word)
     low = core.lower()
     capital = core[:1].isupper() and core[1:] == core[1:].lower()
+    number = low in NUMBER_WORDS or bool(_NUMBER.fullmatch(core))
+    bare = word.rstrip("\"')]*")
     return (
         low,
-        low in NUMBER_WORDS or bool(_NUMBER.fullmatch(core)),
+        number,
         low in UNITS,
         low in NAMES and capital,
         capital,
-        word == _LINE or word.rstrip("\"')]*").endswith((".", "!", "?", ":")),
+        word == _LINE or bare.endswith((".", "!", "?", ":")),
+        bare.endswith(("!", "?", ":")) or bare.endswith(".") and (number or len(low) > 3),  # "St." may go on
     )
 
 
@@ -94,7 +99,8 @@ class Windows(NamedTuple):
     hashes: np.ndarray
     at: np.ndarray  # first token, counted over all texts
     kinds: np.ndarray
-    values: np.ndarray  # lower-case cores
+    values: np.ndarray  # lower-case cores, of a run joined by blanks
+    either: np.ndarray  # whether a word stands in it that is read both ways
 
     def slots(self, width: int, chosen: np.ndarray) -> pd.Series:
         """Slots of the chosen windows, as ``offset:kind:value`` parted by a character that no token holds."""
@@ -105,47 +111,98 @@ class Windows(NamedTuple):
         return pd.Series(out, dtype=object)
 
 
-def windows(texts: list[str], width: int, opens: bool = True) -> Windows:
-    """Windows of ``width`` tokens of each text; whether its first word ``opens`` a sentence.
+class Reading(NamedTuple):
+    """Words of several texts, by word but ``cores`` and ``plain``."""
 
-    Punctuation alone is no token; a text with fewer tokens has no window.
-    """
+    texts: int
+    owner: np.ndarray
+    codes: np.ndarray
+    cores: np.ndarray
+    plain: np.ndarray
+    number: np.ndarray
+    unit: np.ndarray
+    named: np.ndarray  # a name wherever it stands
+    capital: np.ndarray
+    starts: np.ndarray  # a sentence may start here
+    breaks: np.ndarray  # a sentence surely starts here
+
+
+def read(texts: list[str]) -> Reading:
+    """What is known of the words of each text; punctuation alone is none."""
     counts, codes, distinct = coded_words(texts, _words)
     facts = [_token(w) for w in distinct]
     cores = np.array([f[0] for f in facts], dtype=object)
-    flags = np.array([f[1:] for f in facts], dtype=bool).reshape(-1, 5)
+    flags = np.array([f[1:] for f in facts], dtype=bool).reshape(-1, 6)
     plain = np.fromiter((xxhash.xxh64_intdigest(f[0].encode("utf-8", "surrogatepass")) for f in facts), np.uint64, len(facts))
     owner = np.repeat(np.arange(len(texts)), counts)
-    real = (cores != "")[codes] if len(codes) else np.zeros(0, dtype=bool)
-    ends_before = np.ones(len(codes), dtype=bool)  # a sentence starts here
-    if len(codes):
-        ends_before[1:] = np.where(owner[1:] == owner[:-1], flags[codes[:-1], 4], opens)
-        ends_before[0] = opens
-    owner, codes, starts = owner[real], codes[real], ends_before[real]
+    if not len(codes):
+        none = np.zeros(0, dtype=bool)
+        return Reading(len(texts), owner, np.zeros(0, dtype=np.int64), cores, plain, none, none, none, none, none, none)
+    real = np.nonzero((cores != "")[codes])[0]
+    starts = np.ones(len(codes), dtype=bool)
+    starts[1:] = flags[codes[:-1], 4] | (owner[1:] != owner[:-1])
+    ends = np.concatenate(([0], np.cumsum(flags[codes, 5])))
+    breaks = np.ones(len(real), dtype=bool)
+    breaks[1:] = (ends[real[1:]] > ends[real[:-1]]) | (owner[real[1:]] != owner[real[:-1]])
+    owner, codes, starts = owner[real], codes[real], starts[real]
     number = flags[codes, 0]
     unit = np.zeros(len(codes), dtype=bool)
-    if len(codes):
-        unit[1:] = flags[codes[1:], 1] & number[:-1] & (owner[1:] == owner[:-1])
-    name = ~number & ~unit & (flags[codes, 2] | (flags[codes, 3] & ~starts))
-    kinds = np.select([number, unit, name], [_SALT["number"], _SALT["unit"], _SALT["name"]], 0)
-    literal = plain[codes]
+    unit[1:] = flags[codes[1:], 1] & number[:-1] & (owner[1:] == owner[:-1])
+    return Reading(len(texts), owner, codes, cores, plain, number, unit, flags[codes, 2], flags[codes, 3], starts, breaks)
+
+
+def windows(texts: list[str] | Reading, width: int, opens: bool = True, names: bool = False) -> Windows:
+    """Windows of ``width`` tokens of each text; whether its first word ``opens`` a sentence.
+
+    Numbers in a row are one token, and names. A capitalised word that starts a sentence is
+    a plain word, or a name with ``names``. Positions count the tokens of the latter reading
+    in either, so that windows of both can be lined up together. Punctuation alone is no
+    token; a text with fewer tokens has no window.
+    """
+    r = texts if isinstance(texts, Reading) else read(texts)
+    first_word = np.ones(len(r.codes), dtype=bool)
+    first_word[1:] = r.owner[1:] != r.owner[:-1]
+    starts = r.starts if opens else r.starts & ~first_word
+
+    def kinds_of(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Kinds of the words, and which of them are a token's first."""
+        kinds = np.select([r.number, r.unit, ~r.number & ~r.unit & name], [_SALT["number"], _SALT["unit"], _SALT["name"]], 0)
+        heads = np.ones(len(kinds), dtype=bool)
+        heads[1:] = r.breaks[1:] | (kinds[1:] != kinds[:-1]) | ((kinds[1:] != _SALT["number"]) & (kinds[1:] != _SALT["name"]))
+        return kinds, heads
+
+    as_names, name_heads = kinds_of(r.capital)
+    kinds, heads = (as_names, name_heads) if names else kinds_of(r.named | r.capital & ~starts)
+    twofold = (as_names == _SALT["name"]) & starts & ~r.named
+    first = np.nonzero(heads)[0]
+    lengths = np.diff(np.concatenate((first, [len(heads)])))
+    literal, values = r.plain[r.codes[first]], r.cores[r.codes[first]] if len(first) else r.cores[:0]
+    for k in np.nonzero(lengths > 1)[0].tolist():
+        values[k] = " ".join(r.cores[r.codes[first[k] : first[k] + lengths[k]]])
+        literal[k] = xxhash.xxh64_intdigest(values[k].encode("utf-8", "surrogatepass"))
+    place = np.cumsum(name_heads) - 1
+    own = np.bincount(r.owner[name_heads], minlength=r.texts)
+    either = np.concatenate(([0], np.cumsum(twofold)))
+    either = either[first + lengths] - either[first]
+    place, owner, kinds = place[first], r.owner[first], kinds[first]
     template = np.where(kinds > 0, _mix(kinds.astype(np.uint64)), literal)
-    own = np.bincount(owner, minlength=len(texts))
-    n = max(0, len(codes) - width + 1)
+    n = max(0, len(first) - width + 1)
     at = np.arange(n)
     whole = owner[:n] == owner[width - 1 :][:n]
     hashes = np.zeros(n, dtype=np.uint64)
     exact = np.full(n, np.uint64(width))
     fixed = np.zeros(n, dtype=np.int64)
+    open_ = np.zeros(n, dtype=np.int64)
     with np.errstate(over="ignore"):
         for j in range(width):
             hashes = _mix(hashes * _ODD + template[j : j + n])
             exact = _mix(exact * _ODD + literal[j : j + n])
             fixed += kinds[j : j + n] == 0
+            open_ += either[j : j + n]
     hashes = np.where(fixed >= min(PLAIN, width), hashes, exact)[whole]
     at = at[whole]
-    position = at - (np.cumsum(own) - own)[owner[at]]
-    return Windows(own, owner[at], position, hashes, at, kinds, cores[codes] if len(codes) else cores[:0])
+    position = place[at] - (np.cumsum(own) - own)[owner[at]]
+    return Windows(own, owner[at], position, hashes, at, kinds, values, (open_ > 0)[whole])
 
 
 _ITEM_WINDOWS = "item_id long, width int, n_windows int, at int, hash long, slots string"
@@ -156,17 +213,18 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Windows of every benchmark item; an item of fewer tokens is one window of its own width.
 
     The first word is read both as the first of a sentence and as one inside, as an item
-    may stand anywhere in a document.
+    may stand anywhere in a document, and capitalised words that start a sentence as names.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch["item_id"].to_numpy()
             for first, held in chunks(batch["text"]):
-                for width, opens in product(range(1, window + 1), (True, False)):
-                    w = windows(held, width, opens)
+                words = read(held)
+                for width, (opens, names) in product(range(1, window + 1), ((True, False), (False, False), (True, True))):
+                    w = windows(words, width, opens, names)
                     size = w.tokens[w.owner]
-                    keep = np.nonzero(size == width if width < window else size >= window)[0]
+                    keep = np.nonzero((size == width if width < window else size >= window) & (w.position <= size - width))[0]
                     yield pd.DataFrame({
                         "item_id": ids[first + w.owner[keep]],
                         "width": width,
@@ -200,11 +258,13 @@ def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             ids, marks = batch["doc_id"], batch["text_hash"].to_numpy()
             for first, held in chunks(batch["text"]):
-                for width in widths:
-                    w = windows(held, width)
+                words = read(held)
+                for width, names in product(widths, (False, True)):
+                    w = windows(words, width, names=names)
                     top = w.hashes >> np.uint64(64 - FILTER_BITS)
                     known = bits[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63))
-                    hit = np.nonzero(known & np.uint64(1))[0]
+                    hit = known & np.uint64(1) > 0
+                    hit = np.nonzero(hit & w.either if names else hit)[0]
                     if len(hit):
                         yield pd.DataFrame({
                             "doc_id": ids.iloc[first + w.owner[hit]].to_numpy(),
@@ -220,15 +280,27 @@ def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     return keyed.mapInPandas(cut, _DOC_WINDOWS)
 
 
-def _consistent(item_slots: str, doc_slots: str, seen: dict) -> bool:
-    """Whether each value of the item keeps meaning one value of the document."""
-    if not item_slots:
-        return True
-    for a, b in zip(item_slots.split(_BETWEEN), doc_slots.split(_BETWEEN)):
-        value = b.split(":", 2)[2]
-        if seen.setdefault(a.split(":", 1)[1], value) != value:
-            return False
-    return True
+def _filled(at: int, item_slots: str, doc_slots: str) -> list[tuple[str, str]]:
+    """Each slot of an item's window with the value that the document gives it."""
+    if not item_slots or not doc_slots:
+        return []
+    values = {offset: value for offset, _, value in (b.split(":", 2) for b in doc_slots.split(_BETWEEN))}
+    pairs = []
+    for offset, slot in (a.split(":", 1) for a in item_slots.split(_BETWEEN)):
+        value = values.get(offset)
+        # No slot there, or a run that the document began before the item, says nothing.
+        if value is not None and not (at == 0 and offset == "0" and value.count(" ") > slot.count(" ")):
+            pairs.append((slot, value))
+    return pairs
+
+
+def _meanings(pairs: Iterator[list[tuple[str, str]]]) -> dict[str, str]:
+    """The value that most windows give each slot; of equally many the first."""
+    votes: dict[str, Counter] = defaultdict(Counter)
+    for filled in pairs:
+        for slot, value in filled:
+            votes[slot][value] += 1
+    return {slot: max(by, key=by.get) for slot, by in votes.items()}
 
 
 def _align(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -240,13 +312,16 @@ def _align(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     best = None
     for _, own in rows.groupby(place):
         seen: dict = {}
-        held, spans, conflicts = set(), [], 0
-        for row in own.sort_values(["doc_at", "at"]).itertuples():
-            if _consistent(row.slots, row.doc_slots, seen):
+        held, spans, refused = set(), [], set()
+        lined = [(row, _filled(row.at, row.slots, row.doc_slots)) for row in own.sort_values(["doc_at", "at"]).itertuples()]
+        meant = _meanings(filled for _, filled in lined)
+        for row, filled in lined:
+            if all(meant[slot] == value for slot, value in filled):
+                seen.update(filled)
                 held.add(row.at)
                 spans.append((row.doc_at, row.at))
             else:
-                conflicts += 1
+                refused.add((row.doc_at, row.at))
         run = longest = 0
         last = None
         for spot in sorted(set(spans), key=lambda s: (s[1] - s[0], s[0])):
@@ -254,6 +329,7 @@ def _align(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             longest, last = max(longest, run), spot
         if not held:
             continue
+        conflicts = len(refused.difference(spans))
         changed = any(k.split(":", 1)[1] != v for k, v in seen.items())
         found = (len(held) / total, longest + width - 1, min(s[0] for s in spans), max(s[0] for s in spans) + width, conflicts, changed)
         best = max(best, found) if best else found
@@ -273,7 +349,8 @@ def contaminated(
 
     Returns a row for each such pair: ``doc_id, text_hash`` (xxhash64 of the text),
     ``item_id, coverage`` (share of the item's windows), ``run`` (tokens in a row),
-    ``first_token, end_token`` (where the best place lies), ``conflicts`` (windows that
+    ``first_token, end_token`` (where the best place lies, numbers or names in a row being
+    one token), ``conflicts`` (windows that
     would give a slot another value, not counted) and ``changed`` (the slots are filled
     otherwise than in the item). Rows equal in id and text are reported once, a null id
     as null. Null and empty texts and items hold nothing, items without an id are passed
@@ -281,7 +358,7 @@ def contaminated(
     """
     items = stored(item_windows(benchmark, window), "item-windows")
     hits = stored(candidate_windows(docs, items), "window-hits")
-    pairs = hits.join(items, ["hash", "width"]).dropDuplicates(["doc_id", "text_hash", "item_id", "doc_at", "at"])
+    pairs = hits.join(items, ["hash", "width"]).dropDuplicates(["doc_id", "text_hash", "item_id", "doc_at", "at", "slots", "doc_slots"])
     pairs = stored(pairs.drop("hash"), "window-pairs")
     key = ["doc_id", "text_hash", "item_id"]
     enough = pairs.groupBy(*key).agg(
