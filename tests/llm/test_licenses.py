@@ -1,6 +1,6 @@
 import re
 
-from veilspark.llm.licenses import BASE_RULES, RULES, scan_licenses
+from veilspark.llm.licenses import _GATE, _UNDER, BASE_RULES, RULES, scan_licenses
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -50,3 +50,46 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(got) == odd_docs.count() and all(r.labels == "" for r in got)
     assert {r.n_words for r in got if r.doc_id == 7} == {60_000}
     assert scan_licenses(no_docs).count() == 0
+
+
+def spelled(parsed):
+    """Every text that a parsed pattern matches, a repeat taken least and most often, a class by its first members."""
+    found = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = ["7" if str(a[0]) == "CATEGORY" else chr(a[1] if str(a[0]) == "LITERAL" else a[1][0]) for a in arg]
+        elif name == "BRANCH":
+            more = [text for branch in arg[1] for text in spelled(branch)]
+        elif name == "SUBPATTERN":
+            more = spelled(arg[3])
+        else:
+            assert name == "MAX_REPEAT", name
+            more = [text * n for n in {arg[0], min(arg[1], arg[0] + 1)} for text in spelled(arg[2])]
+        found = [a + b for a in found for b in dict.fromkeys(more)]
+    return found
+
+
+def test_keyword_and_gate_stand_in_all_that_a_rule_matches():
+    for rule in RULES:
+        pattern = rule.pattern.replace(_UNDER, "licensed under the ")
+        for text in spelled(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, text)
+            assert rule.keyword in f" {text} " and re.search(_GATE, text), (rule, text)
+
+
+def test_names_without_the_family_word(spark):
+    texts = {
+        "Do What The Fuck You Want To Public License": "wtfpl",
+        "licensed under the Expat License": "mit",
+        "the Expat license": "mit",
+        "released under the Simplified License": "bsd-2-clause",
+        "a two-clause license": "bsd-2-clause",
+        "WTFPL license": "wtfpl",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    assert [got[i].labels for i in range(len(texts))] == list(texts.values())
+    assert all(r.score > 0 for r in got.values())

@@ -43,11 +43,15 @@ BASE_RULES = (
 
 # Fixed values: ``label | keyword | names``, names as patterns over words ("2.0" is "2 0").
 _FAMILIES = """
-mit                | mit          | (?:expat|mit)(?: x11)?
+mit                | mit          | mit(?: x11)?
+mit                | expat        | expat(?: x11)?
 apache-1.1         | apache       | apache(?: software)?(?: version| v)? ?1 1
 apache-2.0         | apache       | apache(?: software)?(?: license)?(?: version)? v?2(?: 0)?
 apache             | apache       | apache(?: software)?
-bsd-2-clause       | bsd          | (?:simplified|freebsd|2 clause|two clause)(?: bsd)?
+bsd-2-clause       | bsd          | freebsd(?: bsd)?
+bsd-2-clause       | simplified   | simplified(?: bsd)?
+bsd-2-clause       | 2 clause     | 2 clause(?: bsd)?
+bsd-2-clause       | two clause   | two clause(?: bsd)?
 bsd-2-clause       | bsd          | bsd 2 clause
 bsd-3-clause       | bsd          | (?:new|revised|modified|3 clause|three clause) bsd
 bsd-3-clause       | bsd          | bsd 3 clause
@@ -59,7 +63,7 @@ isc                | isc          | isc
 zlib               | zlib         | zlib(?: libpng)?
 x11                | x11          | x11
 unlicense          | unlicense    | unlicense
-wtfpl              | wtf          | (?:wtfpl|do what the fuck you want to public)
+wtfpl              | you want to public | do what the fuck you want to public
 wtfpl              | wtfpl        | wtfpl
 cc0-1.0            | cc0          | cc0(?: 1 0)?(?: universal)?
 cc0-1.0            | zero         | creative commons zero(?: v?1 0)?
