@@ -70,3 +70,12 @@ def test_top_list_is_cut_before_tokens_are_made(spark):
 
 def test_newest_records_are_a_top_k(spark):
     assert "TakeOrderedAndProject" in physical(spark, "recent_audit")
+
+
+def test_star_derive_keeps_the_first_customers(spark, tmp_path):
+    """More customers than the role may see, stored backwards: the cap follows the key, not the files."""
+    customers = spark.read.parquet(f"{SF}/customer.parquet").limit(1).drop("c_custkey")
+    many = spark.range(6000).selectExpr("6000 - id AS c_custkey").crossJoin(customers)
+    many.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = [r.c_custkey for r in plans.queries()["plan_star_derive"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == list(range(1, 5001))

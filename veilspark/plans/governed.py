@@ -665,8 +665,8 @@ def plan_star_derive(spark, sf):
     except AccessDenied as exc:
         star = exc.code
     code = F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string"))
-    derived = g.governed_derive(customers, "code", code, POLICY)
-    return own.finish(g.governed_select(derived, ["c_custkey", "code"])).withColumn("star", F.lit(star))
+    derived = g.governed_select(g.governed_derive(customers, "code", code, POLICY), ["c_custkey", "code"])
+    return own.finish(g.governed_sort(derived, ["c_custkey"], POLICY)).withColumn("star", F.lit(star))
 
 
 @plan(
