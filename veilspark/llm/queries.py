@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bloom_lm, decontaminate, licenses, mixing, order_minhash, quality_fm, simhash, token_counts, toxicity, warc
+from veilspark.llm import (
+    bloom_lm,
+    collocations,
+    decontaminate,
+    licenses,
+    mixing,
+    order_minhash,
+    periodic_runs,
+    quality_fm,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filter,
+    warc,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": licenses.op8_licenses,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_simhash": simhash.op10_simhash,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_url_filter": url_filter.op12_url_filter,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -29,4 +46,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_source_mix": mixing.OP1_SQL,
         "op2_token_counts": token_counts.OP2_SQL,
         "op7_warc": warc.OP7_SQL,
+        "op12_url_filter": url_filter.OP12_SQL,
+        "op13_collocations": collocations.OP13_SQL,
     }
