@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from veilspark.llm import collocations as C
@@ -57,7 +58,7 @@ def rows_of(df):
 def test_phrases(spark, monkeypatch, small, top):
     """Also with containers that burst, tries that overflow, frequent words and a crowded filter all the time."""
     if small:
-        for name, value in {"BURST": 4, "FULL": 60, "CHUNK_CHARS": 200, "FREQUENT": 12}.items():
+        for name, value in {"BURST": 4, "FULL": 60, "FULL_WORDS": 20, "CHUNK_CHARS": 200, "CHUNK_PLACES": 17, "FREQUENT": 12}.items():
             monkeypatch.setattr(C, name, value)
     rows = list(texts(7))
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
@@ -66,41 +67,46 @@ def test_phrases(spark, monkeypatch, small, top):
     assert len(got) > (5 if top == 3 else 30)
 
 
-def test_trie_keeps_every_count():
-    pick, trie, want = random.Random(1), C.HatTrie(), Counter()
-    spilled = Counter()
-    for _ in range(200):
-        windows = Counter("".join(pick.choice("abcdefgh") for _ in range(pick.randint(2, 5))) for _ in range(100))
+def rows_and_counts(windows, counts):
+    return Counter({tuple(w): n for w, n in zip(windows.tolist(), counts.tolist(), strict=True)})
+
+
+def test_trie_keeps_every_count(monkeypatch):
+    monkeypatch.setattr(C, "BURST", 50)
+    pick, trie, want, spilled = np.random.default_rng(1), C.HatTrie(), Counter(), Counter()
+    for _ in range(60):
+        windows = pick.integers(1, 9, (400, C.LONGEST)).astype(np.int32)
+        windows[pick.random(400) < 0.3, 3:] = 0
         trie.add(windows)
-        want += windows
+        want += Counter(map(tuple, windows.tolist()))
         if trie.size > 3_000:
-            for w, n in trie.spill(1_000):
-                spilled[w] += n
-            assert trie.size <= 1_000
-    for w, n in trie.spill(0):
-        spilled[w] += n
+            spilled += rows_and_counts(*trie.spill(1_000))
+            assert trie.size <= 1_000 and trie.size == sum(c.size for c in trie.nodes.values() if c)
+    windows, counts = trie.spill(0)
+    assert sorted(windows.tolist()) == windows.tolist()
+    spilled += rows_and_counts(windows, counts)
     assert spilled == want and trie.size == 0 and not trie.nodes
+    assert len(trie.spill(0)[0]) == 0
 
 
 def test_containers_burst(monkeypatch):
     monkeypatch.setattr(C, "BURST", 10)
     trie = C.HatTrie()
-    trie.add(Counter({f"a{x}{y}": 1 for x in "bcdefghijkl" for y in "mnopqrstuvwxyz"}))
-    assert trie.nodes["a"] is None and all(trie.nodes["a" + x] is None for x in "bcdefghijkl")
-    assert max(len(c) for c in trie.nodes.values() if c is not None) <= 10
+    trie.add(np.array([(1, x, y, 0, 0) for x in range(2, 13) for y in range(20, 32)], dtype=np.int32))
+    assert trie.nodes[1,] is None and all(trie.nodes[1, x] is None for x in range(2, 13))
+    assert max(c.size for c in trie.nodes.values() if c) <= 10
 
 
 def test_words_beyond_the_filter_break_windows():
-    import numpy as np
-
     none = np.zeros(C.FILTER_BITS >> 6, dtype=np.int64)
     ids = C.WordIds("en", none)
-    assert ids[b"x"] == "\0" and ids.words == [b""]
+    assert ids[b"x"] == 0 and ids.words == [b""]
     ids = C.WordIds("en", ~none)
-    assert [ids[w] for w in (b"x", b"y", b"x", b"\xff")] == ["\x01", "\x02", "\x01", "\0"]
-    for i in range(0xD805):
-        ids[b"%d" % i]
-    assert max(map(ord, ids.values())) > 0xE000 and not any(0xD800 <= ord(c) < 0xE000 for c in ids.values())
+    assert [ids[w] for w in (b"x", b"y", b"x", b"\xff")] == [1, 2, 1, 0]
+    codes = np.array([1, 2, 0, 3, 4, 5, 6, 7, 8, 0, 9], dtype=np.int32)
+    got = [tuple(w) for w in C.windows_of(codes, 0, 20).tolist()]
+    assert got == [(1, 2, 0, 0, 0), (3, 4, 5, 6, 7), (4, 5, 6, 7, 8), (5, 6, 7, 8, 0), (6, 7, 8, 0, 0), (7, 8, 0, 0, 0)]
+    assert [tuple(w) for w in np.concatenate([C.windows_of(codes, i, i + 3) for i in range(0, 11, 3)]).tolist()] == got
 
 
 def test_large_products(spark):

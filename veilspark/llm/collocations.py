@@ -2,10 +2,11 @@
 
 Every place of a text is counted once, with the window of up to five words that starts
 there; a phrase occurs as often as windows start with it. A task counts windows in a
-HAT-trie: a shallow trie over word ids, whose leaves are hash containers that burst into
-one container per next word when they outgrow ``BURST``. When the trie is full, its
-largest subtrees leave it whole, as sorted runs cut by prefix partition; the runs of one
-partition are merged, and every prefix of their windows gets its count.
+HAT-trie: a shallow trie over word ids, whose leaves are hash containers (equal windows
+are found by their hashes) that burst into one container per next word when they outgrow
+``BURST``. When the trie is full, its largest subtrees leave it whole, as sorted runs cut
+by prefix partition; the runs of one partition are merged, and every prefix of their
+windows gets its count.
 
 A window belongs to the partition of its first word, if that word is not frequent;
 otherwise of its first words up to the first that isn't. So no frequent word or phrase
@@ -32,10 +33,12 @@ from veilspark.llm.skew import join_unique
 LONGEST, LEAST = 5, 100
 #: Phrases for each language.
 TOP = 2_000
-#: Entries of a hash container before it bursts, and of a trie before subtrees leave it.
-BURST, FULL = 4_096, 400_000
-#: Places counted in one go.
-CHUNK_CHARS = 1_000_000
+#: Windows of a hash container before it bursts, and of a trie before subtrees leave it (some 30 bytes each).
+BURST, FULL = 16_384, 1_500_000
+#: Distinct words of a task before they leave it with their counts.
+FULL_WORDS = 400_000
+#: Characters counted in one go, and places of a longer text.
+CHUNK_CHARS, CHUNK_PLACES = 3_000_000, 1_000_000
 #: Words of the corpus to a partition, about.
 PARTITION_WORDS = 1 << 21
 #: Words that hold more than one occurrence in so many are frequent; there are fewer of them than this.
@@ -46,8 +49,7 @@ NO_LANG = "und"
 
 _BREAK = b"\xff"  # stands in no UTF-8 text
 _PIECES = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", _BREAK * 10 + b" ")
-#: Word ids are characters, so that a window is a string; 0 breaks windows, surrogates are left out.
-_SURROGATES, _IDS = 0xD800, 0x10F000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -55,8 +57,12 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().translate(_PIECES).replace(_BREAK, b" \xff ").split()
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, seed=xxhash.xxh32_intdigest(lang))
+def lang_seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang)
+
+
+def word_hash(seed: int, word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, seed=seed)
 
 
 def _by_lang(batch: pd.DataFrame) -> Iterator[tuple[str, list[str]]]:
@@ -87,7 +93,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 own = counts.setdefault(lang, Counter())
                 for text in texts:
                     own.update(words_of(text))
-                if sum(map(len, counts.values())) > FULL:
+                if sum(map(len, counts.values())) > FULL_WORDS:
                     yield frame(counts)
                     counts = {}
         yield frame(counts)
@@ -101,7 +107,7 @@ def frequent_filter(words: DataFrame) -> np.ndarray:
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = np.array([word_hash(x, w.encode()) for x, w in zip(batch["lang"], batch["word"], strict=True)], dtype=np.uint64)
+            at = np.array([word_hash(lang_seed(x), w.encode()) for x, w in zip(batch["lang"], batch["word"], strict=True)], dtype=np.uint64)
             at = (at % np.uint64(FILTER_BITS)).astype(np.int64)
             yield pd.DataFrame({"at": at >> 6, "bits": np.left_shift(np.int64(1), at & 63)})
 
@@ -113,79 +119,134 @@ def frequent_filter(words: DataFrame) -> np.ndarray:
 
 
 class WordIds(dict):
-    """A character for every word that passes the filter; ``\\0`` for others and for breaks."""
+    """A number for every word that passes the filter; 0 for others and for breaks."""
 
     def __init__(self, lang: str, held: np.ndarray):
-        super().__init__({_BREAK: "\0"})
-        self.lang, self.held = lang, held
+        super().__init__({_BREAK: 0})
+        self.seed, self.held = lang_seed(lang), held
         self.words: list[bytes] = [b""]
         self.hashes: list[int] = [0]
 
-    def __missing__(self, word: bytes) -> str:
-        hashed = word_hash(self.lang, word)
+    def __missing__(self, word: bytes) -> int:
+        hashed = word_hash(self.seed, word)
         at = hashed % FILTER_BITS
         if not self.held[at >> 6] >> (at & 63) & 1:
-            self[word] = "\0"
-            return "\0"
-        code = len(self.words)
+            self[word] = 0
+            return 0
+        code = self[word] = len(self.words)
         self.words.append(word)
         self.hashes.append(hashed)
-        self[word] = got = chr(code if code < _SURROGATES else code + 0x800)
-        return got
+        return code
+
+
+def windows_of(codes: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """The windows of two words or more that start from ``start`` to before ``stop``; 0 breaks windows and fills them up."""
+    n = min(stop, len(codes)) - start
+    padded = np.concatenate((codes[start : stop + LONGEST - 1], np.zeros(LONGEST - 1, dtype=np.int32)))
+    out = np.stack([padded[k : k + n] for k in range(LONGEST)], axis=1)
+    for k in range(1, LONGEST):
+        out[out[:, k - 1] == 0, k] = 0
+    return out[out[:, 1] > 0]
+
+
+def _hashes(windows: np.ndarray) -> np.ndarray:
+    mixed = np.zeros(len(windows), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(LONGEST):
+            mixed = (mixed ^ windows[:, k].astype(np.uint64)) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def _added_up(windows: np.ndarray, counts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In this order, neighbours that are equal become one; others stay apart."""
+    windows, counts = windows[order], counts[order]
+    fresh = np.ones(len(windows), dtype=bool)
+    fresh[1:] = (windows[1:] != windows[:-1]).any(axis=1)
+    starts = np.flatnonzero(fresh)
+    return windows[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def by_hash(windows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal windows as one, found by their hashes; a rare one may stay twice, between others of its hash."""
+    return _added_up(windows, counts, np.argsort(_hashes(windows), kind="stable"))
+
+
+class Container:
+    """Windows with one prefix, and their counts; equal ones are added up when it fills."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def put(self, windows: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((windows, counts))
+        self.size += len(windows)
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([w for w, _ in self.parts]), np.concatenate([n for _, n in self.parts])
 
-    @property
-    def full(self) -> bool:
-        """Whether ids run out, or the words that didn't pass take up too much."""
-        return len(self.words) > _IDS // 2 or len(self) > _IDS
+    def add_up(self) -> None:
+        self.parts = [by_hash(*self.all())]
+        self.size = len(self.parts[0][0])
 
 
 class HatTrie:
-    """Counts of windows (strings of word ids): hash containers below the shortest prefixes that keep them small."""
+    """Counts of windows: hash containers below the shortest prefixes that keep them small."""
 
     def __init__(self):
         #: By prefix: a container, or None where it has burst.
-        self.nodes: dict[str, dict[str, int] | None] = {}
+        self.nodes: dict[tuple[int, ...], Container | None] = {}
         self.size = 0
 
-    def add(self, windows: Counter) -> None:
-        nodes = self.nodes
-        for window, n in windows.items():
-            depth = 1
-            held = nodes.get(window[:1], 0)
-            while held is None:
-                depth += 1
-                held = nodes.get(window[:depth], 0)
-            if held == 0:
-                held = nodes[window[:depth]] = {}
-            if window in held:
-                held[window] += n
-                continue
-            held[window] = n
-            self.size += 1
-            if len(held) > BURST and depth < LONGEST - 1:
-                self._burst(window[:depth], held)
-
-    def _burst(self, prefix: str, held: dict[str, int]) -> None:
-        depth = len(prefix) + 1
-        self.nodes[prefix] = None
-        for window, n in held.items():
-            self.nodes.setdefault(window[:depth], {})[window] = n
-
-    def spill(self, most: int) -> list[tuple[str, int]]:
-        """Takes out the largest subtrees until at most ``most`` entries are left; their windows and counts."""
+    def add(self, windows: np.ndarray) -> None:
+        self._deal((), *by_hash(windows, np.ones(len(windows), dtype=np.int64)))
+
+    def _deal(self, prefix: tuple[int, ...], windows: np.ndarray, counts: np.ndarray) -> None:
+        """To the containers of each next word."""
+        word = windows[:, len(prefix)]
+        order = np.argsort(word, kind="stable")
+        windows, counts, word = windows[order], counts[order], word[order]
+        bounds = np.flatnonzero(np.diff(word, prepend=-1)).tolist() + [len(word)]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            self._put((*prefix, int(word[lo])), windows[lo:hi], counts[lo:hi])
+
+    def _put(self, prefix: tuple[int, ...], windows: np.ndarray, counts: np.ndarray) -> None:
+        held = self.nodes.get(prefix, False)
+        if held is None:
+            return self._deal(prefix, windows, counts)
+        if held is False:
+            held = self.nodes[prefix] = Container()
+        before = held.size
+        held.put(windows, counts)
+        if held.size > BURST:
+            held.add_up()
+        self.size += held.size - before
+        if held.size > BURST and len(prefix) < LONGEST - 1:
+            self.nodes[prefix] = None
+            self.size -= held.size
+            self._deal(prefix, *held.all())
+        return None
+
+    def spill(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Takes out the largest subtrees until at most ``most`` windows are left: their windows in order, with counts."""
         sizes: Counter = Counter()
         for prefix, held in self.nodes.items():
-            sizes[prefix[0]] += len(held or ())
+            sizes[prefix[0]] += held.size if held else 0
         gone = set()
         for word, size in sizes.most_common():
             if self.size <= most:
                 break
             gone.add(word)
             self.size -= size
-        out = []
+        out = Container()
         for prefix in [p for p in self.nodes if p[0] in gone]:
-            out += (self.nodes.pop(prefix) or {}).items()
-        return out
+            held = self.nodes.pop(prefix)
+            out.parts += held.parts if held else []
+        if not out.parts:
+            return np.zeros((0, LONGEST), dtype=np.int32), np.zeros(0, dtype=np.int64)
+        windows, counts = out.all()
+        return _added_up(windows, counts, np.lexsort(windows.T[::-1]))
 
 
 def _depths(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -194,40 +255,40 @@ def _depths(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.where(cool.any(axis=1), cool.argmax(axis=1) + 1, (words > 0).sum(axis=1))
 
 
-def sorted_runs(lang: str, ids: WordIds, found: list[tuple[str, int]], hot: set[int], parts: int) -> pd.DataFrame:
-    """``part, lang, words, windows, counts``: windows by partition, sorted, with the words they are made of."""
-    names = ["part", "lang", "words", "windows", "counts"]
-    if not found:
+def sorted_runs(lang: str, ids: WordIds, windows: np.ndarray, counts: np.ndarray, hot: set[int], parts: int) -> pd.DataFrame:
+    """``part, lang, words, frequent, windows, counts``: sorted windows cut by partition, with the words they are made of."""
+    names = ["part", "lang", "words", "frequent", "windows", "counts"]
+    if not len(windows):
         return pd.DataFrame([], columns=names)
-    found.sort()
-    codes = np.array([w for w, _ in found], dtype=f"U{LONGEST}").view(np.uint32).reshape(-1, LONGEST).astype(np.int64)
-    codes[codes >= _SURROGATES] -= 0x800
-    counts = np.fromiter((n for _, n in found), dtype=np.int64, count=len(found))
     hashes = np.array(ids.hashes, dtype=np.uint64)
-    depth = _depths(codes, np.fromiter((h in hot for h in ids.hashes), dtype=bool, count=len(hashes)))
-    mixed = np.zeros(len(codes), dtype=np.uint64)
+    frequent = np.fromiter((h in hot for h in ids.hashes), dtype=bool, count=len(hashes))
+    depth = _depths(windows, frequent)
+    mixed = np.zeros(len(windows), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(LONGEST):
-            step = (mixed ^ hashes[codes[:, k]]) * np.uint64(0x9E3779B97F4A7C15)
+            step = (mixed ^ hashes[windows[:, k]]) * _MIX
             mixed = np.where(depth > k, step ^ (step >> np.uint64(31)), mixed)
     part = (mixed % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    bounds = np.concatenate((np.flatnonzero(np.diff(part[order], prepend=-1)), [len(order)]))
+    windows, counts, part = windows[order], counts[order], part[order]
+    size = np.uint32 if counts.max() < 1 << 32 else np.uint64
+    bounds = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
+    place = np.zeros(len(hashes), dtype=np.int64)
     rows = []
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        own = order[lo:hi]
-        used, local = np.unique(codes[own], return_inverse=True)
-        if used[0] > 0:  # 0, the end of a window, comes first even where none ends early
-            used, local = np.concatenate(([0], used)), local + 1
-        kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
-        spelled = b" ".join([ids.words[u] for u in used[1:].tolist()]).decode()
-        windows = np.ascontiguousarray(local.reshape(len(own), LONGEST).T.astype(kind))
-        size = np.uint32 if counts[own].max() < 1 << 32 else np.uint64
-        rows.append((int(part[own[0]]), lang, spelled, windows.tobytes(), counts[own].astype(size).tobytes()))
+        own = windows[lo:hi]
+        used = pd.unique(own.ravel())
+        used = np.sort(used[used > 0])
+        place[used] = np.arange(1, len(used) + 1)
+        kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+        spelled = b" ".join([ids.words[u] for u in used.tolist()]).decode()
+        local = np.ascontiguousarray(place[own].T.astype(kind))
+        data = (local.tobytes(), counts[lo:hi].astype(size).tobytes())
+        rows.append((int(part[lo]), lang, spelled, frequent[used].tobytes(), *data))
     return pd.DataFrame(rows, columns=names)
 
 
-RUN_SCHEMA = "part long, lang string, words string, windows binary, counts binary"
+RUN_SCHEMA = "part long, lang string, words string, frequent binary, windows binary, counts binary"
 
 
 def window_runs(docs: DataFrame, held, hot, parts: int) -> DataFrame:
@@ -237,37 +298,34 @@ def window_runs(docs: DataFrame, held, hot, parts: int) -> DataFrame:
         bits, frequent = held.value, hot.value
         tries: dict[str, tuple[WordIds, HatTrie]] = {}
 
-        def out(langs: list[str], most: int) -> Iterator[pd.DataFrame]:
-            for lang in langs:
-                ids, trie = tries[lang]
-                yield sorted_runs(lang, ids, trie.spill(most), frequent, parts)
-                if not most:
-                    del tries[lang]
+        def out(lang: str, most: int) -> pd.DataFrame:
+            ids, trie = tries[lang] if most else tries.pop(lang)
+            return sorted_runs(lang, ids, *trie.spill(most), frequent, parts)
 
         for batch in batches:
             for lang, texts in _by_lang(batch):
                 ids, trie = tries.setdefault(lang, (WordIds(lang, bits), HatTrie()))
-                windows: Counter = Counter()
+                codes: list[int] = []
                 for text in texts:
-                    for piece in "".join([ids[w] for w in words_of(text)]).split("\0"):
-                        windows.update([piece[i : i + LONGEST] for i in range(len(piece) - 1)])
-                    if len(windows) > FULL:  # a very long text
-                        trie.add(windows)
-                        windows = Counter()
-                        if trie.size > FULL:
-                            yield sorted_runs(lang, ids, trie.spill(FULL // 2), frequent, parts)
-                trie.add(windows)
-                if ids.full:
-                    yield from out([lang], 0)
+                    codes += [ids[w] for w in words_of(text)]
+                    codes.append(0)
+                places = np.array(codes, dtype=np.int32)
+                for at in range(0, len(places), CHUNK_PLACES):
+                    trie.add(windows_of(places, at, at + CHUNK_PLACES))
+                    if trie.size > FULL:
+                        yield out(lang, FULL // 2)
+                if len(ids) > FULL:
+                    yield out(lang, 0)  # words take up memory, too
                 while sum(t.size for _, t in tries.values()) > FULL:
                     largest = max(tries, key=lambda x: tries[x][1].size)
-                    yield from out([largest], min(FULL // 2, tries[largest][1].size // 2))
-        yield from out(list(tries), 0)
+                    yield out(largest, tries[largest][1].size // 2)
+        for lang in list(tries):
+            yield out(lang, 0)
 
     return docs.select("lang", "text").mapInPandas(count, RUN_SCHEMA)
 
 
-def merged_counts(runs: pd.DataFrame, hot: set[int], least: int) -> pd.DataFrame:
+def merged_counts(runs: pd.DataFrame, least: int) -> pd.DataFrame:
     """``lang, phrase, a`` of the runs of one partition: each prefix of two words or more with its count here.
 
     A phrase with a word that isn't frequent is in this partition alone: if it occurs too
@@ -278,12 +336,13 @@ def merged_counts(runs: pd.DataFrame, hot: set[int], least: int) -> pd.DataFrame
         spelled = [s.split(" ") if s else [] for s in own["words"]]
         codes, distinct = pd.factorize(np.array([w for s in spelled for w in s] + [None], dtype=object)[:-1])
         codes = codes + 1
-        frequent = np.array([False] + [word_hash(lang, w.encode()) in hot for w in distinct])
+        frequent = np.zeros(len(distinct) + 1, dtype=bool)
+        frequent[codes] = np.frombuffer(b"".join(own["frequent"]), dtype=bool)
         windows, counts, at = [], [], 0
         for words, data, n in zip(spelled, own["windows"], own["counts"], strict=True):
             local = np.concatenate(([0], codes[at : at + len(words)])).astype(np.int32)
             at += len(words)
-            width = 2 if len(words) + 1 <= 1 << 16 else 4
+            width = 2 if len(words) < 1 << 16 else 4
             ids = np.frombuffer(data, dtype=f"u{width}").reshape(LONGEST, -1)
             windows.append(local[ids])
             counts.append(np.frombuffer(n, dtype=f"u{len(n) // ids.shape[1]}").astype(np.int64))
@@ -318,11 +377,11 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> Data
     often = words.where(F.col("n") >= least)
     crowd = max(least, total // min(FREQUENT, 8 * parts))
     frequent = words.where(F.col("n") > crowd).select("lang", "word").toLocalIterator()
-    hot = context.broadcast({word_hash(r.lang, r.word.encode()) for r in frequent})
+    hot = context.broadcast({word_hash(lang_seed(r.lang), r.word.encode()) for r in frequent})
     held = context.broadcast(frequent_filter(often))
 
     def merged(runs: pd.DataFrame) -> pd.DataFrame:
-        return merged_counts(runs, hot.value, least)
+        return merged_counts(runs, least)
 
     found = window_runs(docs, held, hot, parts).groupBy("part").applyInPandas(merged, "lang string, phrase string, a long")
     counts = stored(found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrase-counts")
