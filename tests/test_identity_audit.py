@@ -181,5 +181,5 @@ def test_shared_folder_prefers_the_cluster_setting():
 
 def test_audit_text_paths(spark):
     df = spark.sql("SELECT false AS p, 'plug' AS tool, 'x 1' AS s, 'mysql' AS d")
-    text = q.audit_text(F.col("p"), F.col("tool"), F.col("s"), F.col("d"))
+    text = q.audit_text(F.col("p"), F.col("tool"), F.col("s"), F.col("d"), F.lit(False))
     assert df.select(text.alias("t")).first().t == ""

@@ -156,5 +156,72 @@ def residual_scan(c: Column) -> Column:
     return F.when(c.rlike(_DIGIT_RUN), scanned).otherwise(c)
 
 
+def holds_text(data_type: T.DataType) -> bool:
+    """Whether a value of this type is text or has text in it."""
+    if isinstance(data_type, T.ArrayType):
+        return holds_text(data_type.elementType)
+    if isinstance(data_type, T.StructType):
+        return any(holds_text(f.dataType) for f in data_type.fields)
+    if isinstance(data_type, T.MapType):
+        return holds_text(data_type.keyType) or holds_text(data_type.valueType)
+    return isinstance(data_type, T.StringType)
+
+
+def _field(c: Column, name: str) -> Column:
+    return c.getField(name)
+
+
+def residual_scan_nested(c: Column, data_type: T.DataType) -> Column:
+    """:func:`residual_scan` of every text inside arrays, structs and maps, whatever their depth.
+
+    The keys of a map stay apart: a replaced one is followed by its number among the entries.
+    """
+    if not holds_text(data_type):
+        return c
+    if isinstance(data_type, T.ArrayType):
+        return F.transform(c, lambda x: residual_scan_nested(x, data_type.elementType))
+    if isinstance(data_type, T.StructType):
+        parts = [residual_scan_nested(_field(c, f.name), f.dataType).alias(f.name) for f in data_type.fields]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    if isinstance(data_type, T.MapType):
+        scanned = F.transform_values(c, lambda k, v: residual_scan_nested(v, data_type.valueType))
+        if not holds_text(data_type.keyType):
+            return scanned
+
+        def entry(e: Column, i: Column) -> Column:
+            key = residual_scan_nested(e.key, data_type.keyType)
+            if isinstance(data_type.keyType, T.StringType):
+                key = F.when(key != e.key, F.concat(key, F.lit(" "), (i + 1).cast("string"))).otherwise(e.key)
+            return F.struct(key, e.value)
+
+        hit = F.exists(F.map_keys(c), lambda k: residual_hit_nested(k, data_type.keyType))
+        return F.when(hit, F.map_from_entries(F.transform(F.map_entries(scanned), entry))).otherwise(scanned)
+    return residual_scan(c)
+
+
+def leaf_texts(c: Column, data_type: T.DataType) -> Column:
+    """All texts inside a value, map keys included, as one array; null and other values give none."""
+    none = F.array().cast("array<string>")
+    if not holds_text(data_type):
+        return none
+    if isinstance(data_type, T.ArrayType):
+        if isinstance(data_type.elementType, T.StringType):
+            return F.coalesce(F.array_compact(c), none)
+        return F.coalesce(F.flatten(F.transform(c, lambda x: leaf_texts(x, data_type.elementType))), none)
+    if isinstance(data_type, T.StructType):
+        return F.concat(*[leaf_texts(_field(c, f.name), f.dataType) for f in data_type.fields if holds_text(f.dataType)])
+    if isinstance(data_type, T.MapType):
+        keys = leaf_texts(F.map_keys(c), T.ArrayType(data_type.keyType))
+        return F.concat(keys, leaf_texts(F.map_values(c), T.ArrayType(data_type.valueType)))
+    return F.array_compact(F.array(c))
+
+
+def residual_hit_nested(c: Column, data_type: T.DataType) -> Column:
+    """True when :func:`residual_scan_nested` would replace some text of the value."""
+    if isinstance(data_type, T.StringType):
+        return residual_hit(c)
+    return F.exists(leaf_texts(c, data_type), residual_hit)
+
+
 def hash_id(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))

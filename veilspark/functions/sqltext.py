@@ -1,11 +1,14 @@
 """Lexical facts about SQL text kept in a query log.
 
-No statement is parsed here: these are regular expressions over a column.
-Structure (tables, columns, shape) arrives as fact tables instead.
+No statement is parsed here. A text is cut into tokens once, by one pattern of its
+dialect; whatever is asked of it afterwards reads the array. Structure (tables,
+columns, shape) arrives as fact tables instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 UNPARSEABLE = "<unparseable>"
@@ -53,43 +56,86 @@ _MYSQL_COMMENT = r"--[^\n]*|#[^\n]*|/\*.*?\*/"
 _PLAIN_COMMENT = r"--[^\n]*|/\*.*?\*/"
 _NUMBER = r"(?:(?=\d)(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?)(?!\w)|(?<![\w.)\]])\.\d+(?:[eE][+-]?\d+)?(?!\w))"
 _BLANKS = r" \s+|[\t\n\x0b\f\r]\s*"
-#: Stands where a value was while names are still in the text.
-_SPOT = "\x01"
+#: A word runs on over dots, so that the parts of a dotted name are never taken for numbers.
+_WORD = r"[)\]]\.\d\w*+|\w++(?:\.\w++)*+"
+_OTHER = r"\s++|[^\w\s'\"`\[\]$#/.)-]++|."
+
+
+def _lexer(comments: str, strings: str, names: str) -> str:
+    return rf"(?s){comments}|(?<!\w)[nN]?(?:{strings})|{names}|{_NUMBER}|{_WORD}|{_OTHER}"
 
 
-def _bare(sql: Column, strings: str, names: str, comments: str) -> Column:
-    """The text without comments. Leftmost match decides what a quote or dash belongs to, so one
-    pass drops comments while stepping over quoted text. Most queries have none."""
-    stripped = F.regexp_replace(sql, f"(?s)({strings}|{names})|(?:{comments})", "$1 ")
-    commented = sql.contains("--") | sql.contains("/*") | sql.contains("#")
-    return F.when(commented, stripped).otherwise(sql)
+_LEXERS = {
+    "mysql": _lexer(_MYSQL_COMMENT, _MYSQL_STRING, _MYSQL_NAME),
+    "tsql": _lexer(_PLAIN_COMMENT, _PLAIN_STRING, _TSQL_NAME),
+    "postgres": _lexer(_PLAIN_COMMENT, f"{_PLAIN_STRING}|{_DOLLAR_STRING}", _NAME),
+}
+_WHOLE_NUMBER = r"^(?:0[xX][0-9a-fA-F]+|\d*\.?\d*(?:[eE][+-]?\d+)?)$"
+
+#: Kinds of tokens.
+STRING, NUMBER, NAME, COMMENT, OPEN, CODE = "string", "number", "name", "comment", "open", "code"
 
 
-def _redact(sql: Column, strings: str, names: str, comments: str, open_quotes: str) -> Column:
-    # Names are matched with the values and so stepped over; each match leaves a mark,
-    # which then goes from behind the names and becomes ? everywhere else.
-    values = rf"(?s)({names})|(?:\b[nN])?(?:{strings})|{_NUMBER}"
-    marked = F.regexp_replace(F.replace(_bare(sql, strings, names, comments), F.lit(_SPOT), F.lit(" ")), values, f"$1{_SPOT}")
-    kept = F.regexp_replace(marked, f"(?s)({names}){_SPOT}", "$1")
-    redacted = F.trim(F.regexp_replace(F.replace(kept, F.lit(_SPOT), F.lit("?")), _BLANKS, " "))
-    # A quote that is neither a name's nor a value's leaves the text undecided.
-    undecided = F.regexp_replace(redacted, f"(?s){names}", "").rlike(f"[{open_quotes}]")
-    return F.when(undecided, F.lit(UNPARSEABLE)).otherwise(redacted)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _by_dialect(dialect: Column, mysql: Column, tsql: Column, postgres: Column) -> Column:
-    kind = F.coalesce(dialect, F.lit("mysql"))
-    return F.when(kind == "mysql", mysql).when(kind == "tsql", tsql).otherwise(postgres)
+    return F.when(dialect == "mysql", mysql).when(dialect == "tsql", tsql).otherwise(postgres)
+
 
+def _dialect(dialect: Column | None) -> Column:
+    return F.lit("mysql") if dialect is None else F.coalesce(dialect, F.lit("mysql"))
 
-def without_comments(sql: Column, dialect: Column) -> Column:
-    """The code of a statement: comments become blanks, quoted names lose their quotes, strings stay quoted."""
-    mysql = F.regexp_replace(_bare(sql, _MYSQL_STRING, _MYSQL_NAME, _MYSQL_COMMENT), f"(?s)({_MYSQL_STRING})|`", "$1")
-    tsql = F.regexp_replace(_bare(sql, _PLAIN_STRING, _TSQL_NAME, _PLAIN_COMMENT), rf"(?s)({_PLAIN_STRING})|[\[\]\"]", "$1")
-    plain_strings = f"{_PLAIN_STRING}|{_DOLLAR_STRING}"
-    postgres = F.regexp_replace(_bare(sql, plain_strings, _NAME, _PLAIN_COMMENT), rf"(?s)({_PLAIN_STRING})|\"", "$1")
-    odd = sql.rlike(r"[`\[\"#]|--|/\*")
-    return F.when(odd, _by_dialect(dialect, mysql, tsql, postgres)).otherwise(sql)
+
+def _kind(token: Column, dialect: Column) -> Column:
+    first, longer = F.substring(token, 1, 1), F.length(token) > 1
+    double = F.when(dialect == "mysql", STRING).otherwise(NAME)
+    bracket = (dialect == "tsql") & longer
+    return (
+        F.when(first.isin("'", '"', "`") & ~longer, F.when((first != "`") | (dialect == "mysql"), OPEN).otherwise(CODE))
+        .when(first == "'", STRING)
+        .when(first == '"', double)
+        .when(first == "`", NAME)
+        .when(first == "[", F.when(bracket, NAME).otherwise(CODE))
+        .when(first == "$", F.when(longer, STRING).otherwise(CODE))
+        .when(token.startswith("--") | token.startswith("/*") | ((first == "#") & (dialect == "mysql")), COMMENT)
+        .when(first.rlike("[0-9.]"), F.when(longer | (first != "."), F.when(token.rlike(_WHOLE_NUMBER), NUMBER).otherwise(CODE)).otherwise(CODE))
+        .when(first.isin("n", "N") & F.substring(token, 2, 1).isin("'", '"'), STRING)
+        .otherwise(CODE)
+    )
+
+
+def sql_tokens(sql: Column, dialect: Column | None = None) -> Column:
+    """``array<struct<kind, token>>`` of a text: the tokens put together give the text again.
+
+    A quote that nothing closes is a token of its own, of kind ``open``.
+    """
+    dialect = _dialect(dialect)
+    texts = _by_dialect(dialect, *[F.regexp_extract_all(sql, F.lit(_LEXERS[d]), F.lit(0)) for d in ("mysql", "tsql", "postgres")])
+    return F.transform(texts, lambda t: F.struct(_kind(t, dialect).alias("kind"), t.alias("token")))
+
+
+def _joined(tokens: Column, strings: str | None, numbers: str | None, bare_names: bool) -> Column:
+    """The text of the tokens, comments as blanks; strings and numbers as given, null as they are."""
+
+    def text(t: Column) -> Column:
+        out = F.when(t.kind == COMMENT, F.lit(" "))
+        if strings is not None:
+            out = out.when(t.kind == STRING, F.lit(strings))
+        if numbers is not None:
+            out = out.when(t.kind == NUMBER, F.lit(numbers))
+        if bare_names:
+            out = out.when(t.kind == NAME, F.regexp_replace(t.token, r"[`\"\[\]]", ""))
+        return out.otherwise(t.token)
+
+    return F.array_join(F.transform(tokens, text), "")
+
+
+def _redacted(tokens: Column) -> Column:
+    text = F.trim(F.regexp_replace(_joined(tokens, "?", "?", False), _BLANKS, " "))
+    return F.when(F.exists(tokens, lambda t: t.kind == OPEN), F.lit(UNPARSEABLE)).otherwise(text)
 
 
 def redact_literals(sql: Column, dialect: Column | None = None) -> Column:
@@ -97,12 +143,17 @@ def redact_literals(sql: Column, dialect: Column | None = None) -> Column:
 
     An unbalanced quote cannot be redacted with confidence; it gives a mark.
     """
-    mysql = _redact(sql, _MYSQL_STRING, _MYSQL_NAME, _MYSQL_COMMENT, "'\"`")
-    if dialect is None:
-        return mysql
-    tsql = _redact(sql, _PLAIN_STRING, _TSQL_NAME, _PLAIN_COMMENT, "'\"")
-    postgres = _redact(sql, f"{_PLAIN_STRING}|{_DOLLAR_STRING}", _NAME, _PLAIN_COMMENT, "'\"")
-    return _by_dialect(dialect, mysql, tsql, postgres)
+    return _let(sql_tokens(sql, dialect), _redacted)
+
+
+def capped_text(redacted: Column, dialect: Column) -> Column:
+    """The redacted text of a SELECT that had no row limit, with the one it was run with.
+
+    T-SQL has it behind SELECT; a statement that starts otherwise (WITH) stays as it is.
+    """
+    top = F.regexp_replace(redacted, r"(?i)^(select(?:\s+(?:distinct|all))?)\b", "$1 TOP ?")
+    limited = F.concat(F.regexp_replace(redacted, r"[;\s]+$", ""), F.lit(" LIMIT ?"))
+    return F.when(redacted == UNPARSEABLE, redacted).when(dialect == "tsql", top).otherwise(limited)
 
 
 def sql_fingerprint(normalized: Column) -> Column:
@@ -114,45 +165,58 @@ def has_user_variable(sql: Column) -> Column:
     return sql.contains("@") & sql.rlike(USER_VARIABLE)
 
 
-def has_lock(sql: Column, dialect: Column) -> Column:
-    """Locking reads in any dialect, table hints in T-SQL only.
+#: Words without which a text neither locks nor calls anything banned; most texts have none and are not cut up.
+_SUSPECT = r"(?i)update|share|outfile|dumpfile|bulk|with|" + "|".join(sorted({n for names in BANNED_FUNCTIONS.values() for n in names}))
 
-    A plain search of the lower-cased text spares most queries the patterns.
-    """
-    raw, sql = sql, without_comments(sql, dialect)
-    updating = F.lower(raw).contains("update") & sql.rlike(r"(?i)for\s+update")
-    shared = sql.rlike(r"(?i)lock\s+in\s+share\s+mode") | redact_literals(raw, dialect).rlike(
-        r"(?i)\bfor\s+share\b"
-    )
-    sharing = F.when(F.lower(raw).contains("share"), shared).otherwise(F.lit(False))
-    hinted = (dialect == "tsql") & sql.rlike(rf"(?i)with\s*\(\s*({'|'.join(LOCK_HINTS)})")
-    return updating | hinted | sharing
 
+def _locks(tokens: Column, dialect: Column) -> Column:
+    """Locking reads in any dialect, table hints in T-SQL only. Quotes and comments hide nothing."""
 
-def banned_function(sql: Column, dialect: Column) -> Column:
-    """Name of the first banned routine or clause in the text, else null.
+    def found(code: Column) -> Column:
+        share = _joined(tokens, "?", None, True).rlike(r"(?i)\bfor\s+share\b")
+        hints = rf"(?i)with\s*\(\s*({'|'.join(LOCK_HINTS)})"
+        return code.rlike(r"(?i)for\s+update|lock\s+in\s+share\s+mode") | ((dialect == "tsql") & code.rlike(hints)) | share
+
+    return _let(_joined(tokens, None, None, True), found)
 
-    Literals are removed first, so a name inside a string does not count. That
-    only happens for texts that hold a banned name at all.
-    """
-    raw, sql = sql, without_comments(sql, dialect)
-    code = redact_literals(sql, dialect)
 
-    def called(kind: str) -> Column:
+def _banned(tokens: Column, dialect: Column) -> Column:
+    """A name inside a string is no call; a clause is looked for everywhere."""
+
+    def called(text: Column, kind: str) -> Column:
         names = "|".join(BANNED_FUNCTIONS[kind])
-        name = F.regexp_extract(code, rf"(?i)(?<![\w@])({names})\s*\(", 1)
-        named = raw.contains("(") & sql.rlike(rf"(?i)(?<![\w@])(?:{names})")
-        return F.when(named, F.nullif(name, F.lit("")))
+        return F.nullif(F.regexp_extract(text, rf"(?i)(?<![\w@])({names})\s*\(", 1), F.lit(""))
 
-    outfile = F.when(
-        sql.rlike(r"(?i)into\s+(outfile|dumpfile)"), F.lit("INTO OUTFILE/DUMPFILE")
-    )
-    bulk = F.when(sql.rlike(r"(?i)bulk\s+insert"), F.lit("BULK INSERT"))
-    return (
-        F.when(dialect == "tsql", F.coalesce(called("tsql"), bulk))
-        .when(dialect == "mysql", F.coalesce(called("mysql"), outfile))
-        .otherwise(called("mysql"))
-    )
+    def clause(pattern: str, name: str) -> Column:
+        return F.when(_joined(tokens, None, None, True).rlike(pattern), F.lit(name))
+
+    def found(text: Column) -> Column:
+        mysql = F.coalesce(called(text, "mysql"), clause(r"(?i)into\s+(outfile|dumpfile)", "INTO OUTFILE/DUMPFILE"))
+        tsql = F.coalesce(called(text, "tsql"), clause(r"(?i)bulk\s+insert", "BULK INSERT"))
+        return _by_dialect(dialect, mysql, tsql, called(text, "mysql"))
+
+    return _let(_joined(tokens, "?", "?", True), found)
+
+
+def text_flags(sql: Column, dialect: Column | None = None) -> Column:
+    """``struct<locks: boolean, banned: string>``: what ``has_lock`` and ``banned_function`` say, from one cutting."""
+    dialect = _dialect(dialect)
+
+    def flags(tokens: Column) -> Column:
+        return F.struct(_locks(tokens, dialect).alias("locks"), _banned(tokens, dialect).alias("banned"))
+
+    none = F.struct(F.lit(False).alias("locks"), F.lit(None).cast("string").alias("banned"))
+    return F.when(sql.rlike(_SUSPECT), _let(sql_tokens(sql, dialect), flags)).otherwise(none)
+
+
+def has_lock(sql: Column, dialect: Column) -> Column:
+    """Whether a text takes locks: locking reads in any dialect, table hints in T-SQL only."""
+    return text_flags(sql, dialect)["locks"]
+
+
+def banned_function(sql: Column, dialect: Column) -> Column:
+    """Name of the first banned routine or clause in the text, else null."""
+    return text_flags(sql, dialect)["banned"]
 
 
 def system_schema(name: Column, dialect: Column) -> Column:

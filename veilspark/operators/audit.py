@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilspark.errors import AccessDenied
 from veilspark.frames import local_frame
-from veilspark.functions.sqltext import sql_fingerprint
+from veilspark.functions.sqltext import redact_literals, sql_fingerprint
 from veilspark.functions.timezones import audit_local_time
 from veilspark.operators.querylog import audit_text
 from veilspark.sources.audit_log import audit_layout
@@ -20,7 +20,11 @@ MAX_RECENT = 100
 
 def _record(df: DataFrame, status: Column, reason: Column, tz_name: Column | str) -> DataFrame:
     parsed = F.col("parsed") if "parsed" in df.columns else F.lit(True)
-    text = audit_text(parsed, F.col("tool"), F.col("sql_text"), F.col("dialect"))
+    if "redacted" not in df.columns:
+        df = df.withColumn("redacted", redact_literals(F.col("sql_text"), F.col("dialect")))
+    # What was run had the role's cap in it; what was refused is kept as it was sent.
+    capped = F.col("unlimited") & (status == "success") if "unlimited" in df.columns else F.lit(False)
+    text = audit_text(parsed, F.col("tool"), F.col("redacted"), F.col("dialect"), capped)
     named = (
         df.withColumn("normalized_sql", text)
         .withColumn("sql_hash", sql_fingerprint(F.col("normalized_sql")))
@@ -38,7 +42,7 @@ def denial_reason(code: Column, detail: Column) -> Column:
 def build_audit(events: DataFrame, tz_name: Column | str = "Asia/Shanghai") -> DataFrame:
     """One record per judged query: literal-free text, never values or results.
 
-    ``events`` has the columns of ``querylog.judge`` and optionally
+    ``events`` has the columns of ``querylog.judge`` (best with ``redact``) and optionally
     ``masked_columns, columns_accessed, rows_returned, duration_ms``.
     """
     denied = F.col("code").isNotNull()
@@ -77,19 +81,21 @@ def audit_event(
     rows_returned: int = 0,
     duration_ms: int = 0,
     at: datetime | None = None,
+    error_type: str | None = None,
+    unlimited: bool = False,
 ) -> DataFrame:
-    """One query of a session as input for :func:`build_audit`."""
+    """One query of a session as input for :func:`build_audit`, or :func:`build_denied` if it was refused or failed."""
     now = at or datetime.now(timezone.utc).replace(tzinfo=None)
     row = (
         client, role, tool, now, sql_text, dialect, denied and denied.code, denied and denied.detail,
-        list(tables), list(masked_columns), rows_returned, duration_ms,
+        list(tables), list(masked_columns), rows_returned, duration_ms, error_type, unlimited,
     )
     return local_frame(
         spark,
         [row],
         "client string, role string, tool string, ts timestamp_ntz, sql_text string, dialect string,"
         " code string, detail string, tables array<string>, masked_columns array<string>,"
-        " rows_returned long, duration_ms long",
+        " rows_returned long, duration_ms long, error_type string, unlimited boolean",
     )
 
 
@@ -97,12 +103,11 @@ def clamp_recent(limit: int = DEFAULT_RECENT) -> int:
     return min(max(1, limit), MAX_RECENT)
 
 
-def recent_audit(audit: DataFrame, limit: int = DEFAULT_RECENT, tie: str | None = None) -> DataFrame:
+def recent_audit(audit: DataFrame, limit: int = DEFAULT_RECENT, tie: Sequence[str] = ()) -> DataFrame:
     """The newest records first; a distributed top-k of at most a hundred rows.
 
-    A record whose time can't be read comes last.
+    A record whose time can't be read comes last. Records of one time are ordered by the
+    columns of ``tie``, largest first.
     """
-    order = [F.try_to_timestamp("ts").desc_nulls_last()]
-    if tie is not None:
-        order.append(F.col(tie).desc())
+    order = [F.try_to_timestamp("ts").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in tie]]
     return audit.orderBy(*order).limit(clamp_recent(limit))

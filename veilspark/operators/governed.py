@@ -16,7 +16,7 @@ from veilspark.errors import AccessDenied
 from veilspark.frames import local_frame
 from veilspark.functions.keys import TokenKeys
 from veilspark.functions.sqltext import SYSTEM_SCHEMAS
-from veilspark.operators.lineage import Origin, columns_used, foreign_leaves, sensitive_outputs, trace
+from veilspark.operators.lineage import Origin, columns_used, foreign_leaves, sensitive_outputs, trace, vouch
 from veilspark.operators.masking import ColumnAction, apply_masking, mask_union, project_actions, resolve_actions
 from veilspark.operators.measures import Measure, safe_agg
 from veilspark.operators.tags import (
@@ -189,12 +189,14 @@ def governed_regroup(
         "count": lambda n: col(f"{n}__n"),
         "avg": lambda n: col(f"{n}__sum") / col(f"{n}__n"),
     }
-    return sums.select(
-        *[col(k) for k in keys],
-        *[
-            m.wrap(values[m.func](name)).alias(name, metadata={SAFE: True, MASKED: "passthrough"})
-            for name, m in measures.items()
-        ],
+    return vouch(
+        sums.select(
+            *[col(k) for k in keys],
+            *[
+                m.wrap(values[m.func](name)).alias(name, metadata={SAFE: True, MASKED: "passthrough"})
+                for name, m in measures.items()
+            ],
+        )
     )
 
 
@@ -235,7 +237,7 @@ def governed_derive(
         if action.name.lower() in used and action.reported:
             raise AccessDenied(_DERIVE_CODES[kind], f"{kind} on the unregistered column {action.name} for {name}")
     kept = [col(c) for c in df.columns if c.lower() != name.lower()]
-    return df.select(*kept, expr.alias(name, metadata={CHECKED: True}))
+    return vouch(df.select(*kept, expr.alias(name, metadata={CHECKED: True})))
 
 
 def effective_cap(requested: object, max_rows: int) -> int:
@@ -341,6 +343,7 @@ class GovernedSession:
     keys: TokenKeys | None = None
     client: str = "unknown"
     handed: list | None = None  # tables given out for the query being built
+    asked: list | None = None  # names of the tables it asked for, refused ones too
 
     @classmethod
     def open(cls, spark, role_name: str, book: RoleBook, policy, catalog, keys=None, client="unknown"):
@@ -350,6 +353,8 @@ class GovernedSession:
         return cls(spark, role, book, policy, catalog, keys, client)
 
     def table(self, name: str, where: Sequence[Condition] = ()) -> DataFrame:
+        if self.asked is not None:
+            self.asked.append(name.split(".")[-1].lower())
         df = governed_table(self.spark, name, self.role, self.catalog)
         if self.handed is not None:
             self.handed.append(df)
@@ -378,13 +383,17 @@ class GovernedSession:
         Large tables need their time filter in ``where``, applied before the
         SQL sees them. Outputs that are pure aggregates are found in the plan.
         """
+        inner = replace(self, handed=[])
+        return inner.finish(inner.plugin_plan(sql, args, tables, tool, require_role, where))
+
+    def plugin_plan(self, sql, args, tables, tool="plugin", require_role=None, where=None) -> DataFrame:
+        """The unmasked plan of :meth:`plugin_query`, of the tables it hands out."""
         if require_role:
             needed = ROLE_RANK.get(require_role, 0)
             if ROLE_RANK.get(self.role.name, 0) < needed:
                 raise AccessDenied("ROLE_DENIED", f"{tool} needs {require_role} or higher")
-        inner = replace(self, handed=[])
-        frames = {t: inner.table(t, (where or {}).get(t, ())) for t in tables}
-        return inner.finish(param_query(self.spark, sql, args, **frames))
+        frames = {t: self.table(t, (where or {}).get(t, ())) for t in tables}
+        return param_query(self.spark, sql, args, **frames)
 
     def finish(self, df: DataFrame, limit: object = None) -> DataFrame:
         """Check the plan, cap, then mask: only rows that are returned get tokenised.
@@ -393,17 +402,21 @@ class GovernedSession:
         has, no sensitive column in a sort or a computation. Each output is judged by
         all columns behind it, the strictest deciding.
         """
+        capped, actions = self.prepare(df, limit)
+        return project_actions(capped, actions, self.policy, self.keys)
+
+    def prepare(self, df: DataFrame, limit: object = None) -> tuple[DataFrame, list[ColumnAction]]:
+        """The checked plan with its cap, and what masking will do to its columns."""
         outputs, found = trace(df)
         if self.handed is not None and (foreign := foreign_leaves(found, self.handed)):
-            raise AccessDenied("TABLE_NOT_ALLOWED", f"the plan reads {foreign[0]} beside its tables")
+            raise AccessDenied("TABLE_NOT_ALLOWED", f"the plan reads {foreign[0]} beside the tables it asked for")
         check_union(found.unions + 1, self.role)
         if self._sensitive(found.sorted_by):
             raise AccessDenied("COLUMN_DENIED", "sensitive column in ORDER BY")
         if self._sensitive(found.computed_from):
             raise AccessDenied("FUNCTION_DENIED", "function on a sensitive column")
         capped = capped_limit(df, limit, self.role.max_rows)
-        actions = [self._action(f, o) for f, o in zip(capped.schema.fields, outputs)]
-        return project_actions(capped, actions, self.policy, self.keys)
+        return capped, [self._action(f, o) for f, o in zip(capped.schema.fields, outputs)]
 
     def _sensitive(self, sources: frozenset[str] | set[str]) -> bool:
         return bool({s.partition(".")[2] for s in sources} & self.policy.sensitive_columns)

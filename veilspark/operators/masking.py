@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from veilspark.functions import masking as fm
 from veilspark.functions.keys import TokenKeys
-from veilspark.operators.lineage import has_union, trace
+from veilspark.operators.lineage import has_union, trace, vouch
 from veilspark.operators.tags import (
     CHECKED,
     MASKED,
@@ -42,8 +42,8 @@ class ColumnAction:
 
     @property
     def scanned(self) -> bool:
-        """Passed-through text is still searched for personal numbers."""
-        return not self.reported and isinstance(self.data_type, T.StringType)
+        """Passed-through text, nested or not, is still searched for personal numbers."""
+        return not self.reported and fm.holds_text(self.data_type)
 
 
 def resolve_actions(
@@ -105,7 +105,7 @@ def masked_column(
     kind = action.action
     is_text = isinstance(action.data_type, T.StringType)
     if kind == "passthrough":
-        return fm.residual_scan(c) if is_text else fm.passthrough(c)
+        return fm.residual_scan_nested(c, action.data_type)
     if kind in ("tokenize", "mask_phone", "mask_email"):
         if not is_text and not strict:
             return c
@@ -127,17 +127,27 @@ def project_actions(
     observation: Observation | None = None,
     engine: str = "jvm",
 ) -> DataFrame:
+    """The projection that carries the actions out.
+
+    A column that says it was masked, though nothing of this library masked it, is denied.
+    """
     reject_duplicates(df)
     if keys is None and any(a.action == "tokenize" and not a.done for a in actions):
         keys = TokenKeys.from_env(df.sparkSession)
+    if any(a.done for a in actions):
+        actions = [
+            replace(a, rule=ColumnRule("deny"), done=False) if a.done and None in o.masked else a
+            for a, o in zip(actions, trace(df)[0])
+        ]
     if observation is not None:
         df = df.observe(observation, *_field_metrics(actions))
-    return df.select(
+    masked = df.select(
         *[
             masked_column(a, policy, keys, strict, engine).alias(a.name, metadata={MASKED: a.action})
             for a in actions
         ]
     )
+    return vouch(masked)
 
 
 def apply_masking(
@@ -161,12 +171,23 @@ def apply_masking(
     :func:`observed_fields`. ``engine`` chooses how token input is normalised;
     see :func:`veilspark.functions.masking.nfkc`.
     """
-    actions = resolve_actions(df.schema, policy, tables, lineage, safe, trust_names)
-    if has_union(df):
-        actions = _over_branches(df, actions, policy, {k.lower() for k in lineage or {}})
+    actions = frame_actions(df, policy, tables, lineage, safe, trust_names)
     return project_actions(df, actions, policy, keys, strict, observation, engine)
 
 
+def frame_actions(
+    df: DataFrame,
+    policy: MaskingPolicy,
+    tables: Iterable[str] = (),
+    lineage: Mapping[str, str] | None = None,
+    safe: Iterable[str] = (),
+    trust_names: bool | None = None,
+) -> list[ColumnAction]:
+    """The actions of :func:`resolve_actions`, those of a union by all of its branches."""
+    actions = resolve_actions(df.schema, policy, tables, lineage, safe, trust_names)
+    return _over_branches(df, actions, policy, {k.lower() for k in lineage or {}}) if has_union(df) else actions
+
+
 def _over_branches(
     df: DataFrame, actions: Sequence[ColumnAction], policy: MaskingPolicy, stated: set[str]
 ) -> list[ColumnAction]:
@@ -195,7 +216,7 @@ def _field_metrics(actions: Sequence[ColumnAction]) -> list[Column]:
     metrics = [F.count(F.lit(1)).alias("rows")]
     for i, a in enumerate(actions):
         if a.scanned and not a.done:
-            hit = F.max(F.when(fm.residual_hit(col(a.name)), 1).otherwise(0))
+            hit = F.max(F.when(fm.residual_hit_nested(col(a.name), a.data_type), 1).otherwise(0))
             metrics.append(hit.alias(f"hit_{i}"))
     return metrics
 
@@ -215,7 +236,7 @@ def masked_fields(
     count when at least one cell holds a personal number. An empty frame
     reports nothing. One aggregate pass that reads only the scanned columns.
     """
-    actions = resolve_actions(df.schema, policy, tables, lineage, safe, trust_names)
+    actions = frame_actions(df, policy, tables, lineage, safe, trust_names)
     stats = df.agg(*_field_metrics(actions))
     names = [
         F.when(F.lit(a.reported) if not a.scanned or a.done else F.col(f"hit_{i}") == 1, a.name)

@@ -22,8 +22,10 @@ from veilspark.functions.sqltext import (
     banned_function,
     has_lock,
     has_user_variable,
+    capped_text,
     redact_literals,
     system_schema,
+    text_flags,
 )
 from veilspark.operators.routing import dialect_column, source_column
 from veilspark.policy import MaskingPolicy, RoleBook, SourceCatalog
@@ -171,21 +173,23 @@ def effective_limit(book: RoleBook) -> Column:
     )
 
 
-def text_facts(log: DataFrame) -> DataFrame:
+def text_facts(log: DataFrame, redact: bool = False) -> DataFrame:
     """What the text alone decides, as four small columns.
 
     Computed where the log is scanned: a plan that does not return the text
-    then never has to shuffle it.
+    then never has to shuffle it. With ``redact`` the text without literals
+    takes the place of the text.
     """
     sql, dialect = F.col("sql_text"), F.col("dialect")
-    return log.withColumns(
-        {
-            "_analyzes": _analyzes(sql),
-            "_variable": has_user_variable(sql),
-            "_locks": has_lock(sql, dialect),
-            "_banned": banned_function(sql, dialect),
-        }
-    )
+    facts = log.select(
+        *log.columns,
+        _analyzes(sql).alias("_analyzes"),
+        has_user_variable(sql).alias("_variable"),
+        text_flags(sql, dialect).alias("_flags"),
+    ).withColumns({"_locks": F.col("_flags.locks"), "_banned": F.col("_flags.banned")})
+    if redact:
+        facts = facts.withColumn("redacted", redact_literals(sql, dialect)).drop("sql_text")
+    return facts.drop("_flags")
 
 
 def _failures(df: DataFrame, verdict: Column) -> DataFrame:
@@ -335,14 +339,19 @@ def judge(
     book: RoleBook,
     policy: MaskingPolicy,
     catalog: SourceCatalog,
+    redact: bool = False,
 ) -> DataFrame:
     """The log with ``code, detail, tables, effective_limit``; code null = allowed.
 
     The first failing check decides, in the order syntax, statement, user
     variable, lock, banned function, table, union, column use, large table.
+    ``unlimited`` says that a SELECT states no row limit. With ``redact`` the text
+    leaves the scan as ``redacted``, without its literals, and never as it is.
     """
+    facts = text_facts(log, redact)
+    kept = [c for c in facts.columns if not c.startswith("_")]
     joined = (
-        text_facts(log)
+        facts
         .join(shape, "query_id", "left")
         .join(table_facts(log, refs, book, catalog), "query_id", "left")
         .join(column_facts(uses, policy, book), "query_id", "left")
@@ -359,14 +368,16 @@ def judge(
         filter_denial(),
     )
     no_tables = F.array().cast("array<string>")
+    unlimited = (F.col("statement_type") == "select") & F.col("limit_value").isNull()
     return joined.select(
-        *log.columns,
+        *kept,
         first.alias("verdict"),
         F.coalesce("tables", no_tables).alias("tables"),
         effective_limit(book).alias("effective_limit"),
         F.col("statement_type").isNotNull().alias("parsed"),
+        F.coalesce(unlimited, F.lit(False)).alias("unlimited"),
     ).select(
-        *log.columns, "verdict.code", "verdict.detail", "tables", "effective_limit", "parsed"
+        *kept, "verdict.code", "verdict.detail", "tables", "effective_limit", "parsed", "unlimited"
     )
 
 
@@ -381,7 +392,7 @@ def query_verdict(*args, **kwargs) -> DataFrame:
     )
 
 
-def audit_text(parsed: Column, tool: Column, sql: Column, dialect: Column) -> Column:
-    """Literal-free text; an unparsed query leaves a mark or nothing by path."""
+def audit_text(parsed: Column, tool: Column, redacted: Column, dialect: Column, capped: Column) -> Column:
+    """Literal-free text, with the limit put into a ``capped`` one; an unparsed query leaves a mark or nothing by path."""
     missing = F.when(tool == GENERIC_TOOL, F.lit(UNPARSEABLE)).otherwise(F.lit(""))
-    return F.when(parsed, redact_literals(sql, dialect)).otherwise(missing)
+    return F.when(parsed, F.when(capped, capped_text(redacted, dialect)).otherwise(redacted)).otherwise(missing)

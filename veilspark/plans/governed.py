@@ -641,19 +641,59 @@ def route_tables_by_prefix(spark, sf):
 
 @plan(
     "plan_union_laundering",
-    f"""SELECT {token_sql("c_mktsegment", "customer", "CUST")} AS label FROM customer
-        UNION ALL SELECT {token_sql("c_name", "customer", "CUST")} FROM customer""",
+    f"""SELECT label FROM (SELECT {token_sql("c_mktsegment", "customer", "CUST")} AS label FROM customer
+        UNION ALL SELECT {token_sql("c_name", "customer", "CUST")} FROM customer) ORDER BY label LIMIT 5000""",
 )
 def plan_union_laundering(spark, sf):
-    """A name brought in by the second branch of a union is masked like a name."""
-    text = "SELECT c_mktsegment AS label FROM {customer} UNION ALL SELECT c_name FROM {customer}"
-    return session(spark, sf).plugin_query(text, None, ["customer"], tool="labels")
+    """A name brought in by the second branch of a union is masked like a name.
+
+    All rows of the union are masked, before the first ones of them by their tokens are taken.
+    """
+    own = session(spark, sf)
+    customers = own.table("customer")
+    names = customers.select(F.col("c_mktsegment").alias("label")).union(customers.select("c_name"))
+    masked_rows = apply_masking(names, POLICY, keys(spark))
+    return g.capped_limit(masked_rows.orderBy("label"), 5000, DEVELOPER.max_rows)
+
+
+@plan(
+    "plan_union_derived",
+    """SELECT code, count(*) AS n FROM (SELECT c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR) AS code FROM customer
+       UNION ALL SELECT c_mktsegment || '+' || CAST(c_nationkey AS VARCHAR) FROM customer) GROUP BY code""",
+)
+def plan_union_derived(spark, sf):
+    """What was computed from plain columns in every branch may be shown, grouped and counted above the union."""
+    own = session(spark, sf)
+    rows = [
+        g.governed_select(
+            g.governed_derive(own.table("customer"), "code", F.concat_ws(mark, "c_mktsegment", F.col("c_nationkey").cast("string")), POLICY),
+            ["code"],
+        )
+        for mark in "-+"
+    ]
+    return own.finish(g.governed_group(rows[0].union(rows[1]), ["code"], {"n": Measure.count()}, POLICY))
+
+
+@plan(
+    "plan_union_counts",
+    """SELECT * FROM (SELECT 'all' AS status, count(*) AS total, round(sum(c_acctbal), 2) AS spent FROM customer
+       UNION ALL SELECT 'late', count(*), round(sum(s_acctbal), 2) FROM supplier)""",
+)
+def plan_union_counts(spark, sf):
+    """Counts and sums stay safe through a union; a text constant falls to the default."""
+    own = session(spark, sf)
+    text = """SELECT status, n AS total, spent FROM (
+        SELECT 'all' AS status, count(*) AS n, round(sum(c_acctbal), 2) AS spent FROM {customer}
+        UNION ALL SELECT 'late', count(*), round(sum(s_acctbal), 2) FROM {supplier})"""
+    counted = own.plugin_query(text, None, ["customer", "supplier"], tool="totals")
+    named = F.when(F.col("total") == own.table("customer").count(), "all").otherwise("late")
+    return counted.withColumn("status", F.coalesce("status", named))
 
 
 @plan(
     "plan_star_derive",
     """SELECT c_custkey, c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR) AS code, 'FUNCTION_DENIED' AS star
-       FROM customer LIMIT 5000""",
+       FROM customer ORDER BY c_custkey LIMIT 5000""",
 )
 def plan_star_derive(spark, sf):
     """A star is all columns, sensitive ones too, and refused; plain columns may be computed with."""

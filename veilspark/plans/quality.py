@@ -8,7 +8,7 @@ from veilspark.functions import masking as fm
 from veilspark.operators import masking as om
 from veilspark.operators import quality as oq
 from veilspark.plans.registry import derive, derive_sql, plan, table
-from veilspark.plans.settings import PERSON, POLICY, keys, residual_test_sql
+from veilspark.plans.settings import PERSON, POLICY, keys, residual_sql, residual_test_sql
 
 _PERSON_SQL = derive_sql("customer", PERSON)
 _EXPECTED = {
@@ -134,6 +134,85 @@ def residual_leaks_masked(spark, sf):
     return oq.residual_leaks(om.apply_masking(people, POLICY, keys(spark)))
 
 
+_LINES = "string_split(text, chr(10))"
+_NESTED_SQL = f"""SELECT doc_id, unnest(list_concat({_LINES}, [text, lang], [lang || '/' || text])) AS leaf FROM documents"""
+
+
+def nested_documents(spark, sf):
+    """Texts as the lines of an array, the fields of a struct, and the value and key of a map."""
+    docs = table(spark, sf, "documents")
+    return docs.select(
+        "doc_id",
+        F.split("text", "\n").alias("text"),
+        F.struct(F.array(F.struct(F.col("text").alias("whole"), F.col("n_chars"))).alias("inner"), "lang").alias("source"),
+        F.create_map(F.concat_ws("/", "lang", "text"), F.array("n_chars")).alias("type"),
+    )
+
+
+@plan(
+    "residual_leaks_nested",
+    " UNION ALL ".join(
+        f"SELECT '{column}' AS column_name, kind, cells FROM ({_leak_sql(f'(SELECT unnest({listed}) AS leaf FROM documents)', 'leaf')})"
+        for column, listed in (("text", _LINES), ("source", "[text, lang]"), ("type", "[lang || '/' || text]"))
+    ),
+)
+def residual_leaks_nested(spark, sf):
+    """Numbers inside arrays, structs and maps, each of them counted."""
+    return oq.residual_leaks(nested_documents(spark, sf), ["text", "source", "type"])
+
+
+@plan(
+    "residual_scan_nested",
+    f"""SELECT doc_id, array_to_string(list_transform({_LINES}, lambda x: {residual_sql('x')}), chr(10)) AS lines,
+        {residual_sql('text')} AS whole, lang,
+        CASE WHEN ({residual_sql("(lang || '/' || text)")}) = lang || '/' || text THEN lang || '/' || text
+             ELSE ({residual_sql("(lang || '/' || text)")}) || ' 1' END AS named, n_chars FROM documents""",
+)
+def residual_scan_nested(spark, sf):
+    """Masking reaches the texts inside a nested value and leaves the rest of it as it is."""
+    masked = om.apply_masking(nested_documents(spark, sf), POLICY, keys(spark))
+    return masked.select(
+        "doc_id",
+        F.array_join("text", "\n").alias("lines"),
+        F.col("source.inner")[0]["whole"].alias("whole"),
+        F.col("source.lang").alias("lang"),
+        F.map_keys("type")[0].alias("named"),
+        F.map_values("type")[0][0].alias("n_chars"),
+    )
+
+
+_LINE_EXPECTED = {"customer_name": "tokenize", "phone": "mask_phone", "balance": "passthrough", "address": "deny"}
+_SHARED_KEY = "id % 50"
+
+
+def _repeated_report(name: str, action: str) -> str:
+    bad = {"customer_name": "id % 10 = 0", "phone": "id % 7 = 0 AND phone IS NOT NULL AND phone <> ''"}.get(name, "FALSE")
+    return f"""SELECT '{name}' AS column_name, '{action}' AS expected, count(*) AS total,
+        count(*) FILTER (NOT coalesce({bad}, FALSE)) AS passed, count(*) FILTER (coalesce({bad}, FALSE)) AS failed,
+        count(*) FILTER (NOT coalesce({bad}, FALSE)) / count(*) AS pass_rate
+        FROM (SELECT * FROM ({_PERSON_SQL}) UNION ALL SELECT * FROM ({_PERSON_SQL}) WHERE id % 2 = 0)"""
+
+
+@plan("verify_masking_repeated", " UNION ALL ".join(_repeated_report(c, a) for c, a in _LINE_EXPECTED.items()))
+def verify_masking_repeated(spark, sf):
+    """A key that many rows share, some of them equal: columns are compared as multisets."""
+    people = derive(table(spark, sf, "customer"), PERSON)
+    people = people.unionByName(people.where("id % 2 = 0")).withColumn("shared", F.expr(_SHARED_KEY))
+    raw = people.select("shared", "id", F.col("customer_name").alias("raw_name"), F.col("phone").alias("raw_phone"), *_LINE_EXPECTED)
+    marks = ["shared", "id", "raw_name", "raw_phone"]
+    masked = om.project_actions(
+        raw, [om.ColumnAction(f.name, f.dataType, POLICY.decide("id" if f.name in marks else f.name)) for f in raw.schema.fields],
+        POLICY, keys(spark),
+    )
+    broken = masked.withColumns(
+        {
+            "customer_name": F.expr("IF(id % 10 = 0, raw_name, customer_name)"),
+            "phone": F.expr("IF(id % 7 = 0, raw_phone, phone)"),
+        }
+    )
+    return oq.verify_masking(people, broken, "shared", _LINE_EXPECTED)
+
+
 _CASES = {
     "Customer_Name": "customer_name", "CUSTOMER_NAME": "customer_name", "CustomeR_NamE": "customer_name",
     "Phone": "phone", "PHONE": "phone", "Email": "email", "EMAIL": "email",

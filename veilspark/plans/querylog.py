@@ -297,6 +297,7 @@ TABLES_SQL = """SELECT query_id, string_agg(name, ',' ORDER BY name) AS tables
 JUDGED = f"""{WITH},
 judged AS (SELECT query_id, role, client, tool, ts, sql_text, dialect, duration_ms,
     statement_type IS NOT NULL AS parsed, coalesce(tables, '') AS tables, {LIMIT_SQL} AS effective_limit,
+    coalesce(statement_type = 'select' AND limit_value IS NULL, FALSE) AS unlimited,
     CASE WHEN statement_type IS NULL THEN 'SYNTAX_ERROR'
          WHEN {STATEMENT_CODE} IS NOT NULL THEN {STATEMENT_CODE}
          WHEN {VARIABLE_TEST} THEN 'USER_VARIABLE_DENIED'
