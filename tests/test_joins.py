@@ -47,3 +47,23 @@ def test_clients_are_resolved_on_a_stream(spark, tmp_path):
     query.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {(r.authenticated, r.client) for r in rows} == {(False, None), (True, "c1")}
+
+
+@pytest.mark.parametrize("copies", [1, 6])
+def test_keys_crowded_on_both_sides(spark, copies):
+    """A third of all rows on either side is one key, some of them equal rows; the pairs are those of a plain join."""
+    left = spark.range(1200).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id % 50)) AS t", f"id DIV {copies} AS a")
+    right = spark.range(900).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id % 70)) AS t", f"id DIV {copies} AS b", "NULL AS c")
+    grid = {r.key: (r.across, r.down) for r in joins.replica_grid(left, right, "t", 8).collect()}
+    assert set(grid) == {"hot"} and min(grid["hot"]) > 5
+    got, want = joins.crowded_join(left, right, "t", 8), left.join(right, "t")
+    assert got.columns == want.columns
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_nothing_crowded_is_a_plain_join(spark):
+    left = spark.range(100).selectExpr("id AS t", "id AS a")
+    assert joins.crowded_join(left, left.selectExpr("t", "a AS b"), "t", 8).count() == 100
+    assert joins.crowded_join(left.limit(0), left.selectExpr("t", "a AS b"), "t", 8).count() == 0
+    nulls = left.selectExpr("CAST(NULL AS LONG) AS t", "a")
+    assert joins.crowded_join(nulls, nulls.selectExpr("t", "a AS b"), "t", 8).count() == 0

@@ -268,3 +268,31 @@ def test_ascii_engine_lets_filters_through(spark, policy, keys, tmp_path):
     assert "GreaterThan(amount,90)" in text
     python = apply_masking(df, policy, keys, engine="python")
     assert python.collect() == plain.collect()
+
+
+def test_nested_values_are_scanned(spark, policy, keys):
+    """Texts inside arrays, structs and maps that pass through; everything else of the value stays."""
+    number, mark = "13812345678", "[已遮掩:疑似手机号]"
+    schema = "status array<string>, type struct<a: array<struct<b: string, n: int>>, s: string>, code map<string, array<string>>, total array<int>"
+    rows = [
+        ([number, "x", None], ([(number, 1), (None, 2)], "y"), {f"{number} a": [number], f"b {number}": None, "c": ["z"]}, [1]),
+        (None, None, None, None),
+        ([], ([], None), {}, []),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    masked = apply_masking(df, policy, keys)
+    assert [f.dataType for f in masked.schema.fields] == [f.dataType for f in df.schema.fields]
+    got = masked.collect()
+    assert got[0].status == [mark, "x", None]
+    assert [tuple(x) for x in got[0].type.a] == [(mark, 1), (None, 2)] and got[0].type.s == "y"
+    keys_of = sorted(got[0].code, key=len)
+    assert keys_of[0] == "c" and all(k.startswith(mark) for k in keys_of[1:]) and len(keys_of) == 3
+    assert sorted(got[0].code.values(), key=str) == sorted([[mark], None, ["z"]], key=str)
+    assert got[0].total == [1] and [tuple(r) for r in got[1:]] == [tuple(r) for r in df.collect()[1:]]
+    assert masked_fields(df, policy).first()[0] == ["code", "status", "type"]
+
+
+def test_reported_fields_follow_all_branches(spark, policy):
+    a = tag_source(spark.sql("SELECT 'x' AS status"), "t")
+    b = tag_source(spark.sql("SELECT 'x' AS customer_name"), "t")
+    assert masked_fields(a.union(b), policy).first()[0] == ["status"]

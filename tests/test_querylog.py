@@ -214,3 +214,34 @@ def test_text_is_not_shuffled_for_a_verdict(spark, book, policy, sources, tmp_pa
     optimized = df._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in optimized.splitlines() if "Project" in line and "sql_text" in line]
     assert all("_variable" in line or "AS _analyzes" in line for line in joins)
+
+
+def changed(book, policy, sources):
+    """Rules before some change, for each thing that can change."""
+    from dataclasses import replace
+
+    from veilspark.operators.rejudge import Rules
+
+    role = book.roles["developer"]
+    others = [
+        replace(role, allowed_tables=(*role.allowed_tables, "payroll", "b")), replace(role, allowed_tables=("detail",)),
+        replace(role, max_union_depth=9), replace(role, allow_explain=False),
+    ]
+    books = [replace(book, roles={**book.roles, "developer": r}) for r in others]
+    books += [replace(book, large_tables=frozenset({"summary"})), replace(book, filter_columns=frozenset({"level_1"}))]
+    books += [replace(book, roles={"viewer": book.roles["viewer"]})]
+    plain = replace(policy, rules={**policy.rules, "phone": policy.rules["amount"], "level_1": policy.rules["phone"]})
+    return [Rules(b, policy, sources) for b in books] + [Rules(book, plain, sources), Rules(book, policy, replace(sources, routes=()))]
+
+
+@pytest.mark.parametrize("i", range(9))
+def test_only_touched_queries_are_judged_again(spark, book, policy, sources, i):
+    from veilspark.operators.rejudge import Rules, change, rejudge, touched_queries
+
+    frames = build(spark, [c for c, *_ in CASES])
+    old, new = changed(book, policy, sources)[i], Rules(book, policy, sources)
+    stored = q.query_verdict(*frames, old.book, old.policy, old.catalog)
+    got = sorted(map(tuple, rejudge(stored, *frames, old, new).collect()))
+    assert got == sorted(map(tuple, q.query_verdict(*frames, book, policy, sources).collect()))
+    touched = touched_queries(frames[0], frames[2], frames[3], change(old, new)).count()
+    assert 0 < touched and (touched < len(CASES) or i == 8)

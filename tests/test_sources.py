@@ -10,7 +10,8 @@ from veilspark.frames import local_frame
 from veilspark.operators.catalog import describe_columns, list_datasets
 from veilspark.operators.masking import column_masking_info, sensitive_columns
 from veilspark.operators.routing import route_tables
-from veilspark.policy import DataSource, read_document, resolve_env
+from veilspark.policy import DataSource, read_document
+from veilspark.sources.policy_files import read_large_registry, read_tokens
 from veilspark.sources import (
     column_catalog,
     decimals_as_double,
@@ -56,10 +57,12 @@ def test_empty_yaml_is_an_empty_document(spark, tmp_path):
     assert MaskingPolicy.from_document(read_document(spark, str(path))).rules == {}
 
 
-def test_environment(monkeypatch):
-    monkeypatch.setenv("VEIL_A", "x")
+def test_environment(spark, monkeypatch, tmp_path):
+    monkeypatch.setenv("VEIL_A", 'x"y')
     monkeypatch.delenv("VEIL_B", raising=False)
-    assert resolve_env({"a": ["${VEIL_A}-${VEIL_B}", 5]}) == {"a": ["x-", 5]}
+    path = tmp_path / "doc.json"
+    path.write_text('{"a": ["${VEIL_A}-${VEIL_B}", 5], "b": "${not a name}"}')
+    assert read_document(spark, str(path)) == {"a": ['x"y-', 5], "b": "${not a name}"}
 
 
 def test_last_definition_wins(spark):
@@ -228,3 +231,33 @@ def test_describe_and_list(spark, tmp_path, policy, book):
     }
     with pytest.raises(AccessDenied):
         list_datasets(spark, book, catalog, "hacker")
+
+
+def test_one_registry_read_by_many_tasks(spark, tmp_path):
+    """Entries are cut by bytes wherever the ranges fall; all arrive once, in their order."""
+    entry = lambda i: {"token_hash": f"h{i}", "client_name": "é\\" * (i % 5), "role": "r", "status": "active", "expires_at": None}
+    doc = {"tokens": [entry(i) for i in range(500)]}
+    path = tmp_path / "tokens.json"
+    path.write_text(json.dumps(doc, indent=1, ensure_ascii=False))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        found = read_large_registry(spark, str(path))
+        assert found.rdd.getNumPartitions() > 10
+        rows = found.orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = read_tokens(spark, str(path)).orderBy("pos").collect()
+    assert [tuple(r)[1:] for r in rows] == [tuple(r)[1:] for r in whole] and len(rows) == 500
+
+
+def test_a_brace_inside_a_text(spark, tmp_path):
+    path = tmp_path / "tokens.json"
+    path.write_text(json.dumps({"tokens": [{"token_hash": "a}b", "client_name": "{", "role": "r", "status": "active"}] * 2}))
+    assert [r.token_hash for r in read_large_registry(spark, str(path)).collect()] == ["a}b", "a}b"]
+
+
+def test_no_registry(spark, tmp_path):
+    path = tmp_path / "tokens.json"
+    path.write_text(json.dumps({"tokens": []}))
+    assert read_large_registry(spark, str(path)).count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 
 from veilspark.functions import masking as fm
 from veilspark.functions.keys import TokenKeys
+from veilspark.operators.joins import crowded_join
 from veilspark.operators.lineage import has_union, trace, vouch
 from veilspark.operators.tags import (
     CHECKED,
@@ -325,16 +326,22 @@ def _distinct(branches: Sequence[DataFrame]) -> list[DataFrame]:
 
 
 def token_join(
-    left: DataFrame, right: DataFrame, on: str | tuple[str, str], how: str = "inner"
+    left: DataFrame, right: DataFrame, on: str | tuple[str, str], how: str = "inner", crowded: bool = False
 ) -> DataFrame:
     """Join two masked frames on a token column.
 
     Equal values of one namespace carry equal tokens, so masked data stays
     joinable. A popular value makes a hot token: adaptive execution splits its
-    partition, and a side that proves small is broadcast.
+    partition, and a side that proves small is broadcast. ``crowded``, for inner joins of
+    stored frames, looks for tokens that are hot on both sides first and deals their pairs
+    out; see :func:`veilspark.operators.joins.crowded_join`.
     """
     left_on, right_on = (on, on) if isinstance(on, str) else on
     renamed = right if left_on == right_on else right.withColumnRenamed(right_on, left_on)
+    if crowded:
+        if how != "inner":
+            raise ValueError("only inner joins are dealt out")
+        return crowded_join(left, renamed, left_on)
     return left.join(renamed, left_on, how)
 
 

@@ -1,6 +1,6 @@
 """Registered queries: each Spark plan next to the SQL that must agree with it."""
 
-from veilspark.plans import audits, governed, identity, masking, quality, querylog, scalars, sources
+from veilspark.plans import audits, governed, identity, masking, quality, querylog, scalars, sources, streams
 from veilspark.plans.registry import PLANS, oracle_sql, queries
 
 __all__ = [
@@ -15,4 +15,5 @@ __all__ = [
     "querylog",
     "scalars",
     "sources",
+    "streams",
 ]

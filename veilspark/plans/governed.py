@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veilspark.errors import AccessDenied
 from veilspark.frames import local_frame
 from veilspark.operators import governed as g
+from veilspark.operators.edges import LineageStore, closed_edges
 from veilspark.operators.catalog import describe_frames, list_datasets
 from veilspark.operators.joins import bounded_broadcast
 from veilspark.operators.measures import Measure
@@ -17,6 +18,7 @@ from veilspark.operators.querylog import denial, table_denial
 from veilspark.operators.routing import route_tables
 from veilspark.policy import Route
 from veilspark.plans.registry import derive, derive_sql, in_list, plan, quote, table, values_sql
+from veilspark.sources.audit_log import shared_folder
 from veilspark.plans.settings import (
     BOOK,
     DEVELOPER,
@@ -719,3 +721,31 @@ def plan_safe_outputs(spark, sf):
     text = """SELECT c_mktsegment, count(*) AS n, round(coalesce(sum(c_acctbal), 0), 2) AS spent, max(c_acctbal) AS best
               FROM {customer} GROUP BY c_mktsegment"""
     return session(spark, sf).plugin_query(text, None, ["customer"], tool="segments")
+
+
+_EDGES = [
+    ("people", "label", "customer.c_name"), ("people", "nation_id", "customer.c_nationkey"), ("people", "balance", "customer.c_acctbal"),
+    ("spending", "label", "customer.c_name"), ("spending", "balance", "customer.c_acctbal"),
+    ("labels", "label", "customer.c_name"), ("labels", "label", "supplier.s_name"),
+]
+_READS = {"event_id": "event_id", "read": "CASE user_id % 4 WHEN 0 THEN 'people' WHEN 1 THEN 'spending' WHEN 2 THEN 'labels' ELSE 'other' END"}
+
+
+@plan(
+    "lineage_edges",
+    f"""SELECT view, output, source, count(*) AS n_reads FROM {values_sql(_EDGES, ["view", "output", "source"], "e")}
+        JOIN ({derive_sql("events", _READS)}) ON read = view GROUP BY ALL""",
+)
+def lineage_edges_plan(spark, sf):
+    """Base columns behind views of views, unions among them, and how often a log reads each by way of a view."""
+    store = LineageStore(spark, shared_folder(spark, "lineage"))
+    own = session(spark, sf)
+    people = own.table("customer").select(
+        F.col("c_name").alias("label"), F.col("c_nationkey").alias("nation_id"), F.col("c_acctbal").alias("balance")
+    )
+    people = store.save(people, "people")
+    store.save(g.governed_group(people, ["label"], {"balance": Measure.sum("balance")}, POLICY), "spending")
+    store.save(store.table("spending").select("label").union(own.table("supplier").select("s_name")), "labels")
+    reads = derive(table(spark, sf, "events"), _READS).groupBy("read").agg(F.count(F.lit(1)).alias("n_reads"))
+    edges = closed_edges(store.edges())
+    return edges.join(reads, F.col("read") == F.col("view")).select("view", "output", "source", "n_reads")

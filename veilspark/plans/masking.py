@@ -358,6 +358,29 @@ def token_join(spark, sf):
     )
 
 
+@plan(
+    "token_join_crowded",
+    f"""SELECT customer_name, count(*) AS pairs, sum(l.n) AS weight FROM
+        (SELECT {_CUST.replace("c_name", "name")} AS customer_name, n FROM (SELECT CASE WHEN o_orderkey % 3 = 0
+         THEN 'hot' ELSE 'cust ' || o_custkey END AS name, o_orderkey % 5 AS n FROM orders WHERE o_orderkey % 40 < 8)) l
+        JOIN (SELECT {_CUST.replace("c_name", "name")} AS customer_name FROM (SELECT CASE WHEN event_id % 3 = 0
+         THEN 'hot' ELSE 'cust ' || user_id END AS name FROM events WHERE event_id % 40 < 8)) r USING (customer_name)
+        GROUP BY customer_name""",
+)
+def token_join_crowded(spark, sf):
+    """A token that a third of the rows hold on both sides: its pairs are dealt out over a grid."""
+    k = keys(spark)
+    orders = table(spark, sf, "orders").where("o_orderkey % 40 < 8").selectExpr(
+        "IF(o_orderkey % 3 = 0, 'hot', concat('cust ', o_custkey)) AS customer_name", "o_orderkey % 5 AS amount"
+    )
+    visits = table(spark, sf, "events").where("event_id % 40 < 8").selectExpr(
+        "IF(event_id % 3 = 0, 'hot', concat('cust ', user_id)) AS client_name"
+    )
+    left, right = (om.apply_masking(f, POLICY, k) for f in (orders, visits))
+    joined = om.token_join(left, right, ("customer_name", "client_name"), crowded=True)
+    return joined.groupBy("customer_name").agg(F.count(F.lit(1)).alias("pairs"), F.sum("amount").alias("weight"))
+
+
 @plan(
     "token_join_other_namespace",
     f"""SELECT count(*) AS matches FROM

@@ -7,19 +7,23 @@ lineage feed.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from veilspark.frames import local_frame
 from veilspark.functions import sqltext as tx
 from veilspark.operators import querylog as q
+from veilspark.operators.rejudge import Rules, rejudge
 from veilspark.plans.governed import (
     allowed_sql,
     source_sql,
     table_code_sql,
     table_detail_sql,
 )
-from veilspark.plans.registry import derive, derive_sql, in_list, plan, quote, table, values_sql
+from veilspark.plans.registry import PLANS, derive, derive_sql, in_list, plan, quote, table, values_sql
 from veilspark.plans.settings import BOOK, POLICY, ROUTES
+from veilspark.sources.audit_log import shared_folder
 
 # (text, dialect, type, statements, union depth, limit, has where, tables, uses);
 # tables are (catalog, schema, name), uses are (column, context, function).
@@ -483,3 +487,29 @@ def verdict_summary(spark, sf):
     return judged.groupBy("role", F.coalesce("code", F.lit("ok")).alias("code")).agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+# What was in force before: other tables, another cap on unions, another sensitive column, another large table.
+_BEFORE = Rules(
+    replace(
+        BOOK,
+        roles={
+            **BOOK.roles,
+            "developer": replace(
+                BOOK.roles["developer"], allowed_tables=(*(BOOK.roles["developer"].allowed - {"supplier"}), "payroll")
+            ),
+        },
+        large_tables=BOOK.large_tables - {"lineitem"},
+    ),
+    replace(POLICY, rules={c: replace(r, action="deny") if c == "c_mktsegment" else r for c, r in POLICY.rules.items()}),
+    ROUTES,
+)
+
+
+@plan("rejudged_verdicts", PLANS["query_verdict"].sql)
+def rejudged_verdicts(spark, sf):
+    """Verdicts made under other rules, stored, and brought up to date: as good as judged anew."""
+    path = shared_folder(spark, "verdicts")
+    q.query_verdict(*facts(spark, sf), _BEFORE.book, _BEFORE.policy, _BEFORE.catalog).write.parquet(path)
+    verdicts = rejudge(spark.read.parquet(path), *facts(spark, sf), _BEFORE, Rules(BOOK, POLICY, ROUTES))
+    return verdicts.select("query_id", *[F.coalesce(c, F.lit("ok" if c == "code" else "")).alias(c) for c in ("code", "detail", "message")])

@@ -215,34 +215,14 @@ class SourceCatalog:
         return source.dialect if source else "mysql"
 
 
-def _expanded(text: str) -> str:
-    """``${NAME}`` replaced by the variable, nothing if it is unset; other text stays."""
-    first, *pieces = text.split("${")
-    out = [first]
-    for piece in pieces:
-        name, closed, rest = piece.partition("}")
-        variable = closed and re.fullmatch(r"\w+", name)
-        out.append(os.environ.get(name, "") + rest if variable else "${" + piece)
-    return "".join(out)
-
-
-def resolve_env(document):
-    """The document with the variables of all its strings expanded, at any depth."""
-    holder = [document]
-    waiting: list[tuple] = [(holder, 0)]
-    while waiting:
-        container, key = waiting.pop()
-        value = container[key]
-        if isinstance(value, str):
-            container[key] = _expanded(value)
-        elif isinstance(value, (Mapping, list)):
-            container[key] = copy = dict(value) if isinstance(value, Mapping) else list(value)
-            waiting.extend((copy, k) for k in (copy if isinstance(copy, dict) else range(len(copy))))
-    return holder[0]
+_VARIABLE = re.compile(r"\$\{(\w+)\}")
 
 
 def read_document(spark: SparkSession, path: str) -> dict:
-    """Read one JSON or YAML config file from any storage Spark can reach; a folder must hold one file."""
+    """Read one JSON or YAML config file from any storage Spark can reach; a folder must hold one file.
+
+    ``${NAME}`` stands for an environment variable, nothing if it is unset.
+    """
     found = spark.read.text(path, wholetext=True).limit(2).collect()
     if len(found) > 1:
         raise ValueError(f"{path} holds several files: name one policy document")
@@ -250,11 +230,10 @@ def read_document(spark: SparkSession, path: str) -> dict:
         return {}
     text = found[0][0]
     try:
-        doc = json.loads(text)
+        return json.loads(_VARIABLE.sub(lambda m: json.dumps(os.environ.get(m[1], ""))[1:-1], text))
     except json.JSONDecodeError:
         try:
             import yaml
         except ImportError as exc:
             raise ValueError(f"{path} is not JSON and PyYAML is not installed") from exc
-        doc = yaml.safe_load(text) or {}
-    return resolve_env(doc)
+        return yaml.safe_load(_VARIABLE.sub(lambda m: os.environ.get(m[1], ""), text)) or {}
