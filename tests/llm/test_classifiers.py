@@ -77,6 +77,84 @@ def test_shared_model_sums_to_one():
     assert (total <= 1 + 1e-9).all() and (chance > 0).all()
 
 
+def brute_chance(counts, shared, gram):
+    """Discounted count of a gram after its context; what was taken off, and ``SHARED`` besides, goes by the shared chance."""
+    same = [n for g, n in counts.items() if g[:-1] == gram[:-1]]
+    total, kinds = sum(same), sum(n > 0 for n in same)
+    return (max(counts.get(gram, 0) - X.DISCOUNT, 0) + (X.DISCOUNT * kinds + X.SHARED) * shared) / (total + X.SHARED)
+
+
+def brute_shared(counts, letters):
+    """Kneser-Ney, order by order: a shorter context counts the different letters before it."""
+
+    def chance(counts, gram):
+        same = {g: n for g, n in counts.items() if g[:-1] == gram[:-1]}
+        if len(gram) > 1:
+            kinds = {g for g in counts if len(g) > 1}
+            lower = {}
+            for g in kinds:
+                lower[g[1:]] = lower.get(g[1:], 0) + 1
+            base = chance(lower, gram[1:])
+        else:
+            base = 1 / letters
+        total = sum(same.values())
+        return (max(counts[gram] - X.DISCOUNT, 0) + X.DISCOUNT * len(same) * base) / total
+
+    return {g: chance(counts, g) for g in counts}
+
+
+def test_ratios_against_brute_force():
+    random = np.random.default_rng(2)
+    classes = [["".join(random.choice(list(letters), size=3)) for _ in range(12)] for letters in ("abc", "bcd")]
+    counts = [{}, {}]
+    for own, words in zip(counts, classes, strict=True):
+        for w in words:
+            s = X.START + w + X.END
+            for i in range(1, len(s)):
+                g = s[max(0, i - X.CONTEXT) : i + 1]
+                own[g] = own.get(g, 0) + 1
+    grams = sorted(set(counts[0]) | set(counts[1]))
+    both = {g: counts[0].get(g, 0) + counts[1].get(g, 0) for g in grams}
+    found = pd.DataFrame({"gram": grams})
+    for y in range(2):
+        for fold in range(X.CROSS):
+            found[f"n{y * X.CROSS + fold}"] = [counts[y].get(g, 0) if fold == 1 else 0 for g in grams]
+    shared = brute_shared(both, len({g[-1] for g in grams}) + 1)
+    want = [np.log(brute_chance(counts[1], shared[g], g) / brute_chance(counts[0], shared[g], g)) for g in grams]
+    got = X.class_ratios(found)
+    assert got["r0"].to_numpy() == pytest.approx(want, abs=1e-5) and not got["r1"].any()
+
+    # The score of a text compares its two log-likelihoods, by words.
+    by_gram = dict(zip(grams, want, strict=True))
+    text = " ".join(classes[0][:3] + classes[1][:2] + ["zz"])
+    total = 0.0
+    for w in text.split():
+        s = X.START + w + X.END
+        total += sum(by_gram.get(s[max(0, i - X.CONTEXT) : i + 1], 0.0) for i in range(1, len(s)))
+    blobs = X.packed(found).iloc[0]
+    hashes = np.frombuffer(blobs["hashes"], np.uint64)
+    ratio, _, words = X.text_features(pd.Series([text, None]), hashes, np.frombuffer(blobs["folds"], np.float16).reshape(-1, X.CROSS))
+    assert ratio[0, 0] == pytest.approx(total / 6, abs=0.01) and words.tolist() == [6, 0] and ratio[1, 0] == 0
+
+
+def test_words_are_parted_alike(spark):
+    """White space beyond ASCII parts words in training as it does in scoring."""
+    texts = spark.createDataFrame([("a\u3000b\u00a0C\x1fd", 1)], "text string, label int")
+    got = {r.gram for r in X.gram_counts(texts).collect()}
+    assert {g for g in got if len(g) == 2} == {X.START + w for w in "abcd"}
+
+
+def test_labelled_rows_are_bounded(spark):
+    """An id that very many rows have is one row."""
+    from veilspark.llm.labelled import labelled_texts
+
+    docs = spark.range(2_000).selectExpr("1L AS doc_id", "concat('t', id) AS text", "5 AS n")
+    docs = docs.unionByName(spark.createDataFrame([(2, "x", 1), (2, "x", 1), (None, "y", 1)], "doc_id long, text string, n int"))
+    marks = spark.createDataFrame([(i, 1) for i in range(1, 9)] + [(2, 0), (None, 1)], "doc_id long, toxic int")
+    got = labelled_texts(docs, marks, "toxic").collect()
+    assert len(got) == 2 and {r.label for r in got} == {1} and got[0].asDict().keys() == {"text", "n", "label"}
+
+
 def test_pairs_in_linear_time():
     """The sum-of-squares identity against all pairs one by one."""
     random = np.random.default_rng(3)

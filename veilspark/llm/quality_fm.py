@@ -8,6 +8,7 @@ time by ``sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from veilspark.llm.common import held_out, table
 from veilspark.llm.labelled import FOLDS, HELD_OUT, labelled_texts
 from veilspark.llm.words import chunks, coded_words
 
-#: Labelled rows that are learned from, at most: with 4,096 buckets some 200 MB on the driver in the worst case.
+#: Labelled rows that are learned from, at most: with 4,096 buckets some 200 MB in one task in the worst case.
 MAX_LABELLED = 12_000
 BUCKETS = 4096
 FACTORS = 8
@@ -176,8 +177,8 @@ def stated_chars(docs: DataFrame) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_LABELLED) -> FactorisationMachine | None:
     """Learns from up to ``limit`` labelled rows outside the held-out part; None without any.
 
-    Vectors are made on the executors; those of the bounded sample come to the driver, at
-    four bytes for each distinct bucket of a text.
+    Vectors are made on the executors, four bytes for each distinct bucket of a text; those
+    of the bounded sample are fitted by one task, and only the machine comes to the driver.
     """
     plain = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), stated_chars(docs).alias("n"))
     rows = labelled_texts(plain, labels, label, limit)
@@ -191,8 +192,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", limi
                     found.append((bucket[a:b].astype(np.uint16).tobytes(), value[a:b].astype(np.float16).tobytes(), dense[i].tobytes()))
             yield pd.DataFrame(found, columns=["buckets", "values", "dense"]).assign(label=batch["label"].to_numpy())
 
-    found = rows.mapInPandas(features, "buckets binary, values binary, dense binary, label int").toPandas()
-    return learn(found) if len(found) else None
+    def fitted(found: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"machine": [pickle.dumps(learn(found))]})
+
+    found = rows.mapInPandas(features, "buckets binary, values binary, dense binary, label int")
+    made = found.groupBy().applyInPandas(fitted, "machine binary").first()
+    return pickle.loads(bytes(made["machine"])) if made else None
 
 
 def quality_score(text: Column, n_chars: Column, model: Broadcast) -> Column:

@@ -3,13 +3,15 @@
 Two character models, one of toxic and one of ordinary labelled texts, read every
 word letter by letter with up to five letters of context. Both fall back on one
 Kneser-Ney model of all labelled texts, built from shared continuation counts; what
-neither class has seen is equally likely in both. The log-likelihood ratio of a word
-tells how much likelier it is in toxic text. The ratios of a text's expressions beyond
-a margin are added up, divided by its length, and calibrated on cross-fitted rows.
+neither class has seen is equally likely in both. A text's toxic and ordinary
+log-likelihoods, each divided by its length, are compared whole; what single
+expressions exceed a margin by is added up beside them, as a long text may hold few.
+Both are calibrated on cross-fitted rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ CONTEXT = 5
 DISCOUNT = 0.75
 #: Weight of the shared model under each class, in letters seen after a context.
 SHARED = 50.0
-#: A word counts for as much as its log-likelihood ratio exceeds this.
+#: An expression stands out by as much as its log-likelihood ratio exceeds this.
 MARGIN = 2.0
 CROSS = 3
 THRESHOLD = 0.5
@@ -54,10 +56,21 @@ def gram_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """``gram`` (context and letter), and its counts by class and fold: ``n0, n1, ...`` for class * CROSS + fold."""
+    """``gram`` (context and letter), and its counts by class and fold: ``n0, n1, ...`` for class * CROSS + fold.
+
+    Words are parted here as they are when a text is scored; tasks count them first.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held: Counter = Counter()
+            for text, cell in zip(batch["text"], batch["cell"].tolist(), strict=True):
+                held.update((w, cell) for w in _words(text))
+            yield pd.DataFrame([(w, c, n) for (w, c), n in held.items()], columns=["word", "cell", "n"])
+
     fold = F.pmod(F.xxhash64("text"), F.lit(CROSS))
-    words = texts.select((F.col("label") * CROSS + fold).alias("cell"), F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-    words = words.where("word <> ''").groupBy("word", "cell").agg(F.count(F.lit(1)).alias("n"))
+    celled = texts.select("text", (F.col("label") * CROSS + fold).cast("int").alias("cell"))
+    words = celled.mapInPandas(count, "word string, cell int, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
     framed = F.concat(F.lit(START), "word", F.lit(END))
     letters = words.select("cell", "n", framed.alias("w")).select(
         "cell", "n", "w", F.explode(F.sequence(F.lit(2), F.length("w"))).alias("i")
@@ -107,7 +120,7 @@ def shared_model(grams: pd.Series, counts: np.ndarray) -> np.ndarray:
 
 
 def class_ratios(found: pd.DataFrame) -> pd.DataFrame:
-    """``gram`` (its hash) and ``r0, r1, ...``: log of toxic over ordinary probability, learned without fold k; the last from all.
+    """``gram`` (its hash) and ``r0, r1, ...``: log of toxic over ordinary likelihood, learned without fold k; the last from all.
 
     Under each class a gram has its discounted count and, in proportion to what was
     discounted and to ``SHARED``, the shared probability. A gram that neither class has seen
@@ -128,13 +141,25 @@ def class_ratios(found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def text_features(texts: pd.Series, hashes: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """For each text and each column of ``ratios``: mean excess of its words over the margin; last, the words."""
-    out = np.zeros((len(texts), ratios.shape[1] + 1))
+def packed(found: pd.DataFrame) -> pd.DataFrame:
+    """The ratios as one row of bytes: hashes in order, ratios by fold (16 bits), ratios of all (32 bits)."""
+    ratios = class_ratios(found)
+    hashes = ratios["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    folds = np.column_stack([ratios[f"r{k}"].to_numpy()[order] for k in range(CROSS)])
+    whole = ratios[f"r{CROSS}"].to_numpy()[order]
+    blobs = (hashes[order].tobytes(), folds.astype(np.float16).tobytes(), whole.astype(np.float32).tobytes())
+    return pd.DataFrame([blobs], columns=["hashes", "folds", "whole"])
+
+
+def text_features(texts: pd.Series, hashes: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text, for each column of ``ratios``: difference of its log-likelihoods by words, mean excess over the margin; its words."""
+    ratio, excess = np.zeros((2, len(texts), ratios.shape[1]))
+    size = np.zeros(len(texts))
     for first, held in chunks(texts):
         counts, codes, distinct = coded_words(held, _words)
         at = slice(first, first + len(held))
-        out[at, -1] = counts
+        size[at] = counts
         if not len(codes) or not len(hashes):
             continue
         grams, letters = gram_hashes(distinct)
@@ -142,59 +167,60 @@ def text_features(texts: pd.Series, hashes: np.ndarray, ratios: np.ndarray) -> n
         hit = hashes[found] == grams
         for k in range(ratios.shape[1]):
             words = sums_by_text(letters, np.where(hit, ratios[found, k], 0.0))
-            out[at, k] = sums_by_text(counts, np.maximum(words - MARGIN, 0.0)[codes]) / np.maximum(counts, 1)
-    return out
+            ratio[at, k] = sums_by_text(counts, words[codes]) / np.maximum(counts, 1)
+            excess[at, k] = sums_by_text(counts, np.maximum(words - MARGIN, 0.0)[codes]) / np.maximum(counts, 1)
+    return ratio, excess, size
 
 
-def design(excess: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """What the calibration sees of a text: its length-normalised excess, and how long it is."""
-    return np.column_stack([np.ones(len(excess)), np.log(excess + 0.005), np.log1p(words) / 5])
+def design(ratio: np.ndarray, excess: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What the calibration sees of a text: the difference of its log-likelihoods by length, what stands out, and how long it is."""
+    return np.column_stack([np.ones(len(excess)), ratio, np.log(excess + 0.005), np.log1p(words) / 5])
 
 
 class ToxicityModel:
     """Ratios by gram hash (sorted), and the calibration. Some 12 bytes for each gram of the labelled texts."""
 
-    def __init__(self, hashes: np.ndarray, ratios: np.ndarray, weights: np.ndarray | None):
+    def __init__(self, hashes: bytes, ratios: bytes, weights: np.ndarray | None):
         self.hashes, self.ratios, self.weights = hashes, ratios, weights
 
     def score(self, texts: pd.Series) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
-        got = text_features(texts, self.hashes, self.ratios)
-        return 1 / (1 + np.exp(-np.clip(design(got[:, 0], got[:, -1]) @ self.weights, -30, 30)))
+        hashes, ratios = np.frombuffer(self.hashes, np.uint64), np.frombuffer(self.ratios, np.float32)
+        ratio, excess, words = text_features(texts, hashes, ratios[:, None])
+        return 1 / (1 + np.exp(-np.clip(design(ratio[:, 0], excess[:, 0], words) @ self.weights, -30, 30)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> ToxicityModel:
     """Learns from up to ``limit`` labelled rows; without rows of both classes every text scores 0.
 
     Counting is a Spark job and smoothing one task over the grams of the bounded sample;
-    a hash and four ratios for each come to the driver. Folds for the calibration go by the text, so
-    copies are never on both sides.
+    their hashes and ratios come to the driver as bytes and go on to the workers. Folds for
+    the calibration go by the text, so copies are never on both sides.
     """
     plain = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
     texts = labelled_texts(plain, labels, label, limit)
     grams = stored(gram_counts(texts), "gram-counts")
     both = grams.agg(*[F.sum(sum(F.col(f"n{y * CROSS + j}") for j in range(CROSS))) for y in range(2)]).first()
     if not all(both):
-        return ToxicityModel(np.empty(0, np.uint64), np.empty((0, 1)), None)
-    schema = "gram long, " + ", ".join(f"r{k} float" for k in range(CROSS + 1))
+        return ToxicityModel(b"", b"", None)
     # The grams of the bounded sample fit one task.
-    found = grams.groupBy().applyInPandas(class_ratios, schema).toPandas()
-    hashes = found["gram"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, ratios = hashes[order], np.column_stack([found[f"r{k}"].to_numpy()[order] for k in range(CROSS + 1)])
-    sent = docs.sparkSession.sparkContext.broadcast((hashes, ratios[:, :CROSS]))
+    made = grams.groupBy().applyInPandas(packed, "hashes binary, folds binary, whole binary").first()
+    hashes = bytes(made["hashes"])
+    sent = docs.sparkSession.sparkContext.broadcast((hashes, bytes(made["folds"])))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, folds = np.frombuffer(sent.value[0], np.uint64), np.frombuffer(sent.value[1], np.float16).reshape(-1, CROSS)
         for batch in batches:
-            got = text_features(batch["text"], *sent.value)
-            own = got[np.arange(len(batch)), batch["fold"].to_numpy(dtype=np.int64)]
-            yield pd.DataFrame({"excess": own, "words": got[:, -1], "label": batch["label"]})
+            ratio, excess, words = text_features(batch["text"], names, folds.astype(np.float32))
+            own = np.arange(len(batch)), batch["fold"].to_numpy(dtype=np.int64)
+            yield pd.DataFrame({"ratio": ratio[own], "excess": excess[own], "words": words, "label": batch["label"]})
 
     folded = texts.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(CROSS)).alias("fold"))
-    rows = folded.mapInPandas(features, "excess double, words double, label int").toPandas()
-    weights = logistic(design(rows["excess"].to_numpy(), rows["words"].to_numpy()), rows["label"].to_numpy(dtype=float))
-    return ToxicityModel(hashes, np.ascontiguousarray(ratios[:, CROSS:]), weights)
+    rows = folded.mapInPandas(features, "ratio double, excess double, words double, label int").toPandas()
+    sent.destroy()
+    weights = logistic(design(*[rows[c].to_numpy() for c in ("ratio", "excess", "words")]), rows["label"].to_numpy(dtype=float))
+    return ToxicityModel(hashes, bytes(made["whole"]), weights)
 
 
 def toxicity_score(text: Column, model: Broadcast) -> Column:
