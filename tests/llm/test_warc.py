@@ -46,7 +46,7 @@ def test_same_pages_same_bytes(spark):
     names = []
     for parts in (2, 5):
         made = warc.write_warc(pages(spark, parts), scratch(spark, "warc"), roll_bytes=3000, shard_bytes=5000)
-        names.append({(m.file, m.sha256) for m in made.collect()})
+        names.append({(m.file.rsplit("/", 1)[1], m.sha256) for m in made.collect()})
     assert names[0] == names[1]
 
 
@@ -59,7 +59,39 @@ def test_archives_are_plain_warc(spark):
     assert hashlib.sha256(data).hexdigest() == first.sha256
     records = list(warc._parse(io.BytesIO(gzip.decompress(data))))
     assert records[0][0]["warc-type"] == "warcinfo" and len(records) == first.records + 1
-    assert not [f for f in filesystem.get_file_info(arrow_fs.FileSelector(path.rsplit("/", 1)[0])) if f.path.endswith(".tmp")]
+    files = filesystem.get_file_info(arrow_fs.FileSelector(path.rsplit("/", 2)[0], recursive=True))
+    assert not [f for f in files if f.path.endswith(".tmp")]
+
+
+@pytest.mark.parametrize("outlier", [None, 2**60])
+def test_ids_far_apart_and_crowded_ids(spark, outlier):
+    """One id far from all others puts these into one range, which is split; the many rows of one id as well."""
+    rows = [(i, None, "%05d" % i * 20) for i in range(300)] + [(7, None, "%05d" % i * 30) for i in range(300)]
+    rows += [(None, None, "%05d" % i * 25) for i in range(200)] + ([(outlier, "far", "x")] if outlier else [])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = scratch(spark, "warc")
+    manifest = warc.write_warc(df, folder, shard_bytes=4_000).collect()
+    sizes = {}
+    for m in manifest:
+        sizes[m.shard] = sizes.get(m.shard, 0) + m.records
+    assert max(sizes.values()) < 150 and sum(sizes.values()) == len(rows)
+    got = sorted((r.page_id or -1, r.payload_bytes) for r in warc.read_warc(spark, folder).collect())
+    assert got == sorted((p or -1, len(h)) for p, _, h in rows)
+    again = warc.write_warc(df.repartition(5), scratch(spark, "warc"), shard_bytes=4_000).collect()
+    assert {m.sha256 for m in again} == {m.sha256 for m in manifest}
+
+
+def test_a_repeated_attempt_meets_no_file_of_the_one_before(spark):
+    folder = f"{scratch(spark, 'warc')}/data"
+    filesystem, path = arrow_fs.FileSystem.from_uri(folder)
+    filesystem.create_dir(path, recursive=True)
+    done = []
+    for attempt in ("attempt-a", "attempt-b"):
+        roller = warc._Roller(folder, 3, 1_000, attempt)
+        roller.add(warc._member([("WARC-Type", "response"), ("WARC-Record-ID", "<x>")], b"abc"))
+        roller.close()
+        done.append(roller.done[0])
+    assert done[0][0] != done[1][0] and done[0][1:] == done[1][1:]
 
 
 def test_a_changed_block_is_found():

@@ -19,8 +19,10 @@ import pandas as pd
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from veilspark.llm.common import scratch, stored, table
+from veilspark.llm.common import scratch, small, stored, table
+from veilspark.llm.rows import MAX_BROADCAST_KEYS
 
 #: Payloads of at least so many bytes are stored once; equal ones become revisits.
 REVISIT_BYTES = 100
@@ -29,6 +31,10 @@ ROLL_BYTES = 32 << 20
 SHARD_BYTES = 16 << 20
 #: Ranges of ids whose sizes are added up to cut the shards: 16 for each shard, a million at most.
 MAX_RANGES = 1_000_000
+#: Parts that a range of more bytes than a shard is split into, again and again.
+SPLIT = 1_024
+#: Tasks that write, at most; each shard is written by one.
+MAX_TASKS = 20_000
 #: Shards among which pages without an id are dealt.
 NAMELESS = 64
 DATE = "1970-01-01T00:00:00Z"
@@ -105,10 +111,15 @@ def _page(row, copy: int, kind: str, refers_to: int | None) -> bytes:
 
 
 class _Roller:
-    """Files of one shard; a file is renamed to its name when it is whole."""
+    """Files of one shard; a file is renamed to its name when it is whole.
 
-    def __init__(self, folder: str, shard: int, roll_bytes: int):
+    Every attempt has a folder of its own, so that one that is repeated meets no file of
+    the one before; the manifest tells which attempt counts.
+    """
+
+    def __init__(self, folder: str, shard: int, roll_bytes: int, attempt: str):
         self.fs, self.path = arrow_fs.FileSystem.from_uri(folder)
+        self.attempt = attempt
         self.shard, self.roll_bytes, self.part, self.out, self.done = shard, roll_bytes, 0, None, []
 
     def add(self, member: bytes) -> None:
@@ -130,14 +141,17 @@ class _Roller:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temporary, f"{self.path}/{self.name}")
-            self.done.append((self.name, self.shard, self.part, self.records, self.size, self.digest.hexdigest()))
+            file = f"{self.attempt}/{self.name}"
+            self.fs.create_dir(f"{self.path}/{self.attempt}", recursive=True)
+            self.fs.move(self.temporary, f"{self.path}/{file}")
+            self.done.append((file, self.shard, self.part, self.records, self.size, self.digest.hexdigest()))
             self.out, self.part = None, self.part + 1
 
 
 def _writer(folder: str, roll_bytes: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roller, last, copy = None, None, 0
+        attempt = f"attempt-{uuid.uuid4().hex}"
         for batch in batches:
             found = []
             for row in batch.itertuples(index=False):
@@ -145,7 +159,7 @@ def _writer(folder: str, roll_bytes: int):
                     if roller is not None:
                         roller.close()
                         found += roller.done
-                    roller = _Roller(folder, int(row.shard), roll_bytes)
+                    roller = _Roller(folder, int(row.shard), roll_bytes, attempt)
                 page = None if pd.isna(row.page_id) else int(row.page_id)
                 copy = copy + 1 if (page, row.payload_digest) == last else 0
                 last = (page, row.payload_digest)
@@ -166,25 +180,53 @@ def _columns(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
-def _shards(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, Column]:
-    """Shard of every range of ids, by the running sum of their sizes, and the range of a page.
+def _placed(pages: DataFrame, low: int, width: int, ranges: int, splits: list[tuple[DataFrame, int]]) -> DataFrame:
+    """Pages with ``place``, an array that orders them: range of the id, part of a split range, part of that, ...
 
-    Sums are exact and ranges have equal widths, so the same pages always fall into the
-    same shards.
+    A split has the places that it splits and the width of the parts in ids; width 0 splits
+    the rows of one id by digest, as those without an id always are.
+    """
+    digest = F.conv(F.substring("payload_digest", 1, 12), 16, 10).cast("long")
+    nameless = F.lit(ranges) + F.shiftright(digest, 48 - NAMELESS.bit_length() + 1)
+    # Quotients of whole numbers: ids beyond 2^53 keep their order.
+    first = F.when(F.col("page_id").isNull(), nameless).otherwise(F.expr(f"(page_id - {low}L) div {width}L")).cast("long")
+    placed = pages.withColumns({"place": F.array(first), "rest": F.expr(f"(page_id - {low}L) % {width}L")})
+    for crowded, own in splits:
+        by_digest = F.shiftright(digest, 32)
+        part = F.coalesce(F.expr(f"rest div {own}L"), by_digest) if own else by_digest
+        parents = F.broadcast(crowded.select(F.col("place").alias("crowded")))  # fewer than there are shards
+        placed = placed.join(parents, F.col("place") == F.col("crowded"), "left")
+        deeper = F.when(F.col("crowded").isNotNull(), F.concat("place", F.array(part))).otherwise(F.col("place"))
+        placed = placed.withColumns({"place": deeper, "rest": F.expr(f"rest % {own}L") if own else F.col("rest")}).drop("crowded")
+    return placed.drop("rest")
+
+
+def _shards(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``s_place, shard`` of every place, by the running sum of their sizes; and the pages with their ``place``.
+
+    Ranges of ids have equal widths and exact sums; one that holds more than a shard is
+    split, and its parts, down to the rows of one id, which are split by digest. So ids
+    that lie far apart are no reason for a large shard, and the same pages always fall into
+    the same ones.
     """
     size = F.octet_length("payload")
     facts = pages.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.sum(size).alias("bytes")).first()
     low, high = facts["low"] or 0, facts["high"] or 0
     ranges = max(1, min(MAX_RANGES, 16 * (-(-(facts["bytes"] or 0) // shard_bytes)), high - low + 1))
     width = -(-(high - low + 1) // ranges)
-    digest = F.conv(F.substring("payload_digest", 1, 12), 16, 10).cast("long")
-    nameless = F.lit(ranges) + F.shiftright(digest, 48 - NAMELESS.bit_length() + 1)
-    # A quotient of whole numbers: ids beyond 2^53 keep their order.
-    place = F.when(F.col("page_id").isNull(), nameless).otherwise(F.expr(f"(page_id - {low}L) div {width}L")).cast("long")
-    sums = pages.select(place.alias("range"), size.alias("size")).groupBy("range").agg(F.sum("size").alias("size"))
-    running = F.expr("sum(size) OVER (ORDER BY range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")  # a row for each range
+    slim, splits, own = pages.select("page_id", "payload_digest", size.alias("size")), [], width
+    while True:
+        sums = _placed(slim, low, width, ranges, splits).groupBy("place").agg(F.sum("size").alias("size"))
+        sums = stored(sums, "warc-places")
+        crowded = sums.where((F.size("place") == len(splits) + 1) & (F.col("size") > shard_bytes))
+        if own == 0 or crowded.isEmpty():
+            break
+        own = 0 if own == 1 else -(-own // SPLIT)
+        splits.append((crowded, own))
+    running = F.expr("sum(size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")  # a row for each place
     shard = F.floor(F.coalesce(running, F.lit(0)) / F.lit(shard_bytes)).cast("long")
-    return stored(sums.select(F.col("range").alias("s_range"), shard.alias("shard")), "warc-shards"), place
+    shards = stored(sums.select(F.col("place").alias("s_place"), shard.alias("shard")), "warc-shards")
+    return shards, _placed(pages, low, width, ranges, splits)
 
 
 def write_warc(pages: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -206,16 +248,19 @@ def write_warc(pages: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES, s
     groups = keyed.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest")
     groups = groups.agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = stored(groups.select(F.col("payload_digest").alias("g_digest"), "first_id"), "warc-groups")
-    shards, place = _shards(keyed, shard_bytes)
+    groups = F.broadcast(groups) if small(groups, MAX_BROADCAST_KEYS) else groups  # payloads stay where they are
+    shards, placed = _shards(keyed, shard_bytes)
 
-    typed = keyed.join(groups, F.expr("payload_digest = g_digest"), "left").drop("g_digest")
+    typed = placed.join(groups, F.expr("payload_digest = g_digest"), "left").drop("g_digest")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     typed = typed.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
     typed = typed.withColumn("payload", F.when(~revisit, F.col("payload")))  # a revisit has none
-    dealt = typed.withColumn("range", place).join(F.broadcast(shards), F.expr("range = s_range")).drop("range", "s_range")
-    # Tasks as many as the session shuffles to; a task writes one shard after the other.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "payload_digest", "url")
+    dealt = typed.join(F.broadcast(shards), F.expr("place = s_place")).drop("place", "s_place")
+    # A task for each shard, whatever the session shuffles to; beyond MAX_TASKS one writes several, one after the other.
+    last = shards.agg(F.max("shard")).first()[0]
+    n = min(MAX_TASKS, 1 + (last or 0))
+    ordered = dealt.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int"))
+    ordered = ordered.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "payload_digest", "url")
 
     data = f"{folder.rstrip('/')}/data-{uuid.uuid4().hex}"
     filesystem, path = arrow_fs.FileSystem.from_uri(data)
@@ -281,9 +326,10 @@ def _found(rows: list[tuple]) -> pd.DataFrame:
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Records of the committed archives; every block and payload is held against its digest."""
     files = read_manifest(spark, folder).select("folder", "file")
-    # One file is one row: dealt out evenly, read as a stream.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, "file").mapInPandas(_reader, _ROWS)
+    # One file is one row: a task for each, read as a stream.
+    n = max(1, min(MAX_TASKS, files.count()))
+    order = F.row_number().over(Window.orderBy("folder", "file")) - 1  # the manifest's rows, one for each file
+    return files.withColumn("task", F.pmod(order, F.lit(n))).repartitionById(n, "task").drop("task").mapInPandas(_reader, _ROWS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,9 +341,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = """
 WITH p AS (
   SELECT page_id, strlen(COALESCE(html, ''))::BIGINT AS payload_bytes, sha256(COALESCE(html, '')) AS payload_digest FROM pages),
-f AS (SELECT *, MIN(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+f AS (
+  SELECT *, MIN(page_id) OVER (PARTITION BY payload_digest) AS first_id,
+    ROW_NUMBER() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS place
+  FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+  CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND place > 1 THEN first_id END AS refers_to
 FROM f
 """
