@@ -31,6 +31,27 @@ def test_deltas_add_up(spark):
     assert table.compact() and totals(table) == {("s", "en", "words-1"): (3, 6)}
 
 
+def test_a_batch_committed_during_compaction_counts_once(spark):
+    docs = spark.createDataFrame([("a b", "s", "en")], "text string, source string, lang string")
+    only = {"words-1": T.TOKENIZERS["words-1"]}
+
+    class Busy(T.RollupTable):
+        """Another writer commits a batch while this one sums up."""
+
+        def _totals(self, last, fresh):
+            T.RollupTable.commit(self, f"late-{len(fresh)}", T.inserts(docs, only))
+            return super()._totals(last, fresh)
+
+    folder = scratch(spark, "rollup")
+    table = Busy(spark, folder)
+    table.commit("first", T.inserts(docs, only))
+    assert table.compact()
+    plain = T.RollupTable(spark, folder)
+    assert totals(plain) == {("s", "en", "words-1"): (2, 4)}
+    assert plain.compact() and totals(plain) == {("s", "en", "words-1"): (2, 4)}
+    assert plain.committed("late-1") and plain.committed("first") and not plain.committed("other")
+
+
 def test_a_rename_that_comes_second_loses(spark):
     table = T.RollupTable(spark, scratch(spark, "rollup"))
     docs = spark.createDataFrame([("a", "s", "en")], "text string, source string, lang string")

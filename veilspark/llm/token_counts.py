@@ -126,7 +126,10 @@ class RollupTable:
         return f"{self.folder}/batches/batch-{batch.encode().hex()}"
 
     def committed(self, batch: str) -> bool:
-        return bool(self._fs.exists(self._path(self._name(batch)))) or batch in self._summed_up()
+        if self._fs.exists(self._path(self._name(batch))):
+            return True
+        last = self._snapshot()
+        return last is not None and not self._summed_up(last).where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of signed changes; False if one of that name has been committed before."""
@@ -155,32 +158,47 @@ class RollupTable:
         found = [p for p in self._listed("snapshots")]
         return found[-1] if found else None
 
-    def _summed_up(self) -> set[str]:
-        last = self._snapshot()
-        if last is None:
-            return set()
-        return {r["batch"] for r in self.spark.read.schema(f"{_TOTALS}, batch string").parquet(last).where("batch IS NOT NULL").collect()}
+    def _summed_up(self, snapshot: str) -> DataFrame:
+        """``batch``: names of all that a snapshot sums up."""
+        return self.spark.read.schema(f"{_TOTALS}, batch string").parquet(snapshot).where("batch IS NOT NULL").select("batch")
 
-    def totals(self) -> DataFrame:
-        """``source, lang, tokenizer, documents, tokens`` over all committed batches; groups without documents and tokens are left out."""
-        last, done = self._snapshot(), {self._name(b) for b in self._summed_up()}
-        batches = [p for p in self._listed("batches") if not any(p.endswith(d.rsplit("/", 1)[1]) for d in done)]
+    def _fresh(self, last: str | None) -> dict[str, str]:
+        """Names and folders of the batches that are there now and not in the snapshot ``last``."""
+        listed = [(bytes.fromhex(p.rsplit("batch-", 1)[1]).decode(), p) for p in self._listed("batches")]
+        if last is not None and listed:
+            names = self.spark.createDataFrame(listed, "batch string, path string")
+            listed = [tuple(r) for r in names.join(self._summed_up(last), "batch", "left_anti").collect()]
+        return dict(sorted(listed))
+
+    def _totals(self, last: str | None, fresh: dict[str, str]) -> DataFrame:
         rows = self.spark.createDataFrame([], _TOTALS)
-        if batches:
-            rows = rows.unionByName(self.spark.read.schema(_TOTALS).parquet(*batches))
+        if fresh:
+            rows = rows.unionByName(self.spark.read.schema(_TOTALS).parquet(*fresh.values()))
         if last is not None:
             rows = rows.unionByName(self.spark.read.schema(f"{_TOTALS}, batch string").parquet(last).where("batch IS NULL").drop("batch"))
         summed = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return summed.where("documents <> 0 OR tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """``source, lang, tokenizer, documents, tokens`` over all committed batches; groups without documents and tokens are left out."""
+        last = self._snapshot()
+        return self._totals(last, self._fresh(last))
+
     def compact(self) -> bool:
-        """Sums up all batches so far in a snapshot; their names stay known. False if another writer was first."""
-        done = self._summed_up()
-        fresh = {bytes.fromhex(p.rsplit("batch-", 1)[1]).decode() for p in self._listed("batches")}
-        names = self.spark.createDataFrame([(b,) for b in sorted(done | fresh)], "batch string")
-        rows = self.totals().withColumn("batch", F.lit(None).cast("string")).unionByName(names, allowMissingColumns=True)
+        """Sums up all batches so far in a snapshot; their names stay known. False if another writer was first.
+
+        Batches are listed once: those in the sums are those that are named, whatever is
+        committed meanwhile.
+        """
+        last = self._snapshot()
+        fresh = self._fresh(last)
+        rows = self._totals(last, fresh).withColumn("batch", F.lit(None).cast("string"))
+        rows = rows.unionByName(self.spark.createDataFrame([(b,) for b in fresh], "batch string"), allowMissingColumns=True)
+        if last is not None:
+            rows = rows.unionByName(self._summed_up(last), allowMissingColumns=True)
         self._fs.mkdirs(self._path(f"{self.folder}/snapshots"))
-        return self._rename(rows.select(*KEYS, "documents", "tokens", "batch"), f"{self.folder}/snapshots/{len(self._listed('snapshots')):08d}")
+        number = int(last.rsplit("/", 1)[1]) + 1 if last else 0
+        return self._rename(rows.select(*KEYS, "documents", "tokens", "batch"), f"{self.folder}/snapshots/{number:08d}")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +206,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     All documents are inserted; then those with an id divisible by 7 are deleted, and the
     texts of the others divisible by 5 are revised to their first half and source ``revised``.
+    Rows without an id are only inserted.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     gone, edited = F.col("doc_id") % 7 == 0, (F.col("doc_id") % 7 != 0) & (F.col("doc_id") % 5 == 0)
@@ -211,7 +230,7 @@ WITH d AS (
   SELECT doc_id, lang,
     CASE WHEN doc_id % 5 = 0 THEN 'revised' ELSE source END AS source,
     CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, length(text) // 2) ELSE text END AS text
-  FROM documents WHERE doc_id % 7 <> 0),
+  FROM documents WHERE COALESCE(doc_id % 7, 1) <> 0),
 c AS (
   SELECT source, lang, 'words-1' AS tokenizer,
          COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens FROM d
