@@ -3,19 +3,23 @@
 Counts of words and word pairs are quantised by powers of two; an n-gram of level q is
 put into a Bloom filter once for each level 1 to q. A count is read back by probing the
 levels in turn until one is missing, so errors only go up, and rarely far. The filter
-is made of blocks that executors fill side by side, an n-gram's hash naming its block;
-workers hold it as a broadcast of bounded size and score in as many passes as it takes.
+is made of blocks that executors fill side by side. A rare word lives in the block that
+its hash names, together with all pairs that end in it; exact counts of frequent words
+are at hand everywhere, and pairs that end in one are spread by their own hash. So a run
+of blocks can be scored by itself: workers hold one run at a time as a broadcast of
+bounded size, and score in as many passes as it takes.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +34,7 @@ BITS_PER_ITEM, PROBES = 8, 5
 BLOCK_TOKENS = 8_000
 #: Filter bytes that a worker holds in one pass; a larger filter takes several.
 MAX_FILTER_BYTES = 256 << 20
-#: Words whose exact counts are broadcast; the others are joined.
+#: Words whose exact counts are broadcast, at 16 bytes each; those of the others are joined, and in the filter.
 FREQUENT = 100_000
 #: Distinct words that a counting task holds.
 _HELD = 300_000
@@ -91,9 +95,14 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
 
 
-def level_counts(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level; 0 for level 0."""
-    return np.where(level > 0, (1.5 * 2.0 ** (level - 1) - 0.5), 0.0)
+def least_counts(level: np.ndarray) -> np.ndarray:
+    """The least count of a level; 0 for level 0. What is put above a bar."""
+    return np.where(level > 0, 2.0 ** (level - 1), 0.0)
+
+
+def most_counts(level: np.ndarray) -> np.ndarray:
+    """The greatest count of a level. What is put below a bar, so that the chances after a word never sum to over 1."""
+    return 2.0**level - 1
 
 
 def _strides(low: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +123,9 @@ def _blocks_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
 
 
-def _blobs(hashes: np.ndarray, counts: np.ndarray, block_bits: int) -> pd.DataFrame:
-    """Counted n-grams by block: five bytes of hash and four of count each, as one value for a block."""
-    block = _blocks_of(hashes, block_bits)
+def _blobs(homes: np.ndarray, hashes: np.ndarray, counts: np.ndarray, block_bits: int) -> pd.DataFrame:
+    """Counted n-grams by the block of their home: five bytes of hash and four of count each, as one value for a block."""
+    block = _blocks_of(homes, block_bits)
     order = np.argsort(block, kind="stable")
     block, low, counts = block[order], (hashes & _LOW)[order], counts[order]
     five = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
@@ -127,7 +136,7 @@ def _blobs(hashes: np.ndarray, counts: np.ndarray, block_bits: int) -> pd.DataFr
     return pd.DataFrame({"block": names, "grams": [raw[a:b].tobytes() for a, b in zip(starts, ends)]})
 
 
-def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fill(batches: Iterator[pd.DataFrame], item_bits: int) -> Iterator[pd.DataFrame]:
     """The bits of each block from all its n-grams."""
     for batch in batches:
         found = []
@@ -138,7 +147,7 @@ def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys, back = np.unique(low.view("<u8").ravel(), return_inverse=True)
             counts = np.bincount(back, weights=np.ascontiguousarray(raw[:, 5:]).view("<u4").ravel())
             own = levels(counts)
-            size = -(-int(own.sum()) * BITS_PER_ITEM // 64) * 64
+            size = -(-int(own.sum()) * item_bits // 64) * 64
             bits = np.zeros(size, dtype=bool)
             for level in range(1, int(own.max()) + 1):
                 start, stride = _strides(keys[own >= level], level)
@@ -148,9 +157,10 @@ def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["block", "bits"])
 
 
-def filled_blocks(blobs: DataFrame) -> DataFrame:
+def filled_blocks(blobs: DataFrame, item_bits: int = BITS_PER_ITEM) -> DataFrame:
     """``block, bits``: the blocks of a filter from ``block, grams``."""
-    return blobs.groupBy("block").agg(F.collect_list("grams").alias("grams")).mapInPandas(_fill, "block long, bits binary")
+    grouped = blobs.groupBy("block").agg(F.collect_list("grams").alias("grams"))
+    return grouped.mapInPandas(lambda batches: _fill(batches, item_bits), "block long, bits binary")
 
 
 class LogBloom:
@@ -167,14 +177,14 @@ class LogBloom:
             at = self.starts[block - first]
             self.bytes[at : at + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
 
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        """Which n-grams belong to these blocks."""
-        block = _blocks_of(hashes, self.block_bits)
+    def holds(self, homes: np.ndarray) -> np.ndarray:
+        """Which homes belong to these blocks."""
+        block = _blocks_of(homes, self.block_bits)
         return (block >= self.first) & (block < self.last)
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts read back, level by level, of n-grams that belong to these blocks."""
-        block = _blocks_of(hashes, self.block_bits) - self.first
+    def levels(self, homes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Levels read back, one after the other, of n-grams whose homes belong to these blocks."""
+        block = _blocks_of(homes, self.block_bits) - self.first
         start, size = self.starts[block], (self.starts[block + 1] - self.starts[block]) * 8
         low, level = hashes & _LOW, np.zeros(len(hashes), dtype=np.int64)
         left = np.nonzero(size > 0)[0]
@@ -187,7 +197,21 @@ class LogBloom:
             if not len(left):
                 break
             level[left] = probe
-        return level_counts(level)
+        return level
+
+
+class Frequent:
+    """Exact counts of the most frequent words, and of the end and start of a text, by hash."""
+
+    def __init__(self, words: list[bytes], counts: list[int], texts: int):
+        hashes = np.concatenate([_word_hashes(np.array([*words, None], dtype=object)[:-1]), [_END, _START]]).astype(np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], np.array([*counts, texts, texts], dtype=np.int64)[order]
+
+    def count(self, hashes: np.ndarray) -> np.ndarray:
+        """The counts; -1 for other words."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.counts[at], -1)
 
 
 # The model
@@ -207,31 +231,46 @@ def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return counts + 1, context, tokens, distinct, hashes
 
 
-def pair_blobs(docs: DataFrame, block_bits: int, held: int = 4_000_000) -> DataFrame:
+def _homes(pair: np.ndarray, second: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """What names the block of a pair: a rare second word, else the pair."""
+    return np.where(frequent, pair, second)
+
+
+def pair_blobs(docs: DataFrame, known: Broadcast, block_bits: int, held: int = 4_000_000) -> DataFrame:
     """Counted word pairs of the texts by block; a task sends them on whenever it holds ``held`` of them."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, n = [], 0
+
+        def out() -> pd.DataFrame:
+            pairs = np.concatenate([p for p, _ in kept])
+            names, at, times = np.unique(pairs, return_index=True, return_counts=True)
+            return _blobs(np.concatenate([h for _, h in kept])[at], names, times, block_bits)
+
         for batch in batches:
             for _, texts in chunks(batch["text"]):
                 _, context, tokens, _, hashes = _pairs(texts)
-                kept.append(_pair_hashes(hashes[context], hashes[tokens]))
+                pair = _pair_hashes(hashes[context], hashes[tokens])
+                kept.append((pair, _homes(pair, hashes[tokens], (known.value.count(hashes) >= 0)[tokens])))
                 n += len(tokens)
                 if n > held:
-                    yield _blobs(*np.unique(np.concatenate(kept), return_counts=True), block_bits)
+                    yield out()
                     kept, n = [], 0
         if kept:
-            yield _blobs(*np.unique(np.concatenate(kept), return_counts=True), block_bits)
+            yield out()
 
     return docs.select("text").mapInPandas(count, "block long, grams binary")
 
 
-def word_blobs(counts: DataFrame, block_bits: int) -> DataFrame:
+def word_blobs(counts: DataFrame, known: Broadcast, block_bits: int) -> DataFrame:
+    """Counts of the words that aren't frequent, by block."""
+
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words = [w.encode("utf-8", "surrogatepass") for w in batch["word"]]
-            if words:
-                yield _blobs(_word_hashes(np.array(words, dtype=object)), batch["n"].to_numpy(), block_bits)
+            hashes = _word_hashes(np.array([w.encode("utf-8", "surrogatepass") for w in batch["word"]] + [None], dtype=object)[:-1])
+            rare = known.value.count(hashes) < 0
+            if rare.any():
+                yield _blobs(hashes[rare], hashes[rare], batch["n"].to_numpy()[rare], block_bits)
 
     return counts.mapInPandas(put, "block long, grams binary")
 
@@ -250,21 +289,31 @@ def _held_blocks(blocks: DataFrame, block_bits: int, first: int, last: int) -> L
 
 
 class PairModel:
-    """A pair model in one pass: the word filter whole, the pair filter as far as this pass holds it."""
+    """The pair model as far as the blocks of one pass hold it; the first pass sees to frequent words before a token."""
 
-    def __init__(self, words: LogBloom, pairs: LogBloom, n: int, kinds: int, texts: int):
-        self.words, self.pairs, self.n, self.kinds, self.texts = words, pairs, n, kinds, texts
+    def __init__(self, grams: LogBloom, known: Frequent, n: int, kinds: int):
+        self.grams, self.known, self.n, self.kinds = grams, known, n, kinds
 
     def logs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each text its tokens and log10 probability over the pairs held here; codes and distinct words."""
+        """For each text its tokens and its log10 probability, as far as held here; codes and distinct words."""
         counts, context, tokens, distinct, hashes = _pairs(texts)
-        seen = np.append(self.words.counts(hashes[:-2]), [self.texts, self.texts])
+        exact = self.known.count(hashes)
+        frequent, held = exact >= 0, self.grams.holds(hashes)
+        level = np.zeros(len(hashes), dtype=np.int64)
+        rare = np.nonzero(~frequent & held)[0]
+        level[rare] = self.grams.levels(hashes[rare], hashes[rare])
+        seen = np.where(frequent, exact, least_counts(level))
+        before = np.where(frequent, exact, most_counts(level))
         chance = (seen + 0.5) / (self.n + 0.5 * (self.kinds + 1))
         pair = _pair_hashes(hashes[context], hashes[tokens])
-        here = np.nonzero(self.pairs.holds(pair))[0]
-        both = np.minimum(self.pairs.counts(pair[here]), seen[context[here]])
+        home = _homes(pair, hashes[tokens], frequent[tokens])
         logs = np.zeros(len(tokens))
-        logs[here] = np.log10((both + PRIOR * chance[tokens[here]]) / (seen[context[here]] + PRIOR))
+        here = np.nonzero(self.grams.holds(home))[0]
+        both = least_counts(self.grams.levels(home[here], pair[here]))
+        most = np.where(frequent[context[here]], np.minimum(seen[tokens[here]], exact[context[here]]), seen[tokens[here]])
+        logs[here] = np.log10(np.minimum(both, most) + PRIOR * chance[tokens[here]])
+        below = np.where(frequent, self.grams.first == 0, held)[context]
+        logs[below] -= np.log10(before[context[below]] + PRIOR)
         return counts, sums_by_text(counts, logs), tokens, distinct
 
 
@@ -272,18 +321,25 @@ _MAIN = "row long, doc_id long, text_hash long, tokens long, known long, base do
 
 
 def score_texts(
-    docs: DataFrame, *, max_filter_bytes: int = MAX_FILTER_BYTES, frequent: int = FREQUENT, block_tokens: int = BLOCK_TOKENS
+    docs: DataFrame,
+    *,
+    max_filter_bytes: int = MAX_FILTER_BYTES,
+    frequent: int = FREQUENT,
+    block_tokens: int = BLOCK_TOKENS,
+    item_bits: int = BITS_PER_ITEM,
 ) -> DataFrame:
     """Scores of every row of ``docs`` (``doc_id, text``) by a model of those outside the held-out part.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Tokens
     are the words and the end of the text. ``base_score`` is the exact add-one-half word
     model; ``score`` the pair model read from the filter, its pairs smoothed by ``PRIOR``
-    pairs of the word model. Exact counts of the ``frequent`` most frequent words are
-    broadcast, those of the others are joined. The pair filter is held in as many passes
-    over the texts as ``max_filter_bytes`` asks for; the filter of words, a small part of
-    it, must fit. Null texts read as empty: one token, the end. Repeated rows and null
-    ids stay, other columns are not carried. Without training texts every count is 0.
+    pairs of the word model. Pairs count as the least of their level and the word before
+    them as the greatest, so that after each word the chances sum to 1 at most, but for
+    what the filter takes for seen though it isn't. Exact counts of the ``frequent`` most
+    frequent words are broadcast, those of the others are joined. The filter is held in as
+    many passes over the texts as ``max_filter_bytes`` asks for, one at a time. Null texts
+    read as empty: one token, the end. Repeated rows and null ids stay, other columns are
+    not carried. Without training texts every count is 0.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs["text"], F.lit(""))
@@ -294,28 +350,29 @@ def score_texts(
     n_texts = training.select("doc_id").count()
     n, kinds = (facts["n"] or 0) + n_texts, facts["kinds"] + (n_texts > 0)
 
-    pair_bits = min(24, max(4, int(np.ceil(np.log2(max(1, n) / block_tokens)))))
-    word_bits = min(24, max(4, int(np.ceil(np.log2(max(1, kinds) / block_tokens)))))
-    word_blocks = stored(filled_blocks(word_blobs(counts, word_bits)), "word-filter")
-    pair_blocks = stored(filled_blocks(pair_blobs(training, pair_bits)), "pair-filter")
-    if len(_passes(word_blocks, word_bits, max_filter_bytes)) > 1:
-        raise ValueError("the filter of words alone exceeds max_filter_bytes")
-    words = _held_blocks(word_blocks, word_bits, 0, 1 << word_bits)
-    runs = _passes(pair_blocks, pair_bits, max_filter_bytes)
-    models = [
-        spark.sparkContext.broadcast(PairModel(words, _held_blocks(pair_blocks, pair_bits, a, b), n, kinds, n_texts)) for a, b in runs
-    ]
+    bits = min(24, max(4, int(np.ceil(np.log2(max(1, n) / block_tokens)))))
     top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
-    known = spark.sparkContext.broadcast({r["word"].encode("utf-8", "surrogatepass"): np.log10(r["n"] + 0.5) for r in top})
-
-    def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, exact = models[0].value, known.value
+    words = [r["word"].encode("utf-8", "surrogatepass") for r in top]
+    known = spark.sparkContext.broadcast(Frequent(words, [r["n"] for r in top], n_texts))
+    grams = pair_blobs(training, known, bits).unionByName(word_blobs(counts, known, bits))
+    blocks = stored(filled_blocks(grams, item_bits), "bloom-filter")
+
+    def passed(first: int, last: int, make) -> DataFrame:
+        """What one pass over the texts gives; its blocks are gone from the workers when it is done."""
+        model = spark.sparkContext.broadcast(PairModel(_held_blocks(blocks, bits, first, last), known.value, n, kinds))
+        done = make(model)
+        model.destroy()
+        return done
+
+    def first_pass(model: Broadcast, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, exact = model.value, known.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, marks = batch["doc_id"].astype("Int64"), batch["text_hash"].to_numpy()
             for first, texts in chunks(batch["text"]):
                 sizes, score, tokens, distinct = model.logs(texts)
-                logs = np.array([exact.get(w, np.nan) for w in distinct] + [np.log10(n_texts + 0.5)])
+                logs = exact.count(np.append(_word_hashes(distinct), _END)).astype(np.float64)
+                logs = np.where(logs < 0, np.nan, np.log10(np.maximum(logs, 0) + 0.5))
                 there = ~np.isnan(logs)
                 there[-1] = n_texts > 0
                 frequent_log = np.nan_to_num(logs)
@@ -349,7 +406,8 @@ def score_texts(
                     })
                 row += len(texts)
 
-    main = stored(slim.mapInPandas(first_pass, _MAIN), "lm-rows")
+    runs = _passes(blocks, bits, max_filter_bytes)
+    main = passed(*runs[0], lambda m: stored(slim.mapInPandas(lambda b: first_pass(m, b), _MAIN), "lm-rows"))
     rare = main.where(F.col("word").isNotNull()).select("row", "word", F.col("n").alias("times"))
     joined = rare.join(counts, "word", "left")
     of_rare = joined.groupBy("row").agg(
@@ -357,8 +415,12 @@ def score_texts(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"),
     )
     scored = main.where(F.col("word").isNull()).drop("word", "n").join(of_rare, "row", "left")
-    for model in models[1:]:
-        scored = _with_pass(scored, slim, model)
+    added = [passed(a, b, lambda m: _more(slim, m)) for a, b in runs[1:]]
+    known.destroy()
+    if added:
+        sums = reduce(DataFrame.unionByName, added).groupBy("m_doc_id", "m_text_hash").agg(F.sum("more").alias("more"))
+        scored = scored.join(sums, F.expr("doc_id <=> m_doc_id AND text_hash = m_text_hash"))
+        scored = scored.withColumn("score", F.col("score") + F.col("more")).drop("m_doc_id", "m_text_hash", "more")
     total = F.lit(float(np.log10(n + 0.5 * (kinds + 1))))
     return scored.select(
         "doc_id",
@@ -371,8 +433,8 @@ def score_texts(
     )
 
 
-def _with_pass(scored: DataFrame, slim: DataFrame, model) -> DataFrame:
-    """Scores with what another pass adds: its part of the filter over all texts again."""
+def _more(slim: DataFrame, model: Broadcast) -> DataFrame:
+    """What another pass adds to the score of each text, once for each id and text."""
 
     def more(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -384,9 +446,7 @@ def _with_pass(scored: DataFrame, slim: DataFrame, model) -> DataFrame:
                 )
 
     added = slim.mapInPandas(more, "m_doc_id long, m_text_hash long, more double").dropDuplicates(["m_doc_id", "m_text_hash"])
-    added = stored(added, "lm-pass")
-    both = scored.join(added, F.expr("doc_id <=> m_doc_id AND text_hash = m_text_hash"))
-    return both.withColumn("score", F.col("score") + F.col("more")).drop("m_doc_id", "m_text_hash", "more")
+    return stored(added, "lm-pass")
 
 
 def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
