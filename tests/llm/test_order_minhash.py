@@ -58,3 +58,44 @@ def test_digest_of_edited_text(spark, tmp_path):
     for i, text in edited.items():
         assert got[i].edited_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert got[5].near_edited == 1.0 and got[5].near_next == 0.0 and got[1].n_chars == 7
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_likeness_follows_edit_distance(spark):
+    """Texts with more and more words changed, left out, put in or moved: likeness falls as they grow apart."""
+    import random
+
+    import numpy as np
+
+    pick, rows = random.Random(4), []
+    for n in range(120):
+        words = [f"w{pick.randrange(500)}" for _ in range(300)]
+        other = list(words)
+        for _ in range(pick.choice([0, 2, 5, 10, 20, 40, 80, 160])):
+            at, kind = pick.randrange(len(other)), pick.randrange(4)
+            if kind == 0:
+                other[at] = "changed"
+            elif kind == 1:
+                del other[at]
+            elif kind == 2:
+                other.insert(at, f"n{n}")
+            else:
+                other.insert(pick.randrange(len(other)), other.pop(at))
+        rows.append((n, " ".join(words), " ".join(other), edit_distance(words, other) / 300))
+    shuffled = [(1_000 + n, a, " ".join(pick.sample(a.split(), 300)), 1.0) for n, a, _, _ in rows[:20]]
+    df = spark.createDataFrame(rows + shuffled, "n int, a string, b string, apart double").repartition(4)
+    got = df.select("n", "apart", O.likeness(O.signature(F.col("a")), O.signature(F.col("b"))).alias("like")).collect()
+    apart, like = (np.array([r[c] for r in got if r.n < 1_000]) for c in ("apart", "like"))
+    ranks = [np.argsort(np.argsort(x)) for x in (-apart, like)]
+    assert np.corrcoef(*ranks)[0, 1] > 0.9
+    assert like[apart == 0].min() == 1.0 and like[apart > 0.4].max() < 0.1
+    # The same words in another order share next to nothing.
+    assert np.mean([r.like for r in got if r.n >= 1_000]) < 0.02
