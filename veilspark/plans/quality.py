@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from veilspark.functions import masking as fm
 from veilspark.operators import masking as om
@@ -267,3 +269,26 @@ def random_tables(spark, sf):
 def random_tables_verified(spark, sf):
     fixture = oq.fixture_rows(table(spark, sf, "events"), "event_id", SAMPLES)
     return oq.verify_policy(fixture.drop("event_id"), POLICY, keys(spark))
+
+
+_POOLS = {"sensitive": ["customer_name", "phone", "id_card"], "safe": ["status", "amount"], "unknown": ["mood"]}
+_SEEDS = range(6)
+
+
+@plan(
+    "random_layouts",
+    " UNION ALL ".join(
+        f"SELECT {seed} AS seed, '{c}' AS column_name, '{POLICY.decide(c).action}' AS expected, count(*) AS total, "
+        "count(*) AS passed, 0::BIGINT AS failed FROM events"
+        for seed in _SEEDS
+        for c in oq.random_layout(_POOLS, seed)
+    ),
+)
+def random_layouts(spark, sf):
+    """Tables with a seeded choice of columns, one row for each event, masked and held against their policy."""
+    reports = []
+    for seed in _SEEDS:
+        fixture = oq.random_table(table(spark, sf, "events"), "event_id", _POOLS, SAMPLES, seed).drop("event_id")
+        report = oq.verify_policy(fixture, POLICY, keys(spark)).drop("pass_rate")
+        reports.append(report.withColumn("seed", F.lit(seed)))
+    return reduce(DataFrame.unionByName, reports)
