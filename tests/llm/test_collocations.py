@@ -58,7 +58,7 @@ def rows_of(df):
 def test_phrases(spark, monkeypatch, small, top):
     """Also with containers that burst, tries that overflow, frequent words and a crowded filter all the time."""
     if small:
-        for name, value in {"BURST": 4, "FULL": 60, "FULL_WORDS": 20, "CHUNK_CHARS": 200, "CHUNK_PLACES": 17, "FREQUENT": 12}.items():
+        for name, value in {"BURST": 4, "FULL": 60, "FULL_WORDS": 30, "CHUNK_CHARS": 200, "CHUNK_PLACES": 17, "ASKED": 1, "PARTITION_CHARS": 400}.items():
             monkeypatch.setattr(C, name, value)
     rows = list(texts(7))
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
@@ -97,18 +97,33 @@ def test_containers_burst(monkeypatch):
     assert max(c.size for c in trie.nodes.values() if c) <= 10
 
 
-def test_words_beyond_the_filter_break_windows():
-    none = np.zeros(C.FILTER_BITS >> 6, dtype=np.int64)
-    ids = C.WordIds("en", none)
-    assert ids[b"x"] == 0 and ids.words == [b""]
-    ids = C.WordIds("en", ~none)
+def test_windows():
+    ids = C.WordIds("en")
     assert [ids[w] for w in (b"x", b"y", b"x", b"\xff")] == [1, 2, 1, 0]
     codes = np.array([1, 2, 0, 3, 4, 5, 6, 7, 8, 0, 9], dtype=np.int32)
     got = [tuple(w) for w in C.windows_of(codes, 0, 20).tolist()]
-    assert got == [(1, 2, 0, 0, 0), (3, 4, 5, 6, 7), (4, 5, 6, 7, 8), (5, 6, 7, 8, 0), (6, 7, 8, 0, 0), (7, 8, 0, 0, 0)]
+    assert got[:3] == [(1, 2, 0, 0, 0), (2, 0, 0, 0, 0), (3, 4, 5, 6, 7)] and got[-1] == (9, 0, 0, 0, 0) and len(got) == 9
     assert [tuple(w) for w in np.concatenate([C.windows_of(codes, i, i + 3) for i in range(0, 11, 3)]).tolist()] == got
 
 
+def test_crowded_prefixes_are_dealt_further(spark):
+    """A phrase that a third of all windows start with is no partition of its own."""
+    rows = [("en", "of the " + " ".join(f"w{(i * k) % 97}" for k in range(3))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    try:
+        C.ASKED, asked = 1, C.ASKED
+        crowded = C.crowded_prefixes(docs, 20)
+    finally:
+        C.ASKED = asked
+    ids = C.WordIds("en")
+    codes = ids.places([t for _, t in rows])
+    windows = C.windows_of(codes, 0, len(codes))
+    depth, _ = C.dealt_by(windows, np.array(ids.hashes, dtype=np.uint64), crowded)
+    starts = windows[:, 0] == ids[b"of"]
+    assert (depth[starts] > 2).all() and len(crowded) < 4 * 2 * 20
+    assert (C.dealt_by(windows, np.array(ids.hashes, dtype=np.uint64), crowded[:0])[0] == 1).all()
+
+
 def test_large_products(spark):
     """Counts whose products pass 64 bits."""
     from pyspark.sql import functions as F

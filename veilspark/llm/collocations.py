@@ -8,10 +8,10 @@ are found by their hashes) that burst into one container per next word when they
 by prefix partition; the runs of one partition are merged, and every prefix of their
 windows gets its count.
 
-A window belongs to the partition of its first word, if that word is not frequent;
-otherwise of its first words up to the first that isn't. So no frequent word or phrase
-makes a large partition; the counts of phrases of frequent words alone are spread, and
-added up at last.
+A window belongs to the partition of its first word, or, where very many windows start
+with that word, of its first two words, and so on: of its shortest prefix that isn't
+crowded. So no frequent word or phrase makes a large partition. The counts of the crowded
+prefixes themselves, a few for each partition, are spread, and added up at last.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,18 +34,16 @@ from veilspark.llm.skew import join_unique
 LONGEST, LEAST = 5, 100
 #: Phrases for each language.
 TOP = 2_000
-#: Windows of a hash container before it bursts, and of a trie before subtrees leave it (some 30 bytes each).
-BURST, FULL = 16_384, 1_500_000
-#: Distinct words of a task before they leave it with their counts.
-FULL_WORDS = 400_000
+#: Windows of a hash container before it bursts, and of a task's tries before subtrees leave them (some 30 bytes each).
+BURST, FULL = 16_384, 700_000
+#: Distinct words of a task's tries before one leaves it whole (some 250 bytes each).
+FULL_WORDS = 200_000
 #: Characters counted in one go, and places of a longer text.
-CHUNK_CHARS, CHUNK_PLACES = 3_000_000, 1_000_000
-#: Words of the corpus to a partition, about.
-PARTITION_WORDS = 1 << 21
-#: Words that hold more than one occurrence in so many are frequent; there are fewer of them than this.
-FREQUENT = 10_000
-#: Bits of the filter of words that occur often enough (2 MB). Others that pass it only cost work.
-FILTER_BITS = 1 << 24
+CHUNK_CHARS, CHUNK_PLACES = 2_000_000, 500_000
+#: Characters of the corpus to a partition, about.
+PARTITION_CHARS = 6_000_000
+#: One text in so many tells which prefixes are crowded. It decides the partitions alone, never what is counted.
+ASKED = 64
 NO_LANG = "und"
 
 _BREAK = b"\xff"  # stands in no UTF-8 text
@@ -79,74 +78,38 @@ def _by_lang(batch: pd.DataFrame) -> Iterator[tuple[str, list[str]]]:
         yield lang, held
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``lang, word, n`` of every word; tasks count first."""
-
-    def frame(counts: dict[str, Counter]) -> pd.DataFrame:
-        rows = [(lang, w.decode(), n) for lang, c in counts.items() for w, n in c.items() if w != _BREAK]
-        return pd.DataFrame(rows, columns=["lang", "word", "n"])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, texts in _by_lang(batch):
-                own = counts.setdefault(lang, Counter())
-                for text in texts:
-                    own.update(words_of(text))
-                if sum(map(len, counts.values())) > FULL_WORDS:
-                    yield frame(counts)
-                    counts = {}
-        yield frame(counts)
-
-    found = docs.select("lang", "text").mapInPandas(count, "lang string, word string, n long")
-    return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-
-def frequent_filter(words: DataFrame) -> np.ndarray:
-    """Bits of the hashes of the words given (``lang, word``): 2 MB, whatever their number."""
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = np.array([word_hash(lang_seed(x), w.encode()) for x, w in zip(batch["lang"], batch["word"], strict=True)], dtype=np.uint64)
-            at = (at % np.uint64(FILTER_BITS)).astype(np.int64)
-            yield pd.DataFrame({"at": at >> 6, "bits": np.left_shift(np.int64(1), at & 63)})
-
-    held = words.select("lang", "word").mapInPandas(places, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits"))
-    got = held.toPandas()
-    out = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
-    out[got["at"].to_numpy()] = got["bits"].to_numpy()
-    return out
-
-
 class WordIds(dict):
-    """A number for every word that passes the filter; 0 for others and for breaks."""
+    """A number for every word of a language; 0 stands for breaks."""
 
-    def __init__(self, lang: str, held: np.ndarray):
+    def __init__(self, lang: str):
         super().__init__({_BREAK: 0})
-        self.seed, self.held = lang_seed(lang), held
+        self.seed = lang_seed(lang)
         self.words: list[bytes] = [b""]
         self.hashes: list[int] = [0]
 
     def __missing__(self, word: bytes) -> int:
-        hashed = word_hash(self.seed, word)
-        at = hashed % FILTER_BITS
-        if not self.held[at >> 6] >> (at & 63) & 1:
-            self[word] = 0
-            return 0
         code = self[word] = len(self.words)
         self.words.append(word)
-        self.hashes.append(hashed)
+        self.hashes.append(word_hash(self.seed, word))
         return code
 
+    def places(self, texts: list[str]) -> np.ndarray:
+        """The words of the texts in order, a break after each text."""
+        codes: list[int] = []
+        for text in texts:
+            codes += [self[w] for w in words_of(text)]
+            codes.append(0)
+        return np.array(codes, dtype=np.int32)
+
 
 def windows_of(codes: np.ndarray, start: int, stop: int) -> np.ndarray:
-    """The windows of two words or more that start from ``start`` to before ``stop``; 0 breaks windows and fills them up."""
+    """The windows that start from ``start`` to before ``stop``; 0 breaks windows and fills them up."""
     n = min(stop, len(codes)) - start
     padded = np.concatenate((codes[start : stop + LONGEST - 1], np.zeros(LONGEST - 1, dtype=np.int32)))
     out = np.stack([padded[k : k + n] for k in range(LONGEST)], axis=1)
     for k in range(1, LONGEST):
         out[out[:, k - 1] == 0, k] = 0
-    return out[out[:, 1] > 0]
+    return out[out[:, 0] > 0]
 
 
 def _hashes(windows: np.ndarray) -> np.ndarray:
@@ -249,31 +212,70 @@ class HatTrie:
         return _added_up(windows, counts, np.lexsort(windows.T[::-1]))
 
 
-def _depths(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """How many of its first words a window is dealt by: up to the first that isn't frequent, or all."""
-    cool = (words > 0) & ~hot[words]
-    return np.where(cool.any(axis=1), cool.argmax(axis=1) + 1, (words > 0).sum(axis=1))
+def prefix_hashes(windows: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """Hash of the first one, two, ... words of each window; ``hashes`` are those of the words."""
+    mixed, out = np.zeros(len(windows), dtype=np.uint64), []
+    with np.errstate(over="ignore"):
+        for k in range(LONGEST):
+            mixed = (mixed ^ hashes[windows[:, k]]) * _MIX
+            mixed ^= mixed >> np.uint64(31)
+            out.append(mixed)
+    return out
+
 
+def dealt_by(windows: np.ndarray, hashes: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the prefix that each window is dealt by, and its hash; ``crowded`` are hashes of prefixes in order."""
+    size = (windows > 0).sum(axis=1)
+    depth, chosen = np.zeros(len(windows), dtype=np.uint8), np.zeros(len(windows), dtype=np.uint64)
+    for k, own in enumerate(prefix_hashes(windows, hashes), 1):
+        at = np.minimum(np.searchsorted(crowded, own), max(0, len(crowded) - 1))
+        here = (depth == 0) & ((size == k) | (crowded[at] != own if len(crowded) else True))
+        depth[here], chosen[here] = k, own[here]
+    return depth, chosen
+
+
+def crowded_prefixes(docs: DataFrame, parts: int) -> np.ndarray:
+    """Hashes, in order, of the prefixes of up to four words that half a partition's share of all windows start with.
+
+    Read off one text in ``ASKED``; a few for each partition come to the driver.
+    """
+    least = 1 / (2 * parts)
 
-def sorted_runs(lang: str, ids: WordIds, windows: np.ndarray, counts: np.ndarray, hot: set[int], parts: int) -> pd.DataFrame:
-    """``part, lang, words, frequent, windows, counts``: sorted windows cut by partition, with the words they are made of."""
-    names = ["part", "lang", "words", "frequent", "windows", "counts"]
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, texts in _by_lang(batch):
+                ids = WordIds(lang)
+                codes = ids.places(texts)
+                windows = windows_of(codes, 0, len(codes))
+                hashes = np.array(ids.hashes, dtype=np.uint64)
+                found = [(np.zeros(1, dtype=np.uint64), np.array([len(windows)]))]  # how many there are in all
+                for k, own in enumerate(prefix_hashes(windows, hashes)[: LONGEST - 1], 1):
+                    names, n = np.unique(own[windows[:, k - 1] > 0], return_counts=True)
+                    often = n >= max(2, least / 4 * len(windows))
+                    found.append((names[often], n[often]))
+                names, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pd.DataFrame({"prefix": names.view(np.int64), "n": n})
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(ASKED)) == 0)
+    sums = some.select("lang", "text").mapInPandas(count, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+    sums = stored(sums, "window-prefixes")
+    total = sums.where("prefix = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = sums.where((F.col("prefix") != 0) & (F.col("n") > max(2, least * total))).select("prefix").toPandas()
+    return np.sort(rows["prefix"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def sorted_runs(lang: str, ids: WordIds, windows: np.ndarray, counts: np.ndarray, crowded: np.ndarray, parts: int) -> pd.DataFrame:
+    """``part, lang, words, windows, depths, counts``: sorted windows cut by partition, with the words they are made of."""
+    names = ["part", "lang", "words", "windows", "depths", "counts"]
     if not len(windows):
         return pd.DataFrame([], columns=names)
-    hashes = np.array(ids.hashes, dtype=np.uint64)
-    frequent = np.fromiter((h in hot for h in ids.hashes), dtype=bool, count=len(hashes))
-    depth = _depths(windows, frequent)
-    mixed = np.zeros(len(windows), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(LONGEST):
-            step = (mixed ^ hashes[windows[:, k]]) * _MIX
-            mixed = np.where(depth > k, step ^ (step >> np.uint64(31)), mixed)
-    part = (mixed % np.uint64(parts)).astype(np.int64)
+    depth, chosen = dealt_by(windows, np.array(ids.hashes, dtype=np.uint64), crowded)
+    part = (chosen % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    windows, counts, part = windows[order], counts[order], part[order]
+    windows, counts, depth, part = windows[order], counts[order], depth[order], part[order]
     size = np.uint32 if counts.max() < 1 << 32 else np.uint64
     bounds = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
-    place = np.zeros(len(hashes), dtype=np.int64)
+    place = np.zeros(len(ids.words), dtype=np.int64)
     rows = []
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         own = windows[lo:hi]
@@ -283,39 +285,33 @@ def sorted_runs(lang: str, ids: WordIds, windows: np.ndarray, counts: np.ndarray
         kind = np.uint16 if len(used) < 1 << 16 else np.uint32
         spelled = b" ".join([ids.words[u] for u in used.tolist()]).decode()
         local = np.ascontiguousarray(place[own].T.astype(kind))
-        data = (local.tobytes(), counts[lo:hi].astype(size).tobytes())
-        rows.append((int(part[lo]), lang, spelled, frequent[used].tobytes(), *data))
+        rows.append((int(part[lo]), lang, spelled, local.tobytes(), depth[lo:hi].tobytes(), counts[lo:hi].astype(size).tobytes()))
     return pd.DataFrame(rows, columns=names)
 
 
-RUN_SCHEMA = "part long, lang string, words string, frequent binary, windows binary, counts binary"
+RUN_SCHEMA = "part long, lang string, words string, windows binary, depths binary, counts binary"
 
 
-def window_runs(docs: DataFrame, held, hot, parts: int) -> DataFrame:
-    """The sorted runs of every task's trie; ``held`` and ``hot`` are broadcast."""
+def window_runs(docs: DataFrame, crowded: Broadcast, parts: int) -> DataFrame:
+    """The sorted runs of every task's tries, one for each language."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, frequent = held.value, hot.value
         tries: dict[str, tuple[WordIds, HatTrie]] = {}
 
         def out(lang: str, most: int) -> pd.DataFrame:
             ids, trie = tries[lang] if most else tries.pop(lang)
-            return sorted_runs(lang, ids, *trie.spill(most), frequent, parts)
+            return sorted_runs(lang, ids, *trie.spill(most), crowded.value, parts)
 
         for batch in batches:
             for lang, texts in _by_lang(batch):
-                ids, trie = tries.setdefault(lang, (WordIds(lang, bits), HatTrie()))
-                codes: list[int] = []
-                for text in texts:
-                    codes += [ids[w] for w in words_of(text)]
-                    codes.append(0)
-                places = np.array(codes, dtype=np.int32)
+                ids, trie = tries.setdefault(lang, (WordIds(lang), HatTrie()))
+                places = ids.places(texts)
                 for at in range(0, len(places), CHUNK_PLACES):
                     trie.add(windows_of(places, at, at + CHUNK_PLACES))
                     if trie.size > FULL:
                         yield out(lang, FULL // 2)
-                if len(ids) > FULL:
-                    yield out(lang, 0)  # words take up memory, too
+                while sum(len(i) for i, _ in tries.values()) > FULL_WORDS:
+                    yield out(max(tries, key=lambda x: len(tries[x][0])), 0)
                 while sum(t.size for _, t in tries.values()) > FULL:
                     largest = max(tries, key=lambda x: tries[x][1].size)
                     yield out(largest, tries[largest][1].size // 2)
@@ -326,18 +322,17 @@ def window_runs(docs: DataFrame, held, hot, parts: int) -> DataFrame:
 
 
 def merged_counts(runs: pd.DataFrame, least: int) -> pd.DataFrame:
-    """``lang, phrase, a`` of the runs of one partition: each prefix of two words or more with its count here.
+    """``lang, phrase, a`` of the runs of one partition: each prefix of their windows with its count here.
 
-    A phrase with a word that isn't frequent is in this partition alone: if it occurs too
-    seldom it is left out. Of others this is a part of the count.
+    What windows are dealt by, and longer phrases, are in this partition alone: if they occur
+    too seldom they are left out. Of shorter ones, which are crowded, this is a part of the
+    count. A null phrase counts all windows.
     """
     out = []
     for lang, own in runs.groupby("lang", sort=False):
-        spelled = [s.split(" ") if s else [] for s in own["words"]]
+        spelled = [s.split(" ") for s in own["words"]]
         codes, distinct = pd.factorize(np.array([w for s in spelled for w in s] + [None], dtype=object)[:-1])
         codes = codes + 1
-        frequent = np.zeros(len(distinct) + 1, dtype=bool)
-        frequent[codes] = np.frombuffer(b"".join(own["frequent"]), dtype=bool)
         windows, counts, at = [], [], 0
         for words, data, n in zip(spelled, own["windows"], own["counts"], strict=True):
             local = np.concatenate(([0], codes[at : at + len(words)])).astype(np.int32)
@@ -346,47 +341,39 @@ def merged_counts(runs: pd.DataFrame, least: int) -> pd.DataFrame:
             ids = np.frombuffer(data, dtype=f"u{width}").reshape(LONGEST, -1)
             windows.append(local[ids])
             counts.append(np.frombuffer(n, dtype=f"u{len(n) // ids.shape[1]}").astype(np.int64))
-        table_, n = np.concatenate(windows, axis=1), np.concatenate(counts)
-        order = np.lexsort(table_[::-1])
-        table_, n = table_[:, order], n[order]
+        cells, n = np.concatenate(windows, axis=1), np.concatenate(counts)
+        depth = np.frombuffer(b"".join(own["depths"]), dtype=np.uint8)
+        order = np.lexsort(cells[::-1])
+        cells, n, depth = cells[:, order], n[order], depth[order]
+        out.append((lang, None, int(n.sum())))
         fresh = np.zeros(len(n), dtype=bool)
         fresh[0] = True
-        fresh[1:] = table_[0, 1:] != table_[0, :-1]
-        cool = ~frequent[table_[0]]
-        for k in range(1, LONGEST):
-            fresh[1:] |= table_[k, 1:] != table_[k, :-1]
+        for k in range(LONGEST):
+            fresh[1:] |= cells[k, 1:] != cells[k, :-1]
             starts = np.flatnonzero(fresh)
             sums = np.add.reduceat(n, starts)
-            cool = cool | ((table_[k] > 0) & ~frequent[table_[k]])
-            keep = (table_[k, starts] > 0) & ((sums >= least) | ~cool[starts])
+            keep = (cells[k, starts] > 0) & ((sums >= least) | (depth[starts] > k + 1))
             for i, a in zip(starts[keep].tolist(), sums[keep].tolist(), strict=True):
-                out.append((lang, " ".join([distinct[c - 1] for c in table_[: k + 1, i].tolist()]), a))
+                out.append((lang, " ".join([distinct[c - 1] for c in cells[: k + 1, i].tolist()]), a))
     return pd.DataFrame(out, columns=["lang", "phrase", "a"])
 
 
-def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
-    """``lang, phrase, a`` of every phrase of 2 to ``LONGEST`` words with ``a >= least``, exactly.
+def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """``lang, phrase, a`` of every phrase of up to ``LONGEST`` words with ``a >= least``, and of all words under null, exactly.
 
-    ``words`` are the counts of single words. What is broadcast is bounded: the filter of
-    words that occur often enough, and the hashes of at most ``FREQUENT`` words.
+    Only the hashes of crowded prefixes are broadcast, a few for each partition.
     """
-    context = docs.sparkSession.sparkContext
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(4 * shuffled, total // PARTITION_WORDS)
-    often = words.where(F.col("n") >= least)
-    crowd = max(least, total // min(FREQUENT, 8 * parts))
-    frequent = words.where(F.col("n") > crowd).select("lang", "word").toLocalIterator()
-    hot = context.broadcast({word_hash(lang_seed(r.lang), r.word.encode()) for r in frequent})
-    held = context.broadcast(frequent_filter(often))
+    chars = docs.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // PARTITION_CHARS)
+    crowded = docs.sparkSession.sparkContext.broadcast(crowded_prefixes(docs, parts))
 
     def merged(runs: pd.DataFrame) -> pd.DataFrame:
         return merged_counts(runs, least)
 
-    found = window_runs(docs, held, hot, parts).groupBy("part").applyInPandas(merged, "lang string, phrase string, a long")
-    counts = stored(found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrase-counts")
-    hot.destroy()
-    held.destroy()
+    found = window_runs(docs, crowded, parts).groupBy("part").applyInPandas(merged, "lang string, phrase string, a long")
+    sums = found.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    counts = stored(sums.where((F.col("a") >= least) | F.col("phrase").isNull()), "phrase-counts")
+    crowded.destroy()
     return counts
 
 
@@ -407,10 +394,11 @@ def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> Data
     A null ``lang`` is ``und``, a null text empty; repeated rows count again; columns beside
     the two are neither read nor returned; an empty table gives no rows.
     """
-    docs = docs.select(docs["lang"], docs["text"])
-    words = stored(word_counts(docs), "word-counts")
-    phrases = phrase_counts(docs, words, least)
+    known = phrase_counts(docs.select(docs["lang"], docs["text"]), least)
+    sizes = known.where("phrase IS NULL").select("lang", F.col("a").alias("n"))
+    known = known.where("phrase IS NOT NULL")
     n_words = F.size(F.split("phrase", " "))
+    phrases = known.where(n_words > 1)
     # A longer phrase occurs as often only if one that is longer by a single word does.
     parts = F.split("phrase", " ")
     inner = phrases.where(n_words > 2).select(
@@ -423,12 +411,9 @@ def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP) -> Data
         F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("left"),
         F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("right"),
     )
-    single = words.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"))
-    known = single.unionByName(phrases)
     spread = F.xxhash64("phrase")
     cuts = join_unique(cuts, known.select("lang", F.col("phrase").alias("left"), F.col("a").alias("l")), ["lang", "left"], spread)
     cuts = join_unique(cuts, known.select("lang", F.col("phrase").alias("right"), F.col("a").alias("r")), ["lang", "right"], spread)
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     cuts = join_unique(cuts, sizes, ["lang"], spread)
     scored = with_score(cuts)
     lowest = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
