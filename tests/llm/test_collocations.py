@@ -124,6 +124,17 @@ def test_crowded_prefixes_are_dealt_further(spark):
     assert (C.dealt_by(windows, np.array(ids.hashes, dtype=np.uint64), crowded[:0])[0] == 1).all()
 
 
+def test_crowded_phrases_at_the_end_of_pieces_count(spark, monkeypatch):
+    """Too few windows end with a crowded phrase to keep it where they are dealt, but they are part of its count."""
+    for name, value in {"ASKED": 1, "PARTITION_CHARS": 100}.items():
+        monkeypatch.setattr(C, name, value)
+    rows = [("en", f"of the w{i % 40}") for i in range(400)] + [("en", "so of the.")] * 37 + [("en", f"v{i} x y") for i in range(300)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    got = {r.phrase: r.a for r in C.phrase_counts(docs, 50).collect()}
+    assert got["of the"] == 437 and got["the"] == 437 and got["of"] == 437 and got["x y"] == 300
+    assert "so of" not in got and got[None] == 400 * 3 + 37 * 3 + 300 * 3
+
+
 def test_large_products(spark):
     """Counts whose products pass 64 bits."""
     from pyspark.sql import functions as F

@@ -224,13 +224,18 @@ def prefix_hashes(windows: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
 
 
 def dealt_by(windows: np.ndarray, hashes: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of the prefix that each window is dealt by, and its hash; ``crowded`` are hashes of prefixes in order."""
+    """Words of the shortest prefix of each window that isn't crowded, and the hash it is dealt by.
+
+    A window of which all prefixes are crowded is dealt whole, and counts as one word longer
+    than it is: its phrases are in other partitions, too. ``crowded`` are hashes in order.
+    """
     size = (windows > 0).sum(axis=1)
     depth, chosen = np.zeros(len(windows), dtype=np.uint8), np.zeros(len(windows), dtype=np.uint64)
     for k, own in enumerate(prefix_hashes(windows, hashes), 1):
         at = np.minimum(np.searchsorted(crowded, own), max(0, len(crowded) - 1))
-        here = (depth == 0) & ((size == k) | (crowded[at] != own if len(crowded) else True))
-        depth[here], chosen[here] = k, own[here]
+        often = crowded[at] == own if len(crowded) else np.zeros(len(own), dtype=bool)
+        here = (depth == 0) & ((size == k) | ~often)
+        depth[here], chosen[here] = k + often[here], own[here]
     return depth, chosen
 
 

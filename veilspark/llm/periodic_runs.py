@@ -23,7 +23,6 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilspark.llm.common import table
 from veilspark.llm.words import chunks
