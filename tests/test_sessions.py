@@ -84,6 +84,17 @@ def test_plugins(spark, audited, book, policy, catalog, keys, tmp_path):
     assert {r.reason for r in rows[1:]} == {"ROLE_DENIED: per_status needs developer or higher", "ROLE_DENIED: generic queries are not allowed"}
 
 
+def test_described_tables_are_recorded(spark, audited):
+    assert [r.name for r in audited.describe("summary").collect()] == ["customer_name", "amount", "status", "mood"]
+    with pytest.raises(AccessDenied):
+        audited.describe("payroll")
+    rows = records(spark, audited)
+    assert [(r.tool, r.status, r.tables) for r in rows] == [
+        ("describe_columns", "success", ["summary"]), ("describe_columns", "denied", ["payroll"]),
+    ]
+    assert rows[1].reason == "TABLE_NOT_ALLOWED: payroll" and rows[0].normalized_sql == ""
+
+
 @pytest.mark.parametrize("mark", [{MASKED: "passthrough"}, {SAFE: True}, {"veil.checked": True}])
 def test_forged_marks_prove_nothing(dev, mark):
     """Only what the library itself masked, found safe or checked may pass."""

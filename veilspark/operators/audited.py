@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Observation
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Observation
 from veilspark.errors import AccessDenied
 from veilspark.frames import local_frame
 from veilspark.operators.audit import audit_event, build_audit, build_denied
+from veilspark.operators.catalog import describe_columns
 from veilspark.operators.governed import Condition, GovernedSession
 from veilspark.operators.masking import observed_fields, project_actions
 from veilspark.operators.querylog import GENERIC_TOOL
@@ -81,8 +83,30 @@ class AuditedSession:
 
         return self._recorded(run, tool, sql, None)
 
+    def describe(self, table: str) -> DataFrame:
+        """Columns of an allowed table with their masking; see :func:`veilspark.operators.catalog.describe_columns`."""
+        own = replace(self.session, asked=[table.lower()])
+        record = self._recorder(own, "describe_columns", "", None)
+        with self._refusals(record):
+            columns = describe_columns(own.spark, table, own.role, own.catalog, own.policy)
+        self._write(build_audit(record(), self.tz_name))
+        return columns
+
     def _recorded(self, build: Callable[[GovernedSession], DataFrame], tool: str, text: str, limit: int | None) -> Answer:
         own = replace(self.session, handed=[], asked=[])
+        record = self._recorder(own, tool, text, limit)
+        with self._refusals(record):
+            capped, actions = own.prepare(build(own), limit)
+            seen = Observation()
+            masked = project_actions(capped, actions, own.policy, own.keys, observation=seen)
+            rows = local_frame(own.spark, [tuple(r) for r in masked.collect()], masked.schema)
+            fields = observed_fields(actions, seen)
+        returned = seen.get.get("rows", 0)
+        self._write(build_audit(record(masked_columns=fields, rows_returned=returned), self.tz_name))
+        return Answer(rows, fields)
+
+    def _recorder(self, own: GovernedSession, tool: str, text: str, limit: int | None) -> Callable[..., DataFrame]:
+        """Makes the record of the call that begins now; facts about its end are added."""
         start = time.perf_counter()
         shown = _PLACE.sub(r"\1", text)
         unlimited = limit is None and bool(_SELECTS.match(shown)) and not _LIMITED.search(shown)
@@ -94,21 +118,19 @@ class AuditedSession:
                 own.spark, own.client, own.role.name, tool, shown, names, self.dialect, duration_ms=spent, unlimited=unlimited, **facts
             )
 
+        return record
+
+    @contextmanager
+    def _refusals(self, record: Callable[..., DataFrame]):
+        """Writes the record of a call that is refused or fails inside, and lets it go on."""
         try:
-            capped, actions = own.prepare(build(own), limit)
-            seen = Observation()
-            masked = project_actions(capped, actions, own.policy, own.keys, observation=seen)
-            rows = local_frame(own.spark, [tuple(r) for r in masked.collect()], masked.schema)
-            fields = observed_fields(actions, seen)
+            yield
         except AccessDenied as refused:
             self._write(build_denied(record(denied=refused), self.tz_name))
             raise
         except Exception as failed:
             self._write(build_denied(record(error_type=type(failed).__name__), self.tz_name))
             raise
-        returned = seen.get.get("rows", 0)
-        self._write(build_audit(record(masked_columns=fields, rows_returned=returned), self.tz_name))
-        return Answer(rows, fields)
 
     def _write(self, records: DataFrame) -> None:
         write_audit(records, self.path)
