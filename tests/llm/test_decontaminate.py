@@ -1,4 +1,8 @@
-from veilspark.llm.decontaminate import contaminated, windows
+import random
+
+import pytest
+
+from veilspark.llm.decontaminate import COVERAGE, RUN, WINDOW, contaminated, windows
 
 ITEM = "A train leaves Boston at 9 am with 120 people and travels 60 km before it stops for lunch near the old mill."
 OTHER = "Name the largest river that crosses the northern plains and explain why its delta keeps moving south each year."
@@ -89,3 +93,55 @@ def test_capitalised_starts_are_read_both_ways(spark):
     got = {r.doc_id: r for r in contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
     assert set(got) == {0, 1, 2, 3}
     assert got[0].changed and got[0].coverage == 1.0 and not got[3].changed
+
+
+def brute_match(item, doc):
+    """Share of the item's windows that the document holds, and its longest run of tokens; plain words only."""
+    item, doc = item.split(), doc.split()
+    grams = {tuple(doc[j : j + WINDOW]) for j in range(len(doc) - WINDOW + 1)}
+    held = [tuple(item[i : i + WINDOW]) in grams for i in range(len(item) - WINDOW + 1)]
+    run = longest = 0
+    for h in held:
+        run = run + 1 if h else 0
+        longest = max(longest, run)
+    return sum(held) / len(held), longest + WINDOW - 1 if longest else 0
+
+
+def test_edited_passages_against_brute_force(spark):
+    """Items of words of their own, some of them changed or left out, somewhere among other words."""
+    pick = random.Random(8)
+    items = [" ".join(f"item{chr(97 + k)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(pick.randint(10, 60))) for k in range(25)]
+    docs = []
+    for n in range(300):
+        k = pick.randrange(len(items))
+        words = items[k].split()
+        for _ in range(pick.choice([0, 0, 1, 1, 2, 4])):
+            at = pick.randrange(len(words))
+            words[at : at + 1] = pick.choice([["changed"], [], ["two", "more"]])
+        filler = lambda: [f"f{chr(97 + pick.randrange(26))}z" for _ in range(pick.randint(0, 30))]
+        docs.append((n, " ".join([*filler(), *words, *filler()])))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    matches = {(n, k): brute_match(item, doc) for n, doc in docs for k, item in enumerate(items)}
+    want = {key: m for key, m in matches.items() if m[0] >= COVERAGE or m[1] >= RUN}
+    assert set(got) == set(want) and 100 < len(want) < 300
+    for key, (coverage, run) in want.items():
+        assert got[key].coverage == pytest.approx(coverage, abs=0.21)  # the best place may leave out what an edit moved
+        assert got[key].run <= run + 1
+
+
+def test_changed_slots_against_their_source(spark):
+    """Every number and name of an item filled anew, the same way throughout: all are found, none as a copy."""
+    pick = random.Random(3)
+    people, others = ["Anna", "Peter", "Julia", "Robert"], ["Farid", "Zoltan", "Mireille", "Kwame"]
+    items, docs = [], []
+    for k in range(20):
+        words = [f"w{chr(97 + k)}{chr(97 + j)}" for j in range(24)]
+        for at in range(2, 24, 5):
+            words[at] = pick.choice([pick.choice(people), str(pick.randint(2, 99))])
+        items.append((k, " ".join(words)))
+        new = {p: o for p, o in zip(people, others, strict=True)} | {str(i): str(i + 200) for i in range(100)}
+        docs.append((k, "so it is said that " + " ".join(new.get(w, w) for w in words) + " and so on"))
+    frames_ = [spark.createDataFrame(rows, f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): r for r in contaminated(*frames_).collect()}
+    assert set(got) == {(k, k) for k in range(20)} and all(r.changed for r in got.values())

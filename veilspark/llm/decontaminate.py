@@ -14,6 +14,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import product
+from string import punctuation
 from typing import NamedTuple
 
 import numpy as np
@@ -53,6 +54,7 @@ NAMES = frozenset(
     "susan thomas tom victor william anna ben charlie daniel ella ethan george hannah jane jason jessica".split()
 )
 
+_SPECIAL = NUMBER_WORDS | UNITS
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"[^\W\d_]{0,3}\d[\d.,:/]*[^\W\d_]{0,3}")
 _SALT = {"number": 1, "unit": 2, "name": 3}
@@ -68,22 +70,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _token(word: str) -> tuple[str, bool, bool, bool, bool, bool, bool]:
-    """Core of a word; whether it is a number, may be a unit, is a name, is capitalised, may end a sentence, surely does."""
-    core = _EDGES.sub("", word)
+#: Facts about a word, as bits: a number, may be a unit, a name, capitalised, may end a sentence, surely does.
+_NUMBER_BIT, _UNIT_BIT, _NAME_BIT, _CAPITAL_BIT, _MAY_END_BIT, _ENDS_BIT = (1 << k for k in range(6))
+
+
+def _token(word: str) -> tuple[str, int, int]:
+    """Core of a word, its hash, and what is known of it."""
+    if word.isalpha() and word.islower() and word not in _SPECIAL and word == word.lower():
+        return word, xxhash.xxh64_intdigest(word.encode()), 0
+    core = word.strip(punctuation)
+    # Letters alone, as most words are: there is nothing left to strip, and no digit.
+    letters = core.isalpha()
+    core = core if letters else _EDGES.sub("", word)
     low = core.lower()
-    capital = core[:1].isupper() and core[1:] == core[1:].lower()
-    number = low in NUMBER_WORDS or bool(_NUMBER.fullmatch(core))
-    bare = word.rstrip("\"')]*")
-    return (
-        low,
-        number,
-        low in UNITS,
-        low in NAMES and capital,
-        capital,
-        word == _LINE or bare.endswith((".", "!", "?", ":")),
-        bare.endswith(("!", "?", ":")) or bare.endswith(".") and (number or len(low) > 3),  # "St." may go on
-    )
+    facts = 0
+    if low in NUMBER_WORDS or not letters and _NUMBER.fullmatch(core):
+        facts |= _NUMBER_BIT
+    if low in UNITS:
+        facts |= _UNIT_BIT
+    if core[:1].isupper() and core[1:] == core[1:].lower():
+        facts |= _CAPITAL_BIT | _NAME_BIT * (low in NAMES)
+    if not letters or len(core) < len(word):
+        bare = word.rstrip("\"')]*")
+        if word == _LINE or bare.endswith((".", "!", "?", ":")):
+            facts |= _MAY_END_BIT
+        if bare.endswith(("!", "?", ":")) or bare.endswith(".") and (facts & _NUMBER_BIT or len(low) > 3):  # "St." may go on
+            facts |= _ENDS_BIT
+    return low, xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), facts
 
 
 def _words(text: str) -> list[str]:
@@ -91,7 +104,7 @@ def _words(text: str) -> list[str]:
 
 
 class Windows(NamedTuple):
-    """Windows of several texts; ``kinds`` and ``values`` are by token, the rest but ``tokens`` by window."""
+    """Windows of several texts; ``kinds`` and ``codes`` are by token, the rest but ``tokens`` and ``cores`` by window."""
 
     tokens: np.ndarray  # of each text
     owner: np.ndarray
@@ -99,7 +112,9 @@ class Windows(NamedTuple):
     hashes: np.ndarray
     at: np.ndarray  # first token, counted over all texts
     kinds: np.ndarray
-    values: np.ndarray  # lower-case cores, of a run joined by blanks
+    codes: np.ndarray  # of the tokens' first words
+    cores: np.ndarray
+    runs: dict  # lower-case cores of runs, joined by blanks
     either: np.ndarray  # whether a word stands in it that is read both ways
 
     def slots(self, width: int, chosen: np.ndarray) -> pd.Series:
@@ -107,9 +122,13 @@ class Windows(NamedTuple):
         out = []
         for a in self.at[chosen].tolist():
             filled = np.nonzero(self.kinds[a : a + width])[0].tolist()
-            out.append(_BETWEEN.join(f"{j}:{self.kinds[a + j]}:{self.values[a + j]}" for j in filled))
+            out.append(_BETWEEN.join(f"{j}:{self.kinds[a + j]}:{self.value(a + j)}" for j in filled))
         return pd.Series(out, dtype=object)
 
+    def value(self, token: int) -> str:
+        """Lower-case core of a token, of a run joined by blanks."""
+        return self.runs.get(token) or self.cores[self.codes[token]]
+
 
 class Reading(NamedTuple):
     """Words of several texts, by word but ``cores`` and ``plain``."""
@@ -130,25 +149,35 @@ class Reading(NamedTuple):
 def read(texts: list[str]) -> Reading:
     """What is known of the words of each text; punctuation alone is none."""
     counts, codes, distinct = coded_words(texts, _words)
-    facts = [_token(w) for w in distinct]
-    cores = np.array([f[0] for f in facts], dtype=object)
-    flags = np.array([f[1:] for f in facts], dtype=bool).reshape(-1, 6)
-    plain = np.fromiter((xxhash.xxh64_intdigest(f[0].encode("utf-8", "surrogatepass")) for f in facts), np.uint64, len(facts))
+    found = list(zip(*map(_token, distinct), strict=True)) or [(), (), ()]
+    cores = np.array([*found[0], None], dtype=object)[:-1]
+    plain = np.fromiter(found[1], np.uint64, len(distinct))
+    flags = np.fromiter(found[2], np.uint8, len(distinct))
     owner = np.repeat(np.arange(len(texts)), counts)
     if not len(codes):
         none = np.zeros(0, dtype=bool)
         return Reading(len(texts), owner, np.zeros(0, dtype=np.int64), cores, plain, none, none, none, none, none, none)
     real = np.nonzero((cores != "")[codes])[0]
     starts = np.ones(len(codes), dtype=bool)
-    starts[1:] = flags[codes[:-1], 4] | (owner[1:] != owner[:-1])
-    ends = np.concatenate(([0], np.cumsum(flags[codes, 5])))
+    starts[1:] = (flags[codes[:-1]] & _MAY_END_BIT > 0) | (owner[1:] != owner[:-1])
+    ends = np.concatenate(([0], np.cumsum(flags[codes] & _ENDS_BIT > 0)))
     breaks = np.ones(len(real), dtype=bool)
     breaks[1:] = (ends[real[1:]] > ends[real[:-1]]) | (owner[real[1:]] != owner[real[:-1]])
     owner, codes, starts = owner[real], codes[real], starts[real]
-    number = flags[codes, 0]
+    own = flags[codes]
+    number = own & _NUMBER_BIT > 0
     unit = np.zeros(len(codes), dtype=bool)
-    unit[1:] = flags[codes[1:], 1] & number[:-1] & (owner[1:] == owner[:-1])
-    return Reading(len(texts), owner, codes, cores, plain, number, unit, flags[codes, 2], flags[codes, 3], starts, breaks)
+    unit[1:] = (own[1:] & _UNIT_BIT > 0) & number[:-1] & (owner[1:] == owner[:-1])
+    return Reading(len(texts), owner, codes, cores, plain, number, unit, own & _NAME_BIT > 0, own & _CAPITAL_BIT > 0, starts, breaks)
+
+
+def _chained(names: np.ndarray, at: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Hash of ``width`` names from each place on."""
+    out = np.full(len(at), np.uint64(seed + 1))
+    with np.errstate(over="ignore"):
+        for j in range(width):
+            out = out * _ODD + (names[j : j + len(at)] if len(at) == len(names) - width + 1 else names[at + j])
+        return _mix(_mix(out))
 
 
 def windows(texts: list[str] | Reading, width: int, opens: bool = True, names: bool = False) -> Windows:
@@ -176,10 +205,11 @@ def windows(texts: list[str] | Reading, width: int, opens: bool = True, names: b
     twofold = (as_names == _SALT["name"]) & starts & ~r.named
     first = np.nonzero(heads)[0]
     lengths = np.diff(np.concatenate((first, [len(heads)])))
-    literal, values = r.plain[r.codes[first]], r.cores[r.codes[first]] if len(first) else r.cores[:0]
+    codes, runs = r.codes[first], {}
+    literal = r.plain[codes]
     for k in np.nonzero(lengths > 1)[0].tolist():
-        values[k] = " ".join(r.cores[r.codes[first[k] : first[k] + lengths[k]]])
-        literal[k] = xxhash.xxh64_intdigest(values[k].encode("utf-8", "surrogatepass"))
+        runs[k] = " ".join(r.cores[r.codes[first[k] : first[k] + lengths[k]]])
+        literal[k] = xxhash.xxh64_intdigest(runs[k].encode("utf-8", "surrogatepass"))
     place = np.cumsum(name_heads) - 1
     own = np.bincount(r.owner[name_heads], minlength=r.texts)
     either = np.concatenate(([0], np.cumsum(twofold)))
@@ -189,20 +219,16 @@ def windows(texts: list[str] | Reading, width: int, opens: bool = True, names: b
     n = max(0, len(first) - width + 1)
     at = np.arange(n)
     whole = owner[:n] == owner[width - 1 :][:n]
-    hashes = np.zeros(n, dtype=np.uint64)
-    exact = np.full(n, np.uint64(width))
-    fixed = np.zeros(n, dtype=np.int64)
-    open_ = np.zeros(n, dtype=np.int64)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            hashes = _mix(hashes * _ODD + template[j : j + n])
-            exact = _mix(exact * _ODD + literal[j : j + n])
-            fixed += kinds[j : j + n] == 0
-            open_ += either[j : j + n]
-    hashes = np.where(fixed >= min(PLAIN, width), hashes, exact)[whole]
+    plain = np.concatenate(([0], np.cumsum(kinds == 0)))
+    open_ = np.concatenate(([0], np.cumsum(either)))
+    hashes = _chained(template, at, width, 0)
+    # Compared literally where too few words are plain.
+    few = np.nonzero(plain[width:][:n] - plain[:n] < min(PLAIN, width))[0]
+    hashes[few] = _chained(literal, few, width, width)
+    hashes, open_ = hashes[whole], (open_[width:][:n] - open_[:n])[whole]
     at = at[whole]
     position = place[at] - (np.cumsum(own) - own)[owner[at]]
-    return Windows(own, owner[at], position, hashes, at, kinds, values, (open_ > 0)[whole])
+    return Windows(own, owner[at], position, hashes, at, kinds, codes, r.cores, runs, open_ > 0)
 
 
 _ITEM_WINDOWS = "item_id long, width int, n_windows int, at int, hash long, slots string"
@@ -303,17 +329,32 @@ def _meanings(pairs: Iterator[list[tuple[str, str]]]) -> dict[str, str]:
     return {slot: max(by, key=by.get) for slot, by in votes.items()}
 
 
+class _Shared(NamedTuple):
+    """A window that a document shares with an item."""
+
+    start: int
+    doc_at: int
+    at: int
+    slots: str
+    doc_slots: str
+
+
 def _align(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Best place of one item in one document: windows that start the item at nearly the same token."""
-    rows = rows.assign(start=rows["doc_at"] - rows["at"]).sort_values(["start", "doc_at", "at"], ignore_index=True)
-    total, width = int(rows["n_windows"].iloc[0]), int(rows["width"].iloc[0])
+    columns = [rows[c].tolist() for c in ("doc_at", "at", "slots", "doc_slots", "n_windows", "width")]
+    listed = sorted((_Shared(d - a, d, a, x or "", y or ""), n, w) for d, a, x, y, n, w in zip(*columns, strict=True))
+    _, total, width = listed[0]
     drift = max(2, total // 5)
-    place = (rows["start"].diff().fillna(0) > drift).cumsum()
+    places: list[list[_Shared]] = []
+    for shared, _, _ in listed:
+        if not places or shared.start - places[-1][-1].start > drift:
+            places.append([])
+        places[-1].append(shared)
     best = None
-    for _, own in rows.groupby(place):
+    for own in places:
         seen: dict = {}
         held, spans, refused = set(), [], set()
-        lined = [(row, _filled(row.at, row.slots, row.doc_slots)) for row in own.sort_values(["doc_at", "at"]).itertuples()]
+        lined = [(row, _filled(row.at, row.slots, row.doc_slots)) for row in sorted(own, key=lambda r: (r.doc_at, r.at))]
         meant = _meanings(filled for _, filled in lined)
         for row, filled in lined:
             if all(meant[slot] == value for slot, value in filled):
