@@ -38,6 +38,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_and_freed(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, for jobs that shuffle much: nothing reads what they shuffled any more, and executors may delete it.
+
+    They do so when the driver's JVM notices that the finished job is gone, which is asked of
+    it here; left alone it may not look for half an hour, while job after job fills the disks.
+    """
+    out = stored(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
