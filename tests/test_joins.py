@@ -67,3 +67,27 @@ def test_nothing_crowded_is_a_plain_join(spark):
     assert joins.crowded_join(left.limit(0), left.selectExpr("t", "a AS b"), "t", 8).count() == 0
     nulls = left.selectExpr("CAST(NULL AS LONG) AS t", "a")
     assert joins.crowded_join(nulls, nulls.selectExpr("t", "a AS b"), "t", 8).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 6])
+def test_pairs_of_crowded_keys_counted(spark, copies):
+    """Counted pairs, crowded and not, are the plain join's; nulls pair with nothing."""
+    key = "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id % {}) END AS t"
+    left = spark.range(1200).selectExpr(key.format(50), f"id DIV {copies} % 40 AS a")
+    right = spark.range(900).selectExpr(key.format(70), f"id DIV {copies} % 30 AS b")
+    want = left.join(right, "t").groupBy("t", "a", "b").agg(F.count(F.lit(1)).alias("times"))
+    for parts in (8, 1):  # with and without a grid
+        got = joins.crowded_join(left, right, "t", parts, copies="times").groupBy("t", "a", "b").agg(F.sum("times").alias("times"))
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_equal_pairs_of_a_crowded_key_are_never_held(spark):
+    """More equal pairs than an array can hold: counted they take no room, repeated they come a few at a time."""
+    side = spark.range(100_000).selectExpr("IF(id < 60000, 'hot', concat('k', id)) AS t")
+    found = joins.crowded_join(side, side, "t", 8, copies="times").agg(F.count(F.lit(1)), F.sum("times")).first()
+    assert tuple(found) == (40_001, 60_000**2 + 40_000)
+    times = [1, 2, 4096, 4097, (1 << 24) + 1]
+    rows = joins.repeated(spark.createDataFrame([(n, n) for n in times], "n long, times long"), "times").groupBy("n").count()
+    assert {r["n"]: r["count"] for r in rows.collect()} == {n: n for n in times}
+    few = joins.crowded_join(side.where("t = 'hot'").limit(9_000), side.where("t = 'hot'").limit(9_000), "t", 8)
+    assert few.count() == 81_000_000
