@@ -4,14 +4,15 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import POLICY_DOC, SOURCES_DOC
+from tests.conftest import POLICY_DOC, SF, SOURCES_DOC
 from veilspark import AccessDenied, MaskingPolicy, RoleBook, SourceCatalog
 from veilspark.frames import local_frame
 from veilspark.operators.catalog import describe_columns, list_datasets
 from veilspark.operators.masking import column_masking_info, sensitive_columns
 from veilspark.operators.routing import route_tables
+from veilspark.plans.registry import PLANS
 from veilspark.policy import DataSource, read_document
-from veilspark.sources.policy_files import read_large_registry, read_tokens
+from veilspark.sources.policy_files import numbered, read_large_registry, read_tokens
 from veilspark.sources import (
     column_catalog,
     decimals_as_double,
@@ -261,3 +262,35 @@ def test_no_registry(spark, tmp_path):
     path = tmp_path / "tokens.json"
     path.write_text(json.dumps({"tokens": []}))
     assert read_large_registry(spark, str(path)).count() == 0
+
+
+def test_places_in_a_registry_of_parts(spark, tmp_path):
+    """A document in parts, each cut into ranges: places run on from part to part, and no task counts them all."""
+    entry = lambda i: json.dumps({"token_hash": f"h{i}", "client_name": "c", "role": "r", "status": "active"})
+    for part in range(3):
+        lines = [entry(i) + "," for i in range(200 * part, 200 * part + 200)]
+        ends = ['{"tokens": ['] * (part == 0), ["null]}"] * (part == 2)
+        (tmp_path / f"part-{part}").write_text("\n".join([*ends[0], *lines, *ends[1]]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        found = numbered(read_large_registry(spark, str(tmp_path)), "place")
+        rows = {r.place: r.token_hash for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == {i + 1: f"h{i}" for i in range(600)}
+    assert [r.place for r in numbered(read_large_registry(spark, str(tmp_path / "part-0")).limit(0), "place").collect()] == []
+
+
+def test_places_in_a_document_parsed_whole(spark, tmp_path):
+    path = tmp_path / "tokens.json"
+    path.write_text(json.dumps({"tokens": [{"token_hash": h, "client_name": "{", "role": "r"} for h in ("a}b", "c")]}))
+    found = numbered(read_large_registry(spark, str(path)), "place").orderBy("place").collect()
+    assert [(r.place, r.token_hash) for r in found] == [(1, "a}b"), (2, "c")]
+
+
+def test_the_registry_query_sorts_nothing_in_one_task(spark):
+    """Entries are sorted by ranges when written and counted by ranges when read."""
+    plan = PLANS["read_large_registry"].build(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [row_number()" in line]
+    assert windows and all("ahead" in line.split("windowspecdefinition(")[1].split(" ASC")[0] for line in windows)

@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from veilspark.frames import local_frame
 from veilspark.policy import MaskingPolicy, read_document
@@ -87,21 +89,40 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_large_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Like :func:`read_tokens`, one file being read by many tasks.
+    """Like :func:`read_tokens`, one document being read by many tasks.
 
-    The file is cut at closing braces, by byte ranges, and each entry parsed by itself;
-    ``pos`` orders entries as they stand in the file, without counting them. An entry with a
+    The document is a file, or a folder of parts that follow each other by name. It is cut at
+    closing braces, by byte ranges, and each entry parsed by itself; ``pos`` orders entries
+    as they stand in it, without counting them. An entry with a
     brace inside a text can't be told apart that way: such a document is parsed whole.
     """
     cut = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     # Inside a range of bytes rows come in their order; the ranges come in theirs.
-    numbered = cut.withColumn("row", F.monotonically_increasing_id())
+    rows = cut.withColumn("row", F.monotonically_increasing_id())
     quotes = F.length(F.regexp_replace("value", r'(?s)\\.|[^"]', ""))
-    if not numbered.where(quotes % 2 == 1).isEmpty():
+    if not rows.where(quotes % 2 == 1).isEmpty():
         return read_tokens(spark, path)
     entry = F.concat(F.regexp_extract("value", r"(?s)(\{[^{]*)$", 1), F.lit("}"))
-    parsed = numbered.where(F.col("value").contains("{")).select(
+    parsed = rows.where(F.col("value").contains("{")).select(
         F.struct("file", "block", "row").alias("pos"), F.from_json(entry, _TOKEN_ENTRY).alias("entry")
     )
     found = parsed.where(F.col("entry").isNotNull() & F.coalesce(*[F.col(f"entry.{f}") for f in TOKEN_FIELDS]).isNotNull())
     return found.select("pos", *[F.col(f"entry.{f}").alias(f) for f in TOKEN_FIELDS])
+
+
+def numbered(entries: DataFrame, name: str) -> DataFrame:
+    """The entries of ``read_large_registry`` with their place in the document, from 1, in a column ``name``.
+
+    Places are counted inside each range of bytes; only the ranges' sizes, a row for each,
+    are added up in one task. Entries of a document that was parsed whole have their place.
+    """
+    if not isinstance(entries.schema["pos"].dataType, StructType):
+        return entries.withColumn(name, F.col("pos") + 1)
+    ranges = entries.groupBy("pos.file", "pos.block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    same = (F.col("pos.file") == F.col("file")) & (F.col("pos.block") == F.col("block"))
+    placed = entries.join(F.broadcast(ranges), same)
+    # Every range has entries, so what is ahead of it tells it from the others.
+    inside = F.row_number().over(Window.partitionBy("ahead").orderBy("pos.row"))
+    return placed.select(*entries.columns, (F.col("ahead") + inside).alias(name))
