@@ -3,8 +3,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from veilspark.frames import local_frame
+from veilspark.functions.sqltext import redact_literals
 from veilspark.operators import querylog as q
+from veilspark.plans import audits
 
 LOG = "query_id long, role string, client string, tool string, ts timestamp_ntz, sql_text string, dialect string"
 SHAPE = "query_id long, statement_type string, n_statements int, union_depth int, limit_value int, has_where boolean"
@@ -245,3 +248,17 @@ def test_only_touched_queries_are_judged_again(spark, book, policy, sources, i):
     assert got == sorted(map(tuple, q.query_verdict(*frames, book, policy, sources).collect()))
     touched = touched_queries(frames[0], frames[2], frames[3], change(old, new)).count()
     assert 0 < touched and (touched < len(CASES) or i == 8)
+
+
+def test_the_derived_log_is_dealt_out_before_its_texts_are_made(spark):
+    """Few bytes of events make many texts; they are shuffled by id once, and neither the texts nor the facts again."""
+    plan = audits.judged(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_id" in plan and "hashpartitioning(query_id" not in plan
+
+
+def test_tokens_that_begin_like_numbers_names_and_comments(spark):
+    text = "SELECT n, N'x', n1, .5, a.b, -1, - 2, a/b, 'q' -- c\n, [x], $1, `y`, \"z\" # d"
+    rows = spark.createDataFrame([(d, text) for d in ("mysql", "tsql", "postgres")], "d string, s string")
+    found = {r.d: r.t for r in rows.select("d", redact_literals(F.col("s"), F.col("d")).alias("t")).collect()}
+    plain = "SELECT n, ?, n1, ?, a.b, -?, - ?, a/b, ? , [x], $?, `y`, \"z\" # d"
+    assert found == {"mysql": "SELECT n, ?, n1, ?, a.b, -?, - ?, a/b, ? , [x], $?, `y`, ?", "tsql": plain, "postgres": plain}

@@ -89,12 +89,17 @@ def _dialect(dialect: Column | None) -> Column:
     return F.lit("mysql") if dialect is None else F.coalesce(dialect, F.lit("mysql"))
 
 
+#: How tokens begin that may be anything but code.
+_SPECIAL = tuple("'\"`[$-/#.nN0123456789")
+
+
 def _kind(token: Column, dialect: Column) -> Column:
     first, longer = F.substring(token, 1, 1), F.length(token) > 1
     double = F.when(dialect == "mysql", STRING).otherwise(NAME)
     bracket = (dialect == "tsql") & longer
     return (
-        F.when(first.isin("'", '"', "`") & ~longer, F.when((first != "`") | (dialect == "mysql"), OPEN).otherwise(CODE))
+        F.when(~first.isin(*_SPECIAL), CODE)
+        .when(first.isin("'", '"', "`") & ~longer, F.when((first != "`") | (dialect == "mysql"), OPEN).otherwise(CODE))
         .when(first == "'", STRING)
         .when(first == '"', double)
         .when(first == "`", NAME)

@@ -126,8 +126,16 @@ def _templated(spark, log, rows, schema):
     return log.join(F.broadcast(local_frame(spark, rows, schema)), "tmpl")
 
 
+def _events(spark, sf):
+    """The events dealt out by id: a few bytes of a row make much text, so files are split too coarsely for the work on it.
+
+    All joins and sums by query id find their rows where they need them.
+    """
+    return table(spark, sf, "events").repartition("event_id")
+
+
 def query_log(spark, sf):
-    log = derive(table(spark, sf, "events"), LOG)
+    log = derive(_events(spark, sf), LOG)
     texts = _templated(spark, log, _TEXT_ROWS, "tmpl long, text string, dialect string")
     user, event = F.col("user_id").cast("string"), F.col("query_id").cast("string")
     filled = F.replace(F.replace("text", F.lit("{u}"), user), F.lit("{e}"), event)
@@ -137,7 +145,7 @@ def query_log(spark, sf):
 
 
 def _ids(spark, sf):
-    return derive(table(spark, sf, "events"), {k: LOG[k] for k in ("query_id", "tmpl")})
+    return derive(_events(spark, sf), {k: LOG[k] for k in ("query_id", "tmpl")})
 
 
 def query_shape(spark, sf):
