@@ -32,7 +32,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group of near-duplicates: the one with the smallest id, null last."""
+    """One row of every group of near-duplicates: the one with the smallest id, null last.
+
+    SimHash finds the groups, each link checked on the whole shingle sets; a prefix join adds
+    the links that fingerprints can't see.
+    """
     return rows.one_of_each(docs, near_sets.near_sets(docs.select("doc_id", "text"), SHINGLE))
 
 

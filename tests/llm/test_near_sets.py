@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tests.conftest import SF
 from veilspark.llm import near_sets as N
@@ -99,3 +101,46 @@ def test_every_link_is_compared_or_implied(spark):
     got = {r.doc_id: r.root for r in N.near_sets(docs, 5).collect()}
     groups = brute_groups(texts)
     assert len({(got[i], groups[i]) for i in got}) == len(set(got.values())) == len(set(groups))
+
+
+def test_simhash_links_by_itself(spark, monkeypatch):
+    """Texts with few words changed are found by their fingerprints alone; texts whose fingerprints meet by chance aren't linked."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(20):
+        base = words(rng, 400)
+        texts += [" ".join(base), " ".join(base + words(rng, 1)), " ".join(words(rng, 1) + base)]
+    monkeypatch.setattr(N, "shared_rows", lambda rows: rows.where("false"))
+    kept = survivors(spark, texts)
+    assert set(kept) >= set(range(0, 60, 3)) and len(kept) <= 22
+    monkeypatch.setattr(N, "near_links", lambda prints, radius: prints.selectExpr("fp AS a", "fp AS b").where("false"))
+    assert len(survivors(spark, texts)) > 40  # equal fingerprints alone
+    # Every two fingerprints taken for near: the whole sets decide.
+    monkeypatch.setattr(N, "near_links", lambda prints, radius: prints.selectExpr("fp AS a").crossJoin(prints.selectExpr("fp AS b")).where("a > b"))
+    assert survivors(spark, [*texts, "", "a", "b c d e f g"]) == [*range(0, 60, 3), 60, 61, 62]
+
+
+def test_fingerprint_pairs(spark):
+    """Sets of one fingerprint pair with the first of them, near ones by theirs; copies of a set are one."""
+    marked = spark.createDataFrame([(5, 0), (3, 0), (3, 0), (9, 1), (7, 255), (8, 255)], "sid long, fp long")
+    assert {tuple(r) for r in N.fingerprint_pairs(marked).collect()} == {(5, 3), (9, 3), (8, 7)}
+
+
+def test_parities_rule_out_no_link(spark):
+    """Pairs at every similarity, sizes on either side of a power of two and apart: none that links is ruled out, most others are."""
+    rng = np.random.default_rng(5)
+    sets, pairs, links = [], [], set()
+    for n in (1, 2, 5, 63, 64, 65, 128, 129, 130, 500, 1030):
+        for share in (1.0, 0.95, 0.9, 0.85, 0.82, 0.8, 0.78, 0.7, 0.5, 0.1, 0.0):
+            for shrink in (1.0, 0.9, 0.8):
+                a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                b = np.concatenate([a[: int(n * share)], rng.integers(0, 1 << 63, max(1, int((n - int(n * share)) * shrink))).astype(np.uint64)])
+                at = len(sets)
+                sets += [np.unique(a), np.unique(b)]
+                pairs.append((at + 1, at))
+                if alike(set(sets[at].tolist()), set(sets[at + 1].tolist())):
+                    links.add((at + 1, at))
+    rows = [(i, len(x), N.parities(x).tolist()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "sid long, n int, parity array<long>")
+    left = {tuple(r) for r in N.likely(spark.createDataFrame(pairs, "a long, b long"), df).collect()}
+    assert 50 < len(links) and links <= left and len(left) < len(links) + 0.4 * (len(pairs) - len(links))

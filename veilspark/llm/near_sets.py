@@ -1,9 +1,11 @@
 """Exact near-duplicates: texts that share a given part of their distinct shingles.
 
-A prefix join finds the candidates. Under any one order of all shingles, two texts of
-Jaccard similarity ``SHARE`` or more have a shingle in common among the first
-``n - ceil(SHARE * n) + 1`` of each; frequent shingles are put last, so that few texts
-meet by them. Every candidate is decided on the whole sets of shingle hashes.
+SimHash finds most of them: fingerprints of the sets that differ in few bits, by the
+pigeonhole search of ``simhash``. A prefix join finds the candidates that fingerprints
+can't see. Under any one order of all shingles, two texts of Jaccard similarity ``SHARE``
+or more have a shingle in common among the first ``n - ceil(SHARE * n) + 1`` of each;
+frequent shingles are put last, so that few texts meet by them. Every candidate of
+either way is decided on the whole sets of shingle hashes.
 """
 
 from __future__ import annotations
@@ -15,12 +17,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from veilspark.llm.common import small, stored, stored_and_freed
+from veilspark.llm.common import stored, stored_and_freed
 from veilspark.llm.components import components
 from veilspark.llm.rows import MAX_BROADCAST_KEYS
-from veilspark.llm.simhash import shingle_hashes
+from veilspark.llm.simhash import RADIUS, near_links, shingle_hashes, voted
 
 #: The least Jaccard similarity of near-duplicates, as a fraction.
 SHARE = (4, 5)
@@ -44,14 +45,15 @@ def _name(hashes: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def set_column(text: Column, width: int) -> Column:
-    """The name of a text's set of shingles; texts of one set have one name."""
+def marks_column(text: Column, width: int) -> Column:
+    """``sid, fp`` of a text: the name of its set of shingles, equal for texts of one set, and the set's SimHash."""
 
-    @F.pandas_udf("long")
-    def named(texts: pd.Series) -> pd.Series:
-        return pd.Series([_name(shingle_set(x, width)) for x in texts], dtype="int64")
+    @F.pandas_udf("sid long, fp long")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(x, width) for x in texts]
+        return pd.DataFrame({"sid": [_name(x) for x in sets], "fp": [voted(x) for x in sets]}, dtype="int64")
 
-    return named(text)
+    return marks(text)
 
 
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
@@ -73,11 +75,21 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
     return counts
 
 
-def prefix_rows(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> DataFrame:
-    """``key, sid, n, pos``: the first shingles of each set by count and hash, with their place and the set's size.
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each remainder of the hashes, set if an odd number of them leaves it; as many as hashes, or up to twice.
 
-    A task gives a set once, however many copies of a text it meets, so a key has a row for
-    each set and task at most.
+    Two sets differ in at least as many hashes as their parities in bits. Half as many bits are
+    the two halves laid over each other, so that sets of other sizes can be compared.
+    """
+    bits = 1 << max(6, int(len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def prefixes(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> DataFrame:
+    """``sid, n, parity, keys``: the size and parities of each set, and its first shingles by count and hash.
+
+    A task gives a set once, however many copies of a text it meets; of all tasks' one is kept.
     """
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))
     part, whole = share
@@ -85,7 +97,7 @@ def prefix_rows(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) ->
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, seen = counts.value, set()
         for batch in batches:
-            keys, sids, sizes = [], [], []
+            rows = []
             if len(seen) > SEEN:
                 seen.clear()
             for text in batch["text"]:
@@ -95,19 +107,29 @@ def prefix_rows(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) ->
                     continue
                 seen.add(name)
                 order = np.lexsort((hashes, often[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
-                keys.append(hashes[order[: n - -(-part * n // whole) + 1]].view("<i8"))
-                sids.append(name)
-                sizes.append(n)
-            if keys:
-                lengths = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
-                yield pd.DataFrame({
-                    "key": np.concatenate(keys),
-                    "sid": np.repeat(np.array(sids, dtype=np.int64), lengths),
-                    "n": np.repeat(np.array(sizes, dtype=np.int32), lengths),
-                    "pos": (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32),
-                })
+                rows.append((name, n, parities(hashes), hashes[order[: n - -(-part * n // whole) + 1]].view("<i8")))
+            if rows:
+                yield pd.DataFrame(rows, columns=["sid", "n", "parity", "keys"])
+
+    return docs.select("text").mapInPandas(cut, "sid long, n int, parity array<long>, keys array<long>").dropDuplicates(["sid"])
+
 
-    return docs.select("text").mapInPandas(cut, "key long, sid long, n int, pos int")
+def fingerprint_pairs(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b``: pairs of sets whose SimHash fingerprints are near, by the pigeonhole search of ``simhash``.
+
+    Sets of one fingerprint are paired with the first of them, near fingerprints by theirs.
+    """
+    sets = marked.select("sid", "fp").distinct()
+    prints = stored_and_freed(sets.groupBy("fp").agg(F.min("sid").alias("first")), "distinct-fingerprints")
+    links = near_links(prints.select("fp", F.lit(0).cast("long").alias("more")), radius)
+    near = links.join(prints.selectExpr("fp AS a", "first AS x"), "a").join(prints.selectExpr("fp AS b", "first AS y"), "b")
+    near = near.select("x", "y").unionByName(sets.join(prints, "fp").selectExpr("sid AS x", "first AS y"))
+    return near.where("x <> y").selectExpr("greatest(x, y) AS a", "least(x, y) AS b").distinct()
+
+
+def _broadcast_if_few(found: DataFrame) -> DataFrame:
+    """A stored frame, broadcast if it has few rows; they are counted by all tasks."""
+    return F.broadcast(found) if found.count() <= MAX_BROADCAST_KEYS else found
 
 
 def _may_link(a: str, b: str, share: tuple[int, int]) -> str:
@@ -119,13 +141,34 @@ def _may_link(a: str, b: str, share: tuple[int, int]) -> str:
     )
 
 
+def likely(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    """The pairs ``a, b`` without those that sizes and parities show to be less similar than ``share``; loses no link.
+
+    ``sets`` has ``sid, n, parity``. Few pairs have their whole sets moved after this.
+    """
+    part, whole = share
+    x, y = (sets.select(F.col("sid").alias(c), F.struct("n", "parity").alias(f"{c}_set")) for c in "ab")
+    fits = f"({part} * a_set.n <= {whole} * b_set.n AND {part} * b_set.n <= {whole} * a_set.n)"
+
+    def folded(own: str, other: str) -> str:
+        half = f"size({other}.parity)"
+        return (
+            f"IF(size({own}.parity) > {half}, zip_with(slice({own}.parity, 1, {half}),"
+            f" slice({own}.parity, {half} + 1, {half}), (p, q) -> p ^ q), {own}.parity)"
+        )
+
+    apart = f"aggregate(zip_with({folded('a_set', 'b_set')}, {folded('b_set', 'a_set')}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+    near = f"{part + whole}L * {apart} <= {whole - part}L * (a_set.n + b_set.n)"
+    return pairs.join(x, "a").join(y, "b").where(f"CASE WHEN {fits} THEN {near} ELSE false END").select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, share: tuple[int, int] = SHARE) -> DataFrame:
     """Those of the pairs ``a, b`` of sets whose Jaccard similarity is ``share`` or more."""
     part, whole = share
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     texts = marked.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("text_hash").alias("text_hash"))
     texts = stored_and_freed(texts, "candidate-texts")
-    texts = F.broadcast(texts) if small(texts, MAX_BROADCAST_KEYS) else texts
+    texts = _broadcast_if_few(texts)
     once = docs.select("text", F.xxhash64("text").alias("text_hash")).join(texts, "text_hash").dropDuplicates(["sid"])
 
     @F.pandas_udf("array<long>")
@@ -139,37 +182,51 @@ def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, s
     return stored_and_freed(both.where(enough).select("a", "b"), "verified-links")
 
 
+def _rooted(links: DataFrame, name: str) -> DataFrame:
+    return _broadcast_if_few(stored(components(links).withColumnRenamed("node", "sid"), name))
+
+
+def with_roots(rows: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows with the component of their set, which stands for itself if it has no link."""
+    return rows.join(rooted, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """Those of the rows ``key, sid, n, pos, root`` whose shingle is in sets of more than one component."""
+    ends = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    keys = stored_and_freed(ends.where("low < high").select("key"), "shared-keys")
+    return stored_and_freed(rows.join(_broadcast_if_few(keys), "key", "left_semi"), "shared-shingles")
+
+
 def near_sets(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> DataFrame:
     """``doc_id, text_hash, root`` for each row of ``docs`` (``doc_id, text``): ``root`` names its component.
 
     Links are all pairs of texts of Jaccard similarity ``share`` or more. Null texts read
     as empty; these have no shingle and link among themselves only. Repeated rows stay.
-    Texts are first compared with the least and the greatest set they meet; pairs that are
-    in one component by then need no comparison, all others are compared.
+    SimHash finds most of them: pairs of near fingerprints count where the sets are similar
+    enough. What fingerprints can't see is found by the prefix join, on shingles that sets of
+    several components have: first each set with the first and last component it meets,
+    then all pairs that are still in two. None is left out.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), set_column(F.col("text"), width).alias("sid"))
-    marked = stored(marked, "shingle-sets")
-    met = Window.partitionBy("key")
-    entry = F.struct("sid", "n", "pos")
-    shared = prefix_rows(docs, width, share).select(
-        "key", entry.alias("own"), F.min(entry).over(met).alias("least"), F.max(entry).over(met).alias("most")
-    )
-    shared = stored_and_freed(shared.where("least.sid <> most.sid").distinct(), "shared-shingles")
-    ends = shared.select("own", F.explode(F.array("least", "most")).alias("other"))
-    ends = ends.where(f"own.sid <> other.sid AND {_may_link('own', 'other', share)}")
-    pairs = stored_and_freed(ends.selectExpr("greatest(own.sid, other.sid) AS a", "least(own.sid, other.sid) AS b").distinct(), "end-pairs")
-    links = verified(pairs, docs, marked, width, share)
-    rooted = stored(components(links).withColumnRenamed("node", "sid"), "end-roots")
-    rooted = F.broadcast(rooted) if small(rooted, MAX_BROADCAST_KEYS) else rooted
-    apart = shared.select("key", "own", F.col("own.sid").alias("sid")).join(rooted, "sid", "left")
-    apart = apart.select("key", "own", F.coalesce("root", "sid").alias("root"))
-    ranges = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = stored_and_freed(apart.join(ranges, "key", "left_semi"), "apart-shingles")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, F.expr(f"x.key = y.key AND x.own.sid > y.own.sid AND x.root <> y.root AND {_may_link('x.own', 'y.own', share)}"))
-    rest = rest.selectExpr("x.own.sid AS a", "y.own.sid AS b").distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(stored_and_freed(rest, "other-pairs"), docs, marked, width, share))
-    rooted = stored(components(links).withColumnRenamed("node", "sid"), "roots")
-    rooted = F.broadcast(rooted) if small(rooted, MAX_BROADCAST_KEYS) else rooted
-    return marked.join(rooted, "sid", "left").select("doc_id", "text_hash", F.coalesce("root", "sid").alias("root"))
+    marked = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), marks_column(F.col("text"), width).alias("marks"))
+    marked = stored(marked.select("doc_id", "text_hash", "marks.*"), "shingle-sets")
+    sets = stored_and_freed(prefixes(docs, width, share), "prefixes")
+    met = stored_and_freed(fingerprint_pairs(marked), "near-fingerprints")
+    links = verified(stored_and_freed(likely(met, sets, share), "likely-pairs"), docs, marked, width, share)
+    first = with_roots(sets.select("sid", "n", "keys"), _rooted(links, "fingerprint-roots"))
+    shared = shared_rows(first.select("sid", "n", "root", F.posexplode("keys").alias("pos", "key")))
+    entry = F.struct("root", "sid", "n", "pos")
+    ends = shared.groupBy("key").agg(F.min(entry).alias("least"), F.max(entry).alias("most"))
+    ends = shared.join(ends, "key").select(entry.alias("own"), F.explode(F.array("least", "most")).alias("other"))
+    ends = ends.where(f"own.root <> other.root AND {_may_link('own', 'other', share)}")
+    ends = ends.selectExpr("greatest(own.sid, other.sid) AS a", "least(own.sid, other.sid) AS b").distinct()
+    ends = stored_and_freed(ends, "end-pairs")
+    links = links.unionByName(verified(stored_and_freed(likely(ends, sets, share), "likely-pairs"), docs, marked, width, share))
+    shared = shared_rows(with_roots(shared.drop("root"), _rooted(links, "end-roots")))
+    x, y = shared.alias("x"), shared.alias("y")
+    rest = x.join(y, F.expr(f"x.key = y.key AND x.sid > y.sid AND x.root <> y.root AND {_may_link('x', 'y', share)}"))
+    rest = rest.selectExpr("x.sid AS a", "y.sid AS b").distinct().join(ends.unionByName(met), ["a", "b"], "left_anti")
+    rest = stored_and_freed(likely(stored_and_freed(rest, "other-pairs"), sets, share), "likely-pairs")
+    links = links.unionByName(verified(rest, docs, marked, width, share))
+    return with_roots(marked, _rooted(links, "roots")).select("doc_id", "text_hash", "root")

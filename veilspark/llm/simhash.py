@@ -57,7 +57,11 @@ def simhash(text: str, width: int = WIDTH, seed: int = SEED, repeats: bool = Tru
     Repeated shingles count as often as they stand there, or once without ``repeats``.
     """
     hashes = shingle_hashes(text, width, seed)
-    hashes = hashes if repeats else np.unique(hashes)
+    return voted(hashes if repeats else np.unique(hashes))
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, as a signed number."""
     votes = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), _SLICE):
         part = hashes[at : at + _SLICE].view(np.uint8).reshape(-1, 8)
