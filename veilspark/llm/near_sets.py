@@ -33,6 +33,10 @@ FREQUENT = 20_000
 COUNTED = 8
 #: Sets that a task remembers, about; it gives a forgotten one again, to no harm.
 SEEN = 500_000
+#: Sets that a task holds before it gives them.
+GIVEN = 1_000
+#: Shingles up to which they are broadcast.
+BROADCAST_SHINGLES = 100_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -50,8 +54,11 @@ def marks_column(text: Column, width: int) -> Column:
 
     @F.pandas_udf("sid long, fp long")
     def marks(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(x, width) for x in texts]
-        return pd.DataFrame({"sid": [_name(x) for x in sets], "fp": [voted(x) for x in sets]}, dtype="int64")
+        rows = np.empty((len(texts), 2), dtype=np.int64)
+        for i, text in enumerate(texts):  # one set is held at a time
+            hashes = shingle_set(text, width)
+            rows[i] = _name(hashes), voted(hashes)
+        return pd.DataFrame(rows, columns=["sid", "fp"])
 
     return marks(text)
 
@@ -95,12 +102,15 @@ def prefixes(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> Dat
     part, whole = share
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often, seen = counts.value, set()
+        often, seen, columns = counts.value, set(), ["sid", "n", "parity", "keys"]
         for batch in batches:
-            rows = []
             if len(seen) > SEEN:
                 seen.clear()
+            rows = []
             for text in batch["text"]:
+                if len(rows) == GIVEN:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
                 hashes = shingle_set(text, width)
                 n, name = len(hashes), _name(hashes)
                 if not n or name in seen:
@@ -109,7 +119,7 @@ def prefixes(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> Dat
                 order = np.lexsort((hashes, often[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
                 rows.append((name, n, parities(hashes), hashes[order[: n - -(-part * n // whole) + 1]].view("<i8")))
             if rows:
-                yield pd.DataFrame(rows, columns=["sid", "n", "parity", "keys"])
+                yield pd.DataFrame(rows, columns=columns)
 
     return docs.select("text").mapInPandas(cut, "sid long, n int, parity array<long>, keys array<long>").dropDuplicates(["sid"])
 
@@ -127,9 +137,9 @@ def fingerprint_pairs(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     return near.where("x <> y").selectExpr("greatest(x, y) AS a", "least(x, y) AS b").distinct()
 
 
-def _broadcast_if_few(found: DataFrame) -> DataFrame:
+def _broadcast_if_few(found: DataFrame, rows: int = MAX_BROADCAST_KEYS) -> DataFrame:
     """A stored frame, broadcast if it has few rows; they are counted by all tasks."""
-    return F.broadcast(found) if found.count() <= MAX_BROADCAST_KEYS else found
+    return F.broadcast(found) if found.count() <= rows else found
 
 
 def _may_link(a: str, b: str, share: tuple[int, int]) -> str:
@@ -195,7 +205,7 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     """Those of the rows ``key, sid, n, pos, root`` whose shingle is in sets of more than one component."""
     ends = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     keys = stored_and_freed(ends.where("low < high").select("key"), "shared-keys")
-    return stored_and_freed(rows.join(_broadcast_if_few(keys), "key", "left_semi"), "shared-shingles")
+    return stored_and_freed(rows.join(_broadcast_if_few(keys, BROADCAST_SHINGLES), "key", "left_semi"), "shared-shingles")
 
 
 def near_sets(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> DataFrame:
