@@ -1,12 +1,14 @@
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from veilspark.llm import quality_fm as Q
 from veilspark.llm import toxicity as X
-from veilspark.llm.words import chunks
+from veilspark.llm.words import Texts, chunks
 
 RUDE, KIND = ("zorkish", "blemful"), ("meadow", "river", "stone", "cloud", "lantern", "harvest")
 
@@ -183,3 +185,13 @@ def test_chunks_hold_whole_texts():
     assert [t for _, own in found for t in own] == ["ab", "", "c" * 10, "", "de"]
     assert [first for first, _ in found] == [sum(len(o) for _, o in found[:i]) for i in range(len(found))]
     assert all(len(own) == 1 or sum(map(len, own)) <= 4 or len(own[0]) > 4 for _, own in found)
+
+
+def test_an_arrow_column_is_never_all_strings_at_once():
+    column = pa.array([("word " * 2_000) + str(i) for i in range(2_000)] + [None, ""])
+    tracemalloc.start()
+    sizes = [sum(map(len, held)) for _, held in chunks(Texts(column), 100_000)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == sum(len(x or "") for x in column.to_pylist()) and max(sizes) <= 100_000
+    assert peak < 5_000_000 and len(Texts(column)) == 2_002 and list(Texts(column.slice(2_000))) == ["", ""]

@@ -145,3 +145,9 @@ def test_changed_slots_against_their_source(spark):
     frames_ = [spark.createDataFrame(rows, f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
     got = {(r.doc_id, r.item_id): r for r in contaminated(*frames_).collect()}
     assert set(got) == {(k, k) for k in range(20)} and all(r.changed for r in got.values())
+
+
+def test_large_id_beside_a_null_id(spark):
+    large = (1 << 53) + 1
+    docs = spark.createDataFrame([(large, ITEM), (None, OTHER)], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, frames(spark, [])[1]).collect()} == {(large, 1), (None, 2)}

@@ -19,12 +19,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import stored, table
-from veilspark.llm.words import chunks, coded_words
+from veilspark.llm.words import SMALL_CHUNK_CHARS, Texts, chunks, coded_words
 
 WINDOW = 5
 #: Share of an item's windows that a document must hold ...
@@ -235,6 +236,12 @@ _ITEM_WINDOWS = "item_id long, width int, n_windows int, at int, hash long, slot
 _DOC_WINDOWS = "doc_id long, text_hash long, width int, doc_at int, hash long, doc_slots string"
 
 
+def _batch(schema: str, *columns: pa.Array | np.ndarray | pd.Series) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = [field.split() for field in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Windows of every benchmark item; an item of fewer tokens is one window of its own width.
 
@@ -242,26 +249,20 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     may stand anywhere in a document, and capitalised words that start a sentence as names.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["item_id"].to_numpy()
-            for first, held in chunks(batch["text"]):
+            ids = batch.column("item_id").to_numpy(zero_copy_only=False)
+            for first, held in chunks(Texts(batch.column("text")), SMALL_CHUNK_CHARS):
                 words = read(held)
                 for width, (opens, names) in product(range(1, window + 1), ((True, False), (False, False), (True, True))):
                     w = windows(words, width, opens, names)
                     size = w.tokens[w.owner]
                     keep = np.nonzero((size == width if width < window else size >= window) & (w.position <= size - width))[0]
-                    yield pd.DataFrame({
-                        "item_id": ids[first + w.owner[keep]],
-                        "width": width,
-                        "n_windows": size[keep] - width + 1,
-                        "at": w.position[keep],
-                        "hash": w.hashes[keep].view(np.int64),
-                        "slots": w.slots(width, keep),
-                    })
+                    found = (ids[first + w.owner[keep]], np.full(len(keep), width), size[keep] - width + 1, w.position[keep])
+                    yield _batch(_ITEM_WINDOWS, *found, w.hashes[keep].view(np.int64), w.slots(width, keep))
 
     texts = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return texts.mapInPandas(cut, _ITEM_WINDOWS).dropDuplicates(["item_id", "n_windows", "at", "hash", "slots"])
+    return texts.mapInArrow(cut, _ITEM_WINDOWS).dropDuplicates(["item_id", "n_windows", "at", "hash", "slots"])
 
 
 def window_filter(items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -279,11 +280,11 @@ def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # five at most
     bitmap = docs.sparkSession.sparkContext.broadcast(window_filter(items))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
-            ids, marks = batch["doc_id"], batch["text_hash"].to_numpy()
-            for first, held in chunks(batch["text"]):
+            ids, marks = batch.column("doc_id"), batch.column("text_hash")
+            for first, held in chunks(Texts(batch.column("text")), SMALL_CHUNK_CHARS):
                 words = read(held)
                 for width, names in product(widths, (False, True)):
                     w = windows(words, width, names=names)
@@ -292,18 +293,13 @@ def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
                     hit = known & np.uint64(1) > 0
                     hit = np.nonzero(hit & w.either if names else hit)[0]
                     if len(hit):
-                        yield pd.DataFrame({
-                            "doc_id": ids.iloc[first + w.owner[hit]].to_numpy(),
-                            "text_hash": marks[first + w.owner[hit]],
-                            "width": width,
-                            "doc_at": w.position[hit],
-                            "hash": w.hashes[hit].view(np.int64),
-                            "doc_slots": w.slots(width, hit),
-                        })
+                        rows = pa.array(first + w.owner[hit])
+                        found = (ids.take(rows), marks.take(rows), np.full(len(hit), width), w.position[hit])
+                        yield _batch(_DOC_WINDOWS, *found, w.hashes[hit].view(np.int64), w.slots(width, hit))
 
     text = F.coalesce(docs["text"], F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return keyed.mapInPandas(cut, _DOC_WINDOWS)
+    return keyed.mapInArrow(cut, _DOC_WINDOWS)
 
 
 def _filled(at: int, item_slots: str, doc_slots: str) -> list[tuple[str, str]]:

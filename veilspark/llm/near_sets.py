@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from veilspark.llm.common import stored, stored_and_freed
 from veilspark.llm.components import components
 from veilspark.llm.rows import MAX_BROADCAST_KEYS
 from veilspark.llm.simhash import RADIUS, near_links, shingle_hashes, voted
+from veilspark.llm.words import Texts
 
 #: The least Jaccard similarity of near-duplicates, as a fraction.
 SHARE = (4, 5)
@@ -52,13 +53,13 @@ def _name(hashes: np.ndarray) -> int:
 def marks_column(text: Column, width: int) -> Column:
     """``sid, fp`` of a text: the name of its set of shingles, equal for texts of one set, and the set's SimHash."""
 
-    @F.pandas_udf("sid long, fp long")
-    def marks(texts: pd.Series) -> pd.DataFrame:
-        rows = np.empty((len(texts), 2), dtype=np.int64)
-        for i, text in enumerate(texts):  # one set is held at a time
+    @F.arrow_udf("sid long, fp long")
+    def marks(texts: pa.Array) -> pa.Array:
+        sids, prints = np.empty((2, len(texts)), dtype=np.int64)
+        for i, text in enumerate(Texts(texts)):  # one set is held at a time
             hashes = shingle_set(text, width)
-            rows[i] = _name(hashes), voted(hashes)
-        return pd.DataFrame(rows, columns=["sid", "fp"])
+            sids[i], prints[i] = _name(hashes), voted(hashes)
+        return pa.StructArray.from_arrays([pa.array(sids), pa.array(prints)], ["sid", "fp"])
 
     return marks(text)
 
@@ -66,16 +67,16 @@ def marks_column(text: Column, width: int) -> Column:
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
     """Shingles of the counted texts by the top bits of their hashes, 0 but for the ``FREQUENT`` highest counts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
         for batch in batches:
-            for text in batch["text"]:
+            for text in Texts(batch.column("text")):
                 np.add.at(counts, (shingle_set(text, width) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
         at = np.nonzero(counts)[0]
-        yield pd.DataFrame({"at": at, "n": counts[at]})
+        yield pa.RecordBatch.from_pydict({"at": at, "n": counts[at]})
 
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).select("text")
-    sums = some.mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sums = some.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << COUNTER_BITS, dtype=np.int32)
     for row in sums.where("n > 1").orderBy(F.desc("n"), "at").limit(FREQUENT).collect():
         counts[row["at"]] = min(row["n"], np.iinfo(np.int32).max)
@@ -101,15 +102,19 @@ def prefixes(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> Dat
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))
     part, whole = share
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often, seen, columns = counts.value, set(), ["sid", "n", "parity", "keys"]
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        columns = ("sid", pa.int64()), ("n", pa.int32()), ("parity", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(zip(*rows), columns)], [c for c, _ in columns])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, seen = counts.value, set()
         for batch in batches:
             if len(seen) > SEEN:
                 seen.clear()
             rows = []
-            for text in batch["text"]:
+            for text in Texts(batch.column("text")):
                 if len(rows) == GIVEN:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield given(rows)
                     rows = []
                 hashes = shingle_set(text, width)
                 n, name = len(hashes), _name(hashes)
@@ -119,9 +124,9 @@ def prefixes(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> Dat
                 order = np.lexsort((hashes, often[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
                 rows.append((name, n, parities(hashes), hashes[order[: n - -(-part * n // whole) + 1]].view("<i8")))
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield given(rows)
 
-    return docs.select("text").mapInPandas(cut, "sid long, n int, parity array<long>, keys array<long>").dropDuplicates(["sid"])
+    return docs.select("text").mapInArrow(cut, "sid long, n int, parity array<long>, keys array<long>").dropDuplicates(["sid"])
 
 
 def fingerprint_pairs(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -181,9 +186,9 @@ def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, s
     texts = _broadcast_if_few(texts)
     once = docs.select("text", F.xxhash64("text").alias("text_hash")).join(texts, "text_hash").dropDuplicates(["sid"])
 
-    @F.pandas_udf("array<long>")
-    def hashes(column: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(x, width).view("<i8") for x in column], dtype=object)
+    @F.arrow_udf("array<long>")
+    def hashes(column: pa.Array) -> pa.Array:
+        return pa.array((shingle_set(x, width).view("<i8") for x in Texts(column)), pa.list_(pa.int64()))
 
     sets = stored_and_freed(once.select("sid", hashes("text").alias("held")), "candidate-sets")
     left, right = sets.selectExpr("sid AS a", "held AS a_held"), sets.selectExpr("sid AS b", "held AS b_held")

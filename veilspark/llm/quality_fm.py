@@ -15,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import held_out, table
 from veilspark.llm.labelled import FOLDS, HELD_OUT, labelled_texts
-from veilspark.llm.words import chunks, coded_words
+from veilspark.llm.words import SMALL_CHUNK_CHARS, Texts, chunks, coded_words
 
 #: Labelled rows that are learned from, at most: with 4,096 buckets some 200 MB in one task in the worst case.
 MAX_LABELLED = 12_000
@@ -82,12 +83,12 @@ def structure(texts: list[str], counts: np.ndarray, codes: np.ndarray, cells: tu
     ])
 
 
-def vectors(texts: pd.Series, n_chars: pd.Series) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def vectors(texts: pd.Series | Texts, n_chars: pd.Series) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts: their place, text / bucket / value of every hashed word, and the dense statistics.
 
     ``n_chars`` is metadata; where it is null the length of the text stands for it.
     """
-    for first, held in chunks(texts):
+    for first, held in chunks(texts, SMALL_CHUNK_CHARS):
         counts, codes, distinct = coded_words(held, _words)
         buckets = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in distinct), np.int64, len(distinct))
         owner = np.repeat(np.arange(len(held)), counts)
@@ -109,7 +110,7 @@ class FactorisationMachine:
     def __init__(self, mean: np.ndarray, spread: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.mean, self.spread, self.bias, self.weights, self.factors = mean, spread, bias, weights, factors
 
-    def score(self, texts: pd.Series, n_chars: pd.Series) -> np.ndarray:
+    def score(self, texts: pd.Series | Texts, n_chars: pd.Series) -> np.ndarray:
         out = np.zeros(len(texts))
         for at, text, bucket, value, dense in vectors(texts, n_chars):
             n = at.stop - at.start
@@ -203,9 +204,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", limi
 def quality_score(text: Column, n_chars: Column, model: Broadcast) -> Column:
     """Score from 0 to 1 of a text column and its stated length; null scores as empty text."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series(model.value.score(texts, sizes) if model.value else np.ones(len(texts)))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array, sizes: pa.Array) -> pa.Array:
+        return pa.array(model.value.score(Texts(texts), sizes.to_pandas()) if model.value else np.ones(len(texts)), pa.float64())
 
     return score(text, n_chars)
 

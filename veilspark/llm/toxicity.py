@@ -16,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import held_out, stored, table
 from veilspark.llm.labelled import FOLDS, HELD_OUT, MAX_LABELLED, labelled_texts, logistic
-from veilspark.llm.words import chunks, coded_words, sums_by_text
+from veilspark.llm.words import SMALL_CHUNK_CHARS, Texts, chunks, coded_words, sums_by_text
 
 CONTEXT = 5
 DISCOUNT = 0.75
@@ -152,11 +153,11 @@ def packed(found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([blobs], columns=["hashes", "folds", "whole"])
 
 
-def text_features(texts: pd.Series, hashes: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def text_features(texts: pd.Series | Texts, hashes: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text, for each column of ``ratios``: difference of its log-likelihoods by words, mean excess over the margin; its words."""
     ratio, excess = np.zeros((2, len(texts), ratios.shape[1]))
     size = np.zeros(len(texts))
-    for first, held in chunks(texts):
+    for first, held in chunks(texts, SMALL_CHUNK_CHARS):
         counts, codes, distinct = coded_words(held, _words)
         at = slice(first, first + len(held))
         size[at] = counts
@@ -183,7 +184,7 @@ class ToxicityModel:
     def __init__(self, hashes: bytes, ratios: bytes, weights: np.ndarray | None):
         self.hashes, self.ratios, self.weights = hashes, ratios, weights
 
-    def score(self, texts: pd.Series) -> np.ndarray:
+    def score(self, texts: pd.Series | Texts) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
         hashes, ratios = np.frombuffer(self.hashes, np.uint64), np.frombuffer(self.ratios, np.float32)
@@ -226,9 +227,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit
 def toxicity_score(text: Column, model: Broadcast) -> Column:
     """Score of a text column from 0 to 1; null scores as empty text."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.value.score(texts))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.value.score(Texts(texts)), pa.float64())
 
     return score(text)
 

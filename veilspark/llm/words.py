@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 #: Characters of the texts that are taken apart together; a longer text stands alone.
 CHUNK_CHARS = 3_000_000
+#: The same for models that make many arrays of a word each: some 10 MB of them at once.
+SMALL_CHUNK_CHARS = 500_000
+#: Rows of an Arrow column that are Python strings at once.
+_READ_ROWS = 64
 
 
-def chunks(texts: pd.Series, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
+class Texts:
+    """Texts of an Arrow column, null as empty; they are made Python strings a few at a time, as they are read."""
+
+    def __init__(self, column: pa.Array):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __iter__(self) -> Iterator[str]:
+        for at in range(0, len(self.column), _READ_ROWS):
+            for text in self.column.slice(at, _READ_ROWS).to_pylist():
+                yield text or ""
+
+
+def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of up to ``limit`` characters, each with its first position; null reads as empty."""
     first, held, size = 0, [], 0
     for at, text in enumerate(texts):
