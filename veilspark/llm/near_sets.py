@@ -6,6 +6,10 @@ can't see. Under any one order of all shingles, two texts of Jaccard similarity
 or more have a shingle in common among the first ``n - ceil(SHARE * n) + 1`` of each;
 frequent shingles are put last, so that few texts meet by them. Every candidate of
 either way is decided on the whole sets of shingle hashes.
+
+Sets that crowd one shingle and are near each other, as copies of one text with edits
+are, aren't paired with each other: they are compared with one of them, the pivot, and a
+second prefix join on what sets them apart from it finds the links that it doesn't imply.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +43,12 @@ SEEN = 500_000
 GIVEN = 1_000
 #: Shingles up to which they are broadcast.
 BROADCAST_SHINGLES = 100_000
+#: Sets that are paired by a shingle they have in common; more of them are compared by a pivot.
+CROWD = 50
+#: Sets that share less with a pivot, as far as sizes and parities show, are paired with all others of the shingle.
+NEAR = (3, 5)
+#: Shingles of all pivots up to which their sets are broadcast, at 8 bytes each.
+BROADCAST_PIVOTS = 2_000_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -94,12 +105,16 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
-def prefixes(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> DataFrame:
+def by_count(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The order of hashes by the counters of ``shingle_counts``, then by themselves."""
+    return np.lexsort((hashes, counts[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
+
+
+def prefixes(docs: DataFrame, width: int, counts: Broadcast, share: tuple[int, int] = SHARE) -> DataFrame:
     """``sid, n, parity, keys``: the size and parities of each set, and its first shingles by count and hash.
 
     A task gives a set once, however many copies of a text it meets; of all tasks' one is kept.
     """
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))
     part, whole = share
 
     def given(rows: list[tuple]) -> pa.RecordBatch:
@@ -121,7 +136,7 @@ def prefixes(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> Dat
                 if not n or name in seen:
                     continue
                 seen.add(name)
-                order = np.lexsort((hashes, often[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
+                order = by_count(hashes, often)
                 rows.append((name, n, parities(hashes), hashes[order[: n - -(-part * n // whole) + 1]].view("<i8")))
             if rows:
                 yield given(rows)
@@ -177,10 +192,8 @@ def likely(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) ->
     return pairs.join(x, "a").join(y, "b").where(f"CASE WHEN {fits} THEN {near} ELSE false END").select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, share: tuple[int, int] = SHARE) -> DataFrame:
-    """Those of the pairs ``a, b`` of sets whose Jaccard similarity is ``share`` or more."""
-    part, whole = share
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+def whole_sets(ids: DataFrame, docs: DataFrame, marked: DataFrame, width: int) -> DataFrame:
+    """``sid, held``: the shingle hashes, in order, of the sets in ``ids`` (``sid``), each from one of its texts."""
     texts = marked.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("text_hash").alias("text_hash"))
     texts = stored_and_freed(texts, "candidate-texts")
     texts = _broadcast_if_few(texts)
@@ -190,11 +203,109 @@ def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, s
     def hashes(column: pa.Array) -> pa.Array:
         return pa.array((shingle_set(x, width).view("<i8") for x in Texts(column)), pa.list_(pa.int64()))
 
-    sets = stored_and_freed(once.select("sid", hashes("text").alias("held")), "candidate-sets")
+    return stored_and_freed(once.select("sid", hashes("text").alias("held")), "candidate-sets")
+
+
+def _enough(a: str, b: str, share: tuple[int, int]) -> str:
+    part, whole = share
+    return f"{part + whole}L * size(array_intersect({a}, {b})) >= {part}L * (size({a}) + size({b}))"
+
+
+def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, width: int, share: tuple[int, int] = SHARE) -> DataFrame:
+    """Those of the pairs ``a, b`` of sets whose Jaccard similarity is ``share`` or more."""
+    sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, marked, width)
     left, right = sets.selectExpr("sid AS a", "held AS a_held"), sets.selectExpr("sid AS b", "held AS b_held")
     both = pairs.join(left, "a").join(right, "b")
-    enough = f"{part + whole}L * size(array_intersect(a_held, b_held)) >= {part}L * (size(a_held) + size(b_held))"
-    return stored_and_freed(both.where(enough).select("a", "b"), "verified-links")
+    return stored_and_freed(both.where(_enough("a_held", "b_held", share)).select("a", "b"), "verified-links")
+
+
+def differences(
+    lacks: np.ndarray, lost: np.ndarray, n: int, p: int, counts: np.ndarray, share: tuple[int, int] = SHARE
+) -> tuple[bool, int, int, int, np.ndarray]:
+    """``linked, apart, probe, index, keys`` of a set of size ``n`` and its pivot of size ``p``.
+
+    ``lacks`` are the hashes that the pivot doesn't have, ``lost`` those that only it has:
+    ``apart`` of them, which tell sets of one pivot apart, too. In one order of them, what the
+    pivot lacks first, a linked pair has a hash in common among the first ``probe`` of one set
+    and the first ``index`` of the other, if the former doesn't link to the pivot. Sets that do
+    have no ``probe``: the pivot links them to each other. ``keys`` are as many as are needed.
+
+    Say two sets have a and d such hashes, o of them in both, so that they differ by
+    a + d - 2o. They link if that is at most L = c(n + m), n and m their sizes,
+    c = (whole - part) / (whole + part). As o <= d, o >= a - L: ``probe`` follows from the
+    largest m. If the first doesn't link to the pivot, a > c(n + p), so 2o > d - c(m - p): ``index``.
+    """
+    part, whole = share
+    apart = len(lacks) + len(lost)
+    linked = (part + whole) * apart <= (whole - part) * (n + p)
+    probe = 0 if linked else min(apart, (whole - part) * (n + whole * n // part) // (part + whole) + 1)
+    index = apart - ((part + whole) * apart - (whole - part) * (n - p)) // (2 * (part + whole))
+    keys = np.concatenate([lacks[by_count(lacks, counts)], lost[by_count(lost, counts)]])
+    return linked, apart, probe, index, keys[: max(probe, index)]
+
+
+def main_pivots(rows: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    """``pivot, main``: pivots of the rows ``key, pivot, sid`` that seem to link to a pivot of more rows, and that one.
+
+    Near copies crowd many keys, and the sets that stand first in some of them have edits of
+    their own. Their other keys lead to the pivot that most copies have. Any set can be a pivot,
+    those nearest to the others tell them apart with the fewest hashes.
+    """
+    weights = stored_and_freed(rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("weight")), "pivot-weights")
+    named = weights.selectExpr("pivot AS sid", "weight AS own")
+    pairs = rows.join(_broadcast_if_few(named), "sid").join(weights, "pivot").where("weight > own OR (weight = own AND pivot > sid)")
+    pairs = stored_and_freed(pairs.selectExpr("sid AS a", "pivot AS b").distinct(), "pivot-pairs")
+    best = likely(pairs, sets, share).join(weights.selectExpr("pivot AS b", "weight"), "b")
+    return best.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("best")).selectExpr("a AS pivot", "best.b AS main")
+
+
+def near_pivots(rows: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    """The rows ``key, pivot, ...`` with the pivot that stands for theirs, or null if sizes and parities show that the set isn't near it."""
+    mains = _broadcast_if_few(stored_and_freed(main_pivots(rows, sets, share), "main-pivots"))
+    rows = stored_and_freed(rows.join(mains, "pivot", "left").withColumn("pivot", F.coalesce("main", "pivot")).drop("main"), "main-rows")
+    near = likely(rows.selectExpr("sid AS a", "pivot AS b").distinct(), sets, NEAR).selectExpr("a AS sid", "b AS near")
+    near = _broadcast_if_few(stored_and_freed(near.withColumn("pivot", F.col("near")), "near-pivots"))
+    return rows.join(near, ["sid", "pivot"], "left").drop("pivot").withColumnRenamed("near", "pivot")
+
+
+def by_pivots(
+    rows: DataFrame, docs: DataFrame, marked: DataFrame, width: int, counts: Broadcast, share: tuple[int, int] = SHARE
+) -> tuple[DataFrame, DataFrame]:
+    """Links and candidates ``a, b`` among the rows ``pivot, sid, n, root``; each set is compared with its pivots alone.
+
+    Every pair that links, has a pivot in common and is in two components is a candidate, or
+    both link to the pivot.
+    """
+    part, whole = share
+    members = stored_and_freed(rows.select("pivot", "sid", "n", "root").distinct(), "pivot-members")
+    sets = whole_sets(members.select("sid").unionByName(members.selectExpr("pivot AS sid")).distinct(), docs, marked, width)
+    pivots = sets.join(members.selectExpr("pivot AS sid").distinct(), "sid", "left_semi").selectExpr("sid AS pivot", "held AS pivot_held")
+    pivots = stored_and_freed(pivots, "pivot-sets")
+    if (pivots.agg(F.sum(F.size("pivot_held"))).first()[0] or 0) <= BROADCAST_PIVOTS:
+        pivots = F.broadcast(pivots)
+
+    @F.arrow_udf("linked boolean, apart int, probe int, index int, keys array<long>")
+    def told(*columns: pa.Array) -> pa.Array:
+        found = []
+        for lacks, lost, n, p in zip(*columns):
+            hashes = (x.values.to_numpy().view("<u8") for x in (lacks, lost))
+            *few, keys = differences(*hashes, n.as_py(), p.as_py(), counts.value, share)
+            found.append((*few, keys.view("<i8")))
+        kinds = pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())
+        arrays = [pa.array(v, k) for v, k in zip(zip(*found) if found else [[]] * len(kinds), kinds)]
+        return pa.StructArray.from_arrays(arrays, ["linked", "apart", "probe", "index", "keys"])
+
+    apart = "array_except(held, pivot_held)", "array_except(pivot_held, held)", "size(held)", "size(pivot_held)"
+    told_apart = members.join(sets, "sid").join(pivots, "pivot").select("pivot", "sid", "n", "root", told(*map(F.expr, apart)).alias("told"))
+    told_apart = stored_and_freed(told_apart.select("pivot", "sid", "n", "root", "told.*"), "differences")
+    links = told_apart.where("linked AND sid <> pivot").selectExpr("greatest(sid, pivot) AS a", "least(sid, pivot) AS b").distinct()
+    keys = told_apart.select("pivot", "sid", "n", "root", "apart", "probe", "index", F.posexplode("keys").alias("pos", "key"))
+    x, y = keys.where("pos < probe").alias("x"), keys.where("pos < index").alias("y")
+    fits = f"{part} * x.n <= {whole} * y.n AND {part} * y.n <= {whole} * x.n"
+    most = "least(x.apart - x.pos, y.apart - y.pos)"  # hashes in both, if this is the first of them
+    near = f"{part + whole}L * (x.apart + y.apart - 2 * {most}) <= {whole - part}L * (x.n + y.n)"
+    met = x.join(y, F.expr(f"x.pivot = y.pivot AND x.key = y.key AND x.root <> y.root AND {fits} AND {near}"))
+    return links, met.selectExpr("greatest(x.sid, y.sid) AS a", "least(x.sid, y.sid) AS b").distinct()
 
 
 def _rooted(links: DataFrame, name: str) -> DataFrame:
@@ -221,12 +332,13 @@ def near_sets(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> Da
     SimHash finds most of them: pairs of near fingerprints count where the sets are similar
     enough. What fingerprints can't see is found by the prefix join, on shingles that sets of
     several components have: first each set with the first and last component it meets,
-    then all pairs that are still in two. None is left out.
+    then all pairs that are still in two, those of crowded shingles by pivots. None is left out.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marked = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), marks_column(F.col("text"), width).alias("marks"))
     marked = stored(marked.select("doc_id", "text_hash", "marks.*"), "shingle-sets")
-    sets = stored_and_freed(prefixes(docs, width, share), "prefixes")
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))
+    sets = stored_and_freed(prefixes(docs, width, counts, share), "prefixes")
     met = stored_and_freed(fingerprint_pairs(marked), "near-fingerprints")
     links = verified(stored_and_freed(likely(met, sets, share), "likely-pairs"), docs, marked, width, share)
     first = with_roots(sets.select("sid", "n", "keys"), _rooted(links, "fingerprint-roots"))
@@ -239,9 +351,23 @@ def near_sets(docs: DataFrame, width: int, share: tuple[int, int] = SHARE) -> Da
     ends = stored_and_freed(ends, "end-pairs")
     links = links.unionByName(verified(stored_and_freed(likely(ends, sets, share), "likely-pairs"), docs, marked, width, share))
     shared = shared_rows(with_roots(shared.drop("root"), _rooted(links, "end-roots")))
-    x, y = shared.alias("x"), shared.alias("y")
-    rest = x.join(y, F.expr(f"x.key = y.key AND x.sid > y.sid AND x.root <> y.root AND {_may_link('x', 'y', share)}"))
-    rest = rest.selectExpr("x.sid AS a", "y.sid AS b").distinct().join(ends.unionByName(met), ["a", "b"], "left_anti")
+    # The pivot is the set with the fewest rarer shingles: the edits of a text have some of their own.
+    crowded = shared.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("pos", "n", "sid")).alias("pivot"))
+    crowded = stored_and_freed(crowded.where(F.col("sets") > CROWD).selectExpr("key", "pivot.sid AS pivot"), "crowded-shingles")
+    plain = shared.withColumn("pivot", F.lit(None).cast("long"))
+    if not crowded.isEmpty():
+        crowded = _broadcast_if_few(crowded, BROADCAST_SHINGLES)
+        rows = near_pivots(stored_and_freed(shared.join(crowded, "key"), "crowded-rows"), sets, share)
+        rows = stored_and_freed(rows.select(*plain.columns), "near-rows")
+        linked, more = by_pivots(rows.where("pivot IS NOT NULL"), docs, marked, width, counts, share)
+        plain = plain.join(crowded.select("key"), "key", "left_anti").unionByName(rows)
+    x, y = plain.where("pivot IS NULL").alias("x"), plain.alias("y")
+    once = "(y.pivot IS NOT NULL OR x.sid > y.sid)"
+    rest = x.join(y, F.expr(f"x.key = y.key AND x.root <> y.root AND {once} AND {_may_link('x', 'y', share)}"))
+    rest = rest.selectExpr("greatest(x.sid, y.sid) AS a", "least(x.sid, y.sid) AS b")
+    if not crowded.isEmpty():
+        links, rest = links.unionByName(linked), rest.unionByName(more)
+    rest = rest.distinct().join(ends.unionByName(met), ["a", "b"], "left_anti")
     rest = stored_and_freed(likely(stored_and_freed(rest, "other-pairs"), sets, share), "likely-pairs")
     links = links.unionByName(verified(rest, docs, marked, width, share))
     return with_roots(marked, _rooted(links, "roots")).select("doc_id", "text_hash", "root")
